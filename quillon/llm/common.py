@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shipped(name: str) -> None:
-    """Have the functions of module `name` travel to the executors by value, so that they need no installed copy."""
-    cloudpickle.register_pickle_by_value(sys.modules[name])
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of this session the package, so that executors need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._quillon_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,5 +62,3 @@ def word_count(text: str | Column = "text") -> Column:
     """Number of words of a text; 0 for null."""
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
-
-shipped(__name__)
