@@ -32,10 +32,10 @@ class Band:
 
 #: Bands by language, then by script for texts of another or no language.
 BANDS = {
-    "en": Band(2.2, 3.2, 0.10, 0.2, 5.3),
-    "de": Band(2.05, 3.5, 0.16, 0.2, 5.3),
-    "fr": Band(1.88, 3.7, 0.22, 0.2, 5.3),
-    "es": Band(1.8, 3.8, 0.24, 0.2, 5.3),
+    "en": Band(2.1, 3.2, 0.10, 0.2, 5.3),
+    "de": Band(1.95, 3.5, 0.16, 0.2, 5.3),
+    "fr": Band(1.8, 3.7, 0.22, 0.2, 5.3),
+    "es": Band(1.7, 3.8, 0.24, 0.2, 5.3),
     "latin": Band(1.6, 4.0, 0.30, 0.2, 5.3),
     "other": Band(0.4, 1e9, 0.95, 0.3, 4.5),
 }
