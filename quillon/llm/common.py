@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -62,3 +63,10 @@ def word_count(text: str | Column = "text") -> Column:
     """Number of words of a text; 0 for null."""
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are no longer used: its cleaner follows the JVM's garbage
+    collection, which a small driver heap may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

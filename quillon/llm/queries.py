@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact, mixing, near, quality_model, quality_rules, secrets, sharding
+from quillon.llm import bpe, exact, mixing, near, quality_model, quality_rules, secrets, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,27 @@ SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, min(r.other) AS compone
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.k
 """
 
+SQL_OP4 = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(0, (len(x) // 2) - 49)) AS p, x FROM d WHERE len(x) >= 100),
+h AS (SELECT doc_id, p, md5(substr(x, (2 * p + 1)::BIGINT, 100)) AS k FROM w),
+f AS (SELECT k, min(doc_id) AS first FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT h.doc_id, h.p FROM h JOIN f ON h.k = f.k WHERE h.doc_id > f.first),
+g AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 AS gap FROM c),
+i AS (SELECT doc_id, p, sum(CASE WHEN coalesce(gap, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM g),
+r AS (SELECT doc_id, n, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, n),
+s AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM r GROUP BY doc_id),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM r),
+z AS (
+  SELECT q.doc_id, q.a AS o, substr(d.x, (2 * q.from_ + 1)::BIGINT, (2 * (q.a - q.from_))::BIGINT) AS part FROM q JOIN d USING (doc_id)
+  UNION ALL SELECT d.doc_id, len(d.x), substr(d.x, (2 * coalesce(m.b, 0) + 1)::BIGINT) FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM r GROUP BY doc_id) m USING (doc_id)),
+k AS (SELECT doc_id, string_agg(part, '' ORDER BY o) AS kept FROM z GROUP BY doc_id)
+SELECT d.doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(k.kept)) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 SQL_OP6 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -108,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_quality_model": op2_quality_model,
         "op3_sharding": op3_sharding,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_byte_bpe": op8_byte_bpe,
@@ -117,4 +143,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": SQL_OP1, "op6_exact_dedup": SQL_OP6, "op9_mixing": SQL_OP9}
+    return {"op1_minhash_dedup": SQL_OP1, "op4_suffix_dedup": SQL_OP4, "op6_exact_dedup": SQL_OP6, "op9_mixing": SQL_OP9}

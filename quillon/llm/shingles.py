@@ -32,10 +32,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows of a string array; null is empty."""
+    """(first row, bytes, offsets) of consecutive rows of a string or binary array; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = texts.cast(pa.large_binary() if binary else pa.large_string()).fill_null(b"" if binary else "")
     n = len(texts)
     if not n:
         return
