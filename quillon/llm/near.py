@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import setsketch, shingles
-from quillon.llm.common import checked_broadcast, ship_package, stored, text_or_empty
+from quillon.llm.common import checked_broadcast, freed, ship_package, stored, text_or_empty
 from quillon.llm.components import connected
 
 #: A bucket of more classes than this is compared in blocks of about this many.
@@ -34,10 +34,13 @@ class Settings:
     sketch: Callable = setsketch.sketches  # (hashes, first) -> registers
     rows: int = setsketch.ROWS
     estimate: Callable = setsketch.estimates
+    registers: int = setsketch.REGISTERS
 
     @property
-    def threshold(self) -> float:
-        return self.share_num / self.share_den
+    def least(self) -> float:
+        """The estimate below which a link is ruled out: ERRORS standard errors under the threshold."""
+        t = self.share_num / self.share_den
+        return t - ERRORS * math.sqrt(t * (1 - t) / self.registers)
 
 
 @functools.cache
@@ -97,8 +100,7 @@ def sketched(items: DataFrame, settings: Settings) -> DataFrame:
 
 def _likely(pairs: DataFrame, regs: DataFrame, settings: Settings) -> DataFrame:
     """Of pairs (a, b), those whose estimated similarity doesn't speak against a link."""
-    t = settings.threshold
-    least = t - ERRORS * math.sqrt(t * (1 - t) / setsketch.REGISTERS)
+    least = settings.least
     estimate = settings.estimate
 
     @F.arrow_udf("boolean")
@@ -110,18 +112,13 @@ def _likely(pairs: DataFrame, regs: DataFrame, settings: Settings) -> DataFrame:
             yield pa.array(estimate(_registers(ra), _registers(rb), na.to_numpy(), nb.to_numpy()) >= least)
 
     a, b = (regs.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(likely("ra", "rb", "na", "nb")).select("a", "b", "na", "nb")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").where(likely("ra", "rb", "na", "nb")).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, items: DataFrame, classes: DataFrame, repeats: bool, settings: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings) -> DataFrame:
     """Of pairs (a, b, na, nb), those linked by their full sets. Only the texts of classes in `pairs` are read into
     sets again."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    keys = stored(classes.join(wanted, "cls", "left_semi").select("cls", F.col("id").alias("_id"), F.col("tkey").alias("_tkey")))
-    texts = items.withColumn("tkey", F.xxhash64("text"))
-    texts = texts.join(checked_broadcast(keys, 200_000), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", "text")
-    if repeats:
-        texts = texts.dropDuplicates(["cls"])
+    wanted = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +126,7 @@ def _verified(pairs: DataFrame, items: DataFrame, classes: DataFrame, repeats: b
                 h, first = settings.shingle(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(first) - 1), _lists(h, first)], ["cls", "set"])
 
-    sets = stored(texts.mapInArrow(run, "cls long, set array<bigint>"))
+    sets = stored(texts_of(wanted).select("cls", "text").mapInArrow(run, "cls long, set array<bigint>"))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     found = both.select("a", "b", "na", "nb", common.cast("long").alias("common"))
@@ -141,15 +138,14 @@ def _sizes_fit(settings: Settings):
 
 
 def _block_pairs(members: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) from different components within large buckets, compared by their registers in blocks.
+    """Pairs (a, b, na, nb) from different components within large buckets, compared by their registers in blocks.
 
     members: key, cls, n, root, regs, count, minor, few: the bucket's size, whether the row is outside its largest
     component, and how many rows are. Each pair has a side outside the largest component. Both sides are dealt at
     random to blocks of about BLOCK rows and every task compares two blocks, so no task grows with its bucket, and only
     likely pairs leave it.
     """
-    t = settings.threshold
-    least = t - ERRORS * math.sqrt(t * (1 - t) / setsketch.REGISTERS)
+    least = settings.least
     estimate, num, den = settings.estimate, settings.share_num, settings.share_den
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     few = F.ceil(F.col("few") / BLOCK).cast("int")
@@ -160,43 +156,38 @@ def _block_pairs(members: DataFrame, settings: Settings) -> DataFrame:
         side = table.column("left").to_numpy()
         cls, n, root = (table.column(c).to_numpy() for c in ("cls", "n", "root"))
         regs = _registers(table.column("regs").combine_chunks())
-        of_a, of_b = [], []
+        found: list[tuple[np.ndarray, ...]] = []
         others = np.flatnonzero(~side)
         for i in np.flatnonzero(side):
             fit = others[(root[others] != root[i]) & (den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i]))]
             if len(fit):
                 one = np.broadcast_to(regs[i], (len(fit), regs.shape[1]))
                 fit = fit[estimate(one, regs[fit], np.full(len(fit), n[i]), n[fit]) >= least]
-                of_a.append(np.minimum(cls[fit], cls[i]))
-                of_b.append(np.maximum(cls[fit], cls[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(of_a or [none]), "b": np.concatenate(of_b or [none])})
+                turned = cls[fit] < cls[i]
+                found.append((np.minimum(cls[fit], cls[i]), np.maximum(cls[fit], cls[i]), np.where(turned, n[fit], n[i]), np.where(turned, n[i], n[fit])))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(("a", "b", "na", "nb"), columns, strict=True)))
 
-    return left.union(right).groupBy("key", "s", "j").applyInArrow(run, "a long, b long").distinct()
+    return left.union(right).groupBy("key", "s", "j").applyInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
-def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
-    """(id, text) -> id, row, tkey, n, first_id, first_row: the smallest (id, row) of each row's component.
+def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings, regs: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the classes with links. members: key, cls, n, a row for each band of a class; texts_of: from
+    classes (cls) to one text of each (cls, text); regs: cls, n, regs, if estimates are to go before verification.
 
-    Rows with equal sets form a class, linked by being equal. Each bucket of a band links its classes to its smallest
-    class, first; after union-find, buckets that still hold several components are compared across components, small
-    ones pair by pair and larger ones in blocks, so that no link is left out because of a bucket's size, while a group
-    of near copies, however large, costs one pair per member. A null id comes after all others.
+    Each bucket of a band links its classes to its smallest class, first; after union-find, buckets that still hold
+    several components are compared across components, small ones pair by pair and larger ones in blocks, so that no
+    link is left out because of a bucket's size, while a group of near copies, however large, costs one pair per
+    member and band.
     """
-    items = items.select("id", text_or_empty("text").alias("text"))
-    rows = stored(sketched(items, settings))
-    repeats = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    keys = stored(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(order).alias("first"))).select("n", "k1", "k2", "first", F.col("first.row").alias("cls"))
-    classes = stored(rows.join(keys.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls"))
-    regs = classes.select("cls", "n", "regs")
-
-    members = classes.select("cls", "n", F.explode("bands").alias("key"))
+    likely = (lambda pairs: _likely(pairs, regs, settings)) if regs is not None else (lambda pairs: pairs)
+    columns = ("a", "b", "na", "nb")
     buckets = stored(members.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("count")).where("count > 1"))
     shared = stored(members.join(buckets, "key").select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), "count"))
-    stars = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).where(_sizes_fit(settings)).select("a", "b").distinct()
-    tried = stored(_likely(stars, regs, settings))
-    links = stored(_verified(tried, items, classes, repeats, settings))
+    freed(members.sparkSession)
+    stars = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).where(_sizes_fit(settings)).distinct()
+    tried = stored(likely(stars))
+    links = stored(_verified(tried, texts_of, settings))
     roots = connected(links)
 
     # Buckets with several components: every pair across them that wasn't tried yet.
@@ -207,20 +198,52 @@ def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
     open_ = stored(labelled.join(split, "key").withColumn("minor", F.col("root") != F.col("major")))
     small, large = open_.where(F.col("count") <= BLOCK), open_.where(F.col("count") > BLOCK)
     free = small.where("cls <> hub")
-    x = free.where("minor").select("key", F.col("cls").alias("x"), F.col("n").alias("na"), F.col("root").alias("rx"))
-    y = free.select("key", F.col("cls").alias("y"), F.col("n").alias("nb"), F.col("root").alias("ry"))
-    across = x.join(y, "key").where("rx <> ry").where(_sizes_fit(settings)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    across = _likely(across, regs, settings)
+    x = free.where("minor").select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    y = free.select("key", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    turned = F.col("x") > F.col("y")
+    across = x.join(y, "key").where("rx <> ry").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(turned, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(turned, F.col("nx")).otherwise(F.col("ny")).alias("nb")
+    )
+    across = likely(across.where(_sizes_fit(settings)).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")).select(*columns)
     if large.limit(1).count():
-        blocks = _block_pairs(large.join(regs.select("cls", "regs"), "cls"), settings)
-        sized = blocks.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(regs.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(regs.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-        across = across.unionByName(sized.select("a", "b", "na", "nb")).distinct()
+        of_large = regs if regs is not None else _registers_of(texts_of(stored(large.select("cls").distinct())), settings)
+        blocks = _block_pairs(large.join(of_large.select("cls", "regs"), "cls"), settings).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        across = across.unionByName(blocks.select(*columns)).distinct()
     across = stored(across)
     if across.limit(1).count():
-        more = _verified(across, items, classes, repeats, settings)
-        roots = connected(links.union(more))
+        roots = connected(links.union(_verified(across, texts_of, settings)))
+    return roots
+
+
+def _registers_of(texts: DataFrame, settings: Settings) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in shingles.text_slices(batch.column(1)):
+                h, first = settings.shingle(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(first) - 1), _fixed(settings.sketch(h, first))], ["cls", "regs"])
+
+    return stored(texts.select("cls", "text").mapInArrow(run, "cls long, regs binary"))
+
+
+def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
+    """(id, text) -> id, row, tkey, n, first_id, first_row: the smallest (id, row) of each row's component.
+
+    Rows with equal sets form a class, linked by being equal. A null id comes after all others.
+    """
+    items = items.select("id", text_or_empty("text").alias("text"))
+    rows = stored(sketched(items, settings))
+    repeats = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    keys = stored(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(order).alias("first"))).select("n", "k1", "k2", "first", F.col("first.row").alias("cls"))
+    classes = stored(rows.join(keys.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        known = stored(classes.join(wanted, "cls", "left_semi").select("cls", F.col("id").alias("_id"), F.col("tkey").alias("_tkey")))
+        texts = items.withColumn("tkey", F.xxhash64("text"))
+        texts = texts.join(checked_broadcast(known, 200_000), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", "text")
+        return texts.dropDuplicates(["cls"]) if repeats else texts
 
+    roots = linked(classes.select("cls", "n", F.explode("bands").alias("key")), texts_of, settings, classes.select("cls", "n", "regs"))
     placed = stored(keys.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     firsts = placed.groupBy("root").agg(F.min("first").alias("least"))
     known = placed.join(firsts, "root").select("n", "k1", "k2", "least")
