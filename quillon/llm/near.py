@@ -20,6 +20,8 @@ from quillon.llm.components import connected
 
 #: A bucket of more classes than this is compared in blocks of about this many.
 BLOCK = 256
+#: Rows in a shard of such comparisons, and pairs that are compared at a time.
+SHARD_ROWS, STEP = 20_000, 50_000
 #: Standard errors below the threshold at which a likelihood estimate still goes to verification.
 ERRORS = 5.0
 
@@ -137,38 +139,56 @@ def _sizes_fit(settings: Settings):
     return settings.share_den * F.least("na", "nb") >= settings.share_num * F.greatest("na", "nb")
 
 
-def _block_pairs(members: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b, na, nb) from different components within large buckets, compared by their registers in blocks.
+def _pairs_across(members: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b, na, nb) from different components within a bucket that are likely to be linked by their registers.
 
-    members: key, cls, n, root, regs, count, minor, few: the bucket's size, whether the row is outside its largest
-    component, and how many rows are. Each pair has a side outside the largest component. Both sides are dealt at
-    random to blocks of about BLOCK rows and every task compares two blocks, so no task grows with its bucket, and only
-    likely pairs leave it.
+    members: key, cls, n, root, hub, regs, count, minor, few: the bucket's first class and size, whether the row is
+    outside its largest component, and how many rows are. Each pair has a side outside the largest component. In large
+    buckets both sides are dealt at random to blocks of about BLOCK rows, and two blocks meet in one place, so nothing
+    grows with a bucket; the places are dealt to shards of many. Only likely pairs leave a task.
     """
-    least = settings.least
-    estimate, num, den = settings.estimate, settings.share_num, settings.share_den
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    few = F.ceil(F.col("few") / BLOCK).cast("int")
-    left = members.where("minor").select("key", "cls", "n", "root", "regs", F.pmod(F.xxhash64("cls"), few).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("j"), F.lit(True).alias("left"))
-    right = members.select("key", "cls", "n", "root", "regs", F.explode(F.sequence(F.lit(0).cast("long"), few.cast("long") - 1)).alias("s"), F.pmod(F.xxhash64("cls", F.lit(1)), blocks).alias("j"), F.lit(False).alias("left"))
+    estimate, least, num, den = settings.estimate, settings.least, settings.share_num, settings.share_den
+    blocks = F.ceil(F.col("count") / BLOCK).cast("long")
+    few = F.ceil(F.col("few") / BLOCK).cast("long")
+    own = ["key", "cls", "n", "root", "hub", "regs"]
+    left = members.where("minor").select(*own, F.pmod(F.xxhash64("cls"), few).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), F.lit(True).alias("left"))
+    right = members.select(*own, F.explode(F.sequence(F.lit(0).cast("long"), few - 1)).alias("s"), F.pmod(F.xxhash64("cls", F.lit(1)), blocks).alias("j"), F.lit(False).alias("left"))
+    placed = left.union(right).withColumn("place", F.xxhash64("key", "s", "j"))
+    rows = members.count()
+    shards = max(1, -(-rows // SHARD_ROWS))
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("left").to_numpy()
-        cls, n, root = (table.column(c).to_numpy() for c in ("cls", "n", "root"))
-        regs = _registers(table.column("regs").combine_chunks())
+        side, cls, n, root, hub, place = (table.column(c).to_numpy() for c in ("left", "cls", "n", "root", "hub", "place"))
+        order = np.lexsort((side, place))  # in each place the right side first
+        side, cls, n, root, hub, place = (x[order] for x in (side, cls, n, root, hub, place))
+        regs = _registers(table.column("regs").combine_chunks())[order]
+        begin = np.searchsorted(place, place, "left")
+        rights = np.searchsorted(np.cumsum(side), np.cumsum(side)[begin] - side[begin], "right")  # first left row after
         found: list[tuple[np.ndarray, ...]] = []
-        others = np.flatnonzero(~side)
-        for i in np.flatnonzero(side):
-            fit = others[(root[others] != root[i]) & (den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i]))]
-            if len(fit):
-                one = np.broadcast_to(regs[i], (len(fit), regs.shape[1]))
-                fit = fit[estimate(one, regs[fit], np.full(len(fit), n[i]), n[fit]) >= least]
-                turned = cls[fit] < cls[i]
-                found.append((np.minimum(cls[fit], cls[i]), np.maximum(cls[fit], cls[i]), np.where(turned, n[fit], n[i]), np.where(turned, n[i], n[fit])))
+        lefts = np.flatnonzero(side)
+        ends = np.minimum(rights, len(side))
+        width = (ends - begin)[lefts]
+        cuts = np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()) + STEP, STEP), "left")
+        for a, b in zip(cuts[:-1], np.maximum(cuts[1:], cuts[:-1] + 1), strict=True):
+            mine = lefts[a:b]
+            if not len(mine):
+                continue
+            i = np.repeat(mine, width[a:b])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width[a:b]) - width[a:b], width[a:b]) + begin[i]
+            fit = (root[i] != root[j]) & (cls[i] != hub[i]) & (cls[j] != hub[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            i, j = i[fit], j[fit]
+            close = (regs[i] == regs[j]).mean(axis=1) >= least - 0.1
+            i, j = i[close], j[close]
+            if len(i):
+                good = estimate(regs[i], regs[j], n[i], n[j]) >= least
+                i, j = i[good], j[good]
+                low, high = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
+                found.append((cls[low], cls[high], n[low], n[high]))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
         return pa.table(dict(zip(("a", "b", "na", "nb"), columns, strict=True)))
 
-    return left.union(right).groupBy("key", "s", "j").applyInArrow(run, "a long, b long, na long, nb long").distinct()
+    shard = F.pmod(F.col("place"), F.lit(shards))
+    return placed.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
 def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings, regs: DataFrame | None = None) -> DataFrame:
@@ -176,9 +196,8 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], setti
     classes (cls) to one text of each (cls, text); regs: cls, n, regs, if estimates are to go before verification.
 
     Each bucket of a band links its classes to its smallest class, first; after union-find, buckets that still hold
-    several components are compared across components, small ones pair by pair and larger ones in blocks, so that no
-    link is left out because of a bucket's size, while a group of near copies, however large, costs one pair per
-    member and band.
+    several components are compared across components by their registers, so that no link is left out because of a
+    bucket's size, while a group of near copies, however large, costs one pair per member and band.
     """
     likely = (lambda pairs: _likely(pairs, regs, settings)) if regs is not None else (lambda pairs: pairs)
     columns = ("a", "b", "na", "nb")
@@ -196,19 +215,10 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], setti
     split = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     split = stored(split.select("key", F.col("most.root").alias("major"), (F.col("all") - F.col("most.rows")).alias("few")))
     open_ = stored(labelled.join(split, "key").withColumn("minor", F.col("root") != F.col("major")))
-    small, large = open_.where(F.col("count") <= BLOCK), open_.where(F.col("count") > BLOCK)
-    free = small.where("cls <> hub")
-    x = free.where("minor").select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = free.select("key", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    turned = F.col("x") > F.col("y")
-    across = x.join(y, "key").where("rx <> ry").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(turned, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(turned, F.col("nx")).otherwise(F.col("ny")).alias("nb")
-    )
-    across = likely(across.where(_sizes_fit(settings)).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")).select(*columns)
-    if large.limit(1).count():
-        of_large = regs if regs is not None else _registers_of(texts_of(stored(large.select("cls").distinct())), settings)
-        blocks = _block_pairs(large.join(of_large.select("cls", "regs"), "cls"), settings).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        across = across.unionByName(blocks.select(*columns)).distinct()
+    if not open_.limit(1).count():
+        return roots
+    known = regs if regs is not None else _registers_of(texts_of(stored(open_.select("cls").distinct())), settings)
+    across = _pairs_across(open_.join(known.select("cls", "regs"), "cls"), settings).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*columns)
     across = stored(across)
     if across.limit(1).count():
         roots = connected(links.union(_verified(across, texts_of, settings)))

@@ -13,8 +13,8 @@ import numpy as np
 
 from quillon.llm.shingles import U64, mixed
 
-#: Registers, rows of a band: 25 bands of 5. A pair of similarity 0.85 shares no band with probability 4e-7.
-REGISTERS, ROWS = 125, 5
+#: Registers, rows of a band: 28 bands of 6. A pair of similarity 0.85 shares no band with probability 2e-6.
+REGISTERS, ROWS = 168, 6
 #: Base of the spacing, rate of the values, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 
