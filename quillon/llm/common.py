@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -68,5 +69,7 @@ def word_count(text: str | Column = "text") -> Column:
 def freed(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer used: its cleaner follows the JVM's garbage
     collection, which a small driver heap may put off for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import shingles
-from quillon.llm.common import checked_broadcast, freed, ship_package, stored, text_or_empty
+from quillon.llm.common import freed, ship_package, stored, text_or_empty
 from quillon.llm.mixing import row_hash
 from quillon.llm.shingles import U64, mixed
 from quillon.llm.suffixes import RAW, permuted_common_prefixes, suffix_array
@@ -44,31 +44,25 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     np.cumsum(RAW[data] * up[:n], out=sums[1:])
     h = mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     width = length - gram + 1
-    # The leftmost place of the least hash in each run of `width`, by doubling.
-    at = np.arange(len(h))
-    size = 1
+    # Least hash of each run of `width`, by doubling. Only hashes are compared, so equal strings behave alike.
+    least, size = h, 1
     while size * 2 <= width:
-        a, b = at[:-size], at[size:]
-        at = np.where(h[a] <= h[b], a, b)
+        least = np.minimum(least[:-size], least[size:])
         size *= 2
-    if size < width:
-        a, b = at[: len(h) - width + 1], at[width - size : width - size + len(h) - width + 1]
-        at = np.where(h[a] <= h[b], a, b)
-    inside = np.zeros(n + 1, np.int64)
-    last = offsets[1:] - length  # last window of each document
-    has = last >= offsets[:-1]
-    np.add.at(inside, offsets[:-1][has], 1)
-    np.add.at(inside, last[has] + 1, -1)
-    windows = np.flatnonzero(np.cumsum(inside)[: n - length + 1] > 0)
-    if not len(windows):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    anchor = at[windows]
-    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    begin = windows[new]
-    end = np.concatenate([windows[np.flatnonzero(new)[1:] - 1], windows[-1:]]) + length
+    least = np.minimum(least[: len(h) - width + 1], least[width - size : width - size + len(h) - width + 1])
+    # The leftmost least place changes after a window that begins with it, or when a smaller hash comes in.
+    begins = np.ones(len(least), bool)
+    begins[1:] = (h[: len(least) - 1] == least[:-1]) | (least[1:] < least[:-1])
+    inside = np.ones(len(least), bool)
+    for at in offsets[1:-1]:
+        inside[max(at - length + 1, 0) : at] = False
+        begins[at : at + 1] = True
+    begin = np.flatnonzero(begins & inside)
+    # A segment ends at the next one, or where its document's windows end.
     doc = np.searchsorted(offsets, begin, "right") - 1
+    end = np.minimum(np.append(begin[1:], n), offsets[doc + 1] - length + 1) - 1 + length
     whole = mixed(((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)) ^ SALT)
-    return doc, begin - offsets[doc], end - begin, h[anchor[new]], whole
+    return doc, begin - offsets[doc], end - begin, least[begin], whole
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -82,27 +76,37 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared_places(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """ord, tkey, places: where segments begin whose anchor occurs in another document too."""
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ords, tkeys = (batch.column(i).to_numpy() for i in (0, 1))
-            for first, data, offsets in shingles.text_slices(batch.column(2)):
-                doc, lo, _, key, _ = segments(data, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(ords[first + doc]), pa.array(tkeys[first + doc]), pa.array(lo.astype(np.int32))], ["key", "ord", "tkey", "lo"])
-
-    kind = "key long, ord long, tkey long, lo int"
-    flat = rows.mapInArrow(anchors, kind)
+    """ord, places: where segments begin whose anchor occurs in another document too."""
+
+    def anchors(frequent: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ords = batch.column(0).to_numpy()
+                for first, data, offsets in shingles.text_slices(batch.column(1)):
+                    doc, lo, _, key, _ = segments(data, offsets, length, gram)
+                    if len(frequent):
+                        at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
+                        known = frequent[at] == key
+                        key = np.where(known, mixed(key ^ mixed(ords[first + doc].astype(np.uint64) + lo.astype(np.uint64))), key)
+                        lo = np.where(known, -1 - lo, lo)
+                    yield pa.RecordBatch.from_arrays([_signed(key), pa.array(ords[first + doc]), pa.array(lo.astype(np.int32))], ["key", "ord", "lo"])
+
+        return run
+
+    kind = "key long, ord long, lo int"
+    rows = rows.select("ord", "text")
     # Anchors that are frequent in a bounded sample and occur in two documents of it are known to be shared: at most
-    # the sample's anchors / HEAVY. They take no part in the shuffle, so no key in it is held by a large share of rows.
+    # the sample's anchors / HEAVY. Their rows have a key of their own and a negative place, so that no key is held by a
+    # large share of the rows.
     share = min(1.0, HEAVY_SAMPLE / max(rows.count(), 1))
-    sample = rows.where(row_hash("ord") < F.lit(int(share * (1 << 60)))).mapInArrow(anchors, kind)
-    heavy = stored(sample.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("a"), F.max("ord").alias("b")).where((F.col("n") >= HEAVY) & (F.col("a") < F.col("b"))).select("key", F.lit(True).alias("heavy")))
-    marked = flat.join(checked_broadcast(heavy, 1_000_000), "key", "left")
-    dealt = marked.where("heavy IS NULL").select(*flat.columns).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("key")
-    places = dealt.join(shared.hint("shuffle_hash"), "key", "left_semi").select("ord", "tkey", "lo").union(marked.where("heavy").select("ord", "tkey", "lo"))
-    return stored(places.groupBy("ord", "tkey").agg(F.collect_set("lo").alias("places")))
+    sample = rows.where(row_hash("ord") < F.lit(int(share * (1 << 60)))).mapInArrow(anchors(np.zeros(0, np.uint64)), kind)
+    heavy = sample.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("a"), F.max("ord").alias("b")).where((F.col("n") >= HEAVY) & (F.col("a") < F.col("b"))).select("key")
+    frequent = np.sort(np.array([r["key"] for r in heavy.collect()], np.int64).view(np.uint64))
+    # One exchange serves both the counting and the join; it must have the same columns for both, so `lo` is used in both.
+    dealt = rows.mapInArrow(anchors(frequent), kind).repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.max("lo").alias("most")).where((F.col("a") < F.col("b")) & (F.col("most") < 2**31 - 2)).select("key", F.lit(True).alias("shared"))
+    places = dealt.join(shared.hint("shuffle_hash"), "key", "left").where("shared OR lo < 0").select("ord", F.when(F.col("lo") < 0, -1 - F.col("lo")).otherwise(F.col("lo")).alias("lo"))
+    return stored(places.groupBy("ord").agg(F.collect_set("lo").alias("places")))
 
 
 def _segments_at(rows: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
@@ -112,20 +116,20 @@ def _segments_at(rows: DataFrame, shared: DataFrame, length: int, gram: int) ->
         for batch in batches:
             ords, tkeys = (batch.column(i).to_numpy() for i in (0, 1))
             lists = batch.column(3)
-            flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+            flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             for first, data, offsets in shingles.text_slices(batch.column(2)):
                 doc, lo, size, key, whole = segments(data, offsets, length, gram)
                 count = np.diff(starts[first : first + len(offsets)])
                 wanted = flat[starts[first] : starts[first + len(offsets) - 1]].astype(np.int64) + np.repeat(offsets[:-1], count)
                 on = np.zeros(len(data) + 1, bool)
-                on[wanted] = True
+                on[wanted[wanted < len(data)]] = True  # rows with one id share their places
                 pick = on[lo + offsets[doc]]
                 doc, lo, size, key, whole = (x[pick] for x in (doc, lo, size, key, whole))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ords[first + doc]), pa.array(tkeys[first + doc]), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), _signed(key), _signed(whole)], ["ord", "tkey", "lo", "size", "key", "whole"]
                 )
 
-    return stored(rows.join(shared, ["ord", "tkey"]).mapInArrow(run, "ord long, tkey long, lo int, size int, key long, whole long"))
+    return stored(rows.join(shared, "ord").mapInArrow(run, "ord long, tkey long, lo int, size int, key long, whole long"))
 
 
 def covered_windows(parts: list[bytes], owners: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
@@ -249,15 +253,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges in order, those that overlap or touch made one."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > reach[:-1]
+    return a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)] if len(a) else reach
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -274,14 +276,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     @F.arrow_udf(kind)
     def cleaned(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lists in parts:
+            flat = lists.flatten()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+            a, b = (flat.field(i).to_numpy() for i in (0, 1))
             rows = []
-            for t, s in zip(texts, lists, strict=True):
-                data, out, at, gone = t.as_py().encode(), [], 0, merged(s.as_py())
-                for a, b in gone:
-                    out.append(data[at:a])
-                    at = b
+            for k, t in enumerate(texts):
+                data, out, at = t.as_py().encode(), [], 0
+                some = slice(ends[k], ends[k + 1])
+                first, last = merged(a[some], b[some])
+                for x, y in zip(first.tolist(), last.tolist(), strict=True):
+                    out.append(data[at:x])
+                    at = y
                 out.append(data[at:])
-                rows.append((len(data), sum(b - a for a, b in gone), len(gone), b"".join(out)))
+                rows.append((len(data), int((last - first).sum()), len(first), b"".join(out)))
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(arrow)], [n for n, _ in arrow])
 
     rows = numbered(docs, id_col, text_col).join(spans, ["ord", "tkey"], "left")
