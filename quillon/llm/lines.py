@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import setsketch, shingles
-from quillon.llm.common import WORD, freed, ship_package, stored, text_or_empty
-from quillon.llm.near import Settings, linked
+from quillon.llm.common import WORD, checked_broadcast, freed, ship_package, stored, text_or_empty
+from quillon.llm.near import Settings, _lists, linked
 from quillon.llm.shingles import U64, mixed
 
 #: Code points of a shingle; registers and rows of a band: a pair of similarity 0.8 shares no band with probability 0.004,
@@ -67,29 +67,38 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship_package(docs.sparkSession)
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("at", "line")).where(F.col("line").rlike(WORD))
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("at"))
-    nodes = stored(split.groupBy(F.col("line").alias("text")).agg(F.min(place).alias("first")).withColumn("cls", F.monotonically_increasing_id()))
-    freed(docs.sparkSession)
+    nodes = split.groupBy(F.col("line").alias("text")).agg(F.min(place).alias("first")).withColumn("cls", F.monotonically_increasing_id())
+    # Hashes stand for the lines on the way back; two of 64 bits each.
+    of = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(c, F.lit(1)).alias("h2")]
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    place_kind = f"first struct<none:boolean,id:{id_kind},at:int>"
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in shingles.text_slices(batch.column(1)):
+            for at, data, offsets in shingles.text_slices(batch.column(0)):
                 h, first = settings.shingle(data, offsets)
                 n = np.diff(first)
                 keys = setsketch.bands(settings.sketch(h, first), settings.rows)
-                wide = keys.shape[1]
-                cls = batch.column(0).to_numpy()[at : at + len(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(cls, wide)), pa.array(np.repeat(n, wide))], ["key", "cls", "n"])
+                ends = np.arange(len(n) + 1) * keys.shape[1]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(n)) for c in batch.columns[1:]), pa.array(n), _lists(keys.reshape(-1), ends)], ["first", "cls", "h1", "h2", "n", "keys"])
+
+    # One row per distinct line, without its text.
+    signatures = stored(nodes.select("text", "first", "cls", *of("text")).mapInArrow(signed, f"{place_kind}, cls long, h1 long, h2 long, n long, keys array<bigint>"))
+    freed(docs.sparkSession)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        places = stored(signatures.join(wanted, "cls", "left_semi").select("cls", F.col("first.id").alias("_id"), F.col("first.at").alias("_at"), "h1", "h2"))
+        texts = split.select("id", "at", F.col("line").alias("text"))
+        found = texts.join(checked_broadcast(places, 200_000), texts["id"].eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at")) & (F.xxhash64("text") == F.col("h1")) & (F.xxhash64("text", F.lit(1)) == F.col("h2")))
+        return found.select("cls", "text")
 
-    members = stored(nodes.select("cls", "text").mapInArrow(banded, "key long, cls long, n long"))
-    roots = linked(members, lambda wanted: nodes.join(wanted, "cls", "left_semi").select("cls", "text"), settings)
+    roots = linked(signatures.select("cls", F.explode("keys").alias("key")), signatures.select("cls", "n"), texts_of, settings)
     freed(docs.sparkSession)
-    grouped = nodes.select("cls", "first").join(roots.select(F.col("node").alias("cls"), "root"), "cls")
+    grouped = signatures.select("cls", "first", "h1", "h2").join(roots.select(F.col("node").alias("cls"), "root"), "cls")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    linked_nodes = stored(grouped.join(least, "root").select("cls", "least"))
-    # Hashes stand for the lines on the way back; two of 64 bits each.
-    key = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
-    known = nodes.select("cls", "first", *key).join(linked_nodes, "cls", "left").select("h1", "h2", F.coalesce("least", "first").alias("least"))
-    lines = split.select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    moved = stored(grouped.join(least, "root").select("cls", "least"))
+    known = signatures.select("cls", "first", "h1", "h2").join(moved, "cls", "left").select("h1", "h2", F.coalesce("least", "first").alias("least"))
+    lines = split.select("id", "at", *of("line"))
     return lines.join(known, ["h1", "h2"]).select(
         F.col("id").alias(id_col),
         F.col("at").cast("long").alias("line_no"),

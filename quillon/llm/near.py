@@ -191,9 +191,10 @@ def _pairs_across(members: DataFrame, settings: Settings) -> DataFrame:
     return placed.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
-def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings, regs: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the classes with links. members: key, cls, n, a row for each band of a class; texts_of: from
-    classes (cls) to one text of each (cls, text); regs: cls, n, regs, if estimates are to go before verification.
+def linked(members: DataFrame, sizes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings, regs: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the classes with links. members: cls, key, a row for each band of a class; sizes: cls, n;
+    texts_of: from classes (cls) to one text of each (cls, text); regs: cls, n, regs, if estimates are to go before
+    verification.
 
     Each bucket of a band links its classes to its smallest class, first; after union-find, buckets that still hold
     several components are compared across components by their registers, so that no link is left out because of a
@@ -201,20 +202,22 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], setti
     """
     likely = (lambda pairs: _likely(pairs, regs, settings)) if regs is not None else (lambda pairs: pairs)
     columns = ("a", "b", "na", "nb")
-    buckets = stored(members.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("count")).where("count > 1"))
-    shared = stored(members.join(buckets, "key").select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), "count"))
+    buckets = stored(members.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("count")).where("count > 1"))
     freed(members.sparkSession)
-    stars = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).where(_sizes_fit(settings)).distinct()
+    shared = stored(members.join(checked_broadcast(buckets, 500_000), "key").select("key", "cls", "hub", "count"))
+    freed(members.sparkSession)
+    stars = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    stars = stars.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").where(_sizes_fit(settings)).select(*columns)
     tried = stored(likely(stars))
     links = stored(_verified(tried, texts_of, settings))
     roots = connected(links)
 
     # Buckets with several components: every pair across them that wasn't tried yet.
     labelled = shared.where("count > 2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    split = parts.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     split = stored(split.select("key", F.col("most.root").alias("major"), (F.col("all") - F.col("most.rows")).alias("few")))
-    open_ = stored(labelled.join(split, "key").withColumn("minor", F.col("root") != F.col("major")))
+    open_ = stored(labelled.join(split, "key").join(sizes, "cls").withColumn("minor", F.col("root") != F.col("major")))
     if not open_.limit(1).count():
         return roots
     known = regs if regs is not None else _registers_of(texts_of(stored(open_.select("cls").distinct())), settings)
@@ -253,7 +256,7 @@ def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
         texts = texts.join(checked_broadcast(known, 200_000), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", "text")
         return texts.dropDuplicates(["cls"]) if repeats else texts
 
-    roots = linked(classes.select("cls", "n", F.explode("bands").alias("key")), texts_of, settings, classes.select("cls", "n", "regs"))
+    roots = linked(classes.select("cls", F.explode("bands").alias("key")), classes.select("cls", "n"), texts_of, settings, classes.select("cls", "n", "regs"))
     placed = stored(keys.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     firsts = placed.groupBy("root").agg(F.min("first").alias("least"))
     known = placed.join(firsts, "root").select("n", "k1", "k2", "least")
