@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from quillon.plans import retrieval
+
+MODULES = [retrieval]
+
+
+def flagship(spark, sf_dir: str):
+    """Federated search: union, filters, entity resolution, rank fusion and ranking."""
+    return retrieval.search(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.O.items()}
