@@ -22,8 +22,10 @@ from quillon.llm.components import connected
 BLOCK = 256
 #: Rows in a shard of such comparisons, and pairs that are compared at a time.
 SHARD_ROWS, STEP = 20_000, 50_000
+#: Rounds of spanning pairs before all that are left.
+TURNS = 2
 #: Standard errors below the threshold at which a likelihood estimate still goes to verification.
-ERRORS = 5.0
+ERRORS = 4.0
 
 
 @dataclass(frozen=True)
@@ -139,8 +141,32 @@ def _sizes_fit(settings: Settings):
     return settings.share_den * F.least("na", "nb") >= settings.share_num * F.greatest("na", "nb")
 
 
-def _pairs_across(members: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b, na, nb) from different components within a bucket that are likely to be linked by their registers.
+def spanning(found: list[tuple[np.ndarray, ...]], turn: int) -> list[tuple[np.ndarray, ...]]:
+    """Of candidate pairs (place, a, b, root of a, root of b, na, nb, estimate), those that join components which the
+    likelier ones before them in their place don't: fewer than a place has rows. `turn` above 0 varies the order."""
+    place, a, b, ra, rb, na, nb, likely = (np.concatenate(x) for x in zip(*found, strict=True))
+    noise = (shingles.mixed(a.view(np.uint64) * shingles.ODD + b.view(np.uint64) + np.uint64(turn)) >> np.uint64(40)).astype(float) * 2.0**-24
+    order = np.lexsort((-(likely + 0.1 * (turn > 0) * noise), place))
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    for i, p, x, y in zip(order.tolist(), place[order].tolist(), ra[order].tolist(), rb[order].tolist(), strict=True):
+        x, y = find((p, x)), find((p, y))
+        if x != y:
+            up[x] = y
+            kept.append(i)
+    return [(a[kept], b[kept], na[kept], nb[kept])]
+
+
+def _pairs_across(members: DataFrame, settings: Settings, turn: int | None) -> DataFrame:
+    """Pairs (a, b, na, nb) from different components within a bucket that are likely to be linked by their registers;
+    with a `turn`, only those that `spanning` keeps of them.
 
     members: key, cls, n, root, hub, regs, count, minor, few: the bucket's first class and size, whether the row is
     outside its largest component, and how many rows are. Each pair has a side outside the largest component. In large
@@ -180,10 +206,13 @@ def _pairs_across(members: DataFrame, settings: Settings) -> DataFrame:
             close = (regs[i] == regs[j]).mean(axis=1) >= least - 0.1
             i, j = i[close], j[close]
             if len(i):
-                good = estimate(regs[i], regs[j], n[i], n[j]) >= least
-                i, j = i[good], j[good]
+                likely = estimate(regs[i], regs[j], n[i], n[j])
+                good = likely >= least
+                i, j, likely = i[good], j[good], likely[good]
                 low, high = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
-                found.append((cls[low], cls[high], n[low], n[high]))
+                found.append((cls[low], cls[high], n[low], n[high]) if turn is None else (place[i], cls[low], cls[high], root[low], root[high], n[low], n[high], likely))
+        if found and turn is not None:
+            found = spanning(found, turn)
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
         return pa.table(dict(zip(("a", "b", "na", "nb"), columns, strict=True)))
 
@@ -198,7 +227,7 @@ def linked(members: DataFrame, sizes: DataFrame, texts_of: Callable[[DataFrame],
 
     Each bucket of a band links its classes to its smallest class, first; after union-find, buckets that still hold
     several components are compared across components by their registers, so that no link is left out because of a
-    bucket's size, while a group of near copies, however large, costs one pair per member and band.
+    bucket's size, while a group of near copies, however large, costs a few pairs per member and band.
     """
     likely = (lambda pairs: _likely(pairs, regs, settings)) if regs is not None else (lambda pairs: pairs)
     columns = ("a", "b", "na", "nb")
@@ -212,20 +241,33 @@ def linked(members: DataFrame, sizes: DataFrame, texts_of: Callable[[DataFrame],
     links = stored(_verified(tried, texts_of, settings))
     roots = connected(links)
 
-    # Buckets with several components: every pair across them that wasn't tried yet.
+    # Buckets with several components: first, in turns, pairs that would span each bucket's components, as most of them
+    # grow together; then every likely pair across what is still apart.
+    for turn in (*range(TURNS), None):
+        open_ = _open_members(shared, roots, sizes)
+        if not open_.limit(1).count():
+            break
+        if regs is None:
+            regs = _registers_of(texts_of(stored(open_.select("cls").distinct())), settings)
+        pairs = _pairs_across(open_.join(regs.select("cls", "regs"), "cls"), settings, turn)
+        across = stored(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*columns))
+        if not across.limit(1).count():
+            continue
+        more = stored(_verified(across, texts_of, settings))
+        if more.limit(1).count():
+            links = links.union(more)
+            roots = connected(links)
+        tried = tried.select(*columns).union(across)
+    return roots
+
+
+def _open_members(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of buckets with several components: key, cls, hub, count, root, few, n, minor."""
     labelled = shared.where("count > 2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parts = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"))
     split = parts.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     split = stored(split.select("key", F.col("most.root").alias("major"), (F.col("all") - F.col("most.rows")).alias("few")))
-    open_ = stored(labelled.join(split, "key").join(sizes, "cls").withColumn("minor", F.col("root") != F.col("major")))
-    if not open_.limit(1).count():
-        return roots
-    known = regs if regs is not None else _registers_of(texts_of(stored(open_.select("cls").distinct())), settings)
-    across = _pairs_across(open_.join(known.select("cls", "regs"), "cls"), settings).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*columns)
-    across = stored(across)
-    if across.limit(1).count():
-        roots = connected(links.union(_verified(across, texts_of, settings)))
-    return roots
+    return stored(labelled.join(split, "key").join(sizes, "cls").withColumn("minor", F.col("root") != F.col("major")))
 
 
 def _registers_of(texts: DataFrame, settings: Settings) -> DataFrame:

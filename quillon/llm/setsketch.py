@@ -13,8 +13,9 @@ import numpy as np
 
 from quillon.llm.shingles import U64, mixed
 
-#: Registers, rows of a band: 28 bands of 6. A pair of similarity 0.85 shares no band with probability 2e-6.
-REGISTERS, ROWS = 168, 6
+#: Registers, rows of a band, and bands: 28 of 6, from the first 168 registers; estimates use all. A pair of similarity
+#: 0.85 shares no band with probability 2e-6.
+REGISTERS, ROWS, BANDS = 400, 6, 28
 #: Base of the spacing, rate of the values, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 
@@ -52,7 +53,7 @@ def sketches(elements: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.
 def bands(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A 64-bit hash of each band of `rows` register values and the band's number."""
     sets, m = registers.shape
-    part = registers[:, : m - m % rows].astype(np.uint64).reshape(sets, -1, rows)
+    part = registers[:, : min(m - m % rows, rows * BANDS)].astype(np.uint64).reshape(sets, -1, rows)
     h = np.tile(mixed(np.arange(1, part.shape[1] + 1, dtype=np.uint64)), (sets, 1))
     for k in range(rows):
         h = mixed(h * U64(0x9E3779B97F4A7C15) + part[:, :, k] + U64(k + 1))
