@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is hashed alone.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 300_000
 
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)

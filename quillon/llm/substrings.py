@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import shingles
@@ -24,7 +25,7 @@ from quillon.llm.suffixes import RAW, permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 24
 #: Bytes of segments in a shard; segments of one anchor beyond which they are compared by window hashes instead.
-SHARD_BYTES, HOT = 1_000_000, 2_000
+SHARD_BYTES, HOT = 400_000, 2_000
 #: Documents, about, in the sample that finds frequent anchors, and how often an anchor must occur there.
 HEAVY_SAMPLE, HEAVY = 4_000, 40
 #: In place of a null id: such a document comes after all others.
@@ -102,10 +103,11 @@ def _shared_places(rows: DataFrame, length: int, gram: int) -> DataFrame:
     sample = rows.where(row_hash("ord") < F.lit(int(share * (1 << 60)))).mapInArrow(anchors(np.zeros(0, np.uint64)), kind)
     heavy = sample.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("a"), F.max("ord").alias("b")).where((F.col("n") >= HEAVY) & (F.col("a") < F.col("b"))).select("key")
     frequent = np.sort(np.array([r["key"] for r in heavy.collect()], np.int64).view(np.uint64))
-    # One exchange serves both the counting and the join; it must have the same columns for both, so `lo` is used in both.
+    # One exchange, and windows over it: an anchor's rows are few, as the frequent ones have keys of their own.
     dealt = rows.mapInArrow(anchors(frequent), kind).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.max("lo").alias("most")).where((F.col("a") < F.col("b")) & (F.col("most") < 2**31 - 2)).select("key", F.lit(True).alias("shared"))
-    places = dealt.join(shared.hint("shuffle_hash"), "key", "left").where("shared OR lo < 0").select("ord", F.when(F.col("lo") < 0, -1 - F.col("lo")).otherwise(F.col("lo")).alias("lo"))
+    own = W.partitionBy("key")
+    marked = dealt.withColumns({"a": F.min("ord").over(own), "b": F.max("ord").over(own)})
+    places = marked.where("a < b OR lo < 0").select("ord", F.when(F.col("lo") < 0, -1 - F.col("lo")).otherwise(F.col("lo")).alias("lo"))
     return stored(places.groupBy("ord").agg(F.collect_set("lo").alias("places")))
 
 
