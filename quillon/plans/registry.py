@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import retrieval
+from quillon.plans import retrieval, sessions
 
-MODULES = [retrieval]
+MODULES = [retrieval, sessions]
 
 
 def flagship(spark, sf_dir: str):
