@@ -47,7 +47,17 @@ def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     spark = spark or df.sparkSession
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._quillon_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checked_broadcast(df: DataFrame, most: int = 10_000) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import setsketch, shingles
-from quillon.llm.common import checked_broadcast, freed, ship_package, stored, text_or_empty
+from quillon.llm.common import checked_broadcast, forgotten, freed, ship_package, stored, text_or_empty
 from quillon.llm.components import connected
 
 #: A bucket of more classes than this is compared in blocks of about this many.
@@ -119,22 +119,33 @@ def _likely(pairs: DataFrame, regs: DataFrame, settings: Settings) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").where(likely("ra", "rb", "na", "nb")).select("a", "b", "na", "nb")
 
 
+def _sets(texts: pa.Array, settings: Settings) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, data, offsets in shingles.text_slices(texts):
+        h, first = settings.shingle(data, offsets)
+        out += np.split(h, first[1:-1])
+    return out
+
+
 def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings) -> DataFrame:
-    """Of pairs (a, b, na, nb), those linked by their full sets. Only the texts of classes in `pairs` are read into
-    sets again."""
+    """Of pairs (a, b, na, nb), those linked by their full sets, made from the texts of both where a pair lies (texts
+    travel lighter than sets of hashes). Only the texts of classes in `pairs` are read again."""
     wanted = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    texts = stored(texts_of(wanted).select("cls", "text"))
+    num, den = settings.share_num, settings.share_den
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, data, offsets in shingles.text_slices(batch.column(1)):
-                h, first = settings.shingle(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(first) - 1), _lists(h, first)], ["cls", "set"])
+    @F.arrow_udf("boolean")
+    def are_linked(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ta, tb in parts:
+            out = []
+            for at in range(0, len(ta), 500):
+                for x, y in zip(_sets(ta.slice(at, 500), settings), _sets(tb.slice(at, 500), settings), strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append(den * common >= num * (len(x) + len(y) - common))
+            yield pa.array(out, pa.bool_())
 
-    sets = stored(texts_of(wanted).select("cls", "text").mapInArrow(run, "cls long, set array<bigint>"))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    found = both.select("a", "b", "na", "nb", common.cast("long").alias("common"))
-    return found.where(settings.share_den * F.col("common") >= settings.share_num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    return both.where(are_linked("ta", "tb")).select("a", "b")
 
 
 def _sizes_fit(settings: Settings):
@@ -234,6 +245,7 @@ def linked(members: DataFrame, sizes: DataFrame, texts_of: Callable[[DataFrame],
     buckets = stored(members.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("count")).where("count > 1"))
     freed(members.sparkSession)
     shared = stored(members.join(checked_broadcast(buckets, 500_000), "key").select("key", "cls", "hub", "count"))
+    forgotten(buckets)
     freed(members.sparkSession)
     stars = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     stars = stars.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").where(_sizes_fit(settings)).select(*columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import shingles
-from quillon.llm.common import freed, ship_package, stored, text_or_empty
+from quillon.llm.common import forgotten, freed, ship_package, stored, text_or_empty
 from quillon.llm.mixing import row_hash
 from quillon.llm.shingles import U64, mixed
 from quillon.llm.suffixes import RAW, permuted_common_prefixes, suffix_array
@@ -241,16 +241,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _shared_places(rows, length, gram)
     freed(spark)
     found = _segments_at(rows, shared, length, gram)
+    forgotten(shared)
     freed(spark)
     distinct = stored(found.groupBy("key", "whole").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.min(F.struct("ord", "tkey", "lo", "size")).alias("rep")))
     edges = _edges(rows, distinct, length)
     freed(spark)
-    whole = distinct.where("first < last").select("key", "whole", "first")
-    covered = found.join(whole, ["key", "whole"]).where("ord > first").select("ord", "tkey", F.col("lo").alias("a"), (F.col("lo") + F.col("size")).alias("b"))
-    # Only the first document of a segment has its windows judged one by one.
-    firsts = distinct.select("key", "whole", F.col("first").alias("ord")).join(edges, ["key", "whole"])
-    partly = found.join(firsts, ["key", "whole", "ord"]).select("ord", "tkey", "lo", F.explode("spans").alias("s")).select("ord", "tkey", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"))
-    spans = stored(covered.union(partly).groupBy("ord", "tkey").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    # One join of the segments with what is known of them. Only the first document of a segment has its windows judged
+    # one by one; in later ones all are covered.
+    known = distinct.select("key", "whole", "first", "last").join(edges, ["key", "whole"], "left").where("first < last OR spans IS NOT NULL")
+    judged = found.join(known.select("key", "whole", "first", "spans"), ["key", "whole"])
+    all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
+    own = F.when(F.col("ord") > F.col("first"), all_of_it).otherwise(F.col("spans"))
+    covered = judged.select("ord", "tkey", "lo", F.explode(own).alias("s")).select("ord", "tkey", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"))
+    spans = stored(covered.groupBy("ord", "tkey").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    forgotten(found, distinct, edges)
     freed(spark)
     return spans
 
