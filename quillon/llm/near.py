@@ -25,7 +25,7 @@ SHARD_ROWS, STEP = 20_000, 50_000
 #: Rounds of spanning pairs before all that are left.
 TURNS = 2
 #: Standard errors below the threshold at which a likelihood estimate still goes to verification.
-ERRORS = 4.0
+ERRORS = 3.5
 
 
 @dataclass(frozen=True)
@@ -202,6 +202,8 @@ def _pairs_across(members: DataFrame, settings: Settings, turn: int | None) -> D
         begin = np.searchsorted(place, place, "left")
         rights = np.searchsorted(np.cumsum(side), np.cumsum(side)[begin] - side[begin], "right")  # first left row after
         found: list[tuple[np.ndarray, ...]] = []
+        wide = settings.rows * min(setsketch.BANDS, regs.shape[1] // settings.rows)
+        band = (setsketch.bands(regs, settings.rows).view(np.int64) == table.column("key").to_numpy()[order][:, None]).argmax(axis=1)
         lefts = np.flatnonzero(side)
         ends = np.minimum(rights, len(side))
         width = (ends - begin)[lefts]
@@ -219,6 +221,11 @@ def _pairs_across(members: DataFrame, settings: Settings, turn: int | None) -> D
             if len(i):
                 likely = estimate(regs[i], regs[j], n[i], n[j])
                 good = likely >= least
+                if turn is None:
+                    # A pair that meets in several buckets leaves the one of its first common band only. (Where that one
+                    # has no other members, or one of them as its first, the pair was tried as part of its star.)
+                    same = (regs[i][:, :wide] == regs[j][:, :wide]).reshape(len(i), -1, settings.rows).all(axis=2)
+                    good &= same.argmax(axis=1) == band[i]
                 i, j, likely = i[good], j[good], likely[good]
                 low, high = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
                 found.append((cls[low], cls[high], n[low], n[high]) if turn is None else (place[i], cls[low], cls[high], root[low], root[high], n[low], n[high], likely))
