@@ -27,7 +27,7 @@ def bracket_citations(x: Column) -> Column:
     """What stands in square brackets and isn't a link: two characters or more, not a number, no note to oneself; each
     once, in order."""
     found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\[([^\[\]]+)\](?!\()"), F.lit(1))
-    found = F.transform(found, F.trim)
+    found = F.transform(found, lambda x: F.trim(x))
     shape = lambda c: c.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:/()-]+$")
     good = lambda c: shape(c) & ~c.rlike(r"^\d+$") & ~F.lower(c).isin("todo", "note", "fixme")
     return F.array_distinct(F.filter(found, good))

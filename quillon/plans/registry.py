@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import retrieval, sessions
+from quillon.plans import retrieval, sessions, texts
 
-MODULES = [retrieval, sessions]
+MODULES = [retrieval, sessions, texts]
 
 
 def flagship(spark, sf_dir: str):
