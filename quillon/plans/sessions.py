@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text
 from quillon.operators import context, eventlog
 from quillon.sources.tables import LOG, derived, table
+from quillon.streaming import runs
 
 Q, O = {}, {}
 
@@ -348,3 +349,18 @@ def fragments(spark, sf):
     rows = derived(spark, sf, LOG, "events")
     parts = rows.groupBy("session_id", (F.col("event_id") % 3).alias("idx")).agg(F.array_sort(F.collect_list(F.struct("seq_no", "event_type"))).alias("x"))
     return parts.select("session_id", "idx", F.array_join(F.transform("x", lambda s: s["event_type"]), "").alias("arguments"), F.col("x")[0]["event_type"].alias("name"))
+
+
+@query(
+    "x05_x09_replayed_text",
+    f"WITH log AS ({LOG}), f AS (SELECT session_id, seq_no // 2 AS seq, min_by(event_type, seq_no) AS c FROM log GROUP BY 1, 2) SELECT session_id::VARCHAR AS run_id, string_agg(c, '' ORDER BY seq) AS text FROM f GROUP BY 1",
+)
+def replayed(spark, sf):
+    rows = derived(spark, sf, LOG, "events").selectExpr("CAST(session_id AS STRING) AS run_id", "seq_no AS arrival", "seq_no div 2 AS seq", "event_type AS content")
+    return runs.replayed(rows)
+
+
+@query("x03_stored_events", "SELECT event_type AS event, date_trunc('minute', ts)::VARCHAR AS start, count(*) AS n FROM events WHERE event_type NOT IN ('delta', 'reasoning_delta') GROUP BY 1, 2")
+def stored_events(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("event"), F.col("event_id").alias("seq"), F.lit("").alias("content"), F.col("ts").alias("at"))
+    return runs.windowed_counts(runs.to_store(runs.enveloped(e))).select("event", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
