@@ -140,7 +140,8 @@ def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sett
             out = []
             for at in range(0, len(ta), 500):
                 for x, y in zip(_sets(ta.slice(at, 500), settings), _sets(tb.slice(at, 500), settings), strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    both = np.sort(np.concatenate([x, y]))
+                    common = np.count_nonzero(both[1:] == both[:-1])
                     out.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.array(out, pa.bool_())
 
@@ -254,6 +255,10 @@ def linked(members: DataFrame, sizes: DataFrame, texts_of: Callable[[DataFrame],
     shared = stored(members.join(checked_broadcast(buckets, 500_000), "key").select("key", "cls", "hub", "count"))
     forgotten(buckets)
     freed(members.sparkSession)
+    if regs is None:
+        # All candidates go to verification: their texts are gathered in one scan.
+        pool = stored(texts_of(stored(shared.select("cls").distinct())).select("cls", "text"))
+        texts_of = lambda wanted: pool.join(wanted, "cls", "left_semi")
     stars = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     stars = stars.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").where(_sizes_fit(settings)).select(*columns)
     tried = stored(likely(stars))

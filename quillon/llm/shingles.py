@@ -109,27 +109,33 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tupl
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
 
 
+#: Bits of a character shingle's hash that are kept, the upper ones: a slice's texts are numbered in the others.
+KEPT_BITS = 44
+
+
 def character_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Like `word_shingles`, over `width` consecutive code points; a shorter text is one shingle."""
+    """Like `word_shingles`, over `width` consecutive code points; a shorter text is one shingle. All texts of a slice are
+    sorted at once, as numbers made of text and hash: fewer than 2**20 texts of a slice hold a byte."""
     points = np.frombuffer(bytes(data).decode("utf-8").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     first = lead[offsets]
     n = np.diff(first)
+    filled = np.flatnonzero(n)
     total = len(points)
     values = points.astype(np.uint64) * ODD
+    full = np.zeros(max(total - width + 1, 0), np.uint64)
     if total >= width:
-        full = np.zeros(total - width + 1, np.uint64)
         for k in range(width):
             full += values[k : total - width + 1 + k] * PLACE[k]
         full = mixed(full)
-    out = []
+    count = np.maximum(n[filled] - width + 1, 0)
+    owner = np.repeat(np.arange(len(filled)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[filled][owner]
+    short = np.flatnonzero(count == 0)
+    alone = np.array([(values[first[i] : first[i + 1]] * PLACE[: n[i]]).sum(dtype=np.uint64) + U64(n[i]) for i in filled[short]], np.uint64)
+    owner, hashes = np.concatenate([owner, short]).astype(np.uint64), np.concatenate([full[at], mixed(alone)])
+    packed = np.sort((owner << U64(KEPT_BITS)) | (hashes >> U64(64 - KEPT_BITS)))
+    packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])] if len(packed) else packed
     counts = np.zeros(len(n), np.int64)
-    for i in np.flatnonzero(n):
-        a, b = first[i], first[i + 1]
-        if b - a >= width:
-            s = np.unique(full[a : b - width + 1])
-        else:
-            s = mixed(((values[a:b] * PLACE[: b - a]).sum(dtype=np.uint64) + U64(b - a))[None])
-        counts[i] = len(s)
-        out.append(s)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
+    counts[filled] = np.bincount((packed >> U64(KEPT_BITS)).astype(np.int64), minlength=len(filled))
+    return packed << U64(64 - KEPT_BITS), np.concatenate([[0], np.cumsum(counts)])
