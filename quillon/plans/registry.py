@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.plans import retrieval, sessions, texts
+from quillon.plans import retrieval, sessions, texts, whole
 
-MODULES = [retrieval, sessions, texts]
+MODULES = [retrieval, sessions, texts, whole]
 
 
 def flagship(spark, sf_dir: str):
-    """Federated search: union, filters, entity resolution, rank fusion and ranking."""
-    return retrieval.search(spark, sf_dir)
+    """Federated search over whole texts: union, filters, entity resolution, rank fusion and ranking."""
+    return whole.Q["t01_t02_u01_federated_search_whole"](spark, sf_dir)
 
 
 def queries() -> dict:

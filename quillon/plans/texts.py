@@ -182,8 +182,8 @@ def components(spark, sf):
 
 
 @query("f12_safe_names", f"WITH p AS ({PAPERS}) SELECT id, substr(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9._-]', '_', 'g'), 1, 160) AS name FROM p")
-def names(spark, sf):
-    return derived(spark, sf, PAPERS, "documents").select("id", text.safe_name(F.col("title")).alias("name"))
+def names(spark, sf, records=PAPERS):
+    return derived(spark, sf, records, "documents").select("id", text.safe_name(F.col("title")).alias("name"))
 
 
 @query("f36_digests", "SELECT doc_id, substr(sha1(text), 1, 12) AS cache_key, sha256(text) AS digest FROM documents")
@@ -201,8 +201,8 @@ def head_tail(spark, sf):
     f"""WITH p AS ({PAPERS}) SELECT id, '@' || CASE WHEN source <> '' THEN 'article' ELSE 'misc' END || '{{' || id || ',' || chr(10) || CASE WHEN title <> '' THEN '  title = {{' || title || '}},' || chr(10) ELSE '' END
 || '  author = {{A. One and B. Two}},' || chr(10) || CASE WHEN year IS NOT NULL THEN '  year = {{' || year || '}},' || chr(10) ELSE '' END || '  journal = {{' || source || '}},' || chr(10) || '}}' AS bib FROM p""",
 )
-def bib(spark, sf):
-    p = derived(spark, sf, PAPERS, "documents")
+def bib(spark, sf, records=PAPERS):
+    p = derived(spark, sf, records, "documents")
     return p.select("id", text.bibtex(F.col("id"), F.col("title"), F.array(F.lit("A. One"), F.lit("B. Two")), F.col("year"), F.col("source"), F.lit("")).alias("bib"))
 
 
@@ -210,8 +210,8 @@ def bib(spark, sf):
     "f13_references",
     f"WITH p AS ({PAPERS}) SELECT id, 'A, B, C, et al. ' || title || '[J]. ' || source || ', ' || coalesce(year || '.', '') || CASE WHEN coalesce(doi, '') <> '' THEN ' DOI:' || doi || '.' ELSE '' END AS ref FROM p",
 )
-def references(spark, sf):
-    p = derived(spark, sf, PAPERS, "documents")
+def references(spark, sf, records=PAPERS):
+    p = derived(spark, sf, records, "documents")
     return p.select("id", text.gbt_reference(F.array(*[F.lit(x) for x in "ABCD"]), F.col("title"), F.col("source"), F.col("year"), F.coalesce("doi", F.lit(""))).alias("ref"))
 
 

@@ -1,0 +1,32 @@
+"""The registered queries that read only a part of their tables, again over all of them: NAME_whole."""
+
+from __future__ import annotations
+
+import functools
+
+from quillon.plans import retrieval, texts
+from quillon.sources.tables import PAPERS, WHOLE_PAPERS
+
+Q, O = {}, {}
+
+#: Queries of scholarly records whose rows depend on title or abstract.
+RECORDS = (
+    "f01_doi_f02_preprint_f03_title_f04_key",
+    "a01_a03_u02_merge_duplicates",
+    "a02_w01_rank_fusion",
+    "p03_p04_p06_filters",
+    "p07_concept_hits",
+    "t01_t02_u01_federated_search",
+    "t10_relaxation",
+    "a05_duplicate_violations",
+    "j02_j05_citation_resolution",
+    "a10_multi_source_rate",
+    "f12_safe_names",
+    "f13_references",
+    "f14_k06_bibtex",
+)
+for _module in (retrieval, texts):
+    for _name in RECORDS:
+        if _name in _module.Q:
+            Q[f"{_name}_whole"] = functools.partial(_module.Q[_name], records=WHOLE_PAPERS)
+            O[f"{_name}_whole"] = _module.O[_name].replace(PAPERS, WHOLE_PAPERS)

@@ -26,6 +26,11 @@ SELECT doc_id AS ord,
 FROM documents
 """
 
+#: The same records over whole texts: the first line is the title, all after it the abstract.
+WHOLE_PAPERS = PAPERS.replace("substr(text, 1, 40) AS title", "split_part(text, chr(10), 1) AS title").replace(
+    "substr(text, 41, 300) AS abstract", "substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract"
+)
+
 #: Judged lists from `embeddings`: a case for every 20 vectors.
 JUDGED = """
 SELECT CAST(floor(vec_id / 20) AS BIGINT) AS case_id, CAST(vec_id % 20 + 1 AS INT) AS rn,
