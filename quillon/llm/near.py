@@ -208,11 +208,10 @@ def _pairs_across(members: DataFrame, settings: Settings, turn: int | None) -> D
         lefts = np.flatnonzero(side)
         ends = np.minimum(rights, len(side))
         width = (ends - begin)[lefts]
-        cuts = np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()) + STEP, STEP), "left")
-        for a, b in zip(cuts[:-1], np.maximum(cuts[1:], cuts[:-1] + 1), strict=True):
+        # The last cut is the end: a search for a sum that is met exactly gives the row that meets it.
+        cuts = np.unique(np.append(np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()), STEP), "left"), len(lefts)))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             mine = lefts[a:b]
-            if not len(mine):
-                continue
             i = np.repeat(mine, width[a:b])
             j = np.arange(len(i)) - np.repeat(np.cumsum(width[a:b]) - width[a:b], width[a:b]) + begin[i]
             fit = (root[i] != root[j]) & (cls[i] != hub[i]) & (cls[j] != hub[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))

@@ -67,6 +67,19 @@ def test_components_match_brute_force(spark, block, monkeypatch):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), root, root == i)
 
 
+def test_a_bucket_of_exactly_a_step_of_pairs(spark):
+    """200 left rows meet 250 right ones: near.STEP pairs in one place, of which none may be left out."""
+    few, count = 200, 250
+    assert few * count == near.STEP and count <= near.BLOCK
+    settings = near._word_settings(5, 85, 100)
+    regs = np.ones((1, setsketch.REGISTERS), np.uint16)
+    key = int(setsketch.bands(regs, settings.rows).view(np.int64)[0, 0])
+    rows = [(key, i, 100, i if i < few else count, count - 1, regs.tobytes(), count, i < few, few) for i in range(count)]
+    members = spark.createDataFrame(rows, "key long, cls long, n long, root long, hub long, regs binary, count long, minor boolean, few long")
+    got = {(r.a, r.b) for r in near._pairs_across(members, settings, None).collect()}
+    assert got == {(i, j) for i in range(few) for j in range(i + 1, count - 1)}
+
+
 def test_awkward(spark):
     docs = awkward.frame(spark)
     rows = [(r[0], r[1]) for r in awkward.rows()]
