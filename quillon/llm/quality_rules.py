@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ class Band:
     tokens_per_word: float  # at most
     fallback: float  # at most: share of tokens that are parts of a code point
     bare: float  # at most: share of tokens with neither letter nor digit
-    entropy: float  # at least, in bits: below it a few tokens repeat
+    entropy: float  # at least, in bits: below it a few tokens repeat; less for short texts, see `least_entropy`
 
 
 #: Bands by language, then by script for texts of another or no language.
@@ -41,6 +42,8 @@ BANDS = {
 }
 #: A text with fewer letters of a-z than this share of all its letters is of another script.
 LATIN_SHARE = 0.5
+#: A short text needs no more than this share of the entropy that its tokens would have if all were different.
+ENTROPY_SHARE = 0.7
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, tokens_per_word double, fallback_share double, bare_share double, token_entropy double, band string"
@@ -88,6 +91,11 @@ def measures(text: str, n_words: int, path: str) -> tuple[float, float, float, f
     return len(text) / len(ids), len(ids) / max(n_words, 1), float(part[ids].mean()), float(bare[ids].mean()), float(-(p * np.log2(p)).sum())
 
 
+def least_entropy(band: Band, n_tokens: int) -> float:
+    """The band's bound, or what a text of so few tokens can be asked for."""
+    return min(band.entropy, ENTROPY_SHARE * math.log2(max(n_tokens, 1)))
+
+
 def judged(text: str | None, lang: str | None, path: str, bands: dict[str, Band]) -> tuple:
     text = text or ""
     base = base_counts(text)
@@ -95,7 +103,7 @@ def judged(text: str | None, lang: str | None, path: str, bands: dict[str, Band]
     m = measures(text, base[0], path)
     name = band_of(lang, text, bands)
     b = bands[name]
-    kept = not failed and m[0] >= b.chars_per_token and m[1] <= b.tokens_per_word and m[2] <= b.fallback and m[3] <= b.bare and m[4] >= b.entropy
+    kept = not failed and m[0] >= b.chars_per_token and m[1] <= b.tokens_per_word and m[2] <= b.fallback and m[3] <= b.bare and m[4] >= least_entropy(b, round(len(text) / m[0]))
     return *base, failed, kept, *m, name
 
 

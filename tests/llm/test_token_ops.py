@@ -47,3 +47,18 @@ def test_rules(spark):
     assert quality_rules.judge(awkward.frame(spark, [])).count() == 0
     assert quality_rules.keep_good(awkward.frame(spark)).columns == awkward.frame(spark).columns
     assert len(quality_rules.judge(awkward.frame(spark)).collect()) == len(awkward.rows())
+
+
+def test_short_prose_is_kept(spark):
+    """Entropy is bounded by the number of tokens: short clean prose lies under the bound of long texts."""
+    prose = (
+        "The river rises in the hills to the north of the town and runs to the sea in the south. In the spring the water is high, "
+        "and the people of the town walk along the bank in the evening to look at the boats. In the summer the water is low, and "
+        "the children of the town play on the stones in the river until it is dark."
+    )
+    few = " ".join("river hill town boat"[i : i + 4].strip() or "sea" for i in (0, 6, 11, 16, 0, 11, 6, 16, 6, 0, 16, 11) * 5)
+    salad = " ".join(np.random.default_rng(1).choice(prose.split()[:16], 60))
+    docs = spark.createDataFrame([(1, prose, "en"), (2, few, "en"), (3, salad, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert 50 <= got[1].n_words <= 70 and got[1].token_entropy < quality_rules.BANDS["en"].entropy
+    assert got[1].kept and not got[2].kept and not got[3].kept and not got[3].base_failed
