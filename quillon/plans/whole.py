@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import functions as F
+
+from quillon.functions import text
+from quillon.operators import retrieval as search
 from quillon.plans import retrieval, texts
-from quillon.sources.tables import PAPERS, WHOLE_PAPERS
+from quillon.sources.tables import PAPERS, WHOLE_PAPERS, table
 
 Q, O = {}, {}
 
@@ -30,3 +34,37 @@ for _module in (retrieval, texts):
         if _name in _module.Q:
             Q[f"{_name}_whole"] = functools.partial(_module.Q[_name], records=WHOLE_PAPERS)
             O[f"{_name}_whole"] = _module.O[_name].replace(PAPERS, WHOLE_PAPERS)
+
+
+def query(name, sql=None):
+    def add(f):
+        Q[name] = f
+        if sql:
+            O[name] = sql
+        return f
+
+    return add
+
+
+@query(
+    "k10_a04_upsert_whole",
+    "SELECT coalesce(a.doc_id, b.item_id) AS id, coalesce(nullif(a.text, ''), b.text) AS text, a.doc_id IS NULL AS is_new FROM documents a FULL JOIN benchmark b ON a.doc_id = b.item_id",
+)
+def upsert(spark, sf):
+    old = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(True).alias("_there"))
+    new = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return search.upserted(old, new, "id", ["text"])
+
+
+@query("f07_j07_bracket_citations_whole")
+def citations(spark, sf):
+    """Over the whole text of every document, its own brackets and those that the query glues on."""
+    whole = F.expr(texts._CITED.replace("substr(text, 1, 60)", "coalesce(text, '')"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(text.bracket_citations(whole)).alias("cited"))
+
+
+@query("f27_inverted_index_whole", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS abstract FROM documents")
+def inverted(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(text.collapsed(F.col("text")), " ")).alias("p", "w"))
+    index = rows.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    return index.select("doc_id", text.from_inverted_index(F.col("m")).alias("abstract"))

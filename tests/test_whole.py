@@ -1,5 +1,7 @@
 """The queries over whole tables, on texts whose marks lie past every prefix."""
 
+import re
+
 import pandas as pd
 import pytest
 
@@ -35,3 +37,20 @@ def test_titles_are_not_cut(spark, late):
     keys = rows(spark, late, "f01_doi_f02_preprint_f03_title_f04_key_whole")
     assert keys["p22"].title_key != keys["p35"].title_key
     assert all(r.value != keys["p22"].title_key for r in registry.queries()["a05_duplicate_violations_whole"](spark, late).collect())
+
+
+def test_citations_and_words_after_the_prefix(spark, tmp_path):
+    texts = {3: f"[ab12] first {FILL} [zz9] and [link](u) [7] end", 4: f"{FILL}last"}
+    pd.DataFrame([(i, t) for i, t in texts.items()], columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame([(3, "new"), (5, "other")], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    queries = registry.queries()
+    got = {(r.doc_id, r.cited) for r in queries["f07_j07_bracket_citations_whole"](spark, str(tmp_path)).collect()}
+    want = set()
+    for i, t in texts.items():
+        t += f" [p{i % 50}] and [10.1000/x{i % 9}] [12] [todo] [link](http)"
+        want |= {(i, x) for x in re.findall(r"\[([^\[\]]+)\](?!\()", t) if not x.isdigit() and x != "todo"}
+    assert got == want and {(3, "ab12"), (3, "zz9")} <= got
+    index = {r.doc_id: r.abstract for r in queries["f27_inverted_index_whole"](spark, str(tmp_path)).collect()}
+    assert index == {i: " ".join(t.split()) for i, t in texts.items()}
+    up = {(r.id, r.text, r.is_new) for r in queries["k10_a04_upsert_whole"](spark, str(tmp_path)).collect()}
+    assert up == {(3, texts[3], False), (4, texts[4], False), (5, "other", True)}
