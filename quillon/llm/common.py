@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -32,37 +29,52 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (as in tests) a new one, remembered in the session."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a session whose tasks run
+    in the driver's own process gets a new local folder (as in tests); on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillon.shared", None)
     if not at:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        at = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("quillon.shared", at)
     return at
 
 
+#: Spark removes the shuffle files of a query that has ended, as nothing reads them again.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read again: cuts the lineage, survives lost
     executors, and gives the optimizer a measured size."""
     spark = spark or df.sparkSession
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out
 
 
 def forgotten(*tables: DataFrame) -> None:
-    """Delete tables that `stored` wrote and that nothing will read again."""
+    """Empty tables that `stored` wrote and that nothing will read again."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._quillon_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df._quillon_path)
+
 
+#: Bytes that a broadcast may have, by the sizes of its columns' types (16 bytes for text).
+BROADCAST_BYTES = 8_000_000
 
-def checked_broadcast(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """`df` marked for broadcast if counting shows at most `most` rows, otherwise `df` as it is (the join then shuffles,
-    and adaptive execution splits skewed partitions)."""
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if counting shows that its rows take at most BROADCAST_BYTES, otherwise `df` as it is
+    (the join then shuffles, and adaptive execution splits skewed partitions)."""
+    width = sum(16 if f.dataType.typeName() in ("string", "struct") else 8 for f in df.schema.fields) + 16
+    most = BROADCAST_BYTES // width
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -74,12 +86,3 @@ def word_count(text: str | Column = "text") -> Column:
     """Number of words of a text; 0 for null."""
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
-
-
-def freed(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer used: its cleaner follows the JVM's garbage
-    collection, which a small driver heap may put off for long."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)

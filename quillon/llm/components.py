@@ -27,12 +27,14 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             pointer = further.select("node", "root")
             if not further.where("moved").limit(1).count():
                 break
-        roots = pointer if roots is None else stored(_followed(roots, pointer))
+        roots = pointer if roots is None else followed(roots, pointer)
         left = stored(
             left.join(pointer.toDF("a", "x"), "a").join(pointer.toDF("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
     return roots if roots is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _followed(roots: DataFrame, pointer: DataFrame) -> DataFrame:
-    return roots.join(pointer.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+def followed(roots: DataFrame, pointer: DataFrame) -> DataFrame:
+    """`roots` after `pointer` (node, root) has joined some of its roots, with the nodes that only `pointer` has."""
+    moved = roots.join(pointer.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return stored(moved.unionByName(pointer.join(roots.select("node"), "node", "left_anti").select("node", "root")))

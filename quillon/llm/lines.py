@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import setsketch, shingles
-from quillon.llm.common import WORD, checked_broadcast, freed, ship_package, stored, text_or_empty
-from quillon.llm.near import Settings, _lists, linked
+from quillon.llm.common import WORD, checked_broadcast, forgotten, ship_package, stored, text_or_empty
+from quillon.llm.near import Settings, fixed, linked, shared_keys
 from quillon.llm.shingles import U64, mixed
 
-#: Code points of a shingle; registers and rows of a band: a pair of similarity 0.8 shares no band with probability 0.004,
-#: one of 0.9 with 3e-6.
-WIDTH, REGISTERS, ROWS = 7, 70, 5
+#: Code points of a shingle; bands and rows of a band: a pair of similarity 0.8 shares no band with probability 1e-5, one of
+#: 0.9 with 1e-10.
+WIDTH, BANDS, ROWS = 7, 22, 4
+REGISTERS = BANDS * ROWS
 
 
 def minhash(elements: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -51,7 +52,7 @@ def equal_share(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def line_settings(width: int, num: int, den: int) -> Settings:
-    return Settings(functools.partial(shingles.character_shingles, width=width), num, den, minhash, ROWS, equal_share, REGISTERS)
+    return Settings(functools.partial(shingles.character_shingles, width=width), num, den, minhash, ROWS, BANDS, equal_share, REGISTERS)
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share_num: int = 80, share_den: int = 100) -> DataFrame:
@@ -67,37 +68,32 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship_package(docs.sparkSession)
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("at", "line")).where(F.col("line").rlike(WORD))
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("at"))
-    nodes = split.groupBy(F.col("line").alias("text")).agg(F.min(place).alias("first")).withColumn("cls", F.monotonically_increasing_id())
     # Hashes stand for the lines on the way back; two of 64 bits each.
     of = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(c, F.lit(1)).alias("h2")]
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    place_kind = f"first struct<none:boolean,id:{id_kind},at:int>"
+    nodes = split.groupBy(F.col("line").alias("text")).agg(F.min(place).alias("first"))
+    nodes = stored(nodes.select("text", "first", F.monotonically_increasing_id().alias("cls"), *of("text")))
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, registers) of lines."""
+        made = [(np.diff(first), settings.sketch(h, first)) for h, first in (settings.shingle(data, offsets) for _, data, offsets in shingles.text_slices(texts))]
+        return np.concatenate([n for n, _ in made]), np.concatenate([r for _, r in made])
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in shingles.text_slices(batch.column(0)):
-                h, first = settings.shingle(data, offsets)
-                n = np.diff(first)
-                keys = setsketch.bands(settings.sketch(h, first), settings.rows)
-                ends = np.arange(len(n) + 1) * keys.shape[1]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(n)) for c in batch.columns[1:]), pa.array(n), _lists(keys.reshape(-1), ends)], ["first", "cls", "h1", "h2", "n", "keys"])
-
-    # One row per distinct line, without its text.
-    signatures = stored(nodes.select("text", "first", "cls", *of("text")).mapInArrow(signed, f"{place_kind}, cls long, h1 long, h2 long, n long, keys array<bigint>"))
-    freed(docs.sparkSession)
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        places = stored(signatures.join(wanted, "cls", "left_semi").select("cls", F.col("first.id").alias("_id"), F.col("first.at").alias("_at"), "h1", "h2"))
-        texts = split.select("id", "at", F.col("line").alias("text"))
-        found = texts.join(checked_broadcast(places, 200_000), texts["id"].eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at")) & (F.xxhash64("text") == F.col("h1")) & (F.xxhash64("text", F.lit(1)) == F.col("h2")))
-        return found.select("cls", "text")
-
-    roots = linked(signatures.select("cls", F.explode("keys").alias("key")), signatures.select("cls", "n"), texts_of, settings)
-    freed(docs.sparkSession)
-    grouped = signatures.select("cls", "first", "h1", "h2").join(roots.select(F.col("node").alias("cls"), "root"), "cls")
-    least = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    moved = stored(grouped.join(least, "root").select("cls", "least"))
-    known = signatures.select("cls", "first", "h1", "h2").join(moved, "cls", "left").select("h1", "h2", F.coalesce("least", "first").alias("least"))
+            if len(batch):
+                n, regs = signatures(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), fixed(regs), batch.column(1)], ["cls", "n", "regs", "text"])
+
+    def pool_of(wanted: DataFrame) -> DataFrame:
+        return nodes.select("cls", "text").join(wanted, "cls", "left_semi").mapInArrow(described, "cls long, n long, regs binary, text string")
+
+    shared = shared_keys(nodes.select("cls", "text"), lambda texts: settings.keys(signatures(texts)[1]), nodes.count(), BANDS)
+    roots = linked(shared, pool_of, settings)
+    grouped = nodes.select("cls", "first", "h1", "h2").join(roots.select(F.col("node").alias("cls"), "root"), "cls")
+    least = stored(grouped.groupBy("root").agg(F.min("first").alias("least")))
+    moved = stored(grouped.select("cls", "root").join(checked_broadcast(least), "root").select("cls", "least"))
+    known = stored(nodes.select("cls", "first", "h1", "h2").join(moved, "cls", "left").select("h1", "h2", F.coalesce("least", "first").alias("least")))
+    forgotten(nodes, moved)
     lines = split.select("id", "at", *of("line"))
     return lines.join(known, ["h1", "h2"]).select(
         F.col("id").alias(id_col),

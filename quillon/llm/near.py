@@ -1,5 +1,12 @@
 """Near-duplicates by Jaccard similarity of shingle sets: sketches, banding, joint likelihood, exact verification, and
-union-find. Nothing here depends on what the shingles are made of."""
+union-find. Nothing here depends on what the shingles are made of.
+
+Classes (rows with equal sets) that share a band are candidates. First each class is compared with the smallest class of
+the bucket that it shares most bands with; after union-find, buckets that still hold several components are compared
+across components, blocks of a bucket at a time, so that no link is left out because of a bucket's size. Wherever two
+classes meet, registers and texts are at hand: likelihood estimates rule out most pairs, and the full sets decide the
+others there and then, likeliest first, unless links found before have joined the two already. So only links leave a
+task, fewer than it has classes."""
 
 from __future__ import annotations
 
@@ -15,17 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import setsketch, shingles
-from quillon.llm.common import checked_broadcast, forgotten, freed, ship_package, stored, text_or_empty
-from quillon.llm.components import connected
-
-#: A bucket of more classes than this is compared in blocks of about this many.
-BLOCK = 256
-#: Rows in a shard of such comparisons, and pairs that are compared at a time.
-SHARD_ROWS, STEP = 20_000, 50_000
-#: Rounds of spanning pairs before all that are left.
-TURNS = 2
+from quillon.llm.common import checked_broadcast, forgotten, ship_package, stored, text_or_empty
+from quillon.llm.components import connected, followed
+
+#: A bucket of more classes or bytes than this is compared in blocks of about as much.
+BLOCK, BLOCK_BYTES = 1024, 6_000_000
+#: Bytes of classes in a shard of blocks, and pairs that are compared at a time.
+SHARD_BYTES, STEP = 24_000_000, 20_000
+#: Band hashes that are brought together in one task, and that a task puts together before it sends them.
+SHARD_KEYS, FLUSH_KEYS = 1_000_000, 1_000_000
 #: Standard errors below the threshold at which a likelihood estimate still goes to verification.
-ERRORS = 3.5
+ERRORS = 4.5
 
 
 @dataclass(frozen=True)
@@ -37,6 +44,7 @@ class Settings:
     share_den: int = 100
     sketch: Callable = setsketch.sketches  # (hashes, first) -> registers
     rows: int = setsketch.ROWS
+    bands: int = setsketch.BANDS
     estimate: Callable = setsketch.estimates
     registers: int = setsketch.REGISTERS
 
@@ -46,38 +54,38 @@ class Settings:
         t = self.share_num / self.share_den
         return t - ERRORS * math.sqrt(t * (1 - t) / self.registers)
 
+    def keys(self, regs: np.ndarray) -> np.ndarray:
+        """Band hashes of rows of registers."""
+        return setsketch.bands(regs, self.rows, self.bands)
+
 
 @functools.cache
-def _word_settings(width: int, num: int, den: int) -> Settings:
+def word_settings(width: int, num: int, den: int) -> Settings:
     return Settings(functools.partial(shingles.word_shingles, width=width), num, den)
 
 
-def _fixed(values: np.ndarray) -> pa.Array:
+def fixed(values: np.ndarray) -> pa.Array:
     """Rows of a 2-d array as binary values."""
     width = values.dtype.itemsize * values.shape[1]
     offsets = np.arange(len(values) + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
-
-
-def _registers(column: pa.Array, m: int = 0) -> np.ndarray:
+def registers_of(column: pa.Array) -> np.ndarray:
     """Binary values of one length as a 2-d array of uint16."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     n = len(column)
-    raw = b"".join(x.as_py() for x in column)
-    return np.frombuffer(raw, np.uint16).reshape(n, -1)
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + n + 1] if n else np.zeros(1, kind)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), np.uint16).reshape(n, -1) if n else np.zeros((0, 1), np.uint16)
 
 
 def sketched(items: DataFrame, settings: Settings) -> DataFrame:
-    """(id, text) -> id, row, tkey, n, k1, k2, regs, bands: a row's set by size and two sums of hashes, its registers,
-    and its band hashes (none for an empty set)."""
+    """(id, text) -> id, row, tkey, n, k1, k2, regs: a row's set by size and two sums of hashes, and its registers."""
     ship_package(items.sparkSession)
     rows = items.select("id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("tkey"), "text")
-    out = T.StructType(
-        [*rows.schema.fields[:3], T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    )
+    out = T.StructType([*rows.schema.fields[:3], *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")), T.StructField("regs", T.BinaryType())])
     salt = np.uint64(0x5851F42D4C957F2D)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,37 +97,81 @@ def sketched(items: DataFrame, settings: Settings) -> DataFrame:
                 for x in (h, shingles.mixed(h ^ salt)):
                     c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
                     sums.append(pa.array((c[first[1:]] - c[first[:-1]]).view(np.int64)))
-                regs = settings.sketch(h, first)
-                hashes = setsketch.bands(regs, settings.rows)
-                n = np.diff(first)
-                width = hashes.shape[1]
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, width, 0))])
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(at, count) for c in batch.columns[:3]), pa.array(n), *sums, _fixed(regs), _lists(hashes[n > 0].reshape(-1), ends)],
-                    ["id", "row", "tkey", "n", "k1", "k2", "regs", "bands"],
-                )
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, count) for c in batch.columns[:3]), pa.array(np.diff(first)), *sums, fixed(settings.sketch(h, first))], ["id", "row", "tkey", "n", "k1", "k2", "regs"])
 
     return rows.mapInArrow(run, out)
 
 
-def _likely(pairs: DataFrame, regs: DataFrame, settings: Settings) -> DataFrame:
-    """Of pairs (a, b), those whose estimated similarity doesn't speak against a link."""
-    least = settings.least
-    estimate = settings.estimate
-
-    @F.arrow_udf("boolean")
-    def likely(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for ra, rb, na, nb in parts:
-            if not len(ra):
-                yield pa.array([], pa.bool_())
-                continue
-            yield pa.array(estimate(_registers(ra), _registers(rb), na.to_numpy(), nb.to_numpy()) >= least)
-
-    a, b = (regs.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").where(likely("ra", "rb", "na", "nb")).select("a", "b", "na", "nb")
+def shared_keys(classes: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], count: int, per_class: int) -> DataFrame:
+    """(key, cls) of the band hashes that two classes or more have. classes: cls and a column that `keys_of` makes
+    band hashes of, a row for each class; count: how many classes there are.
 
+    A task puts the keys of many classes together by shard, one binary value each, and a shard finds the repeated ones
+    by sorting numbers. Of a key that a task has several times it sends one class to the key's shard and the others,
+    known to share it, past it, so a shard gets a key once from a task at most, however many classes have it.
+    """
+    shards = max(1, -(-count * per_class // SHARD_KEYS))
+    names = ["shard", "known", "keys", "cls"]
+    flag = np.int64(1) << np.int64(62)
+
+    def dealt(keys: np.ndarray, cls: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+        cls = np.repeat(cls, keys.shape[1])
+        keys = keys.reshape(-1)
+        shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        full = (shard << 32) | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.argsort(full)
+        full, cls = full[order], cls[order]
+        first = np.concatenate([[True], full[1:] != full[:-1]])
+        several = np.append(first[1:], True) < first  # first of more than one
+        low = [full[first], np.where(several[first], cls[first] | flag, cls[first])]
+        cut = np.searchsorted(low[0] >> 32, np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(cut))
+        blobs = [[(x[cut[s] : cut[s + 1]].astype(np.uint32) if x is low[0] else x[cut[s] : cut[s + 1]]).tobytes() for s in some] for x in low]
+        rest = ~first
+        if rest.any():
+            some = np.append(some, turn % shards)
+            for b, x in zip(blobs, (full[rest], cls[rest]), strict=True):
+                b.append(x.tobytes())
+        known = np.zeros(len(some), bool)
+        known[len(some) - int(rest.any()) :] = True
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(known), *(pa.array(b, pa.binary()) for b in blobs)], names)
 
-def _sets(texts: pa.Array, settings: Settings) -> list[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            if len(batch):
+                held.append((keys_of(batch.column(1)), batch.column(0).to_numpy()))
+                n += held[-1][0].size
+            if n >= FLUSH_KEYS:
+                yield from dealt(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]), int(held[0][1][0]))
+                held, n = [], 0
+        if held:
+            yield from dealt(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]), int(held[0][1][0]))
+
+    def find(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys, cls = [], []
+        for known, k, c in zip(table.column("known"), table.column("keys"), table.column("cls"), strict=True):
+            if known.as_py():
+                keys.append(np.frombuffer(k.as_py(), np.int64))
+                cls.append(np.frombuffer(c.as_py(), np.int64))
+        at = pa.compute.filter(table, pa.compute.invert(table.column("known"))) if keys else table
+        low = np.frombuffer(b"".join(x.as_py() for x in at.column("keys")), np.uint32)
+        own = np.frombuffer(b"".join(x.as_py() for x in at.column("cls")), np.int64)
+        order = np.argsort(low, kind="stable")
+        low, own = low[order], own[order]
+        same = low[1:] == low[:-1]
+        on = np.append(same, False) | np.append(False, same) | (own >= flag) if len(low) else np.zeros(0, bool)
+        keys.append((np.int64(shard) << 32) | low[on].astype(np.int64))
+        cls.append(own[on] & ~flag)
+        return pa.table({"key": np.concatenate(keys), "cls": np.concatenate(cls)})
+
+    blobs = classes.mapInArrow(run, "shard int, known boolean, keys binary, cls binary")
+    return blobs.groupBy("shard").applyInArrow(find, "key long, cls long")
+
+
+def sets_of(texts: pa.Array, settings: Settings) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, data, offsets in shingles.text_slices(texts):
         h, first = settings.shingle(data, offsets)
@@ -127,182 +179,173 @@ def _sets(texts: pa.Array, settings: Settings) -> list[np.ndarray]:
     return out
 
 
-def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings) -> DataFrame:
-    """Of pairs (a, b, na, nb), those linked by their full sets, made from the texts of both where a pair lies (texts
-    travel lighter than sets of hashes). Only the texts of classes in `pairs` are read again."""
-    wanted = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-    texts = stored(texts_of(wanted).select("cls", "text"))
+def meets(x: np.ndarray, y: np.ndarray, settings: Settings) -> bool:
+    """Whether two full sets are linked."""
     num, den = settings.share_num, settings.share_den
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return den * common >= num * (len(both) - common)
+
+
+def _star_links(stars: DataFrame, pool: DataFrame, settings: Settings) -> DataFrame:
+    """Of pairs (a, b), a row for each b, those linked: likelihood first, then full sets."""
 
     @F.arrow_udf("boolean")
-    def are_linked(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for ta, tb in parts:
-            out = []
-            for at in range(0, len(ta), 500):
-                for x, y in zip(_sets(ta.slice(at, 500), settings), _sets(tb.slice(at, 500), settings), strict=True):
-                    both = np.sort(np.concatenate([x, y]))
-                    common = np.count_nonzero(both[1:] == both[:-1])
-                    out.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.array(out, pa.bool_())
-
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return both.where(are_linked("ta", "tb")).select("a", "b")
-
-
-def _sizes_fit(settings: Settings):
-    return settings.share_den * F.least("na", "nb") >= settings.share_num * F.greatest("na", "nb")
-
-
-def spanning(found: list[tuple[np.ndarray, ...]], turn: int) -> list[tuple[np.ndarray, ...]]:
-    """Of candidate pairs (place, a, b, root of a, root of b, na, nb, estimate), those that join components which the
-    likelier ones before them in their place don't: fewer than a place has rows. `turn` above 0 varies the order."""
-    place, a, b, ra, rb, na, nb, likely = (np.concatenate(x) for x in zip(*found, strict=True))
-    noise = (shingles.mixed(a.view(np.uint64) * shingles.ODD + b.view(np.uint64) + np.uint64(turn)) >> np.uint64(40)).astype(float) * 2.0**-24
-    order = np.lexsort((-(likely + 0.1 * (turn > 0) * noise), place))
-    up: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def find(x: tuple[int, int]) -> tuple[int, int]:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    kept = []
-    for i, p, x, y in zip(order.tolist(), place[order].tolist(), ra[order].tolist(), rb[order].tolist(), strict=True):
-        x, y = find((p, x)), find((p, y))
-        if x != y:
-            up[x] = y
-            kept.append(i)
-    return [(a[kept], b[kept], na[kept], nb[kept])]
-
-
-def _pairs_across(members: DataFrame, settings: Settings, turn: int | None) -> DataFrame:
-    """Pairs (a, b, na, nb) from different components within a bucket that are likely to be linked by their registers;
-    with a `turn`, only those that `spanning` keeps of them.
-
-    members: key, cls, n, root, hub, regs, count, minor, few: the bucket's first class and size, whether the row is
-    outside its largest component, and how many rows are. Each pair has a side outside the largest component. In large
-    buckets both sides are dealt at random to blocks of about BLOCK rows, and two blocks meet in one place, so nothing
-    grows with a bucket; the places are dealt to shards of many. Only likely pairs leave a task.
-    """
+    def are_linked(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for ra, rb, na, nb, ta, tb in parts:
+            out = np.zeros(len(ta), bool)
+            if len(ta):
+                na, nb = na.to_numpy(), nb.to_numpy()
+                fit = np.flatnonzero(settings.share_den * np.minimum(na, nb) >= settings.share_num * np.maximum(na, nb))
+                likely = fit[settings.estimate(registers_of(ra)[fit], registers_of(rb)[fit], na[fit], nb[fit]) >= settings.least] if len(fit) else fit
+                hubs = pa.compute.dictionary_encode(ta.take(pa.array(likely)))  # a hub's pairs lie together
+                of_hub, codes = sets_of(hubs.dictionary, settings), hubs.indices.to_numpy()
+                for at in range(0, len(likely), 500):
+                    for i, c, y in zip(likely[at : at + 500], codes[at : at + 500], sets_of(tb.take(pa.array(likely[at : at + 500])), settings), strict=True):
+                        out[i] = meets(of_hub[c], y, settings)
+            yield pa.array(out)
+
+    a, b = (pool.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    return stars.join(b, "b").join(a, "a").where(are_linked("ra", "rb", "na", "nb", "ta", "tb")).select("a", "b")
+
+
+def _open_members(shared: DataFrame, roots: DataFrame, pool: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of buckets with several components: key, cls, root, minor, blocks, few, rows, w.
+
+    minor: the row is outside the bucket's largest component; blocks and few: into how many blocks the bucket and its
+    minor rows are dealt."""
+    weight = F.col("n") * 8 + 2 * settings.registers + 64
+    labelled = stored(shared.join(pool.select("cls", "n"), "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"), weight.alias("w")))
+    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum("w").alias("w"))
+    split = parts.groupBy("key").agg(F.max(F.struct("rows", "root", "w")).alias("most"), F.sum("rows").alias("rows"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda rows, w: F.ceil(F.greatest(rows / BLOCK, w / BLOCK_BYTES)).cast("long")
+    split = stored(
+        split.select("key", F.col("most.root").alias("major"), blocks(F.col("rows"), F.col("w")).alias("blocks"), blocks(F.col("rows") - F.col("most.rows"), F.col("w") - F.col("most.w")).alias("few"), "rows")
+    )
+    open_ = stored(labelled.join(split, "key").select("key", "cls", "root", (F.col("root") != F.col("major")).alias("minor"), "blocks", "few", "rows", "w"))
+    forgotten(labelled, split)
+    return open_
+
+
+def _placed(open_: DataFrame, every: bool) -> tuple[DataFrame, int]:
+    """Where rows meet, (place, side, key, cls, root, minor), and a number of shards for the places.
+
+    In large buckets rows outside the largest component and all rows are dealt at random to blocks, and two blocks meet
+    in one place, so nothing grows with a bucket. Unless `every`, a class goes only to its largest bucket, where rows
+    of a block meet each other: most components grow together there, at the cost of one row for each class."""
+    if every:
+        left = open_.where("minor").select("*", F.pmod(F.xxhash64("cls"), F.col("few")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"))
+        right = open_.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("s"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).alias("j"), F.lit(0).alias("side"))
+        size = open_.agg(F.sum(F.col("w") * (F.col("few") + F.when(F.col("minor"), F.col("blocks")).otherwise(0)))).first()[0] or 0
+        rows = left.unionByName(right)
+    else:
+        one = open_.groupBy("cls").agg(F.max(F.struct("rows", "key", "root", "minor", "blocks", "w")).alias("x")).select("cls", "x.*")
+        rows = one.select("*", F.lit(0).alias("s"), F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("j"), F.lit(2).alias("side"))
+        size = open_.dropDuplicates(["cls"]).agg(F.sum("w")).first()[0] or 0
+    return rows.select(F.xxhash64("key", "s", "j").alias("place"), "side", "key", "cls", "root", "minor"), max(1, -(-size // SHARD_BYTES))
+
+
+def _links_across(rows: DataFrame, shards: int, pool: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of components (a, b) that links join, fewer than a shard has components: of rows that meet in a place and
+    belong to different components, likelihood estimates rule pairs out, and full sets decide the others.
+
+    rows: place, side (1 meets 0; 2 meets 2), key, cls, root, minor."""
     estimate, least, num, den = settings.estimate, settings.least, settings.share_num, settings.share_den
-    blocks = F.ceil(F.col("count") / BLOCK).cast("long")
-    few = F.ceil(F.col("few") / BLOCK).cast("long")
-    own = ["key", "cls", "n", "root", "hub", "regs"]
-    left = members.where("minor").select(*own, F.pmod(F.xxhash64("cls"), few).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), F.lit(True).alias("left"))
-    right = members.select(*own, F.explode(F.sequence(F.lit(0).cast("long"), few - 1)).alias("s"), F.pmod(F.xxhash64("cls", F.lit(1)), blocks).alias("j"), F.lit(False).alias("left"))
-    placed = left.union(right).withColumn("place", F.xxhash64("key", "s", "j"))
-    rows = members.count()
-    shards = max(1, -(-rows // SHARD_ROWS))
 
     def run(table: pa.Table) -> pa.Table:
-        side, cls, n, root, hub, place = (table.column(c).to_numpy() for c in ("left", "cls", "n", "root", "hub", "place"))
+        table = table.combine_chunks()
+        side, cls, n, root, minor, place = (table.column(c).to_numpy() for c in ("side", "cls", "n", "root", "minor", "place"))
         order = np.lexsort((side, place))  # in each place the right side first
-        side, cls, n, root, hub, place = (x[order] for x in (side, cls, n, root, hub, place))
-        regs = _registers(table.column("regs").combine_chunks())[order]
+        side, cls, n, root, minor, place = (x[order] for x in (side, cls, n, root, minor, place))
+        regs = registers_of(table.column("regs"))[order]
+        texts = table.column("text").combine_chunks()
+        # A key has its band hash's lower 32 bits.
+        band = ((settings.keys(regs).astype(np.uint32) == table.column("key").to_numpy()[order].astype(np.uint32)[:, None])).argmax(axis=1)
         begin = np.searchsorted(place, place, "left")
-        rights = np.searchsorted(np.cumsum(side), np.cumsum(side)[begin] - side[begin], "right")  # first left row after
-        found: list[tuple[np.ndarray, ...]] = []
-        wide = settings.rows * min(setsketch.BANDS, regs.shape[1] // settings.rows)
-        band = (setsketch.bands(regs, settings.rows).view(np.int64) == table.column("key").to_numpy()[order][:, None]).argmax(axis=1)
-        lefts = np.flatnonzero(side)
-        ends = np.minimum(rights, len(side))
-        width = (ends - begin)[lefts]
+        end = np.searchsorted(place, place, "right")
+        # A row of side 1 meets the rows of side 0, which come before it; a row of side 2 those after it.
+        ones = np.concatenate([[0], np.cumsum(side == 1)])
+        from_ = np.where(side == 2, np.arange(len(side)) + 1, begin)
+        until = np.where(side == 2, end, end - (ones[end] - ones[begin]))
+        width = np.where(side > 0, until - from_, 0)
+        lefts = np.flatnonzero(width)
+        width = width[lefts]
+        up: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+        links: list[tuple[int, int]] = []
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        joined = root
         # The last cut is the end: a search for a sum that is met exactly gives the row that meets it.
         cuts = np.unique(np.append(np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()), STEP), "left"), len(lefts)))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            mine = lefts[a:b]
-            i = np.repeat(mine, width[a:b])
-            j = np.arange(len(i)) - np.repeat(np.cumsum(width[a:b]) - width[a:b], width[a:b]) + begin[i]
-            fit = (root[i] != root[j]) & (cls[i] != hub[i]) & (cls[j] != hub[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            i = np.repeat(lefts[a:b], width[a:b])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width[a:b]) - width[a:b], width[a:b]) + from_[i]
+            fit = (joined[i] != joined[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            fit &= ~((side[i] == 1) & minor[j] & (cls[i] > cls[j]))  # two minor rows meet twice
             i, j = i[fit], j[fit]
-            close = (regs[i] == regs[j]).mean(axis=1) >= least - 0.1
-            i, j = i[close], j[close]
-            if len(i):
-                likely = estimate(regs[i], regs[j], n[i], n[j])
-                good = likely >= least
-                if turn is None:
-                    # A pair that meets in several buckets leaves the one of its first common band only. (Where that one
-                    # has no other members, or one of them as its first, the pair was tried as part of its star.)
-                    same = (regs[i][:, :wide] == regs[j][:, :wide]).reshape(len(i), -1, settings.rows).all(axis=2)
-                    good &= same.argmax(axis=1) == band[i]
+            if not len(i):
+                continue
+            likely = estimate(regs[i], regs[j], n[i], n[j])
+            good = likely >= least
+            i, j, likely = i[good], j[good], likely[good]
+            if len(i) and side[i[0]] == 1:
+                # A pair that meets in several buckets is verified in that of its first common band only.
+                here, there = settings.keys(regs[i]), settings.keys(regs[j])
+                good = (here == there).argmax(axis=1) == band[i]
                 i, j, likely = i[good], j[good], likely[good]
-                low, high = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
-                found.append((cls[low], cls[high], n[low], n[high]) if turn is None else (place[i], cls[low], cls[high], root[low], root[high], n[low], n[high], likely))
-        if found and turn is not None:
-            found = spanning(found, turn)
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
-        return pa.table(dict(zip(("a", "b", "na", "nb"), columns, strict=True)))
-
-    shard = F.pmod(F.col("place"), F.lit(shards))
-    return placed.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "a long, b long, na long, nb long").distinct()
-
-
-def linked(members: DataFrame, sizes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], settings: Settings, regs: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the classes with links. members: cls, key, a row for each band of a class; sizes: cls, n;
-    texts_of: from classes (cls) to one text of each (cls, text); regs: cls, n, regs, if estimates are to go before
-    verification.
-
-    Each bucket of a band links its classes to its smallest class, first; after union-find, buckets that still hold
-    several components are compared across components by their registers, so that no link is left out because of a
-    bucket's size, while a group of near copies, however large, costs a few pairs per member and band.
-    """
-    likely = (lambda pairs: _likely(pairs, regs, settings)) if regs is not None else (lambda pairs: pairs)
-    columns = ("a", "b", "na", "nb")
-    buckets = stored(members.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("count")).where("count > 1"))
-    freed(members.sparkSession)
-    shared = stored(members.join(checked_broadcast(buckets, 500_000), "key").select("key", "cls", "hub", "count"))
-    forgotten(buckets)
-    freed(members.sparkSession)
-    if regs is None:
-        # All candidates go to verification: their texts are gathered in one scan.
-        pool = stored(texts_of(stored(shared.select("cls").distinct())).select("cls", "text"))
-        texts_of = lambda wanted: pool.join(wanted, "cls", "left_semi")
-    stars = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    stars = stars.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").where(_sizes_fit(settings)).select(*columns)
-    tried = stored(likely(stars))
-    links = stored(_verified(tried, texts_of, settings))
-    roots = connected(links)
-
-    # Buckets with several components: first, in turns, pairs that would span each bucket's components, as most of them
-    # grow together; then every likely pair across what is still apart.
-    for turn in (*range(TURNS), None):
-        open_ = _open_members(shared, roots, sizes)
+            rank = np.argsort(-likely, kind="stable")
+            i, j = i[rank], j[rank]
+            new = [x for x in np.unique(np.concatenate([i, j])).tolist() if x not in sets]
+            for x, s in zip(new, sets_of(texts.take(pa.array(order[new])), settings) if new else [], strict=True):
+                sets[x] = s
+            before = len(links)
+            for p, q, x, y in zip(i.tolist(), j.tolist(), root[i].tolist(), root[j].tolist(), strict=True):
+                rx, ry = find(x), find(y)
+                if rx != ry and meets(sets[p], sets[q], settings):
+                    up[rx] = ry
+                    links.append((x, y))
+            if len(links) > before:
+                names, back = np.unique(root, return_inverse=True)
+                joined = np.array([find(x) for x in names.tolist()])[back]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    whole = rows.join(pool.select("cls", "n", "regs", "text"), "cls")
+    return whole.withColumn("shard", F.pmod("place", F.lit(shards))).groupBy("shard").applyInArrow(run, "a long, b long")
+
+
+def linked(shared: DataFrame, pool_of: Callable[[DataFrame], DataFrame], settings: Settings) -> DataFrame:
+    """(node, root) of the classes with links. shared: key, cls, from `shared_keys`; pool_of: from classes (cls) to
+    one row of each, cls, n, regs, text."""
+    found = stored(shared)
+    buckets = found.groupBy("key").agg(F.min("cls").alias("hub"))
+    shared = stored(found.join(buckets, "key"))
+    forgotten(found)
+    # A class is compared first with the hub that it shares most bands with.
+    votes = shared.where("cls <> hub").select("cls", "hub").repartition("cls").groupBy("cls", "hub").agg(F.count("*").alias("bands"))
+    stars = stored(votes.groupBy("cls").agg(F.max(F.struct("bands", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("cls").alias("b")))
+    pool = stored(pool_of(shared.select("cls").distinct()))
+    roots = connected(_star_links(stars, pool, settings))
+    for every in (False, True):
+        open_ = _open_members(shared, roots, pool, settings)
         if not open_.limit(1).count():
             break
-        if regs is None:
-            regs = _registers_of(texts_of(stored(open_.select("cls").distinct())), settings)
-        pairs = _pairs_across(open_.join(regs.select("cls", "regs"), "cls"), settings, turn)
-        across = stored(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*columns))
-        if not across.limit(1).count():
-            continue
-        more = stored(_verified(across, texts_of, settings))
+        rows, shards = _placed(open_, every)
+        more = stored(_links_across(rows, shards, pool, settings))
+        forgotten(open_)
         if more.limit(1).count():
-            links = links.union(more)
-            roots = connected(links)
-        tried = tried.select(*columns).union(across)
+            roots = followed(roots, connected(more))
     return roots
 
 
-def _open_members(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of buckets with several components: key, cls, hub, count, root, few, n, minor."""
-    labelled = shared.where("count > 2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    split = parts.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    split = stored(split.select("key", F.col("most.root").alias("major"), (F.col("all") - F.col("most.rows")).alias("few")))
-    return stored(labelled.join(split, "key").join(sizes, "cls").withColumn("minor", F.col("root") != F.col("major")))
-
-
-def _registers_of(texts: DataFrame, settings: Settings) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, data, offsets in shingles.text_slices(batch.column(1)):
-                h, first = settings.shingle(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(first) - 1), _fixed(settings.sketch(h, first))], ["cls", "regs"])
-
-    return stored(texts.select("cls", "text").mapInArrow(run, "cls long, regs binary"))
-
-
 def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
     """(id, text) -> id, row, tkey, n, first_id, first_row: the smallest (id, row) of each row's component.
 
@@ -315,17 +358,21 @@ def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
     keys = stored(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(order).alias("first"))).select("n", "k1", "k2", "first", F.col("first.row").alias("cls"))
     classes = stored(rows.join(keys.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls"))
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        known = stored(classes.join(wanted, "cls", "left_semi").select("cls", F.col("id").alias("_id"), F.col("tkey").alias("_tkey")))
+    def pool_of(wanted: DataFrame) -> DataFrame:
+        known = stored(classes.join(wanted, "cls", "left_semi").select("cls", "n", "regs", F.col("id").alias("_id"), F.col("tkey").alias("_tkey")))
         texts = items.withColumn("tkey", F.xxhash64("text"))
-        texts = texts.join(checked_broadcast(known, 200_000), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", "text")
-        return texts.dropDuplicates(["cls"]) if repeats else texts
+        texts = texts.join(checked_broadcast(known.select("cls", "_id", "_tkey")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", "text")
+        return known.select("cls", "n", "regs").join(texts.dropDuplicates(["cls"]) if repeats else texts, "cls")
 
-    roots = linked(classes.select("cls", F.explode("bands").alias("key")), classes.select("cls", "n"), texts_of, settings, classes.select("cls", "n", "regs"))
-    placed = stored(keys.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    shared = shared_keys(classes.select("cls", "regs"), lambda regs: settings.keys(registers_of(regs)), classes.count(), settings.bands)
+    roots = linked(shared, pool_of, settings)
+    forgotten(classes)
+    placed = keys.join(roots.select(F.col("node").alias("cls"), "root"), "cls")
     firsts = placed.groupBy("root").agg(F.min("first").alias("least"))
-    known = placed.join(firsts, "root").select("n", "k1", "k2", "least")
-    return rows.join(known, ["n", "k1", "k2"], "left").select(
+    moved = stored(placed.select("n", "k1", "k2", "root").join(checked_broadcast(stored(firsts)), "root").select("n", "k1", "k2", "least"))
+    alone = keys.join(moved, ["n", "k1", "k2"], "left_anti").select("n", "k1", "k2", F.col("first").alias("least"))
+    known = stored(moved.unionByName(alone))
+    return rows.drop("regs").join(known, ["n", "k1", "k2"], "left").select(
         "id",
         "row",
         "tkey",
@@ -343,7 +390,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reach, null ids last; the row that has it is kept (of rows repeating an id and a text, one). An empty table gives
     no rows; other columns are ignored.
     """
-    found = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), _word_settings(width, share_num, share_den))
+    found = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), word_settings(width, share_num, share_den))
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

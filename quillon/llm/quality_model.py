@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     marked = stored(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learn).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("double").alias("label")))
     total = marked.count()
     chosen = marked.where(row_hash(id_col) < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 60)))).select(F.col(id_col).alias("_id"), "label")
-    some = docs.join(checked_broadcast(chosen, 2 * sample), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "label")
+    some = docs.join(checked_broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "label")
     data = stored(with_statistics(some, "text", [F.col("label")]).repartition(6))
     seen = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     if len(seen) < 2:

@@ -50,10 +50,10 @@ def sketches(elements: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.
     return np.clip(k, 0, TOP).astype(np.uint16).reshape(sets, m)
 
 
-def bands(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(registers: np.ndarray, rows: int = ROWS, most: int = BANDS) -> np.ndarray:
     """A 64-bit hash of each band of `rows` register values and the band's number."""
     sets, m = registers.shape
-    part = registers[:, : min(m - m % rows, rows * BANDS)].astype(np.uint64).reshape(sets, -1, rows)
+    part = registers[:, : min(m - m % rows, rows * most)].astype(np.uint64).reshape(sets, -1, rows)
     h = np.tile(mixed(np.arange(1, part.shape[1] + 1, dtype=np.uint64)), (sets, 1))
     for k in range(rows):
         h = mixed(h * U64(0x9E3779B97F4A7C15) + part[:, :, k] + U64(k + 1))

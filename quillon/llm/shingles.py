@@ -12,10 +12,10 @@ SLICE_BYTES = 300_000
 
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)
+#: Bytes as they are hashed: upper-case letters as lower-case ones.
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[65:91] = LOWER[97:123]
 _rng = np.random.default_rng(20_240_229)
-#: A random number for each byte, with upper-case letters as lower-case ones.
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-BYTE[65:91] = BYTE[97:123]
 #: Multipliers of the words of a shingle.
 PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
 SPACE = np.zeros(256, bool)
@@ -78,10 +78,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = powers(n + 1)
+    # Each (byte, place in its word) has a random number of its own and a word the sum of its bytes' numbers, so words
+    # that repeat a pattern are no likelier to collide than others.
+    place = np.where(inside, np.arange(n) - starts[np.maximum(np.cumsum(inside & (~before | edge[:-1])) - 1, 0)], 0) if len(starts) else np.zeros(n, np.int64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * up[:n], out=sums[1:])
-    h = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(mixed(LOWER[data] + (place.astype(np.uint64) << U64(8)) + ODD), out=sums[1:])
+    h = mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
     return h, np.searchsorted(starts, offsets)
 
 
@@ -109,20 +111,20 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tupl
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
 
 
-#: Bits of a character shingle's hash that are kept, the upper ones: a slice's texts are numbered in the others.
-KEPT_BITS = 44
+#: Bits of a hash that numbers to be sorted have room for, the upper ones; a slice's texts are numbered in the others.
+SORT_BITS = 44
 
 
 def character_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Like `word_shingles`, over `width` consecutive code points; a shorter text is one shingle. All texts of a slice are
-    sorted at once, as numbers made of text and hash: fewer than 2**20 texts of a slice hold a byte."""
+    sorted at once, by text and hash: fewer than 2**20 texts of a slice hold a byte. Hashes have all their 64 bits."""
     points = np.frombuffer(bytes(data).decode("utf-8").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     first = lead[offsets]
     n = np.diff(first)
     filled = np.flatnonzero(n)
     total = len(points)
-    values = points.astype(np.uint64) * ODD
+    values = mixed(points.astype(np.uint64) + ODD)
     full = np.zeros(max(total - width + 1, 0), np.uint64)
     if total >= width:
         for k in range(width):
@@ -134,8 +136,15 @@ def character_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tup
     short = np.flatnonzero(count == 0)
     alone = np.array([(values[first[i] : first[i + 1]] * PLACE[: n[i]]).sum(dtype=np.uint64) + U64(n[i]) for i in filled[short]], np.uint64)
     owner, hashes = np.concatenate([owner, short]).astype(np.uint64), np.concatenate([full[at], mixed(alone)])
-    packed = np.sort((owner << U64(KEPT_BITS)) | (hashes >> U64(64 - KEPT_BITS)))
-    packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])] if len(packed) else packed
+    packed = (owner << U64(SORT_BITS)) | (hashes >> U64(64 - SORT_BITS))
+    order = np.argsort(packed)
+    packed, owner, hashes = packed[order], owner[order], hashes[order]
+    tied = packed[1:] == packed[:-1]
+    if (tied & (hashes[1:] != hashes[:-1])).any():  # the lower bits decide
+        order = np.lexsort((hashes, owner))
+        owner, hashes = owner[order], hashes[order]
+        tied = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
+    fresh = np.concatenate([[True], ~tied]) if len(hashes) else np.zeros(0, bool)
     counts = np.zeros(len(n), np.int64)
-    counts[filled] = np.bincount((packed >> U64(KEPT_BITS)).astype(np.int64), minlength=len(filled))
-    return packed << U64(64 - KEPT_BITS), np.concatenate([[0], np.cumsum(counts)])
+    counts[filled] = np.bincount(owner[fresh].astype(np.int64), minlength=len(filled))
+    return hashes[fresh], np.concatenate([[0], np.cumsum(counts)])

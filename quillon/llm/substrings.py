@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import shingles
-from quillon.llm.common import forgotten, freed, ship_package, stored, text_or_empty
+from quillon.llm.common import forgotten, ship_package, stored, text_or_empty
 from quillon.llm.mixing import row_hash
 from quillon.llm.shingles import U64, mixed
 from quillon.llm.suffixes import RAW, permuted_common_prefixes, suffix_array
@@ -195,7 +195,6 @@ def _edges(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("ord", pa.int64()), ("n", pa.int64()), ("raw", pa.binary())]))
 
     strings = stored(rows.join(by_doc, ["ord", "tkey"]).select("ord", "text", "s").mapInArrow(cut, "key long, whole long, ord long, n long, raw binary"))
-    freed(rows.sparkSession)
     total = strings.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
@@ -239,13 +238,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship_package(spark)
     rows = numbered(docs, id_col, text_col)
     shared = _shared_places(rows, length, gram)
-    freed(spark)
     found = _segments_at(rows, shared, length, gram)
     forgotten(shared)
-    freed(spark)
     distinct = stored(found.groupBy("key", "whole").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.min(F.struct("ord", "tkey", "lo", "size")).alias("rep")))
     edges = _edges(rows, distinct, length)
-    freed(spark)
     # One join of the segments with what is known of them. Only the first document of a segment has its windows judged
     # one by one; in later ones all are covered.
     known = distinct.select("key", "whole", "first", "last").join(edges, ["key", "whole"], "left").where("first < last OR spans IS NOT NULL")
@@ -255,7 +251,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = judged.select("ord", "tkey", "lo", F.explode(own).alias("s")).select("ord", "tkey", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"))
     spans = stored(covered.groupBy("ord", "tkey").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     forgotten(found, distinct, edges)
-    freed(spark)
     return spans
 
 

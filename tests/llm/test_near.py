@@ -67,17 +67,50 @@ def test_components_match_brute_force(spark, block, monkeypatch):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), root, root == i)
 
 
-def test_a_bucket_of_exactly_a_step_of_pairs(spark):
-    """200 left rows meet 250 right ones: near.STEP pairs in one place, of which none may be left out."""
-    few, count = 200, 250
-    assert few * count == near.STEP and count <= near.BLOCK
-    settings = near._word_settings(5, 85, 100)
+def test_a_bucket_of_exactly_a_step_of_pairs(spark, monkeypatch):
+    """Linked in pairs only: 40 left rows meet 50 right ones, a step of pairs in one place, of which none may be left out."""
+    monkeypatch.setattr(near, "STEP", 2_000)
+    settings = near.word_settings(5, 85, 100)
+    texts = [f"a{k} " * 2 + " ".join(f"w{k}_{j}" for j in range(60)) for k in range(40)]
+    h, first = settings.shingle(*_bytes(texts))
     regs = np.ones((1, setsketch.REGISTERS), np.uint16)
-    key = int(setsketch.bands(regs, settings.rows).view(np.int64)[0, 0])
-    rows = [(key, i, 100, i if i < few else count, count - 1, regs.tobytes(), count, i < few, few) for i in range(count)]
-    members = spark.createDataFrame(rows, "key long, cls long, n long, root long, hub long, regs binary, count long, minor boolean, few long")
-    got = {(r.a, r.b) for r in near._pairs_across(members, settings, None).collect()}
-    assert got == {(i, j) for i in range(few) for j in range(i + 1, count - 1)}
+    key = int(settings.keys(regs).view(np.int64)[0, 0])
+    rows = [(1, 1, key, i, i, True) for i in range(40)] + [(1, 0, key, 100 + i, 100 + i, False) for i in range(50)]
+    pool = [(r[3], 60, regs.tobytes(), texts[r[3] % 100] if r[3] % 100 < 40 else "other words that have no link at all " + str(r[3])) for r in rows]
+    got = near._links_across(spark.createDataFrame(rows, "place long, side int, key long, cls long, root long, minor boolean"), 1, spark.createDataFrame(pool, "cls long, n long, regs binary, text string"), settings)
+    assert {(r.a, r.b) for r in got.collect()} == {(i, 100 + i) for i in range(40)}
+
+
+def _bytes(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_words_that_repeat_a_pattern_have_hashes_of_their_own():
+    """Thue-Morse words and their complements: a sum of bytes times powers of one odd base is equal for them."""
+    for size in (512, 1024, 2048, 4096):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        h, first = shingles.word_hashes(*_bytes([a, a.translate(str.maketrans("ab", "ba")), a.upper()]))
+        assert h[0] != h[1] and h[0] == h[2] and first.tolist() == [0, 1, 2, 3]
+
+
+def test_shared_keys(spark, monkeypatch):
+    """Every class of a key that two classes or more have, however the classes are dealt to tasks and shards."""
+    monkeypatch.setattr(near, "SHARD_KEYS", 500)
+    monkeypatch.setattr(near, "FLUSH_KEYS", 200)
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    values = {c: rng.choice(keys[: 40 if c % 3 else 400], 4).astype(np.uint64) for c in range(600)}
+    values |= {c: np.append(x[:3], keys[0]) for c, x in values.items() if c % 2}
+    df = spark.createDataFrame([(c, x.tobytes()) for c, x in values.items()], "cls long, raw binary").repartition(3)
+    got = {}
+    for r in near.shared_keys(df, lambda raw: np.stack([np.frombuffer(x.as_py(), np.uint64) for x in raw]), 600, 4).collect():
+        got.setdefault(r.key, set()).add(r.cls)
+    want = {}
+    for c, x in values.items():
+        for k in x.tolist():
+            want.setdefault(k, set()).add(c)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
 def test_awkward(spark):
