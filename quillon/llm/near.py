@@ -355,8 +355,10 @@ def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
     rows = stored(sketched(items, settings))
     repeats = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    keys = stored(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(order).alias("first"))).select("n", "k1", "k2", "first", F.col("first.row").alias("cls"))
-    classes = stored(rows.join(keys.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls"))
+    keys = stored(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("rows"))).select("n", "k1", "k2", "first", F.col("first.row").alias("cls"), "rows")
+    # The rows that stand for no class are few, so that the registers of the others need not travel.
+    others = rows.select("row", "n", "k1", "k2").join(keys.where("rows > 1").select("n", "k1", "k2", "cls"), ["n", "k1", "k2"]).where("row <> cls").select("row")
+    classes = stored(rows.where("n > 0").join(checked_broadcast(stored(others)), "row", "left_anti").withColumnRenamed("row", "cls"))
 
     def pool_of(wanted: DataFrame) -> DataFrame:
         known = stored(classes.join(wanted, "cls", "left_semi").select("cls", "n", "regs", F.col("id").alias("_id"), F.col("tkey").alias("_tkey")))
