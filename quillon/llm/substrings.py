@@ -1,10 +1,11 @@
 """Removal of long byte strings that other documents hold too, by suffix arrays over shards of candidate strings.
 
 Every window of LENGTH bytes has an anchor, its GRAM-byte string of least hash; equal windows have equal anchors. The
-consecutive windows with one anchor make a segment of at most 2 * LENGTH bytes. So two documents share a window only if
-they share an anchor, and inside a long shared passage whole segments are equal. What is left are segments that share
-an anchor and differ, at the edges of passages: their suffix arrays, built shard by shard with induced sorting, give by
-permuted common prefixes which of their windows are equal.
+consecutive windows with one anchor make a segment of at most 2 * LENGTH bytes, so documents share a window only if they
+share an anchor. Segments are dealt by anchor. Equal segments are combined first, in each task and then by anchor: in all
+but the first document that holds one, every byte of it goes. What is left are different segments with one anchor, at
+the edges of passages. Their texts are dealt to shards by anchor, and each shard's suffix array, built by induced
+sorting, gives with its permuted common prefixes the windows that an earlier document holds too.
 """
 
 from __future__ import annotations
@@ -14,28 +15,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import shingles
 from quillon.llm.common import forgotten, ship_package, stored, text_or_empty
 from quillon.llm.mixing import row_hash
-from quillon.llm.shingles import U64, mixed
-from quillon.llm.suffixes import RAW, permuted_common_prefixes, suffix_array
+from quillon.llm.shingles import ODD, U64, mixed
+from quillon.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 24
-#: Bytes of segments in a shard; segments of one anchor beyond which they are compared by window hashes instead.
-SHARD_BYTES, HOT = 400_000, 2_000
-#: Documents, about, in the sample that finds frequent anchors, and how often an anchor must occur there.
+#: Segments that are dealt together, segments in a shard of anchors, and bytes of text in a shard of strings.
+FLUSH, SHARD_SEGMENTS, SHARD_BYTES = 600_000, 1_000_000, 3_000_000
+#: Documents, about, in the sample that finds frequent anchors, and in how many of them such an anchor occurs.
 HEAVY_SAMPLE, HEAVY = 4_000, 40
 #: In place of a null id: such a document comes after all others.
 LAST = 2**63 - 1
 
 SALT = U64(0x2545F4914F6CDD1D)
+#: A random number for each byte.
+RAW = np.random.default_rng(50_331_653).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document, first byte in it, bytes, anchor hash, segment hash) of every segment of the documents."""
+def offset_ranges(width: int) -> list[tuple[int, int]]:
+    """0 .. width - 1 in ranges that are short at both ends and double towards the middle."""
+    low, size, out = 0, 1, []
+    while low + size <= width // 2:
+        out.append((low, low + size - 1))
+        low, size = low + size, 2 * size
+    mirrored = [(width - 1 - b, width - 1 - a) for a, b in reversed(out)]
+    return out + ([(low, width - 1 - low)] if 2 * low < width else []) + mirrored
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(document, first byte in it, bytes, anchor hash, hash of its bytes) of every segment of the documents.
+
+    The segments of a frequent anchor (sorted hashes) are split by where in the window the anchor stands, and get a
+    longer key: all that the windows of a part have in common, on both sides of the anchor. So strings that share an
+    anchor by the million, but differ around it, are dealt by what is around it."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
@@ -61,82 +77,168 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     begin = np.flatnonzero(begins & inside)
     # A segment ends at the next one, or where its document's windows end.
     doc = np.searchsorted(offsets, begin, "right") - 1
-    end = np.minimum(np.append(begin[1:], n), offsets[doc + 1] - length + 1) - 1 + length
-    whole = mixed(((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)) ^ SALT)
-    return doc, begin - offsets[doc], end - begin, least[begin], whole
+    last = np.minimum(np.append(begin[1:], n), offsets[doc + 1] - length + 1) - 1  # first byte of the last window
+    key = least[begin]
+    if frequent is not None and len(frequent) and len(key):
+        often = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
+        at = begin[often].copy()  # the anchor's place: the first one with its hash
+        for _ in range(width):
+            at += h[np.minimum(at, len(h) - 1)] != key[often]
+        parts = [(doc[~often], begin[~often], last[~often], key[~often])]
+        for x, y in offset_ranges(width):
+            a, b = np.maximum(begin[often], at - y), np.minimum(last[often], at - x)
+            some = a <= b
+            a, b, c = a[some], b[some], at[some]
+            common = (sums[c + length - y] - sums[c - x]) * down[c - x]
+            parts.append((doc[often][some], a, b, mixed(common ^ mixed(np.array([SALT]) + U64(x)))))
+        doc, begin, last, key = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(begin, kind="stable")
+        doc, begin, last, key = doc[order], begin[order], last[order], key[order]
+    end = last + length
+    # A hash of the bytes, eight at a time.
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(n + 1, np.dtype("<u8"), padded.data, 0, (1,))
+    whole = mixed((end - begin).astype(np.uint64) + SALT)
+    for k in range(0, int((end - begin).max(initial=0)), 8):
+        rest = np.clip(end - begin - k, 0, 8).astype(np.uint64)
+        word = eight[np.minimum(begin + k, n)] & np.where(rest == 8, ~U64(0), (U64(1) << (rest * U64(8))) - U64(1))
+        whole = np.where(rest > 0, mixed(whole + word * ODD), whole)
+    return doc, begin - offsets[doc], end - begin, key, whole
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """(ord, tkey, text: the id, null last, a hash of the text, and the text; the columns that tell rows apart)."""
+    kind = docs.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must hold whole numbers, whose order says which document comes first; it is {kind}")
+    text = text_or_empty(text_col)
+    ord_ = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    repeats = docs.select(ord_.alias("ord")).groupBy("ord").count().where("count > 1").limit(1).count() > 0
+    tkey = F.xxhash64(text) if repeats else F.lit(0).cast("long")
+    return docs.select(ord_.alias("ord"), tkey.alias("tkey"), text.alias("text")), ["ord", "tkey"] if repeats else ["ord"]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _frequent(rows: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Hashes of the anchors of at least HEAVY documents of a sample: at most the sample's anchors / HEAVY."""
 
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in shingles.text_slices(batch.column(1)):
+                doc, _, _, key, _ = segments(data, offsets, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[first + doc])], ["key", "ord"])
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """ord, tkey, text: the id (null last), a hash of the text, and the text."""
-    text = text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-
-
-def _shared_places(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """ord, places: where segments begin whose anchor occurs in another document too."""
-
-    def anchors(frequent: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ords = batch.column(0).to_numpy()
-                for first, data, offsets in shingles.text_slices(batch.column(1)):
-                    doc, lo, _, key, _ = segments(data, offsets, length, gram)
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-                        known = frequent[at] == key
-                        key = np.where(known, mixed(key ^ mixed(ords[first + doc].astype(np.uint64) + lo.astype(np.uint64))), key)
-                        lo = np.where(known, -1 - lo, lo)
-                    yield pa.RecordBatch.from_arrays([_signed(key), pa.array(ords[first + doc]), pa.array(lo.astype(np.int32))], ["key", "ord", "lo"])
-
-        return run
-
-    kind = "key long, ord long, lo int"
-    rows = rows.select("ord", "text")
-    # Anchors that are frequent in a bounded sample and occur in two documents of it are known to be shared: at most
-    # the sample's anchors / HEAVY. Their rows have a key of their own and a negative place, so that no key is held by a
-    # large share of the rows.
     share = min(1.0, HEAVY_SAMPLE / max(rows.count(), 1))
-    sample = rows.where(row_hash("ord") < F.lit(int(share * (1 << 60)))).mapInArrow(anchors(np.zeros(0, np.uint64)), kind)
-    heavy = sample.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("a"), F.max("ord").alias("b")).where((F.col("n") >= HEAVY) & (F.col("a") < F.col("b"))).select("key")
-    frequent = np.sort(np.array([r["key"] for r in heavy.collect()], np.int64).view(np.uint64))
-    # One exchange, and windows over it: an anchor's rows are few, as the frequent ones have keys of their own.
-    dealt = rows.mapInArrow(anchors(frequent), kind).repartition("key")
-    own = W.partitionBy("key")
-    marked = dealt.withColumns({"a": F.min("ord").over(own), "b": F.max("ord").over(own)})
-    places = marked.where("a < b OR lo < 0").select("ord", F.when(F.col("lo") < 0, -1 - F.col("lo")).otherwise(F.col("lo")).alias("lo"))
-    return stored(places.groupBy("ord").agg(F.collect_set("lo").alias("places")))
-
-
-def _segments_at(rows: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
-    """ord, tkey, lo, size, key, whole of the segments at the shared places."""
+    sample = rows.where(row_hash("ord") < F.lit(int(share * (1 << 60)))).select("ord", "text").mapInArrow(anchors, "key long, ord long")
+    heavy = sample.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY)
+    return np.sort(np.array([r["key"] for r in heavy.collect()], np.int64).view(np.uint64))
+
+
+FOUND = "covered boolean, ord long, tkey long, lo array<int>, size array<int>, key array<bigint>"
+
+
+def by_document(covered: bool, ord_: np.ndarray, tkey: np.ndarray, lo: np.ndarray, size: np.ndarray, key: np.ndarray | None = None) -> pa.Table:
+    """Rows of FOUND, one for each document. Of covered places, those that overlap or touch are made one."""
+    order = np.lexsort((lo, tkey, ord_))
+    ord_, tkey, lo, size = ord_[order], tkey[order], lo[order].astype(np.int64), size[order].astype(np.int64)
+    key = np.zeros(len(lo), np.int64) if key is None else key[order]
+    new = np.append(True, (ord_[1:] != ord_[:-1]) | (tkey[1:] != tkey[:-1]))[: len(lo)]
+    if covered and len(lo):
+        group = np.cumsum(new) - 1
+        far = int((lo + size).max()) + 1
+        reach = np.maximum.accumulate(group * far + lo + size)  # documents one after the other
+        fresh = new | np.append(True, (group * far + lo)[1:] > reach[:-1])
+        end = reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(lo) - 1)] - group[fresh] * far
+        ord_, tkey, lo, key, new = ord_[fresh], tkey[fresh], lo[fresh], key[fresh], new[fresh]
+        size = end - lo
+    cut = np.append(np.flatnonzero(new), len(lo)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (lo.astype(np.int32), size.astype(np.int32), key)]
+    first = cut[:-1]
+    return pa.table([pa.array(np.full(len(first), covered)), pa.array(ord_[first]), pa.array(tkey[first]), *lists], ["covered", "ord", "tkey", "lo", "size", "key"])
+
+
+BLOB = {"ord": np.int64, "tkey": np.int64, "lo": np.int32, "size": np.int32, "key": np.uint32, "whole": np.uint64}
+
+
+def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """FOUND: covered, places whose bytes an earlier document holds as a whole segment; otherwise, the segments to be
+    compared in suffix arrays, those of each anchor that has different ones, in the first document that holds them."""
+    frequent = _frequent(rows, length, gram)
+    shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (SHARD_SEGMENTS * (length - gram + 2) // 2)))
+    names = ["shard", "covered", *BLOB]
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ord_, tkey, lo, size, key, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+        both = mixed(key + mixed(whole))
+        order = np.argsort(both)
+        new = np.append(True, both[order][1:] != both[order][:-1])
+        least = np.minimum.reduceat(ord_[order], np.flatnonzero(new))
+        later = np.zeros(len(ord_), bool)
+        later[order] = ord_[order] > least[np.cumsum(new) - 1]
+        shard = ((key >> U64(32)) % U64(shards)).astype(np.int64)
+        own = np.flatnonzero(~later)
+        own = own[np.argsort(shard[own], kind="stable")]
+        cut = np.searchsorted(shard[own], np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(cut))
+        columns = dict(zip(BLOB, (ord_, tkey, lo, size, key & U64(0xFFFFFFFF), whole), strict=True))
+        blobs = {c: [columns[c][own[cut[s] : cut[s + 1]]].astype(k).tobytes() for s in some] for c, k in BLOB.items()}
+        if later.any():
+            for c, k in BLOB.items():
+                blobs[c].append(columns[c][later].astype(k).tobytes() if c in ("ord", "tkey", "lo", "size") else b"")
+            some = np.append(some, int(ord_[0]) % shards)
+        covered = np.arange(len(some)) >= len(some) - int(later.any())
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(covered), *(pa.array(b, pa.binary()) for b in blobs.values())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
             ords, tkeys = (batch.column(i).to_numpy() for i in (0, 1))
-            lists = batch.column(3)
-            flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             for first, data, offsets in shingles.text_slices(batch.column(2)):
-                doc, lo, size, key, whole = segments(data, offsets, length, gram)
-                count = np.diff(starts[first : first + len(offsets)])
-                wanted = flat[starts[first] : starts[first + len(offsets) - 1]].astype(np.int64) + np.repeat(offsets[:-1], count)
-                on = np.zeros(len(data) + 1, bool)
-                on[wanted[wanted < len(data)]] = True  # rows with one id share their places
-                pick = on[lo + offsets[doc]]
-                doc, lo, size, key, whole = (x[pick] for x in (doc, lo, size, key, whole))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ords[first + doc]), pa.array(tkeys[first + doc]), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), _signed(key), _signed(whole)], ["ord", "tkey", "lo", "size", "key", "whole"]
-                )
-
-    return stored(rows.join(shared, "ord").mapInArrow(run, "ord long, tkey long, lo int, size int, key long, whole long"))
-
-
-def covered_windows(parts: list[bytes], owners: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """Of strings with owners, the ranges covered by windows of `length` bytes that a string with a smaller owner has
-    too: one suffix array over all of them."""
+                doc, lo, size, key, whole = segments(data, offsets, length, gram, frequent)
+                if len(doc):
+                    held.append((ords[first + doc], tkeys[first + doc], lo, size, key, whole))
+                    n += len(doc)
+                if n >= FLUSH:
+                    yield from dealt(held)
+                    held, n = [], 0
+        if held:
+            yield from dealt(held)
+
+    def find(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        done = table.column("covered").to_numpy()
+        read = lambda t, c: np.frombuffer(b"".join(x.as_py() for x in t.column(c)), BLOB[c])
+        early = table.filter(pa.array(done))
+        gone = [[read(early, c) for c in ("ord", "tkey", "lo", "size")]]
+        table = table.filter(pa.array(~done))
+        key = read(table, "key")
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)] if len(key) else order
+        wanted = []
+        if len(order):
+            ord_, tkey, lo, size, whole = (read(table, c)[order] for c in ("ord", "tkey", "lo", "size", "whole"))
+            key = key[order]
+            order = np.lexsort((ord_, whole, key))
+            ord_, tkey, lo, size, whole, key = (x[order] for x in (ord_, tkey, lo, size, whole, key))
+            anchor = np.append(True, key[1:] != key[:-1])
+            string = anchor | np.append(True, whole[1:] != whole[:-1])
+            first = ord_[np.flatnonzero(string)][np.cumsum(string) - 1]
+            later = ord_ > first
+            gone.append([x[later] for x in (ord_, tkey, lo, size)])
+            kinds = np.add.reduceat(string.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
+            least, most = (f.reduceat(first, np.flatnonzero(anchor))[np.cumsum(anchor) - 1] for f in (np.minimum, np.maximum))
+            on = ~later & (kinds > 1) & (least < most)
+            wanted = [by_document(False, ord_[on], tkey[on], lo[on], size[on], (np.int64(shard) << 32) | key[on].astype(np.int64))]
+        return pa.concat_tables([by_document(True, *(np.concatenate(x) for x in zip(*gone, strict=True))), *wanted])
+
+    blobs = rows.mapInArrow(run, "shard int, covered boolean, " + ", ".join(f"{c} binary" for c in BLOB))
+    return blobs.groupBy("shard").applyInArrow(find, FOUND)
+
+
+def covered_windows(parts: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, from, until): of strings with owners, the ranges covered by windows of `length` bytes that a string
+    with a smaller owner has too: one suffix array over all of them."""
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
@@ -149,108 +251,89 @@ def covered_windows(parts: list[bytes], owners: np.ndarray, length: int) -> list
     left[place] = ends[of] - 1 - place
     string = np.zeros(len(text), np.int64)
     string[place] = of
-    sa = suffix_array(text, length)
-    common = np.minimum(permuted_common_prefixes(text, sa, length), left)
+    sa = suffix_array(text)
+    common = np.minimum(permuted_common_prefixes(text, sa), left)
     usable = sa[left[sa] >= length]
     # Suffixes too short for a window never stand between two equal windows.
     new = common[usable] < length
     new[0:1] = True
     runs = np.flatnonzero(new)
-    out: list[list[tuple[int, int]]] = [[] for _ in parts]
     if not len(usable):
-        return out
+        return usable, usable, usable
     least = np.minimum.reduceat(owners[string[usable]], runs)
     hit = np.sort(usable[np.repeat(least, np.diff(np.append(runs, len(usable)))) < owners[string[usable]]])
-    if len(hit):
-        cut = np.concatenate([[True], np.diff(hit) > 1])
-        a = hit[cut]
-        b = np.concatenate([hit[np.flatnonzero(cut)[1:] - 1], hit[-1:]]) + length
-        for s, x, y in zip(string[a].tolist(), (a - begins[string[a]]).tolist(), (b - begins[string[a]]).tolist(), strict=True):
-            out[s].append((x, y))
-    return out
-
-
-SPANS = "array<struct<a:int,b:int>>"
-SPANS_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    cut = np.append(True, np.diff(hit) > 1)[: len(hit)]
+    a, b = hit[cut], hit[np.append(cut[1:], True)[: len(hit)]] + length
+    return string[a], a - begins[string[a]], b - begins[string[a]]
 
 
-def _edges(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
-    """key, whole, spans: of segments that share an anchor with different ones, what windows from documents smaller
-    than the segment's first cover."""
-    several = distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = distinct.join(several, "key").select("rep.ord", "rep.tkey", F.struct(F.col("rep.lo").alias("lo"), F.col("rep.size").alias("size"), "key", "whole", "n").alias("s"))
-    by_doc = wanted.groupBy("ord", "tkey").agg(F.collect_list("s").alias("s"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "whole", "ord", "n", "raw")}
-            for o, text, some in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                data = text.as_py().encode()
-                for s in some.as_py():
-                    out["key"].append(s["key"])
-                    out["whole"].append(s["whole"])
-                    out["ord"].append(o.as_py())
-                    out["n"].append(s["n"])
-                    out["raw"].append(data[s["lo"] : s["lo"] + s["size"]])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("ord", pa.int64()), ("n", pa.int64()), ("raw", pa.binary())]))
-
-    strings = stored(rows.join(by_doc, ["ord", "tkey"]).select("ord", "text", "s").mapInArrow(cut, "key long, whole long, ord long, n long, raw binary"))
-    total = strings.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0
+def _edges(rows: DataFrame, unique: list[str], found: DataFrame, length: int) -> DataFrame:
+    """FOUND, covered: what suffix arrays find in the segments that `found` leaves to them."""
+    wanted = found.where("NOT covered")
+    total = wanted.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
+    lists = wanted.groupBy(unique).agg(F.collect_list(F.struct("lo", "size", "key")).alias("s"))
+    lists = lists.select(*unique, *(F.flatten(f"s.{c}").alias(c) for c in ("lo", "size", "key")))
+    kinds = {"ord": np.int64, "tkey": np.int64, "lo": np.int32, "size": np.int32}
+
+    def dealt(held: list[tuple[np.ndarray, ...]], raws: list[bytes]) -> Iterator[pa.RecordBatch]:
+        *columns, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        shard = (mixed(key.view(np.uint64)) % U64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cut = np.searchsorted(shard[order], np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(cut))
+        picks = [order[cut[s] : cut[s + 1]] for s in some]
+        blobs = [[x[p].astype(k).tobytes() for p in picks] for x, k in zip(columns, kinds.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs), pa.array([b"".join(raws[i] for i in p.tolist()) for p in picks], pa.binary())], ["shard", *kinds, "raw"])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        raws: list[bytes] = []
+        for batch in batches:
+            ords, tkeys = (batch.column(i).to_numpy() for i in (0, 1))
+            lo, size, key = (batch.column(i).flatten().to_numpy() for i in (3, 4, 5))
+            count = batch.column(3).value_lengths().to_numpy()
+            at = 0
+            for text, n in zip(batch.column(2), count.tolist(), strict=True):
+                data = text.as_buffer().to_pybytes()
+                raws += [data[a : a + k] for a, k in zip(lo[at : at + n].tolist(), size[at : at + n].tolist(), strict=True)]
+                at += n
+            held.append((np.repeat(ords, count), np.repeat(tkeys, count), lo, size, key))
+            if len(raws) >= FLUSH:
+                yield from dealt(held, raws)
+                held, raws = [], []
+        if raws:
+            yield from dealt(held, raws)
 
     def solve(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        spans = covered_windows(table.column("raw").to_pylist(), table.column("ord").to_numpy(), length)
-        some = np.array([bool(x) for x in spans])
-        spans = [[{"a": a, "b": b} for a, b in x] for x in spans if x]
-        return pa.table({"key": table.column("key").filter(pa.array(some)), "whole": table.column("whole").filter(pa.array(some)), "spans": pa.array(spans, SPANS_ARROW)})
-
-    cold = strings.where(F.col("n") <= HOT).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    solved = cold.select("shard", "key", "whole", "ord", "raw").groupBy("shard").applyInArrow(solve, f"key long, whole long, spans {SPANS}")
-
-    # An anchor with more segments than HOT is not brought to one shard: its windows are counted by their hashes.
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in shingles.text_slices(batch.column(3)):
-                up, down = shingles.powers(len(data) + 1)
-                sums = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(RAW[data] * up[: len(data)], out=sums[1:])
-                count = np.maximum(np.diff(offsets) - length + 1, 0)
-                row = np.repeat(np.arange(len(count)), count)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                x = (sums[offsets[row] + at + length] - sums[offsets[row] + at]) * down[offsets[row] + at]
-                pick = [batch.column(i).to_numpy()[first + row] for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, pick), pa.array(at.astype(np.int32)), _signed(mixed(x)), _signed(mixed(x ^ SALT))], ["key", "whole", "ord", "at", "h1", "h2"])
-
-    hot = strings.where(F.col("n") > HOT)
-    if not hot.limit(1).count():
-        return stored(solved)
-    each = stored(hot.select("key", "whole", "ord", "raw").mapInArrow(windows, "key long, whole long, ord long, at int, h1 long, h2 long"))
-    least = each.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("h1", "h2", "first")
-    found = each.join(least, ["h1", "h2"]).where("ord > first").groupBy("key", "whole").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).cast("int").alias("b"))).alias("spans"))
-    return stored(solved.unionByName(found))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """ord, tkey, spans: for documents with any, byte ranges covered by `length`-byte strings that also start in a
-    document with a smaller id. Ranges may overlap; ord and tkey are as in `numbered`."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = numbered(docs, id_col, text_col)
-    shared = _shared_places(rows, length, gram)
-    found = _segments_at(rows, shared, length, gram)
-    forgotten(shared)
-    distinct = stored(found.groupBy("key", "whole").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.min(F.struct("ord", "tkey", "lo", "size")).alias("rep")))
-    edges = _edges(rows, distinct, length)
-    # One join of the segments with what is known of them. Only the first document of a segment has its windows judged
-    # one by one; in later ones all are covered.
-    known = distinct.select("key", "whole", "first", "last").join(edges, ["key", "whole"], "left").where("first < last OR spans IS NOT NULL")
-    judged = found.join(known.select("key", "whole", "first", "spans"), ["key", "whole"])
-    all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
-    own = F.when(F.col("ord") > F.col("first"), all_of_it).otherwise(F.col("spans"))
-    covered = judged.select("ord", "tkey", "lo", F.explode(own).alias("s")).select("ord", "tkey", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"))
-    spans = stored(covered.groupBy("ord", "tkey").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    forgotten(found, distinct, edges)
+        ord_, tkey, lo, size = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), k) for c, k in kinds.items())
+        raw = b"".join(x.as_py() for x in table.column("raw"))
+        ends = np.cumsum(size.astype(np.int64))
+        seen: dict[bytes, int] = {}
+        of = np.array([seen.setdefault(raw[b - n : b], len(seen)) for b, n in zip(ends.tolist(), size.tolist(), strict=True)])
+        owners = np.full(len(seen), LAST)
+        np.minimum.at(owners, of, ord_)
+        string, a, b = covered_windows(list(seen), owners, length)
+        # The ranges of a string hold wherever it occurs.
+        first, last = np.searchsorted(string, of), np.searchsorted(string, of, "right")
+        item = np.repeat(np.arange(len(of)), last - first)
+        span = np.arange(len(item)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[item]
+        return by_document(True, ord_[item], tkey[item], lo[item] + a[span], b[span] - a[span])
+
+    strings = rows.join(lists, unique).select("ord", "tkey", "text", "lo", "size", "key")
+    blobs = strings.mapInArrow(cut_out, "shard int, ord binary, tkey binary, lo binary, size binary, raw binary")
+    return blobs.groupBy("shard").applyInArrow(solve, FOUND)
+
+
+def repeated_spans(rows: DataFrame, unique: list[str], length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """For rows of `numbered` with any: its unique columns and `s`, a list of lists of byte ranges (lo, size) covered by
+    `length`-byte strings that also start in a document with a smaller id. Ranges may overlap."""
+    ship_package(rows.sparkSession)
+    found = stored(_compared(rows, length, gram))
+    edges = _edges(rows, unique, found, length)
+    covered = found.where("covered").unionByName(edges).groupBy(unique).agg(F.collect_list(F.struct("lo", "size")).alias("s"))
+    spans = stored(covered.select(*unique, F.flatten("s.lo").alias("lo"), F.flatten("s.size").alias("size")))
+    forgotten(found)
     return spans
 
 
@@ -267,37 +350,34 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, n_bytes, n_removed, n_spans, and kept, the bytes that stay.
 
     Null text counts as empty. A document without an id comes after all others; rows with the same id take nothing from
-    each other. Judged on the input, so the first document to hold a string keeps it. An empty table gives no rows;
-    other columns are ignored.
+    each other. Ids are whole numbers; others raise an error. Judged on the input, so the first document to hold a string
+    keeps it. An empty table gives no rows; other columns are ignored.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram)
+    numbers, unique = numbered(docs, id_col, text_col)
+    spans = repeated_spans(numbers, unique, length, gram)
     kind = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
     arrow = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
     @F.arrow_udf(kind)
-    def cleaned(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, lists in parts:
-            flat = lists.flatten()
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            a, b = (flat.field(i).to_numpy() for i in (0, 1))
+    def cleaned(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, los, sizes in parts:
+            ends = np.concatenate([[0], np.cumsum(los.value_lengths().fill_null(0).to_numpy())])
+            a, size = los.flatten().to_numpy(), sizes.flatten().to_numpy()
             rows = []
             for k, t in enumerate(texts):
-                data, out, at = t.as_py().encode(), [], 0
+                data, out, at = t.as_buffer(), [], 0
                 some = slice(ends[k], ends[k + 1])
-                first, last = merged(a[some], b[some])
+                first, last = merged(a[some], a[some] + size[some])
                 for x, y in zip(first.tolist(), last.tolist(), strict=True):
                     out.append(data[at:x])
                     at = y
                 out.append(data[at:])
-                rows.append((len(data), int((last - first).sum()), len(first), b"".join(out)))
+                rows.append((data.size, int((last - first).sum()), len(first), b"".join(map(memoryview, out))))
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(arrow)], [n for n, _ in arrow])
 
-    rows = numbered(docs, id_col, text_col).join(spans, ["ord", "tkey"], "left")
-    return rows.select(_id_back(docs, id_col), cleaned("text", "spans").alias("_x")).select(id_col, "_x.*")
-
-
-def _id_back(docs: DataFrame, id_col: str) -> Column:
-    return F.when(F.col("ord") != LAST, F.col("ord")).cast(docs.schema[id_col].dataType).alias(id_col)
+    rows = numbers.join(spans, unique, "left")
+    own = F.when(F.col("ord") != LAST, F.col("ord")).cast(docs.schema[id_col].dataType)
+    return rows.select(own.alias(id_col), cleaned("text", "lo", "size").alias("_x")).select(id_col, "_x.*")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

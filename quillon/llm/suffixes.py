@@ -4,22 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillon.llm.shingles import U64, mixed, powers
-
-#: A byte table without case folding.
-RAW = np.random.default_rng(50_331_653).integers(1, 2**63, 258, dtype=np.uint64) | U64(1)
-
-
-class Hashes:
-    """Hashes of any substring of a text of small whole numbers, from prefix sums."""
-
-    def __init__(self, text: np.ndarray):
-        up, self.down = powers(len(text) + 1)
-        self.sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(RAW[text] * up[: len(text)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.down[start]
+#: Of a reduced text with more names than this, each is written as several digits, so that the buckets stay few.
+BASE = 2048
 
 
 def classified(text: np.ndarray) -> np.ndarray:
@@ -94,22 +80,33 @@ def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarra
     return sa
 
 
-def _ranked(names: np.ndarray, span: int, most: int) -> np.ndarray:
-    """Ranks of the suffixes of a text of names, told apart by `most` names at least: names of twice the span are made
-    of pairs, recursively, until all differ."""
-    if span >= most or len(names) < 2:
-        return names
-    after = np.zeros(len(names), np.int64)
-    after[:-span] = names[span:] + 1
-    _, pairs = np.unique(names * (int(names.max()) + 2) + after, return_inverse=True)
-    if int(pairs.max()) + 1 == len(pairs):
-        return pairs
-    return _ranked(pairs, 2 * span, most)
-
-
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffixes of `text` (small whole numbers) in order; with `depth`, those that agree in their first `depth`
-    places may stand in any order."""
+def substring_names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
+    """(name of the substring from each of `lms` to the next one's start, both included; number of names): names follow
+    the order, and equal substrings, compared character by character, have one name. ordered: lms by their substrings."""
+    size = np.zeros(len(text), np.int64)
+    size[lms[:-1]] = np.diff(lms) + 1
+    size[lms[-1]] = -1  # reaches the end of the text and equals no other
+    a, b = ordered[:-1], ordered[1:]
+    same = (size[a] == size[b]) & (size[a] > 0)
+    open_ = np.flatnonzero(same)
+    k = 0
+    while len(open_):
+        equal = text[a[open_] + k] == text[b[open_] + k]
+        same[open_[~equal]] = False
+        open_ = open_[equal]
+        k += 1
+        open_ = open_[size[a[open_]] > k]
+    name = np.zeros(len(text), np.int64)
+    name[ordered] = np.concatenate([[0], np.cumsum(~same)])
+    return name[lms], int((~same).sum()) + 1
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The suffixes of `text` (small whole numbers) in order.
+
+    Leftmost-smaller substrings are sorted by inducing from unsorted seeds and get names; where names repeat, the text
+    of names, shorter by half at least, is sorted by the same function, and its order of suffixes seeds the final pass.
+    """
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -117,43 +114,46 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     small = classified(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        # Leftmost-smaller substrings, each to the next one's start, are sorted by inducing from unsorted seeds.
         rough = induced(text, small, lms)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
-        ordered = rough[is_lms[rough]]
-        until = np.full(n, 0, np.int64)
-        until[lms[:-1]] = lms[1:] - lms[:-1] + 1
-        until[lms[-1]] = n - lms[-1]
-        h = mixed(Hashes(text).of(ordered, until[ordered]) + until[ordered].astype(np.uint64))
-        # The last one reaches the end of the text and equals no other.
-        h_last = ordered == lms[-1]
-        new = np.concatenate([[False], (h[1:] != h[:-1]) | h_last[1:] | h_last[:-1]])
-        name = np.zeros(n, np.int64)
-        name[ordered] = np.cumsum(new)
-        ranks = _ranked(name[lms], 1, len(lms) if depth is None else depth)
-        lms = lms[np.argsort(ranks, kind="stable")]
+        names, count = substring_names(text, lms, rough[is_lms[rough]])
+        if count < len(lms):
+            digits = 1
+            while BASE**digits < count:
+                digits += 1
+            if 4 * digits * len(lms) > 3 * n:  # the text of digits must be shorter, too
+                digits = 1
+            base = 1
+            while base**digits < count:  # digits of the least base, so that they are alike
+                base = max(base + 1, int(count ** (1 / digits)) - 1)
+            places = (names[:, None] // base ** np.arange(digits)[::-1] % base).reshape(-1)
+            order = suffix_array(places)
+            lms = lms[order[order % digits == 0] // digits]
+        else:
+            lms = lms[np.argsort(names)]
     return induced(text, small, lms)
 
 
-def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """By place in the text: how many characters (up to `most` rounded up to a power of 2, less 1) its suffix shares
-    with the suffix before it in the array."""
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """By place in the text: how many characters its suffix shares with the suffix before it in the array.
+
+    Where both suffixes are preceded by equal characters, the value is that of the place before less one; only the
+    other places' suffixes are compared, character by character."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    h = Hashes(text)
-    place = np.flatnonzero(before >= 0)
-    other = before[place]
-    shared = np.zeros(len(place), np.int64)
-    step = 1 << (int(most).bit_length() - 1)
-    while step:
-        a, b = place + shared, other + shared
-        room = (a + step <= n) & (b + step <= n)
-        ia, ib = np.where(room, a, 0), np.where(room, b, 0)
-        width = np.where(room, step, 0)
-        shared += step * (room & (h.of(ia, width) == h.of(ib, width)))
-        step >>= 1
-    out = np.zeros(n, np.int64)
-    out[place] = shared
-    return out
+    own = np.ones(n, bool)
+    at = np.flatnonzero((before[1:] > 0) & (before[:-1] >= 0)) + 1
+    own[at] = text[at - 1] != text[before[at] - 1]
+    place = np.flatnonzero(own & (before >= 0))
+    shared = np.zeros(n, np.int64)
+    padded = np.append(text, [-1, -2])
+    other, k = before[place], 0
+    while len(place):
+        on = padded[np.minimum(place + k, n)] == padded[np.where(other + k < n, other + k, n + 1)]
+        shared[place[~on]] = k
+        place, other = place[on], other[on]
+        k += 1
+    last = np.maximum.accumulate(np.where(own, np.arange(n), 0))
+    return np.where(before >= 0, shared[last] - (np.arange(n) - last), 0)

@@ -51,9 +51,10 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "hot", "heavy"), [(1, 2000, 40), (2, 1, 3)])
-def test_against_brute_force(spark, monkeypatch, seed, hot, heavy):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize(("seed", "flush", "heavy"), [(1, 500, 40), (2, 600_000, 3), (3, 300, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, flush, heavy):
+    monkeypatch.setattr(substrings, "FLUSH", flush)
+    monkeypatch.setattr(substrings, "SHARD_SEGMENTS", flush)
     monkeypatch.setattr(substrings, "HEAVY", heavy)
     rows = passages(seed)
     assert found(spark, rows) == brute(rows, 50)
@@ -74,3 +75,18 @@ def test_segments_partition_the_windows():
     for i, t in enumerate(texts):
         windows = sorted(p for a, n in zip(lo[doc == i], size[doc == i], strict=True) for p in range(a, a + n - 49))
         assert windows == list(range(len(t) - 49))
+    frequent = np.unique(substrings.segments(data, offsets)[3])
+    doc, lo, size, _, _ = substrings.segments(data, offsets, frequent=frequent)
+    for i, t in enumerate(texts):
+        windows = sorted(p for a, n in zip(lo[doc == i], size[doc == i], strict=True) for p in range(a, a + n - 49))
+        assert windows == list(range(len(t) - 49))
+
+
+def test_text_ids_are_refused(spark):
+    with pytest.raises(TypeError):
+        substrings.digests(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 9, 27, 43])
+def test_offset_ranges(width):
+    assert [x for a, b in substrings.offset_ranges(width) for x in range(a, b + 1)] == list(range(width))
