@@ -24,29 +24,35 @@ WORDS = re.compile(WORD)
 class Band:
     """What a text of one language or script must keep to; outside any bound it is rejected."""
 
+    ranks: str  # byte-level vocabulary that measures characters per token, bare tokens and entropy
     chars_per_token: float  # at least: below it the vocabulary finds no words
     tokens_per_word: float  # at most
-    fallback: float  # at most: share of tokens that are parts of a code point
+    chars_per_piece: float  # at least, of the words under the vocabulary with byte fallback
+    fallback: float  # at most: share of its pieces that are single bytes
     bare: float  # at most: share of tokens with neither letter nor digit
     entropy: float  # at least, in bits: below it a few tokens repeat; less for short texts, see `least_entropy`
 
 
-#: Bands by language, then by script for texts of another or no language.
+ENGLISH, MANY, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
+#: Bands by language, then by script for texts of another or no language. The languages' are those of `measured_bands` over
+#: labelled documents, rounded outwards; the scripts' are wider, as no labels cover them.
 BANDS = {
-    "en": Band(2.1, 3.2, 0.10, 0.2, 5.3),
-    "de": Band(1.95, 3.5, 0.16, 0.2, 5.3),
-    "fr": Band(1.8, 3.7, 0.22, 0.2, 5.3),
-    "es": Band(1.7, 3.8, 0.24, 0.2, 5.3),
-    "latin": Band(1.6, 4.0, 0.30, 0.2, 5.3),
-    "other": Band(0.4, 1e9, 0.95, 0.3, 4.5),
+    "en": Band(ENGLISH, 2.0, 3.2, 1.65, 0.05, 0.2, 5.0),
+    "de": Band(MANY, 2.1, 3.4, 1.75, 0.05, 0.2, 5.0),
+    "fr": Band(MANY, 2.0, 3.0, 1.6, 0.05, 0.2, 5.1),
+    "es": Band(MANY, 2.0, 3.2, 1.55, 0.05, 0.2, 5.0),
+    "latin": Band(MANY, 1.7, 4.0, 1.3, 0.2, 0.2, 5.0),
+    "other": Band(MANY, 0.3, 1e9, 0.24, 0.98, 0.3, 4.5),
 }
 #: A text with fewer letters of a-z than this share of all its letters is of another script.
 LATIN_SHARE = 0.5
 #: A short text needs no more than this share of the entropy that its tokens would have if all were different.
 ENTROPY_SHARE = 0.7
 
+#: Name of the column that is added for a while; no column of a table should have it.
+RULES = "quillon_quality_rules"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, tokens_per_word double, fallback_share double, bare_share double, token_entropy double, band string"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, tokens_per_word double, chars_per_piece double, fallback_share double, bare_share double, token_entropy double, band string"
 
 
 def repeat_words(words: list[str]) -> int:
@@ -66,8 +72,7 @@ def repeat_words(words: list[str]) -> int:
     return int(covered.sum())
 
 
-def base_counts(text: str) -> tuple[int, int, int, int, int]:
-    words = WORDS.findall(text)
+def base_counts(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
     lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
     return len(words), sum(map(len, words)), sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words)
 
@@ -80,15 +85,17 @@ def band_of(lang: str | None, text: str, bands: dict[str, Band]) -> str:
     return "latin" if latin >= LATIN_SHARE * letters else "other"
 
 
-def measures(text: str, n_words: int, path: str) -> tuple[float, float, float, float, float]:
-    """(characters per token, tokens per word, fallback share, share of bare tokens, entropy in bits)."""
+def measures(text: str, words: list[str], n_chars: int, ranks: str, model: str) -> tuple[float, float, float, float, float, float]:
+    """(characters per token, tokens per word, word characters per piece, fallback share, share of bare tokens, entropy
+    in bits) of a text with these words of `n_chars` code points."""
     if not text:
-        return 0.0, 0.0, 0.0, 0.0, 0.0
-    part, bare = vocab.token_kinds(path)
-    ids = vocab.encoding(path).encode_to_numpy(text, disallowed_special=())
+        return (0.0,) * 6
+    bare = vocab.bare_tokens(ranks)
+    ids = vocab.encoding(ranks).encode_to_numpy(text, disallowed_special=())
     _, counts = np.unique(ids, return_counts=True)
     p = counts / len(ids)
-    return len(text) / len(ids), len(ids) / max(n_words, 1), float(part[ids].mean()), float(bare[ids].mean()), float(-(p * np.log2(p)).sum())
+    n, fallen = vocab.piece_counts(model, words)
+    return len(text) / len(ids), len(ids) / max(len(words), 1), n_chars / max(n, 1), fallen / max(n, 1), float(bare[ids].mean()), float(-(p * np.log2(p)).sum())
 
 
 def least_entropy(band: Band, n_tokens: int) -> float:
@@ -96,25 +103,27 @@ def least_entropy(band: Band, n_tokens: int) -> float:
     return min(band.entropy, ENTROPY_SHARE * math.log2(max(n_tokens, 1)))
 
 
-def judged(text: str | None, lang: str | None, path: str, bands: dict[str, Band]) -> tuple:
+def judged(text: str | None, lang: str | None, paths: dict[str, str], bands: dict[str, Band]) -> tuple:
     text = text or ""
-    base = base_counts(text)
+    words = WORDS.findall(text)
+    base = base_counts(text, words)
     failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-    m = measures(text, base[0], path)
     name = band_of(lang, text, bands)
     b = bands[name]
-    kept = not failed and m[0] >= b.chars_per_token and m[1] <= b.tokens_per_word and m[2] <= b.fallback and m[3] <= b.bare and m[4] >= least_entropy(b, round(len(text) / m[0]))
-    return *base, failed, kept, *m, name
+    m = measures(text, words, base[1], paths[b.ranks], paths[PIECES])
+    fits = m[0] >= b.chars_per_token and m[1] <= b.tokens_per_word and m[2] >= b.chars_per_piece and m[3] <= b.fallback and m[4] <= b.bare
+    return *base, failed, not failed and fits and m[5] >= least_entropy(b, round(len(text) / m[0])), *m, name
 
 
-def with_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", ranks_path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
-    """`docs` with a struct column `_rules` of the base counts, the verdict and the measures; no shuffle.
+def with_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", paths: dict[str, str] | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
+    """`docs` with a struct column RULES of the base counts, the verdict and the measures; no shuffle.
 
     Null or empty text: no words, every count 0, base_failed true. A language without a band, or null, is judged by
-    script. Repeated rows and ties are judged alike, as each row is judged by itself; an empty table stays empty.
+    script. paths: where the files of the vocabularies named in the bands lie. Repeated rows and ties are judged alike, as each row is judged by itself; an empty table stays empty.
     """
     ship_package(docs.sparkSession)
-    path, bands = ranks_path or vocab.default_ranks(), bands or BANDS
+    bands = bands or BANDS
+    paths = paths or {x: vocab.tokenizer_path(x) for x in {PIECES, *(b.ranks for b in bands.values())}}
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
     types = [kinds[x.split()[1]] for x in SCHEMA.split(", ")]
@@ -122,20 +131,31 @@ def with_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "
     @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':') for x in SCHEMA.split(', '))}>")
     def rules(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, langs in parts:
-            rows = [judged(t.as_py(), x.as_py(), path, bands) for t, x in zip(texts, langs, strict=True)]
+            rows = [judged(t.as_py(), x.as_py(), paths, bands) for t, x in zip(texts, langs, strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.withColumns({"_rules": rules(F.col(text_col), lang)})
+    return docs.withColumns({RULES: rules(F.col(text_col), lang)})
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the
     measures."""
-    return with_rules(docs, **options).select(id_col, "_rules.*")
+    return with_rules(docs, **options).select(id_col, f"{RULES}.*")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the rules keep, with their columns."""
-    return with_rules(docs, **options).where("_rules.kept").drop("_rules")
+    return with_rules(docs, **options).where(f"{RULES}.kept").drop(RULES)
+
+
+def measured_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", slack: float = 0.08) -> DataFrame:
+    """What BANDS are set from: by band, the extremes of the measures over documents labelled good that pass the base
+    rules, loosened by `slack` (the share of bare tokens by a half, and no bound on byte fallback below 0.05); only rows whose crc32(id as text) mod 4 is not 2, so that the others can test it."""
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("labelled"))
+    learnable = docs.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2)
+    rows = judge(learnable.join(good, F.col(id_col) == F.col("labelled")).drop("labelled"), id_col).where("NOT base_failed")
+    down = lambda c: (F.min(c) * (1 - slack)).alias(c)
+    up = lambda c: (F.max(c) * (1 + slack)).alias(c)
+    return rows.groupBy("band").agg(F.count("*").alias("rows"), down("chars_per_token"), up("tokens_per_word"), down("chars_per_piece"), F.greatest(up("fallback_share"), F.lit(0.05)).alias("fallback_share"), (F.max("bare_share") * 1.5).alias("bare_share"), down("token_entropy"))

@@ -11,11 +11,15 @@ import numpy as np
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def default_ranks() -> str:
-    """Path of the default rank file; the tokeniser files lie on every machine, like an installed package."""
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokeniser file; they lie on every machine, like an installed package."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
+
+
+def default_ranks() -> str:
+    return tokenizer_path("byte_bpe_50k.tiktoken")
 
 
 @functools.lru_cache(maxsize=4)
@@ -33,15 +37,43 @@ def encoding(path: str, pattern: str = PATTERN):
 
 
 @functools.lru_cache(maxsize=4)
-def token_kinds(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """By token id: (is it a part of a code point only, has it neither letter nor digit)."""
+def bare_tokens(path: str) -> np.ndarray:
+    """By token id: is it text, but neither letter nor digit?"""
     table = ranks(path)
-    size = max(table.values(), default=0) + 1
-    part, bare = np.zeros(size, bool), np.zeros(size, bool)
+    bare = np.zeros(max(table.values(), default=0) + 1, bool)
     for raw, i in table.items():
-        try:
-            text = raw.decode("utf-8")
-            bare[i] = bool(text.strip()) and not any(c.isalnum() for c in text)
-        except UnicodeDecodeError:
-            part[i] = True
-    return part, bare
+        text = raw.decode("utf-8", "replace")
+        bare[i] = bool(text.strip()) and "\ufffd" not in text and not any(c.isalnum() for c in text)
+    return bare
+
+
+@functools.lru_cache(maxsize=2)
+def pieces(path: str):
+    """The sentencepiece processor of a model file."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+#: Words whose pieces a worker remembers, and the longest such word in code points.
+MOST_WORDS, LONGEST_WORD = 200_000, 40
+_known: dict[str, dict[str, int]] = {}
+_FEW = 1 << 32
+
+
+def piece_counts(path: str, words: list[str]) -> tuple[int, int]:
+    """(pieces, pieces that are single bytes) of a text's words under a model with byte fallback, whose pieces never
+    cross white space. Counts of short words are remembered, as pieces + 2**32 * bytes."""
+    known = _known.setdefault(path, {})
+    new = [w for w in set(words) if w not in known]
+    rare: dict[str, int] = {}
+    if new:
+        if len(known) + len(new) > MOST_WORDS:
+            known.clear()
+            new = list(set(words))
+        model = pieces(path)
+        for at in range(0, len(new), 5_000):
+            for w, ids in zip(new[at : at + 5_000], model.encode(new[at : at + 5_000], num_threads=1), strict=True):
+                (known if len(w) <= LONGEST_WORD and len(known) < MOST_WORDS else rare)[w] = len(ids) + _FEW * sum(map(model.is_byte, ids))
+    total = sum(known[w] if w in known else rare[w] for w in words) if rare else sum(map(known.__getitem__, words))
+    return total % _FEW, total // _FEW

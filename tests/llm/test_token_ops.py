@@ -40,7 +40,7 @@ def test_rules(spark):
         assert g.base_failed == (n < 50 or 100 * len(cover) > 50 * n)
         assert not (g.base_failed and g.kept)
         if t:
-            ids = vocab.encoding(vocab.default_ranks()).encode_ordinary(t)
+            ids = vocab.encoding(vocab.tokenizer_path(quality_rules.BANDS[g.band].ranks)).encode_ordinary(t)
             p = np.array(list(Counter(ids).values())) / len(ids)
             assert g.token_entropy == pytest.approx(-(p * np.log2(p)).sum(), abs=1e-9)
             assert g.chars_per_token == pytest.approx(len(t) / len(ids))
@@ -62,3 +62,39 @@ def test_short_prose_is_kept(spark):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert 50 <= got[1].n_words <= 70 and got[1].token_entropy < quality_rules.BANDS["en"].entropy
     assert got[1].kept and not got[2].kept and not got[3].kept and not got[3].base_failed
+
+
+def test_byte_fallback_is_measured(spark):
+    """Pieces and single bytes of every word by the model itself, and a text that only falls back."""
+    model = vocab.pieces(vocab.tokenizer_path(quality_rules.PIECES))
+    got = {r.doc_id: r for r in quality_rules.judge(awkward.frame(spark)).collect()}
+    for row in awkward.rows():
+        w = WORD.findall(row[1] or "")
+        ids = [i for x in w for i in model.encode(x)]
+        assert got[row[0]].fallback_share == pytest.approx(sum(map(model.is_byte, ids)) / max(len(ids), 1))
+        assert got[row[0]].chars_per_piece == pytest.approx(sum(map(len, w)) / max(len(ids), 1))
+    runes = " ".join(chr(0x16A0 + i % 70) * (2 + i % 3) for i in range(80))
+    mixed = "The " + " ".join(f"word{i} of the text" if i % 3 else chr(0x16A0 + i % 70) * 4 for i in range(60))
+    rows = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([(1, runes, None), (2, mixed, "en")], "doc_id long, text string, lang string")).collect()}
+    assert rows[1].fallback_share > 0.85 and rows[1].band == "other"
+    assert 0.05 < rows[2].fallback_share < 0.9 and not rows[2].base_failed and not rows[2].kept
+    many = [f"w{i}" for i in range(300)]
+    vocab._known.clear()
+    want = vocab.piece_counts(vocab.tokenizer_path(quality_rules.PIECES), many + many)
+    vocab.MOST_WORDS, before = 100, vocab.MOST_WORDS
+    vocab._known.clear()
+    assert vocab.piece_counts(vocab.tokenizer_path(quality_rules.PIECES), many + many) == want
+    vocab.MOST_WORDS = before
+
+
+def test_bands_against_labels_that_they_were_not_set_from(spark):
+    """Of the held-out documents that pass the base rules, those labelled good stay and those labelled bad go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = quality_rules.judge(docs).where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 AND NOT base_failed").join(labels, "doc_id")
+    rows = held.select("quality", "kept").collect()
+    assert sum(r.kept for r in rows if r.quality) >= 0.98 * sum(r.quality for r in rows)
+    assert sum(r.kept for r in rows if not r.quality) <= 0.05 * len(rows)
+    bands = {r.band: r for r in quality_rules.measured_bands(docs, labels).collect()}
+    for name, r in bands.items():
+        b = quality_rules.BANDS[name]
+        assert b.chars_per_token <= r.chars_per_token and b.tokens_per_word >= r.tokens_per_word and b.entropy <= r.token_entropy and b.fallback >= r.fallback_share
