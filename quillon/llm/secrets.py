@@ -21,8 +21,11 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
-#: A candidate has a letter and a digit, and both log-likelihood ratios are at least these (nats).
-LEAST_MEAN, LEAST_TOTAL = 0.5, 10.0
+#: Least log-likelihood ratios (nats) of a candidate: for each transition and in all; for each transition of a string of
+#: letters only or without letters, which more of ordinary text looks like.
+LEAST_MEAN, LEAST_TOTAL, LEAST_MEAN_PLAIN = 0.5, 10.0, 0.9
+#: The shortest rest of a candidate, outside the base spans that it overlaps, that is a span of its own.
+LEAST_REST = 8
 #: Documents, about, that the models learn from.
 SAMPLE = 20_000
 
@@ -50,31 +53,35 @@ def running(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.flatten(each)).otherwise(F.array().cast("array<bigint>"))
 
 
-def spans(text: Column, pattern: str, kind: int, good=None) -> Column:
+def spans(text: Column, pattern: str, kind: int, good=None, gate: Column | None = None, inner: int | None = None) -> Column:
     """Places (code points, end exclusive) of a pattern's leftmost non-overlapping matches as an array of SPAN.
 
     The matches and the pieces between them alternate, so running sums of their lengths are the places. good: a
-    condition on the match; others are dropped after matching.
+    condition on the match; others are dropped after matching. gate: a cheap condition that each text with a match
+    meets. inner: a group that ends with the match, whose place is wanted instead.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # Bound once through a one-element array, as each use inside a lambda would match again.
-    both = F.transform(F.array(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("p"))), lambda x: _placed(x["m"], x["p"], kind, good))
-    return F.when(text.rlike(pattern), F.flatten(both)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    both = F.transform(F.array(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("p"))), lambda x: _placed(x["m"], x["p"], kind, good, inner and (lambda m: F.regexp_extract(m, pattern, inner))))
+    some = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    return F.when(some, F.flatten(both)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _placed(matches: Column, pieces: Column, kind: int, good) -> Column:
+def _placed(matches: Column, pieces: Column, kind: int, good, inner) -> Column:
     length = lambda a: F.transform(a, lambda x: F.length(x).cast("bigint"))
     gaps = F.slice(length(pieces), F.lit(1), F.size(matches))
     ends = running(F.zip_with(gaps, length(matches), lambda g, m: g + m))
-    made = F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("m")))
+    made = F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(inner(m) if inner else m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("m")))
     kept = F.filter(made, lambda s: good(s["m"])) if good else made
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
-def base_spans(text: Column) -> list[Column]:
-    """Of each base kind, an array of SPAN."""
+def base_spans(text: Column, values_only: bool = False) -> list[Column]:
+    """Of each base kind, an array of SPAN; with `values_only`, of an assignment only what is assigned."""
     long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
-    return [spans(text, ASSIGN, 0, long_value), spans(text, ACCESS, 1), spans(text, HEX, 2)]
+    lower = F.lower(text)
+    named = F.contains(lower, F.lit("passw")) | F.contains(lower, F.lit("secret")) | F.contains(lower, F.lit("token")) | F.contains(lower, F.lit("api"))
+    return [spans(text, ASSIGN, 0, long_value, named, 2 if values_only else None), spans(text, ACCESS, 1, gate=F.contains(text, F.lit("AKIA"))), spans(text, HEX, 2)]
 
 
 def written(found: Column) -> Column:
@@ -113,7 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return out
 
 
-def looks_random(string: Column, ratios: list[float]) -> Column:
+def looks_random(string: Column, ratios: list[float], least_total: float = LEAST_TOTAL) -> Column:
     """Whether a string is likelier under the model of random strings, in one pass over its characters."""
     k = len(ALPHABET)
     codes = {ord(c): i for i, c in enumerate(ALPHABET)}
@@ -126,24 +133,45 @@ def looks_random(string: Column, ratios: list[float]) -> Column:
         return F.struct(now.alias("last"), F.when(acc["last"] < 0, acc["sum"]).otherwise(acc["sum"] + F.element_at(table, acc["last"] * k + now + 1)).alias("sum"))
 
     total = F.aggregate(F.split(string, ""), start, step, lambda acc: acc["sum"])
-    enough = F.transform(F.array(total), lambda s: (s >= LEAST_TOTAL) & (s >= LEAST_MEAN * (F.length(string) - 1)))
-    return string.rlike("[0-9]") & string.rlike("[A-Za-z]") & F.element_at(enough, 1)
+    least = F.when(string.rlike("[0-9]") & string.rlike("[A-Za-z]"), LEAST_MEAN).otherwise(LEAST_MEAN_PLAIN)
+    enough = F.transform(F.array(total), lambda s: (s >= least_total) & (s >= least * (F.length(string) - 1)))
+    return F.element_at(enough, 1)
+
+
+def outside(found: Column, base: Column, text: Column, ratios: list[float]) -> Column:
+    """Candidates (an array of SPAN) as they are, or, of one that overlaps base spans, the rests of LEAST_REST or more
+    characters outside them that look random for each transition."""
+
+    def rests(s: Column) -> Column:
+        met = F.array_sort(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        none = F.array().cast(f"array<{SPAN}>")
+        gap = lambda a, b: F.struct(a.alias("start"), s["kind"].alias("kind"), b.alias("end"))
+        cut = F.aggregate(
+            met,
+            F.struct(none.alias("all"), s["start"].alias("at")),
+            lambda acc, b: F.struct(F.array_append(acc["all"], gap(acc["at"], b["start"])).alias("all"), F.greatest(acc["at"], b["end"]).alias("at")),
+            lambda acc: F.array_append(acc["all"], gap(acc["at"], s["end"])),
+        )
+        inside = lambda r: text.substr((r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
+        good = F.filter(cut, lambda r: F.when(r["end"] - r["start"] >= LEAST_REST, looks_random(inside(r), ratios, 0.0)).otherwise(False))
+        return F.when(F.size(met) == 0, F.array(s)).otherwise(good)
+
+    return F.when(F.size(found) > 0, F.flatten(F.transform(found, rests))).otherwise(found)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    The method adds, as kind `markov`, each string of 16 or more characters of the alphabet that looks random and
-    overlaps no base span. Null and empty texts have no spans (the digest is that of the empty string); rows that
-    repeat are scanned alike; an empty table gives no rows; other columns are ignored.
+    The method adds, as kind `markov`, each string of 16 or more characters of the alphabet that looks random; of one
+    that overlaps base spans, what lies outside them. Null and empty texts have no spans (the digest is that of the
+    empty string); rows that repeat are scanned alike; an empty table gives no rows; other columns are ignored.
     """
     ratios = train(docs, id_col, text_col, sample)
     text = F.col("t")
     base = docs.select(F.col(id_col), text_or_empty(text_col).alias("t")).withColumns(dict(zip(("a", "k", "h"), base_spans(text), strict=True)))
     base = base.withColumn("b", F.concat("a", "k", "h"))
-    free = lambda s: ~F.exists("b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = spans(text, CANDIDATE, 3, lambda m: looks_random(m, ratios))
-    return base.withColumn("r", F.filter(more, free)).select(
+    base = base.withColumn("c", spans(text, CANDIDATE, 3, lambda m: looks_random(m, ratios)))
+    return base.withColumn("r", outside(F.col("c"), F.col("b"), text, ratios)).select(
         id_col,
         *[F.size(c).cast("long").alias(f"n_{k}") for c, k in (("a", "assign"), ("k", "access"), ("h", "hex"))],
         F.sha2(written(F.col("b")), 256).alias("base_sha256"),
@@ -152,10 +180,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", sample: int = SAMPLE) -> DataFrame:
-    """`docs` with each secret that `scan` finds by pattern or model replaced by `mark` in the text."""
+    """`docs` with each secret that `scan` finds replaced by `mark` in the text, cut out by its span; of an assignment the
+    name stays. Spans that overlap become one mark. Null stays null; an empty table gives no rows; other columns stay.
+    """
     ratios = train(docs, id_col, text_col, sample)
-    strings = F.regexp_extract_all(text_or_empty(text_col), F.lit(CANDIDATE), F.lit(0))
-    random = F.array_distinct(F.filter(strings, lambda m: looks_random(m, ratios)))
-    out = F.aggregate(random, text_or_empty(text_col), lambda acc, m: F.replace(acc, m, F.lit(mark)))
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, ACCESS, mark), HEX, mark), ASSIGN.replace("]+)", "]{6,})"), "$1" + mark)
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), out))
+    text = text_or_empty(text_col)
+    names = {c: f"quillon_{c}" for c in ("base", "found")}
+    rows = docs.withColumns({names["base"]: F.concat(*base_spans(text, values_only=True))})
+    rows = rows.withColumns({names["found"]: spans(text, CANDIDATE, 3, lambda m: looks_random(m, ratios))})
+    every = F.array_sort(F.concat(names["base"], outside(F.col(names["found"]), F.col(names["base"]), text, ratios)))
+    piece = lambda a, n: text.substr((a + 1).cast("int"), n.cast("int"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["at"]
+        out = F.when(apart, F.concat(acc["out"], piece(acc["at"], s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text).cast("bigint") - acc["at"])))
+    return rows.withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean)).drop(*names.values())

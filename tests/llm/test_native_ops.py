@@ -117,10 +117,15 @@ def base_spans(t):
     return sorted(found)
 
 
+def random_looking(s, ratios, least_total):
+    total = sum(ratios[secrets.ALPHABET.index(a) * len(secrets.ALPHABET) + secrets.ALPHABET.index(b)] for a, b in zip(s, s[1:], strict=False))
+    both = re.search("[0-9]", s) and re.search("[A-Za-z]", s)
+    return total >= least_total and total >= (secrets.LEAST_MEAN if both else secrets.LEAST_MEAN_PLAIN) * (len(s) - 1)
+
+
 def test_secrets(spark):
     docs = awkward.frame(spark)
     ratios = secrets.train(docs)
-    k, alphabet = len(secrets.ALPHABET), secrets.ALPHABET
     texts = {r[0]: r[1] or "" for r in awkward.rows()}
     got = secrets.scan(docs).collect()
     assert len(got) == len(awkward.rows())
@@ -133,12 +138,14 @@ def test_secrets(spark):
         assert g.base_sha256 == hashlib.sha256(write(base).encode()).hexdigest()
         more = []
         for m in re.finditer(secrets.CANDIDATE, t):
-            s = m[0]
-            if any(b[0] < m.end() and m.start() < b[2] for b in base) or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
-                continue
-            total = sum(ratios[alphabet.index(a) * k + alphabet.index(b)] for a, b in zip(s, s[1:], strict=False))
-            if total >= secrets.LEAST_TOTAL and total >= secrets.LEAST_MEAN * (len(s) - 1):
-                more.append((m.start(), 3, m.end()))
+            if random_looking(m[0], ratios, secrets.LEAST_TOTAL):
+                met = sorted((b[0], b[2]) for b in base if b[0] < m.end() and m.start() < b[2])
+                at, rests = m.start(), []
+                for x, y in met:
+                    rests.append((at, x))
+                    at = max(at, y)
+                rests.append((at, m.end()))
+                more += [(x, 3, y) for x, y in rests if not met or y - x >= secrets.LEAST_REST and random_looking(t[x:y], ratios, 0)]
         added += len(more)
         assert g.spans == write(base + more)
     assert secrets.scan(awkward.frame(spark, [])).count() == 0
@@ -147,3 +154,28 @@ def test_secrets(spark):
     assert g.n_assign == 3000 and g.base_sha256 == hashlib.sha256(",".join(f"assign:{a}:{c}" for a, _, c in base_spans(many[0][1])).encode()).hexdigest()
     redacted = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert "hunter22" not in redacted[28] and redacted[0] is None
+
+
+def test_random_strings_in_whole_texts(spark):
+    """Recall and false positives over labelled texts: random keys of several alphabets, some of letters only, some around
+    a long hexadecimal run, among prose, names and paths."""
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(4)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in ((base62, 20), (base62, 32), (base62 + "+/", 40), (base62[:52], 32)) for _ in range(50)]
+    names = [f"the_{a}_of_{b}" for a in ("configuration", "administration", "documentation") for b in ("international_standards", "machine_learning", "environments")]
+    names += ["https//www-example-org/articles/archive/index-html", "getElementsByClassName", "AbstractSingletonProxyFactory", "2024-11-28-15-30-00", "----------------", "================"]
+    rows = [(10**6 + i, f"some words {k} and more words") for i, k in enumerate(keys)] + [(2 * 10**6 + i, f"some words {k} and more words") for i, k in enumerate(names)]
+    around = "".join(rng.choice(base62) for _ in range(14)) + "Z" + "0123456789abcdef" * 2 + "Z" + "".join(rng.choice(base62) for _ in range(14))
+    rows.append((3 * 10**6, f"key {around} end"))
+    got = {r.doc_id: r.spans for r in secrets.scan(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000").collect()}
+    hit = lambda i: "markov" in got[i]
+    assert sum(hit(10**6 + i) for i in range(150)) >= 147
+    assert sum(hit(10**6 + i) for i in range(150, 200)) >= 45
+    assert not [n for i, n in enumerate(names) if hit(2 * 10**6 + i)]
+    assert got[3 * 10**6] == "markov:4:19,hex:19:51,markov:51:66"
+    rows = [(1, "token = 'abc$1def\\2' x"), (2, f"a {around} b"), (3, None)]
+    clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame([*rows, (4, "password: abcdef1")], "doc_id long, text string"), mark="$1\\").collect()}
+    assert clean[3] is None and clean[4] == "password: $1\\"
