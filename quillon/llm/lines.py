@@ -21,38 +21,48 @@ WIDTH, BANDS, ROWS = 7, 22, 4
 REGISTERS = BANDS * ROWS
 
 
-def minhash(elements: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.ndarray:
+#: Where an empty bin looks for a value: tries in a random order of its own, in the end all bins in turn.
+PROBES = np.concatenate([(mixed(np.arange(REGISTERS, dtype=np.uint64)[None, :] * U64(1_000_003) + np.arange(8 * REGISTERS, dtype=np.uint64)[:, None]) % U64(REGISTERS)).astype(np.int64), (np.arange(REGISTERS)[:, None] + np.arange(REGISTERS)) % REGISTERS])
+
+
+def minhash(owner: np.ndarray, elements: np.ndarray, sets: int, m: int = REGISTERS) -> np.ndarray:
     """Signatures (uint16, a row for each set) by one hash per element: the range of hashes is cut into `m` bins and a
     bin keeps its least hash; an empty bin takes the value of the first filled one among bins in a random order, the
-    same for all sets. `elements` are sorted within each set."""
-    sets = len(first) - 1
-    owner = np.repeat(np.arange(sets), np.diff(first))
-    flat = owner * m + (((elements >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
-    head = np.ones(len(flat), bool)
-    head[1:] = flat[1:] != flat[:-1]
-    out = np.zeros(sets * m, np.uint16)
-    filled = np.zeros(sets * m, bool)
-    out[flat[head]] = (mixed(elements[head]) & U64(0xFFFF)).astype(np.uint16)
-    filled[flat[head]] = True
-    empty = np.flatnonzero(~filled & np.repeat(np.diff(first) > 0, m))
-    row, column = empty - empty % m, (empty % m).astype(np.uint64)
-    t = 0
-    while len(empty):
-        # After many tries the bins are taken in turn, so that it ends.
-        probe = (mixed(column * U64(1_000_003) + U64(t)) % U64(m)).astype(np.int64) if t < 8 * m else (column.astype(np.int64) + t) % m
-        hit = filled[row + probe]
-        out[empty[hit]] = out[row[hit] + probe[hit]]
+    same for all sets. owner: the set of each element; their order and repeats don't matter."""
+    bins = (((elements >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
+    bins += owner * m
+    none = ~U64(0)
+    least = np.full(sets * m, none)
+    np.minimum.at(least, bins, elements)
+    filled = least != none
+    out = (mixed(least) & U64(0xFFFF)).astype(np.uint16)
+    empty = np.flatnonzero(~filled)
+    column = empty % m
+    row = empty - column
+    some = filled.reshape(sets, m).any(axis=1)[empty // m]
+    out[empty[~some]] = 0
+    empty, row, column = empty[some], row[some], column[some]
+    for probes in PROBES:
+        if not len(empty):
+            break
+        probe = row + probes[column]
+        hit = filled[probe]
+        out[empty[hit]] = out[probe[hit]]
         empty, row, column = empty[~hit], row[~hit], column[~hit]
-        t += 1
     return out.reshape(sets, m)
 
 
+def minhash_of_sets(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """`minhash` of the sets elements[first[i]:first[i+1]]."""
+    return minhash(np.repeat(np.arange(len(first) - 1), np.diff(first)), elements, len(first) - 1)
+
+
 def equal_share(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
 def line_settings(width: int, num: int, den: int) -> Settings:
-    return Settings(functools.partial(shingles.character_shingles, width=width), num, den, minhash, ROWS, BANDS, equal_share, REGISTERS)
+    return Settings(functools.partial(shingles.character_shingles, width=width), num, den, minhash_of_sets, ROWS, BANDS, equal_share, REGISTERS)
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share_num: int = 80, share_den: int = 100) -> DataFrame:
@@ -70,37 +80,40 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("at"))
     # Hashes stand for the lines on the way back; two of 64 bits each.
     of = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(c, F.lit(1)).alias("h2")]
-    nodes = split.groupBy(F.col("line").alias("text")).agg(F.min(place).alias("first"))
-    nodes = stored(nodes.select("text", "first", F.monotonically_increasing_id().alias("cls"), *of("text")))
+    nodes = split.groupBy(F.col("line").alias("text")).agg(F.min(place).alias("first"), F.count("*").alias("lines"))
+    nodes = stored(nodes.select("text", "first", "lines", F.monotonically_increasing_id().alias("cls"), *of("text")))
 
-    def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(sizes, registers) of lines."""
-        made = [(np.diff(first), settings.sketch(h, first)) for h, first in (settings.shingle(data, offsets) for _, data, offsets in shingles.text_slices(texts))]
-        return np.concatenate([n for n, _ in made]), np.concatenate([r for _, r in made])
+    def signatures(texts: pa.Array) -> np.ndarray:
+        """Registers of lines."""
+        return np.concatenate([minhash(*shingles.character_windows(data, offsets, width), len(offsets) - 1) for _, data, offsets in shingles.text_slices(texts)])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                n, regs = signatures(batch.column(1))
+                made = [settings.shingle(data, offsets) for _, data, offsets in shingles.text_slices(batch.column(1))]
+                n = np.concatenate([np.diff(first) for _, first in made])
+                regs = np.concatenate([settings.sketch(h, first) for h, first in made])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), fixed(regs), batch.column(1)], ["cls", "n", "regs", "text"])
 
     def pool_of(wanted: DataFrame) -> DataFrame:
         return nodes.select("cls", "text").join(wanted, "cls", "left_semi").mapInArrow(described, "cls long, n long, regs binary, text string")
 
-    shared = shared_keys(nodes.select("cls", "text"), lambda texts: settings.keys(signatures(texts)[1]), nodes.count(), BANDS)
+    shared = shared_keys(nodes.select("cls", "text"), lambda texts: settings.keys(signatures(texts)), nodes.count(), BANDS)
     roots = linked(shared, pool_of, settings)
-    grouped = nodes.select("cls", "first", "h1", "h2").join(roots.select(F.col("node").alias("cls"), "root"), "cls")
-    least = stored(grouped.groupBy("root").agg(F.min("first").alias("least")))
-    moved = stored(grouped.select("cls", "root").join(checked_broadcast(least), "root").select("cls", "least"))
-    known = stored(nodes.select("cls", "first", "h1", "h2").join(moved, "cls", "left").select("h1", "h2", F.coalesce("least", "first").alias("least")))
-    forgotten(nodes, moved)
+    # Only lines that occur twice or are linked need to learn their component.
+    some = nodes.select("cls", "first", "lines", "h1", "h2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").where("lines > 1 OR root IS NOT NULL")
+    some = stored(some.select("first", "h1", "h2", "root"))
+    least = stored(some.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least")))
+    known = stored(some.join(checked_broadcast(least), "root", "left").select("h1", "h2", F.coalesce("least", "first").alias("least")))
+    forgotten(nodes, some)
     lines = split.select("id", "at", *of("line"))
-    return lines.join(known, ["h1", "h2"]).select(
+    least = F.coalesce(F.col("least"), place)
+    return lines.join(known, ["h1", "h2"], "left").select(
         F.col("id").alias(id_col),
         F.col("at").cast("long").alias("line_no"),
-        F.col("least.id").alias("component_id"),
-        F.col("least.at").cast("long").alias("component_line"),
-        (F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.at") == F.col("at"))).alias("kept"),
+        least["id"].alias("component_id"),
+        least["at"].cast("long").alias("component_line"),
+        (least["id"].eqNullSafe(F.col("id")) & (least["at"] == F.col("at"))).alias("kept"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,22 @@ import pyarrow as pa
 #: Bytes of text that are hashed together; a longer text is hashed alone.
 SLICE_BYTES = 300_000
 
+
+
+def keep_freed_memory() -> bool:
+    """Let this process keep what numpy frees, up to 256 MB, for its next arrays: by default the C library gives every
+    large array back to the system, and touching new pages takes longer than computing on them. Linux only."""
+    if not sys.platform.startswith("linux"):
+        return False
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "mallopt"):
+        return False
+    mmap_threshold, trim_threshold = -3, -1  # fixed values of the C library
+    return bool(libc.mallopt(mmap_threshold, 32 << 20) and libc.mallopt(trim_threshold, 256 << 20))
+
+
+keep_freed_memory()
+
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)
 #: Bytes as they are hashed: upper-case letters as lower-case ones.
@@ -111,32 +129,69 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tupl
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
 
 
-#: Bits of a hash that numbers to be sorted have room for, the upper ones; a slice's texts are numbered in the others.
+_POINT = mixed(np.arange(256, dtype=np.uint64) + ODD)
+_STIR = [U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)]
+
+
+def _rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` consecutive values, put together from those of runs of 1, 2, 4 ... values."""
+    total = len(values) - width + 1
+    run, size, out, done = values, 1, None, 0
+    left = width
+    while True:
+        if left & 1:
+            part = run[done : done + total]
+            out = part if out is None else out * PLACE[size.bit_length()] + part
+            done += size
+        left >>= 1
+        if not left:
+            break
+        run = run[:-size] * PLACE[16 + size.bit_length()] + run[size:]
+        size *= 2
+    out = out * _STIR[0]
+    out ^= out >> U64(32)
+    out *= _STIR[1]
+    return out ^ (out >> U64(29))
+
+
+def character_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every `width` consecutive code points of the texts, in no order and with repeats; a shorter text,
+    if not empty, is one shingle."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if data.max() < 128:
+        first, values = offsets.astype(np.int64), _POINT[data]
+    else:
+        points = np.frombuffer(bytes(data).decode("utf-8").encode("utf-32-le"), np.uint32)
+        first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        values = mixed(points.astype(np.uint64) + ODD)
+    n = np.diff(first)
+    total = len(values)
+    owner, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if total >= width:
+        whole = np.ones(total - width + 1, bool)  # the shingle lies in one text
+        ends = (first[1:-1, None] - np.arange(1, width)).reshape(-1)
+        whole[ends[(ends >= 0) & (ends < len(whole))]] = False
+        owner = np.repeat(np.arange(len(n)), n)[: len(whole)][whole]
+        hashes = _rolled(values, width)[whole]
+    short = np.flatnonzero((n < width) & (n > 0))
+    if len(short):
+        alone = np.array([(values[first[i] : first[i + 1]] * PLACE[: n[i]]).sum(dtype=np.uint64) + U64(n[i]) for i in short], np.uint64)
+        owner, hashes = np.concatenate([owner, short]), np.concatenate([hashes, mixed(alone)])
+    return owner, hashes
+
+
+#: Bits of a hash that numbers to be sorted have room for, the upper ones; a slice's filled texts are numbered in the
+#: others: fewer than 2**20 of them hold a byte.
 SORT_BITS = 44
 
 
 def character_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Like `word_shingles`, over `width` consecutive code points; a shorter text is one shingle. All texts of a slice are
-    sorted at once, by text and hash: fewer than 2**20 texts of a slice hold a byte. Hashes have all their 64 bits."""
-    points = np.frombuffer(bytes(data).decode("utf-8").encode("utf-32-le"), np.uint32)
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    first = lead[offsets]
-    n = np.diff(first)
-    filled = np.flatnonzero(n)
-    total = len(points)
-    values = mixed(points.astype(np.uint64) + ODD)
-    full = np.zeros(max(total - width + 1, 0), np.uint64)
-    if total >= width:
-        for k in range(width):
-            full += values[k : total - width + 1 + k] * PLACE[k]
-        full = mixed(full)
-    count = np.maximum(n[filled] - width + 1, 0)
-    owner = np.repeat(np.arange(len(filled)), count)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[filled][owner]
-    short = np.flatnonzero(count == 0)
-    alone = np.array([(values[first[i] : first[i + 1]] * PLACE[: n[i]]).sum(dtype=np.uint64) + U64(n[i]) for i in filled[short]], np.uint64)
-    owner, hashes = np.concatenate([owner, short]).astype(np.uint64), np.concatenate([full[at], mixed(alone)])
-    packed = (owner << U64(SORT_BITS)) | (hashes >> U64(64 - SORT_BITS))
+    sorted at once, by text and hash, and hashes have all their 64 bits."""
+    text, hashes = character_windows(data, offsets, width)
+    filled, owner = np.unique(text, return_inverse=True) if len(text) else (text, text)
+    packed = (owner.astype(np.uint64) << U64(SORT_BITS)) | (hashes >> U64(64 - SORT_BITS))
     order = np.argsort(packed)
     packed, owner, hashes = packed[order], owner[order], hashes[order]
     tied = packed[1:] == packed[:-1]
@@ -144,7 +199,7 @@ def character_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tup
         order = np.lexsort((hashes, owner))
         owner, hashes = owner[order], hashes[order]
         tied = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
-    fresh = np.concatenate([[True], ~tied]) if len(hashes) else np.zeros(0, bool)
-    counts = np.zeros(len(n), np.int64)
-    counts[filled] = np.bincount(owner[fresh].astype(np.int64), minlength=len(filled))
+    fresh = np.append(True, ~tied)[: len(hashes)]
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    counts[filled] = np.bincount(owner[fresh], minlength=len(filled))
     return hashes[fresh], np.concatenate([[0], np.cumsum(counts)])
