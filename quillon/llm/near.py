@@ -326,7 +326,7 @@ def linked(shared: DataFrame, pool_of: Callable[[DataFrame], DataFrame], setting
     """(node, root) of the classes with links. shared: key, cls, from `shared_keys`; pool_of: from classes (cls) to
     one row of each, cls, n, regs, text."""
     found = stored(shared)
-    buckets = found.groupBy("key").agg(F.min("cls").alias("hub"))
+    buckets = found.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("rows"))
     shared = stored(found.join(buckets, "key"))
     forgotten(found)
     # A class is compared first with the hub that it shares most bands with.
@@ -334,6 +334,9 @@ def linked(shared: DataFrame, pool_of: Callable[[DataFrame], DataFrame], setting
     stars = stored(votes.groupBy("cls").agg(F.max(F.struct("bands", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("cls").alias("b")))
     pool = stored(pool_of(shared.select("cls").distinct()))
     roots = connected(_star_links(stars, pool, settings))
+    # A bucket of two that have been compared is done with.
+    done = shared.where("rows = 2 AND cls <> hub").join(stars.select(F.col("b").alias("cls"), F.col("a").alias("hub")), ["cls", "hub"]).select("key")
+    shared = stored(shared.select("key", "cls").join(done, "key", "left_anti"))
     for every in (False, True):
         open_ = _open_members(shared, roots, pool, settings)
         if not open_.limit(1).count():
