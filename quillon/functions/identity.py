@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The shape of preprint numbers, and the prefix of DOIs registered for them.
 PREPRINT = r"^(\d{4}\.\d{4,5}(v\d+)?|[a-z-]+(\.[A-Z]{2})?/\d{7}(v\d+)?)$"
 PREPRINT_DOI = "10.48550/arxiv."
+#: Web addresses before a DOI, each at most once.
+DOI_ADDRESS = r"(?:https://doi\.org/)?(?:http://doi\.org/)?(?:https://dx\.doi\.org/)?(?:http://dx\.doi\.org/)?"
 
 
 def _filled(x: Column) -> Column:
@@ -21,12 +23,7 @@ def stripped(x: Column) -> Column:
 
 def doi(x: Column) -> Column:
     """A DOI without its web address, in lower case; '' if there is none."""
-    bare = stripped(x)
-    for prefix in ("https", "http"):
-        bare = F.regexp_replace(bare, rf"^{prefix}://doi\.org/", "")
-    for prefix in ("https", "http"):
-        bare = F.regexp_replace(bare, rf"^{prefix}://dx\.doi\.org/", "")
-    return F.lower(bare)
+    return F.lower(F.regexp_replace(stripped(x), f"^{DOI_ADDRESS}", ""))
 
 
 def without_version(x: Column) -> Column:
@@ -41,20 +38,33 @@ def title_key(x: Column) -> Column:
     return F.when(bare == "", "").otherwise(F.concat(F.lit("title:"), bare))
 
 
-def doi_key(x: Column) -> Column:
-    """doi:<doi>; a preprint's DOI gives arxiv:<number>; '' without a DOI."""
-    d = doi(x)
+def doi_key_of(d: Column) -> Column:
+    """doi:<doi> of a DOI in its plain form; a preprint's gives arxiv:<number>; '' without a DOI."""
     number = without_version(F.substring(d, len(PREPRINT_DOI) + 1, 10_000))
     own = F.when(number == "", "").otherwise(F.concat(F.lit("arxiv:"), number))
     return F.when(d == "", "").when(d.startswith(PREPRINT_DOI), own).otherwise(F.concat(F.lit("doi:"), d))
 
 
+def doi_key(x: Column) -> Column:
+    """`doi_key_of` a written DOI."""
+    return doi_key_of(doi(x))
+
+
+def wrapped_preprint(raw: Column) -> Column:
+    """What an identifier without white space around it says of a preprint: behind `arxiv:`, or behind the DOI prefix of
+    preprints (in lower case, as DOIs are), else the identifier itself."""
+    marked = F.lower(raw).startswith("arxiv:")
+    registered = F.regexp_extract(raw, f"(?s)^{DOI_ADDRESS}(?i:10\\.48550/arxiv\\.)(.*)$", 1)
+    return F.when(marked, stripped(F.regexp_replace(raw, r"^[^:]*:", ""))).when(registered != "", F.lower(registered)).otherwise(raw)
+
+
+def _numbered(inner: Column) -> Column:
+    return F.when(inner.rlike(PREPRINT), F.concat(F.lit("arxiv:"), without_version(inner))).otherwise("")
+
+
 def preprint_key(x: Column) -> Column:
     """arxiv:<number> if the identifier is, or wraps, a preprint number; else ''."""
-    raw = stripped(x)
-    d = doi(raw)
-    inner = F.when(F.lower(raw).startswith("arxiv:"), stripped(F.regexp_replace(raw, r"^[^:]*:", ""))).when(d.startswith(PREPRINT_DOI), F.substring(d, len(PREPRINT_DOI) + 1, 10_000)).otherwise(raw)
-    return F.when(inner.rlike(PREPRINT), F.concat(F.lit("arxiv:"), without_version(inner))).otherwise("")
+    return _numbered(wrapped_preprint(stripped(x)))
 
 
 def _first_filled(*options: Column) -> Column:
@@ -68,6 +78,17 @@ def paper_key(ids: list[Column], doi_: Column, title: Column, fallback: Column |
     return key if fallback is None else F.when(key == "", fallback).otherwise(key)
 
 
+def with_keys(records: DataFrame, ids: list[str], doi_col: str = "doi", title_col: str = "title", fallback: Column | None = None) -> DataFrame:
+    """`records` with `key`, as `paper_key` makes it, and its parts doi_norm and title_key. Each part is computed once, in a
+    projection of its own, so that no expression holds another's text several times."""
+    raw = {f"raw_{c}": stripped(F.col(c)) for c in ids}
+    first = records.withColumns({"doi_norm": doi(F.col(doi_col)), "title_key": title_key(F.col(title_col)), **raw})
+    second = first.withColumns({"key_doi": doi_key_of(F.col("doi_norm")), **{c: wrapped_preprint(F.col(c)) for c in raw}})
+    key = _first_filled(F.col("key_doi"), *[_numbered(F.col(c)) for c in raw], F.col("title_key"))
+    third = second.withColumn("key", key)
+    return (third if fallback is None else third.withColumn("key", F.when(F.col("key") == "", fallback).otherwise(F.col("key")))).drop("key_doi", *raw)
+
+
 def aliases(ids: list[Column], doi_: Column, title: Column) -> Column:
     """Every name under which a record may be looked up, sorted."""
     raw = [stripped(x) for x in [*ids, doi_]]

@@ -120,9 +120,36 @@ def fetched(requests: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, key: list[str], left_id: str, left_at: str, right_id: str, right_at: str) -> DataFrame:
-    """Each left row with the right row of its key that is nearest, the first of equally near ones."""
-    near = F.struct(F.abs(F.col(left_at) - F.col(right_at)), F.col(right_id))
-    return left.join(right, key).groupBy(*key, left_id).agg(F.min_by(right_id, near).alias(right_id), F.min(F.abs(F.col(left_at) - F.col(right_at))).alias("distance"))
+    """Each left row with the right row of its key that is nearest, the one of least id of equally near ones; of left rows that
+    share an id, the nearest pair.
+
+    The last right row before each left row and the first after it are windows over one sort of both, so a key's rows
+    are never joined with each other. Left rows whose key has no right row, or without a place, don't appear."""
+    each = right.where(F.col(right_at).isNotNull()).groupBy(*key, F.col(right_at).alias("at")).agg(F.min(right_id).alias("rid"))
+    both = left.where(F.col(left_at).isNotNull()).select(*key, F.col(left_at).alias("at"), F.lit(None).alias("rid"), F.col(left_id).alias("lid"), F.lit(True).alias("asks"))
+    both = both.unionByName(each.withColumns({"lid": F.lit(None), "asks": F.lit(False)}))
+    known = F.when(~F.col("asks"), F.struct("at", "rid"))
+    way = W.partitionBy(key).orderBy("at")
+    found = both.withColumns({"before": F.last(known, True).over(way.rangeBetween(W.unboundedPreceding, 0)), "after": F.first(known, True).over(way.rangeBetween(0, W.unboundedFollowing))}).where("asks")
+    apart = lambda c: F.abs(F.col("at") - F.col(f"{c}.at"))
+    best = F.array_min(F.filter(F.array(*[F.struct(apart(c).alias("d"), F.col(f"{c}.rid").alias("rid")) for c in ("before", "after")]), lambda s: s["d"].isNotNull()))
+    least = found.withColumn("best", best).where("best IS NOT NULL").groupBy(*key, F.col("lid").alias(left_id)).agg(F.min("best").alias("best"))
+    return least.select(*key, left_id, F.col("best.rid").alias(right_id), F.col("best.d").alias("distance"))
+
+
+def overlapping(boxes: DataFrame, key: list[str], box: str, least: float, cell: float = 16.0) -> DataFrame:
+    """(key, a, b): pairs of boxes of a page whose common area is at least `least` (above 0); a < b.
+
+    Boxes are dealt to the square cells that they touch, and meet only there, in the first cell that both touch, so
+    boxes far from each other are never paired."""
+    low, high = (lambda c: F.floor(F.col(c) / cell)), F.explode
+    spread = boxes.withColumn("cx", high(F.sequence(low("x0"), low("x1")))).withColumn("cy", high(F.sequence(low("y0"), low("y1"))))
+    a, b = spread.alias("p"), spread.alias("q")
+    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in (*key, "cx", "cy")]
+    side = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col(f"p.{hi}"), F.col(f"q.{hi}")) - F.greatest(F.col(f"p.{lo}"), F.col(f"q.{lo}")))
+    first = lambda c, lo: F.col(f"p.{c}") == F.floor(F.greatest(F.col(f"p.{lo}"), F.col(f"q.{lo}")) / cell)
+    pairs = a.join(b, [*same, F.col(f"p.{box}") < F.col(f"q.{box}")]).where(first("cx", "x0") & first("cy", "y0"))
+    return pairs.where(side("x0", "x1") * side("y0", "y1") >= least).select(*[F.col(f"p.{c}").alias(c) for c in key], F.col(f"p.{box}").alias("a"), F.col(f"q.{box}").alias("b"))
 
 
 def components(boxes: DataFrame, key: list[str], gap: float) -> DataFrame:

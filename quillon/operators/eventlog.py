@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators.metrics import percentile_linear
+from quillon.operators.ranks import percentiles
 
 
 def seconds_between(a: Column, b: Column) -> Column:
@@ -33,13 +33,12 @@ def status_counts(ended: DataFrame, by: list[Column]) -> DataFrame:
 def rates(ended: DataFrame) -> DataFrame:
     """Totals, completion and cancellation rates (null of nothing), and duration percentiles."""
     n = F.count("*")
-    return ended.agg(
+    counts = ended.agg(
         n.alias("turns"),
         F.try_divide(F.count_if(F.col("status") == "completed"), n).alias("completed_rate"),
         F.try_divide(F.count_if(F.col("status") == "cancelled"), n).alias("cancelled_rate"),
-        percentile_linear(F.col("duration"), 0.5).alias("duration_p50"),
-        percentile_linear(F.col("duration"), 0.95).alias("duration_p95"),
     )
+    return counts.join(percentiles(ended, [], {"duration_p50": ("duration", 0.5, "linear"), "duration_p95": ("duration", 0.95, "linear")}), how="left").fillna(0.0, ["duration_p50", "duration_p95"])
 
 
 def steps(events: DataFrame) -> DataFrame:
@@ -64,14 +63,13 @@ def stage_stats(step_rows: DataFrame) -> DataFrame:
     """Per stage: calls, failures, failure rate, duration percentiles."""
     took = seconds_between(F.col("created"), F.col("completed"))
     true = seconds_between(F.col("first_created"), F.col("completed"))
-    return step_rows.groupBy("stage").agg(
+    counts = step_rows.groupBy("stage").agg(
         F.count("*").alias("calls"),
         F.count_if("failed").alias("failed"),
         F.avg(F.col("failed").cast("int")).alias("failure_rate"),
-        percentile_linear(took, 0.5).alias("duration_p50"),
-        percentile_linear(took, 0.95).alias("duration_p95"),
-        percentile_linear(true, 0.95).alias("true_p95"),
     )
+    timed = step_rows.select("stage", took.alias("took"), true.alias("true"))
+    return counts.join(percentiles(timed, ["stage"], {"duration_p50": ("took", 0.5, "linear"), "duration_p95": ("took", 0.95, "linear"), "true_p95": ("true", 0.95, "linear")}), "stage")
 
 
 def top_errors(step_rows: DataFrame, n: int = 3, most: int = 200) -> DataFrame:
@@ -101,15 +99,14 @@ def call_stats(calls: DataFrame) -> DataFrame:
     """Per operation: calls, retry rate, duration figures, token sums under either name. calls: operation, attempts,
     duration_ms, prompt_tokens, input_tokens, completion_tokens, output_tokens."""
     tokens = lambda a, b: F.sum(F.coalesce(F.when(F.col(a) != 0, F.col(a)), F.col(b), F.lit(0)))
-    return calls.groupBy("operation").agg(
+    counts = calls.groupBy("operation").agg(
         F.count("*").alias("calls"),
         F.avg((F.col("attempts") > 1).cast("int")).alias("retry_rate"),
-        percentile_linear(F.col("duration_ms"), 0.5).alias("p50"),
-        percentile_linear(F.col("duration_ms"), 0.95).alias("p95"),
         F.max("duration_ms").alias("longest"),
         tokens("prompt_tokens", "input_tokens").alias("input"),
         tokens("completion_tokens", "output_tokens").alias("output"),
     )
+    return counts.join(percentiles(calls, ["operation"], {"p50": ("duration_ms", 0.5, "linear"), "p95": ("duration_ms", 0.95, "linear")}), "operation")
 
 
 def attempt_success(attempts: DataFrame, papers: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators.ranks import percentiles, with_rank
+
 #: Points of the three dimensions of an evaluation (fixed values); a partial match earns half.
 WEIGHTS = {"topic": 50, "method": 30, "setting": 20}
 #: Weights of the layers of the overall score (fixed values).
@@ -34,18 +36,6 @@ def ranking_quality(judged: DataFrame, k: int = 10, threshold: float = 2.0) -> D
     return first.join(rest, "case_id").select("case_id", "n", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"), "precision", "gap", "saturated")
 
 
-def percentile_linear(x: Column, p: float) -> Column:
-    """Interpolated at p (n - 1); 0 of nothing."""
-    return F.coalesce(F.percentile(x, F.lit(p)), F.lit(0.0))
-
-
-def percentile_nearest(x: Column, p: int) -> Column:
-    """The value at place min(int(n p / 100), n - 1) of those in order; 0 of nothing."""
-    values = F.array_sort(F.collect_list(x))
-    at = F.least(F.floor(F.size(values) * p / 100), F.size(values) - 1).cast("int") + 1
-    return F.when(F.size(values) > 0, F.element_at(values, F.greatest(at, F.lit(1)))).otherwise(0.0)
-
-
 def completeness(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """Shares of rows whose field is filled; 0 of nothing."""
     return rows.agg(*[F.coalesce(F.avg(c.cast("int")), F.lit(0.0)).alias(k) for k, c in fields.items()])
@@ -57,15 +47,14 @@ def suite(cases: DataFrame) -> DataFrame:
     ok = F.col("status") == "ok"
     judged = ok & (F.col("judge_status") == "ok")
     fair = judged & ~F.coalesce("saturated", F.lit(False))
-    return cases.agg(
+    counts = cases.agg(
         F.count("*").alias("cases"),
         F.count_if(ok).alias("ok_cases"),
         F.count_if(judged & F.coalesce("saturated", F.lit(False))).alias("saturated_cases"),
         *[F.avg(F.when(fair, F.col(c))).alias(c) for c in ("ndcg", "precision", "gap")],
         F.avg(F.when(judged, F.col("recall"))).alias("recall"),
-        percentile_linear(F.when(ok, F.col("latency")), 0.5).alias("latency_p50"),
-        percentile_linear(F.when(ok, F.col("latency")), 0.95).alias("latency_p95"),
     )
+    return counts.join(percentiles(cases.where(ok), [], {"latency_p50": ("latency", 0.5, "linear"), "latency_p95": ("latency", 0.95, "linear")}), how="left").fillna(0.0, ["latency_p50", "latency_p95"])
 
 
 def points(value: Column, target: Column, direction: Column) -> Column:
@@ -117,9 +106,11 @@ def completeness_score(covered: Column, partial: Column, total: Column) -> Colum
 
 def agreement(pairs: DataFrame) -> DataFrame:
     """n, share within one point, share equal, and rank correlation of human and judge scores (null under 3 cases)."""
-    # Average ranks: the counts of smaller and equal values, from the bounded table of score values.
-    counts = {c: pairs.groupBy(c).agg(F.count("*").alias("k")).withColumn("r", F.sum("k").over(W.orderBy(c)) - (F.col("k") - 1) / 2).select(F.col(c), F.col("r").alias(f"r_{c}")) for c in ("human", "judge")}
-    ranked = pairs.join(F.broadcast(counts["human"]), "human").join(F.broadcast(counts["judge"]), "judge")
+    # Average ranks, from the first and last place of each value.
+    ranked = pairs
+    for c in ("human", "judge"):
+        places = with_rank(pairs.select(c), [], c, "place").groupBy(c).agg(((F.min("place") + F.max("place")) / 2).alias(f"r_{c}"))
+        ranked = ranked.join(places, c)
     return ranked.agg(
         F.count("*").alias("n"),
         F.avg((F.abs(F.col("human") - F.col("judge")) <= 1).cast("int")).alias("within_one"),

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import identity
+from quillon.operators.ranks import with_rank
 
 #: Rank fusion adds 1 / (RRF_K + rank) (fixed value).
 RRF_K = 60
@@ -31,23 +31,32 @@ def haystack(title: Column, abstract: Column) -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
 
 
+def _once(value: Column, made) -> Column:
+    """made(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
+def _any(text: Column, terms: Sequence[str]) -> Column:
+    return reduce(lambda a, t: a | text.contains(t.lower()), [t for t in terms if t], F.lit(False))
+
+
+def _every(text: Column, groups: Sequence[Sequence[str]]) -> Column:
+    return reduce(lambda a, g: a & _any(text, g), groups, F.lit(True))
+
+
 def excludes(title: Column, abstract: Column, terms: Sequence[str]) -> Column:
     """None of the terms occurs in title or abstract, in either case."""
-    text = haystack(title, abstract)
-    return reduce(lambda a, t: a & ~text.contains(t.lower()), [t for t in terms if t], F.lit(True))
+    return _once(haystack(title, abstract), lambda h: ~_any(h, terms))
 
 
-def matches(title: Column, abstract: Column, groups: Sequence[Sequence[str]]) -> Column:
-    """Every group has a term that occurs."""
-    text = haystack(title, abstract)
-    return reduce(lambda a, g: a & reduce(lambda b, t: b | text.contains(t.lower()), g, F.lit(False)), groups, F.lit(True))
+def matches(title: Column, abstract: Column, groups: Sequence[Sequence[str]], excluded: Sequence[str] = ()) -> Column:
+    """Every group has a term that occurs, and none of `excluded` does."""
+    return _once(haystack(title, abstract), lambda h: ~_any(h, excluded) & _every(h, groups))
 
 
 def concept_hits(title: Column, abstract: Column, groups: Sequence[Sequence[str]]) -> Column:
     """How many groups have a term that occurs."""
-    text = haystack(title, abstract)
-    hits = [reduce(lambda b, t: b | text.contains(t.lower()), g, F.lit(False)).cast("int") for g in groups]
-    return reduce(lambda a, b: a + b, hits, F.lit(0))
+    return _once(haystack(title, abstract), lambda h: reduce(lambda a, g: a + _any(h, g).cast("int"), groups, F.lit(0)))
 
 
 def rendered(groups: Sequence[Sequence[str]], excluded: Sequence[str] = ()) -> str:
@@ -88,15 +97,22 @@ def merged_duplicates(papers: DataFrame, key: str = "key", order: str = "ord") -
 
 def fused_ranks(papers: DataFrame, key: str = "key", source: str = "source", order: str = "ord") -> DataFrame:
     """(key, rrf): the sum over each record's rank in its source's list."""
-    ranked = papers.withColumn("rank", F.row_number().over(W.partitionBy(source).orderBy(order)))
+    ranked = with_rank(papers.select(key, source, order), [source], order)
     return ranked.groupBy(key).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"))
 
 
+#: What `search` carries of a record besides its key; texts stay where they are.
+CARRIED = ("ord", "source", "id", "cited_by", "year", "arxiv_id", "pdf_url")
+
+
 def search(papers: DataFrame, groups: Sequence[Sequence[str]], limit: int | None, year_from: int | None = None, year_to: int | None = None, excluded: Sequence[str] = ()) -> DataFrame:
-    """Filter, fuse, merge, rank: by fused rank, number of sources, concept hits, citations, year, then first place."""
-    fit = papers.where(within_years(F.col("year"), year_from, year_to) & excludes(F.col("title"), F.col("abstract"), excluded) & matches(F.col("title"), F.col("abstract"), groups))
-    merged = merged_duplicates(fit).join(fused_ranks(fit), "key")
-    ranked = merged.withColumn("hits", concept_hits(F.col("title"), F.col("abstract"), groups)).withColumn("n_sources", F.size("sources"))
+    """Filter, fuse, merge, rank: by fused rank, number of sources, concept hits, citations, year, then first place.
+
+    The result has key, the columns of CARRIED, rrf, n_sources and hits; `id` finds a record's other columns. Hits are
+    those of the record that stands for its key."""
+    fit = papers.where(within_years(F.col("year"), year_from, year_to) & matches(F.col("title"), F.col("abstract"), groups, excluded))
+    narrow = fit.select("key", *CARRIED, concept_hits(F.col("title"), F.col("abstract"), groups).alias("hits"))
+    ranked = merged_duplicates(narrow).join(fused_ranks(fit), "key").withColumn("n_sources", F.size("sources"))
     ordered = ranked.orderBy(F.desc("rrf"), F.desc("n_sources"), F.desc("hits"), F.desc(F.coalesce("cited_by", F.lit(0))), F.desc(F.coalesce("year", F.lit(0))), "first_ord")
     return ordered.limit(limit) if limit is not None else ordered
 
@@ -126,10 +142,13 @@ def duplicate_violations(papers: DataFrame, id_col: str = "id") -> DataFrame:
 def resolved_aliases(papers: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ref, key): for each written reference, the first record that any of its spellings names."""
     names = papers.select("key", "ord", F.explode(identity.aliases([F.col("id"), F.col("arxiv_id")], F.col("doi"), F.col("title"))).alias("name")).where("NOT startswith(name, 'title:')")
-    table = names.select("key", "ord", F.explode(identity.citation_keys(F.col("name"))).alias("spelling")).groupBy("spelling").agg(F.min_by("key", "ord").alias("key"), F.min("ord").alias("ord"))
-    asked = wanted.select("ref", F.explode(identity.citation_keys(F.col("ref"))).alias("spelling"))
-    hits = asked.join(table, "spelling").groupBy("ref").agg(F.min_by("key", "ord").alias("key"))
-    return wanted.select("ref").distinct().join(hits, "ref", "left")
+    # A name is written in many ways by many records: each way is worked out once.
+    firsts = names.groupBy("name").agg(F.min(F.struct("ord", "key")).alias("first"))
+    table = firsts.select("first", F.explode(identity.citation_keys(F.col("name"))).alias("spelling"))
+    refs = wanted.select("ref").distinct()
+    asked = refs.select("ref", F.explode(identity.citation_keys(F.col("ref"))).alias("spelling"))
+    hits = table.join(asked, "spelling").groupBy("ref").agg(F.min("first").alias("first")).select("ref", "first.key")
+    return refs.join(hits, "ref", "left")
 
 
 def expanded(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.plans import retrieval, sessions, texts, whole
+from quillon.plans import retrieval, sessions, texts
 
-MODULES = [retrieval, sessions, texts, whole]
+MODULES = [retrieval, sessions, texts]
 
 
 def flagship(spark, sf_dir: str):
     """Federated search over whole texts: union, filters, entity resolution, rank fusion and ranking."""
-    return whole.Q["t01_t02_u01_federated_search_whole"](spark, sf_dir)
+    return retrieval.Q["t01_t02_u01_federated_search"](spark, sf_dir)
 
 
 def queries() -> dict:

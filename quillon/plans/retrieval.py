@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 
 from quillon.functions import identity, text
 from quillon.operators import metrics, retrieval
+from quillon.operators.ranks import percentiles
 from quillon.sources.tables import CASES, JUDGED, PAPERS, derived, table
 
 GROUPS = [["the", "der", "les"], ["on", "und", "de"], ["thing", "chts", "ment"]]
 EXCLUDED = ["###", "!!"]
 
 
-def papers(spark, sf, records=PAPERS):
-    p = derived(spark, sf, records, "documents")
-    ids = [F.col("id"), F.col("arxiv_id")]
-    return p.withColumn("key", identity.paper_key(ids, F.col("doi"), F.col("title"), F.concat(F.lit("row:"), F.col("id"))))
+def papers(spark, sf):
+    return identity.with_keys(derived(spark, sf, PAPERS, "documents"), ["id", "arxiv_id"], fallback=F.concat(F.lit("row:"), F.col("id")))
 
 
 def _hay(alias=""):
@@ -50,8 +49,8 @@ def query(name, sql=None):
 
 
 @query("f01_doi_f02_preprint_f03_title_f04_key", f"WITH {KEYED} SELECT id, d AS doi_norm, a AS preprint, CASE WHEN t = '' THEN '' ELSE 'title:' || t END AS title_key, key FROM papers")
-def keys(spark, sf, records=PAPERS):
-    return papers(spark, sf, records).select("id", identity.doi(F.col("doi")).alias("doi_norm"), identity.without_version(F.col("arxiv_id")).alias("preprint"), identity.title_key(F.col("title")).alias("title_key"), "key")
+def keys(spark, sf):
+    return papers(spark, sf).select("id", "doi_norm", identity.without_version(F.col("arxiv_id")).alias("preprint"), "title_key", "key")
 
 
 @query(
@@ -64,8 +63,8 @@ SELECT g.key, array_to_string(g.sources, ',') AS sources, g.first_ord, r.id, r.c
        CASE WHEN r.pdf_url <> '' THEN r.pdf_url ELSE coalesce(g.fp, '') END AS pdf_url
 FROM g JOIN r ON r.key = g.key AND r.n = 1""",
 )
-def merge(spark, sf, records=PAPERS):
-    m = retrieval.merged_duplicates(papers(spark, sf, records))
+def merge(spark, sf):
+    m = retrieval.merged_duplicates(papers(spark, sf))
     return m.select("key", F.array_join("sources", ",").alias("sources"), "first_ord", "id", "cited_by", "year", "arxiv_id", "pdf_url")
 
 
@@ -74,23 +73,23 @@ def merge(spark, sf, records=PAPERS):
     f"""WITH {KEYED}, r AS (SELECT key, row_number() OVER (PARTITION BY source ORDER BY ord) AS n FROM papers)
 SELECT key, round(sum(1.0::DOUBLE / (60 + n)), 10) AS rrf FROM r GROUP BY key""",
 )
-def fusion(spark, sf, records=PAPERS):
-    return retrieval.fused_ranks(papers(spark, sf, records)).select("key", F.round("rrf", 10).alias("rrf"))
+def fusion(spark, sf):
+    return retrieval.fused_ranks(papers(spark, sf)).select("key", F.round("rrf", 10).alias("rrf"))
 
 
 _FIT = f"(year IS NULL OR year BETWEEN 1995 AND 2020) AND NOT {_any(EXCLUDED)} AND " + " AND ".join(_any(g) for g in GROUPS)
 
 
 @query("p03_p04_p06_filters", f"WITH p AS ({PAPERS}) SELECT id, year FROM p WHERE {_FIT}")
-def filters(spark, sf, records=PAPERS):
-    p = derived(spark, sf, records, "documents")
+def filters(spark, sf):
+    p = derived(spark, sf, PAPERS, "documents")
     t, a = F.col("title"), F.col("abstract")
     return p.where(retrieval.within_years(F.col("year"), 1995, 2020) & retrieval.excludes(t, a, EXCLUDED) & retrieval.matches(t, a, GROUPS)).select("id", "year")
 
 
 @query("p07_concept_hits", f"WITH p AS ({PAPERS}) SELECT id, {' + '.join(f'CAST({_any(g)} AS INT)' for g in GROUPS)} AS hits FROM p")
-def hits(spark, sf, records=PAPERS):
-    return derived(spark, sf, records, "documents").select("id", retrieval.concept_hits(F.col("title"), F.col("abstract"), GROUPS).alias("hits"))
+def hits(spark, sf):
+    return derived(spark, sf, PAPERS, "documents").select("id", retrieval.concept_hits(F.col("title"), F.col("abstract"), GROUPS).alias("hits"))
 
 
 @query(
@@ -103,8 +102,8 @@ g AS (SELECT key, count(DISTINCT source) AS n_sources, min(ord) AS first_ord FRO
 SELECT b.id, b.key, g.n_sources::INT AS n_sources, round(f.rrf, 10) AS rrf FROM b JOIN g ON b.key = g.key JOIN f ON f.key = b.key WHERE b.n = 1
 ORDER BY f.rrf DESC, g.n_sources DESC, {' + '.join(f'CAST({_any(x)} AS INT)' for x in GROUPS)} DESC, coalesce(b.cited_by, 0) DESC, coalesce(b.year, 0) DESC, g.first_ord LIMIT 20""",
 )
-def search(spark, sf, records=PAPERS):
-    p = papers(spark, sf, records)
+def search(spark, sf):
+    p = papers(spark, sf)
     sources = {s: p.where(F.col("source") == s) for s in ("arxiv", "openalex", "semantic_scholar")}
     both = retrieval.federated(sources, ["arxiv", "missing", "openalex", "semantic_scholar"])
     found = retrieval.search(both, GROUPS, 20, 1995, 2020, EXCLUDED)
@@ -120,8 +119,8 @@ SELECT p.id, d.dropped FROM p, d WHERE CASE d.dropped WHEN 0 THEN {cond[0]} WHEN
 
 
 @query("t10_relaxation", _relaxed_sql(100_000))
-def relaxation(spark, sf, records=PAPERS):
-    return retrieval.relaxed_search(derived(spark, sf, records, "documents"), GROUPS, 100_000).select("id", "dropped")
+def relaxation(spark, sf):
+    return retrieval.relaxed_search(derived(spark, sf, PAPERS, "documents"), GROUPS, 100_000).select("id", "dropped")
 
 
 @query(
@@ -130,8 +129,8 @@ def relaxation(spark, sf, records=PAPERS):
 UNION ALL SELECT 'title', CASE WHEN t = '' THEN '' ELSE 'title:' || t END, id, ord FROM papers)
 SELECT kind, value, string_agg(id, ',' ORDER BY ord) AS ids FROM e WHERE value <> '' GROUP BY kind, value HAVING count(*) > 1""",
 )
-def violations(spark, sf, records=PAPERS):
-    return retrieval.duplicate_violations(derived(spark, sf, records, "documents")).select("kind", "value", F.array_join("ids", ",").alias("ids"))
+def violations(spark, sf):
+    return retrieval.duplicate_violations(derived(spark, sf, PAPERS, "documents")).select("kind", "value", F.array_join("ids", ",").alias("ids"))
 
 
 @query(
@@ -141,9 +140,9 @@ k AS (SELECT name, min_by(key, ord) AS key FROM s WHERE name NOT IN ('', 'arxiv:
 q AS (SELECT DISTINCT 'https://doi.org/10.1000/x' || (item_id % 120)::VARCHAR AS ref, '10.1000/x' || (item_id % 120)::VARCHAR AS d FROM benchmark)
 SELECT q.ref, k.key FROM q LEFT JOIN k ON k.name = q.d""",
 )
-def resolution(spark, sf, records=PAPERS):
+def resolution(spark, sf):
     wanted = table(spark, sf, "benchmark").select(F.concat(F.lit("https://doi.org/10.1000/x"), (F.col("item_id") % 120).cast("string")).alias("ref"))
-    return retrieval.resolved_aliases(papers(spark, sf, records), wanted)
+    return retrieval.resolved_aliases(papers(spark, sf), wanted)
 
 
 _EDGES = "SELECT doc_id AS src, (doc_id * 31 + 7) % (SELECT count(*) FROM documents) AS dst FROM documents UNION SELECT doc_id, (doc_id * 17 + 3) % (SELECT count(*) FROM documents) FROM documents"
@@ -195,7 +194,7 @@ def suite(spark, sf):
     "SELECT event_type, list_sort(list(value))[least(floor(count(value) * 95 / 100)::INT, count(value)::INT - 1) + 1] AS p95 FROM events GROUP BY event_type",
 )
 def nearest(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(metrics.percentile_nearest(F.col("value"), 95).alias("p95"))
+    return percentiles(table(spark, sf, "events"), ["event_type"], {"p95": ("value", 0.95, "nearest")})
 
 
 _METRICS = """SELECT CASE p_partkey % 3 WHEN 0 THEN 'L1' WHEN 1 THEN 'L2' ELSE 'L3' END AS layer, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 10 END AS value,
@@ -291,8 +290,8 @@ def golden(spark, sf):
 
 
 @query("a10_multi_source_rate", f"WITH {KEYED}, g AS (SELECT key, count(DISTINCT source) AS n FROM papers GROUP BY key) SELECT round(avg((n >= 2)::INT), 9) AS rate FROM g")
-def multi_source(spark, sf, records=PAPERS):
-    return retrieval.merged_duplicates(papers(spark, sf, records)).agg(F.round(F.avg((F.size("sources") >= 2).cast("int")), 9).alias("rate"))
+def multi_source(spark, sf):
+    return retrieval.merged_duplicates(papers(spark, sf)).agg(F.round(F.avg((F.size("sources") >= 2).cast("int")), 9).alias("rate"))
 
 
 @query(

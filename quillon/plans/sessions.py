@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text
-from quillon.operators import context, eventlog
+from quillon.operators import context, eventlog, retrieval
 from quillon.sources.tables import LOG, derived, table
 from quillon.streaming import runs
 
@@ -272,15 +272,12 @@ def page(spark, sf):
 
 @query(
     "k10_a04_upsert",
-    """SELECT coalesce(a.doc_id, b.item_id) AS id, coalesce(nullif(substr(a.text, 1, 5), ''), substr(b.text, 1, 5)) AS title, a.doc_id IS NULL AS is_new
-FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) a FULL JOIN benchmark b ON a.doc_id = b.item_id""",
+    "SELECT coalesce(a.doc_id, b.item_id) AS id, coalesce(nullif(a.text, ''), b.text) AS text, a.doc_id IS NULL AS is_new FROM documents a FULL JOIN benchmark b ON a.doc_id = b.item_id",
 )
 def upsert(spark, sf):
-    from quillon.operators import retrieval
-
-    old = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.substring("text", 1, 5).alias("title"), F.lit(True).alias("_there"))
-    new = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 5).alias("title"))
-    return retrieval.upserted(old, new, "id", ["title"])
+    old = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(True).alias("_there"))
+    new = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieval.upserted(old, new, "id", ["text"])
 
 
 @query("k11_j07_delete_cascade", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0)")

@@ -182,8 +182,8 @@ def components(spark, sf):
 
 
 @query("f12_safe_names", f"WITH p AS ({PAPERS}) SELECT id, substr(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9._-]', '_', 'g'), 1, 160) AS name FROM p")
-def names(spark, sf, records=PAPERS):
-    return derived(spark, sf, records, "documents").select("id", text.safe_name(F.col("title")).alias("name"))
+def names(spark, sf):
+    return derived(spark, sf, PAPERS, "documents").select("id", text.safe_name(F.col("title")).alias("name"))
 
 
 @query("f36_digests", "SELECT doc_id, substr(sha1(text), 1, 12) AS cache_key, sha256(text) AS digest FROM documents")
@@ -201,8 +201,8 @@ def head_tail(spark, sf):
     f"""WITH p AS ({PAPERS}) SELECT id, '@' || CASE WHEN source <> '' THEN 'article' ELSE 'misc' END || '{{' || id || ',' || chr(10) || CASE WHEN title <> '' THEN '  title = {{' || title || '}},' || chr(10) ELSE '' END
 || '  author = {{A. One and B. Two}},' || chr(10) || CASE WHEN year IS NOT NULL THEN '  year = {{' || year || '}},' || chr(10) ELSE '' END || '  journal = {{' || source || '}},' || chr(10) || '}}' AS bib FROM p""",
 )
-def bib(spark, sf, records=PAPERS):
-    p = derived(spark, sf, records, "documents")
+def bib(spark, sf):
+    p = derived(spark, sf, PAPERS, "documents")
     return p.select("id", text.bibtex(F.col("id"), F.col("title"), F.array(F.lit("A. One"), F.lit("B. Two")), F.col("year"), F.col("source"), F.lit("")).alias("bib"))
 
 
@@ -210,27 +210,28 @@ def bib(spark, sf, records=PAPERS):
     "f13_references",
     f"WITH p AS ({PAPERS}) SELECT id, 'A, B, C, et al. ' || title || '[J]. ' || source || ', ' || coalesce(year || '.', '') || CASE WHEN coalesce(doi, '') <> '' THEN ' DOI:' || doi || '.' ELSE '' END AS ref FROM p",
 )
-def references(spark, sf, records=PAPERS):
-    p = derived(spark, sf, records, "documents")
+def references(spark, sf):
+    p = derived(spark, sf, PAPERS, "documents")
     return p.select("id", text.gbt_reference(F.array(*[F.lit(x) for x in "ABCD"]), F.col("title"), F.col("source"), F.col("year"), F.coalesce("doi", F.lit(""))).alias("ref"))
 
 
-_CITED = "substr(text, 1, 60) || ' [p' || CAST(doc_id % 50 AS STRING) || '] and [10.1000/x' || CAST(doc_id % 9 AS STRING) || '] [12] [todo] [link](http) [p' || CAST(doc_id % 50 AS STRING) || ']'"
+_CITED = "coalesce(text, '') || ' [p' || CAST(doc_id % 50 AS STRING) || '] and [10.1000/x' || CAST(doc_id % 9 AS STRING) || '] [12] [todo] [link](http) [p' || CAST(doc_id % 50 AS STRING) || ']'"
 
 
 @query(
     "f07_j07_bracket_citations",
-    "SELECT doc_id, unnest(['p' || (doc_id % 50)::VARCHAR, '10.1000/x' || (doc_id % 9)::VARCHAR]) AS cited FROM documents WHERE NOT regexp_matches(substr(text, 1, 60), '[\\[\\]]')",
+    f"""WITH t AS (SELECT doc_id, regexp_replace({_CITED.replace('STRING', 'VARCHAR')}, '\\[[^\\[\\]]+\\]\\(', '(', 'g') AS x FROM documents),
+c AS (SELECT doc_id, trim(unnest(regexp_extract_all(x, '\\[([^\\[\\]]+)\\]', 1))) AS cited FROM t)
+SELECT DISTINCT doc_id, cited FROM c WHERE regexp_matches(cited, '^[A-Za-z0-9][A-Za-z0-9_.:/()-]+$') AND NOT regexp_matches(cited, '^\\d+$') AND lower(cited) NOT IN ('todo', 'note', 'fixme')""",
 )
 def citations(spark, sf):
-    d = table(spark, sf, "documents").where(~F.substring("text", 1, 60).rlike(r"[\[\]]"))
-    return d.select("doc_id", F.explode(text.bracket_citations(F.expr(_CITED))).alias("cited"))
+    """Over the whole text of every document, its own brackets and those that the query glues on."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(text.bracket_citations(F.expr(_CITED))).alias("cited"))
 
 
-@query("f27_inverted_index", "SELECT doc_id, trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g')) AS abstract FROM documents")
+@query("f27_inverted_index", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS abstract FROM documents")
 def inverted(spark, sf):
-    words = F.split(text.collapsed(F.substring("text", 1, 80)), " ")
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("p", "w"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(text.collapsed(F.col("text")), " ")).alias("p", "w"))
     index = rows.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return index.select("doc_id", text.from_inverted_index(F.col("m")).alias("abstract"))
 
@@ -260,7 +261,7 @@ def html(spark, sf):
 
 @query("s02_work_payloads", "SELECT doc_id AS rank_of, 'W' || doc_id::VARCHAR AS id, '10.1000/x' || (doc_id % 9)::VARCHAR AS doi, (1990 + doc_id % 30)::INT AS year FROM documents")
 def work_payloads(spark, sf):
-    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("https://doi.org/10.1000/X"), (F.col("doc_id") % 9).cast("string")).alias("doi"), F.substring("text", 1, 20).alias("title"), (1990 + F.col("doc_id") % 30).cast("int").alias("publication_year"))).alias("results")))
+    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("https://doi.org/10.1000/X"), (F.col("doc_id") % 9).cast("string")).alias("doi"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), (1990 + F.col("doc_id") % 30).cast("int").alias("publication_year"))).alias("results")))
     found = payloads.works(table(spark, sf, "documents").select(body.alias("payload")))
     return found.select(F.substring("id", 2, 20).cast("long").alias("rank_of"), "id", "doi", "year")
 
@@ -304,11 +305,7 @@ def front(spark, sf):
     f"WITH b AS ({_BOX}) SELECT a.page, a.box AS a, c.box AS b FROM b a JOIN b c ON a.page = c.page AND a.box < c.box WHERE greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) >= 0.5 * 24",
 )
 def overlap(spark, sf):
-    b = derived(spark, sf, _BOX, "lineitem")
-    a, c = b.alias("p"), b.alias("q")
-    side = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col(f"p.{hi}"), F.col(f"q.{hi}")) - F.greatest(F.col(f"p.{lo}"), F.col(f"q.{lo}")))
-    pairs = a.join(c, (F.col("p.page") == F.col("q.page")) & (F.col("p.box") < F.col("q.box")))
-    return pairs.where(side("x0", "x1") * side("y0", "y1") >= 12).select(F.col("p.page").alias("page"), F.col("p.box").alias("a"), F.col("q.box").alias("b"))
+    return chunks.overlapping(derived(spark, sf, _BOX, "lineitem"), ["page"], "box", 12)
 
 
 @query("u03_u04_u05_sets", "SELECT doc_id, len(list_intersect(a, b)) > 0 AS meets, list_sort(list_distinct(list_concat(a, b)))::VARCHAR AS joined FROM (SELECT doc_id, [doc_id % 3, doc_id % 5] AS a, [doc_id % 4, doc_id % 7] AS b FROM documents)")

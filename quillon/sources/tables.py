@@ -9,13 +9,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Scholarly records from `documents`; the same SQL runs on DuckDB, for the oracles.
+#: Scholarly records from `documents`, whose first line is the title and all after it the abstract; the same SQL runs on
+#: DuckDB, for the oracles.
 PAPERS = """
 SELECT doc_id AS ord,
        CASE doc_id % 3 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'openalex' ELSE 'semantic_scholar' END AS source,
        'p' || CAST(doc_id AS STRING) AS id,
-       substr(text, 1, 40) AS title,
-       substr(text, 41, 300) AS abstract,
+       split_part(text, chr(10), 1) AS title,
+       substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract,
        CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(1990 + doc_id % 36 AS INT) END AS year,
        CASE doc_id % 4 WHEN 0 THEN 'https://doi.org/10.1000/X' || CAST(doc_id % 97 AS STRING)
                        WHEN 1 THEN '10.48550/arXiv.2401.' || lpad(CAST(doc_id % 89 AS STRING), 5, '0')
@@ -26,11 +27,6 @@ SELECT doc_id AS ord,
 FROM documents
 """
 
-#: The same records over whole texts: the first line is the title, all after it the abstract.
-WHOLE_PAPERS = PAPERS.replace("substr(text, 1, 40) AS title", "split_part(text, chr(10), 1) AS title").replace(
-    "substr(text, 41, 300) AS abstract", "substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract"
-)
-
 #: Judged lists from `embeddings`: a case for every 20 vectors.
 JUDGED = """
 SELECT CAST(floor(vec_id / 20) AS BIGINT) AS case_id, CAST(vec_id % 20 + 1 AS INT) AS rn,
@@ -58,7 +54,6 @@ FROM events
 """
 
 
-
 def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """One of the statements above over the tables that it names."""
     return spark.sql(sql.replace("FROM " + tables[0], "FROM {src}"), src=table(spark, sf_dir, tables[0]))
