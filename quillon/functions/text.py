@@ -111,3 +111,124 @@ def math_share(x: Column) -> Column:
     visible = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s", "")
     signs = F.length(visible) - F.length(F.regexp_replace(visible, r"[=+<>≤≥±×÷∑∏∫√∞∂∇∈∀∃α-ωΑ-Ω^_{}|*/\\-]", ""))
     return F.when(F.length(visible) > 0, signs / F.length(visible)).otherwise(0.0)
+
+
+def plain_title(x: Column) -> Column:
+    """A title to ask for exactly: single spaces, no double quotes."""
+    return collapsed(F.replace(F.coalesce(x, F.lit("")), F.lit('"'), F.lit("")))
+
+
+#: What marks a part of an outline that isn't its body (fixed values).
+NON_BODY = ("摘要", "参考文献", "致谢", "附录", "abstract", "references", "bibliography", "acknowledg", "appendix")
+
+
+def is_body_part(title: Column, description: Column) -> Column:
+    """Whether neither title nor description of an outline's part has a mark of a part outside the body."""
+    hay = F.lower(F.concat_ws(" ", title, description))
+    return ~F.exists(F.array(*[F.lit(m) for m in NON_BODY]), lambda m: F.contains(hay, m))
+
+
+def allowed_fields(x: Column, allowed: list[str]) -> Column:
+    """Of a list of field names, those that are allowed, trimmed, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(x, lambda c: F.trim(c)), lambda c: c.isin(*allowed)))
+
+
+def block_kind(x: Column) -> Column:
+    """What a block of Markdown is: heading, table, math, code, list, figure or paragraph; empty without text."""
+    t = F.trim(F.coalesce(x, F.lit("")))
+    return (
+        F.when(t == "", "empty")
+        .when(t.rlike(r"^#{1,6}\s"), "heading")
+        .when(t.startswith("|"), "table")
+        .when(t.startswith("$$") | t.startswith("\\["), "math")
+        .when(t.startswith("```"), "code")
+        .when(t.startswith("!["), "figure")
+        .when(t.rlike(r"^([-*+]|\d+[.)])\s"), "list")
+        .otherwise("paragraph")
+    )
+
+
+#: A sentence's end: after a full stop, exclamation or question mark, of Latin or Chinese script (fixed values).
+SENTENCE_END = r"(?<=[。！？.!?])\s*"
+
+
+def neighbour_snippet(x: Column, from_end: bool, sentences: int = 2, most: int = 240) -> Column:
+    """The first or last sentences of a text, at most so many characters from that side."""
+    parts = F.filter(F.transform(F.split(F.trim(F.coalesce(x, F.lit(""))), SENTENCE_END, -1), lambda s: F.trim(s)), lambda s: s != "")
+    chosen = F.slice(parts, F.greatest(F.size(parts) - sentences + 1, F.lit(1)), F.lit(sentences)) if from_end else F.slice(parts, 1, sentences)
+    joined = F.array_join(chosen, " ")
+    return F.trim(F.when(F.length(joined) > most, F.right(joined, F.lit(most)) if from_end else F.left(joined, F.lit(most))).otherwise(joined))
+
+
+def without_markers(x: Column) -> Column:
+    """Without marks of chunks, [c12] or [chunk:3], and with the spaces before punctuation that they leave behind."""
+    bare = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)\s*\[(?:c|chunk)[:\s]?\d+\]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]{2,}", " "), r" +([,.;:!?])", "$1"))
+
+
+def year_in(x: Column) -> Column:
+    """The first year from 1900 to 2099 in a date or a line, or null."""
+    y = F.regexp_extract(F.coalesce(x, F.lit("")), r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
+    return F.when(y != "", y.cast("int"))
+
+
+def collapsed_path(url: Column) -> Column:
+    """A web address in which no part of the path directly repeats the one before it."""
+    origin = F.regexp_extract(url, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
+    rest = F.substring(url, F.length(origin) + 1, F.length(url))
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    parts = F.split(path, "/", -1)
+    kept = F.filter(parts, lambda p, i: (i == 0) | (p == "") | (p != F.get(parts, i - 1)))
+    return F.concat(origin, F.array_join(kept, "/"), F.substring(rest, F.length(path) + 1, F.length(rest)))
+
+
+def resolved_url(base: Column, link: Column) -> Column:
+    """A link as seen from a page: absolute ones stay, `//host` takes the scheme, `/path` the host, and others the folder;
+    `./` and `../` are walked."""
+    scheme, origin = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1), r"[^/]*$", "")
+    whole = F.when(link.startswith("/"), link).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link))
+    path = F.regexp_extract(whole, r"^([^?#]*)", 1)
+    none = F.array().cast("array<string>")
+    step = lambda acc, p: F.when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).when(p == ".", acc).otherwise(F.array_append(acc, p))
+    parts = F.split(F.substring(path, 2, F.length(path)), "/", -1)
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    walked = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, none, step), "/"))
+    walked = F.when(walked == "/", walked).otherwise(F.concat(walked, ends))
+    rest = F.substring(whole, F.length(path) + 1, F.length(whole))
+    return F.when(link.rlike(r"^[a-zA-Z][\w+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).otherwise(F.concat(origin, walked, rest))
+
+
+def page_text(x: Column) -> Column:
+    """Text of a page without NUL, with line feeds only, no spaces at line ends, and no more than one empty line."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "\\x00", ""), r"\r\n?", "\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""))
+
+
+def noted_cut(x: Column, most: int) -> Column:
+    """A tool's result as shown: cut, with its own length where it is cut."""
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("… ("), F.length(x).cast("string"), F.lit(" characters)"))).otherwise(x)
+
+
+#: Text commands whose argument is their text, and escaped signs (fixed values).
+LATEX_TEXT = ("textbf", "textit", "emph", "texttt", "textsc", "textrm", "textsf", "underline", "mbox")
+
+
+def plain_latex(x: Column, depth: int = 4) -> Column:
+    """Text without bare LaTeX: known text commands give their argument, `depth` deep and up to 200 characters, \\href its
+    label, \\url its address, escaped signs themselves; math between dollar signs stays as it is. A text without a
+    backslash is not touched."""
+    words = "|".join(LATEX_TEXT)
+
+    def clean(t: Column) -> Column:
+        for _ in range(depth):
+            t = F.regexp_replace(t, rf"\\(?:{words})\s*\{{([^{{}}]{{0,200}})\}}", "$1")
+        t = F.regexp_replace(t, r"\\href\s*\{[^{}]*\}\s*\{([^{}]*)\}", "$1")
+        t = F.regexp_replace(t, r"\\url\s*\{([^{}]*)\}", "$1")
+        return F.regexp_replace(t, r"\\([%&_#])", "$1")
+
+    math = r"\$\$[^$]*\$\$|\$[^$]*\$"
+    t = F.coalesce(x, F.lit(""))
+    both = F.arrays_zip(F.split(t, math, -1).alias("text"), F.regexp_extract_all(t, F.lit(math), F.lit(0)).alias("math"))
+    parts = F.transform(both, lambda z: F.concat(clean(z["text"]), F.coalesce(z["math"], F.lit(""))))
+    return F.when(F.contains(t, F.lit("\\")), F.array_join(parts, "")).otherwise(t)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import retrieval, sessions, texts
+from quillon.plans import library, retrieval, sessions, texts
 
-MODULES = [retrieval, sessions, texts]
+MODULES = [retrieval, sessions, texts, library]
 
 
 def flagship(spark, sf_dir: str):
