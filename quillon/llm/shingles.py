@@ -15,7 +15,7 @@ SLICE_BYTES = 300_000
 
 
 def keep_freed_memory() -> bool:
-    """Let this process keep what numpy frees, up to 256 MB, for its next arrays: by default the C library gives every
+    """Let this process keep what numpy frees, up to 64 MB, for its next arrays: by default the C library gives every
     large array back to the system, and touching new pages takes longer than computing on them. Linux only."""
     if not sys.platform.startswith("linux"):
         return False
@@ -23,7 +23,7 @@ def keep_freed_memory() -> bool:
     if not hasattr(libc, "mallopt"):
         return False
     mmap_threshold, trim_threshold = -3, -1  # fixed values of the C library
-    return bool(libc.mallopt(mmap_threshold, 32 << 20) and libc.mallopt(trim_threshold, 256 << 20))
+    return bool(libc.mallopt(mmap_threshold, 32 << 20) and libc.mallopt(trim_threshold, 64 << 20))
 
 
 keep_freed_memory()

@@ -25,7 +25,7 @@ from quillon.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 24
 #: Segments that are dealt together, segments in a shard of anchors, and bytes of text in a shard of strings.
-FLUSH, SHARD_SEGMENTS, SHARD_BYTES = 300_000, 500_000, 1_000_000
+FLUSH, SHARD_SEGMENTS, SHARD_BYTES = 300_000, 400_000, 600_000
 #: Documents, about, in the sample that finds frequent anchors, and in how many of them such an anchor occurs.
 HEAVY_SAMPLE, HEAVY = 4_000, 40
 #: In place of a null id: such a document comes after all others.
