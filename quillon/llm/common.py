@@ -78,6 +78,14 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name made of `name` that `df` hasn't got, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored, text_or_empty
+from quillon.llm.common import stored, text_or_empty, unused
 
 #: Bytes of the prefix that the second refinement hashes.
 PREFIX = 64
@@ -17,7 +17,8 @@ def groups_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Each refinement counts with map-side combination and passes on only what is still ambiguous: a document whose
     length, or whose length and prefix, no other has, never enters the next shuffle. No text is ever shuffled; a
-    group of any size is a counter.
+    group of any size is a counter. Callers are promised every text's digest, so the full hash is computed in the first
+    scan, where the text is at hand, and the refinement saves shuffling it, not computing it.
     """
     text = text_or_empty(text_col)
     rows = stored(
@@ -59,14 +60,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `exact_dedup` keeps, with all their columns."""
+    """The rows of `docs` that `exact_dedup` keeps, with all their columns, whatever their names: one of each text, null
+    counting as empty; of rows that repeat id and text one. An empty table stays empty."""
     decided = exact_dedup(docs, id_col, text_col)
-    dropped = decided.where("NOT kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
-    stays = decided.where("kept").where("group_size > 1").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
-    named = docs.withColumns({"_digest": F.sha2(text_or_empty(text_col), 256)})
-    same = named[id_col].eqNullSafe(F.col("_id")) & (named["_digest"] == F.col("d._digest"))
+    digest = unused(docs, "text_digest")
+    named = docs.withColumns({digest: F.sha2(text_or_empty(text_col), 256)})
+    by_id = lambda rows: rows.select(F.col(id_col).alias("i"), F.col("text_sha256").alias("d"))
+    dropped, stays = by_id(decided.where("NOT kept")), by_id(decided.where("kept AND group_size > 1"))
+    same = lambda rows: named[id_col].eqNullSafe(rows["i"]) & (named[digest] == rows["d"])
     # A row that repeats both id and text is in `dropped` and in `stays`; one of them is put back.
-    twice = dropped.join(stays, (dropped["_id"].eqNullSafe(stays["_id"])) & (dropped["_digest"] == stays["_digest"]), "left_semi").distinct()
-    out = named.join(dropped.alias("d"), same, "left_anti")
-    back = named.join(twice.alias("d"), same, "left_semi").dropDuplicates([id_col, "_digest"])
-    return out.unionByName(back).drop("_digest")
+    other = stays.toDF("j", "e")
+    twice = dropped.join(other, dropped["i"].eqNullSafe(other["j"]) & (dropped["d"] == other["e"]), "left_semi").distinct()
+    out = named.join(dropped, same(dropped), "left_anti")
+    back = named.join(twice, same(twice), "left_semi").dropDuplicates([id_col, digest])
+    return out.unionByName(back).drop(digest)

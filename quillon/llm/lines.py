@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import setsketch, shingles
-from quillon.llm.common import WORD, checked_broadcast, forgotten, ship_package, stored, text_or_empty
+from quillon.llm.common import WORD, checked_broadcast, forgotten, ship_package, stored, text_or_empty, unused
 from quillon.llm.near import Settings, fixed, linked, shared_keys
 from quillon.llm.shingles import U64, mixed
 
@@ -118,7 +118,8 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: id, n_lines (with a word), n_removed, removed (numbers of the lines that go)."""
+    """One row per document: id, n_lines (with a word), n_removed, removed (numbers of the lines that go). Rows that share
+    an id are counted together; null and empty texts have no lines; an empty table gives no rows."""
     found = fuzzy_lines(docs, id_col, text_col, **options)
     counts = found.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))).alias("gone"))
     ids = docs.select(id_col)
@@ -132,8 +133,10 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without the lines that `fuzzy_lines` doesn't keep; ids must be unique. Lines without a word stay."""
-    report = line_report(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("removed").alias("_gone")).dropDuplicates(["_id"])
-    lines = F.split(F.col(text_col), "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    joined = docs.join(report, docs[id_col].eqNullSafe(report["_id"]), "left")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    gone = unused(docs, "lines_gone")
+    report = line_report(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col(id_col).alias("i"), F.col("removed").alias(gone)).dropDuplicates(["i"])
+    lines = F.split(docs[text_col], "\n", -1)
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(report[gone], i.cast("long"))), "\n")
+    joined = docs.join(report, docs[id_col].eqNullSafe(report["i"]), "left")
+    text = F.when(report[gone].isNull(), docs[text_col]).otherwise(rest)
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

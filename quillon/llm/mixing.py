@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checked_broadcast, stored, text_or_empty, word_count
+from quillon.llm.common import checked_broadcast, stored, text_or_empty, unused, word_count
 
 #: Bits of the hash in all, and bits that one histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -125,12 +125,14 @@ def _refined(rows: DataFrame, bounds: DataFrame, shift: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of `docs` as often as `mix_sources` takes it, with all its columns."""
-    carry = [F.sha2(text_or_empty(text_col), 256).alias("_digest")]
-    copies = mix_sources(docs, weights, share, cap, id_col, source_col, text_col, carry).select(F.col(id_col).alias("_id"), F.col("_digest").alias("_key"), "copies").where("copies > 0").distinct()
-    named = docs.withColumns({"_digest": F.sha2(text_or_empty(text_col), 256)})
-    return (
-        named.join(copies, named[id_col].eqNullSafe(copies["_id"]) & (named["_digest"] == copies["_key"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .drop("_digest", "_id", "_key", "copies", "_copy")
-    )
+    """The mix itself: every row of `docs` as often as `mix_sources` takes it, with all its columns, whatever their names.
+
+    Null and empty texts have no words, and are taken as often as their source's whole passes and their hash say. Rows
+    that repeat id and text are each taken alike; an empty table stays empty."""
+    carry = [F.sha2(text_or_empty(text_col), 256).alias("d")]
+    copies = mix_sources(docs, weights, share, cap, id_col, source_col, text_col, carry).select(F.col(id_col).alias("i"), "d", "copies").where("copies > 0").distinct()
+    digest, times, copy = (unused(docs, c) for c in ("text_digest", "mix_copies", "mix_copy"))
+    named = docs.withColumns({digest: F.sha2(text_or_empty(text_col), 256)})
+    copies = copies.withColumnRenamed("copies", times)
+    joined = named.join(copies, named[id_col].eqNullSafe(copies["i"]) & (named[digest] == copies["d"]))
+    return joined.select(*[named[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies[times].cast("int"))).alias(copy)).drop(copy)

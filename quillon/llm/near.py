@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import setsketch, shingles
-from quillon.llm.common import checked_broadcast, forgotten, ship_package, stored, text_or_empty
+from quillon.llm.common import checked_broadcast, forgotten, ship_package, stored, text_or_empty, unused
 from quillon.llm.components import connected, followed
 
 #: A bucket of more classes or bytes than this is compared in blocks of about as much.
@@ -208,7 +208,8 @@ def _star_links(stars: DataFrame, pool: DataFrame, settings: Settings) -> DataFr
             yield pa.array(out)
 
     a, b = (pool.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
-    return stars.join(b, "b").join(a, "a").where(are_linked("ra", "rb", "na", "nb", "ta", "tb")).select("a", "b")
+    # Joins with texts are merged at every size, so that a small run has the plan of a large one.
+    return stars.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(are_linked("ra", "rb", "na", "nb", "ta", "tb")).select("a", "b")
 
 
 def _open_members(shared: DataFrame, roots: DataFrame, pool: DataFrame, settings: Settings) -> DataFrame:
@@ -318,7 +319,7 @@ def _links_across(rows: DataFrame, shards: int, pool: DataFrame, settings: Setti
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
 
-    whole = rows.join(pool.select("cls", "n", "regs", "text"), "cls")
+    whole = rows.join(pool.select("cls", "n", "regs", "text").hint("merge"), "cls")
     return whole.withColumn("shard", F.pmod("place", F.lit(shards))).groupBy("shard").applyInArrow(run, "a long, b long")
 
 
@@ -367,7 +368,7 @@ def near_duplicates(items: DataFrame, settings: Settings) -> DataFrame:
         known = stored(classes.join(wanted, "cls", "left_semi").select("cls", "n", "regs", F.col("id").alias("_id"), F.col("tkey").alias("_tkey")))
         texts = items.withColumn("tkey", F.xxhash64("text"))
         texts = texts.join(checked_broadcast(known.select("cls", "_id", "_tkey")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", "text")
-        return known.select("cls", "n", "regs").join(texts.dropDuplicates(["cls"]) if repeats else texts, "cls")
+        return known.select("cls", "n", "regs").join((texts.dropDuplicates(["cls"]) if repeats else texts).hint("merge"), "cls")
 
     shared = shared_keys(classes.select("cls", "regs"), lambda regs: settings.keys(registers_of(regs)), classes.count(), settings.bands)
     roots = linked(shared, pool_of, settings)
@@ -406,9 +407,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that `near_dedup` keeps, with all their columns (rows repeating id and text once)."""
-    kept = near_dedup(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_id"), F.col("tkey").alias("_key")).distinct()
-    named = docs.withColumns({"_tkey": F.xxhash64(text_or_empty(text_col))})
-    out = named.join(kept, named[id_col].eqNullSafe(kept["_id"]) & (named["_tkey"] == kept["_key"]), "left_semi")
-    again = named.groupBy(id_col, "_tkey").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates([id_col, "_tkey"]) if again else out).drop("_tkey")
+    """The rows of `docs` that `near_dedup` keeps, with all their columns, whatever their names (rows repeating id and text
+    once). Documents without words are linked with nothing, so all stay; an empty table stays empty."""
+    kept = near_dedup(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("i"), F.col("tkey").alias("k")).distinct()
+    tkey = unused(docs, "text_key")
+    named = docs.withColumns({tkey: F.xxhash64(text_or_empty(text_col))})
+    out = named.join(kept, named[id_col].eqNullSafe(kept["i"]) & (named[tkey] == kept["k"]), "left_semi")
+    again = named.groupBy(id_col, tkey).count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates([id_col, tkey]) if again else out).drop(tkey)

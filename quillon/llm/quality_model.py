@@ -145,9 +145,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, **options: Callable) -> DataFrame:
-    """The rows of `docs` predicted good, with their columns."""
+    """The rows of `docs` predicted good, with their columns, whatever their names; null, empty and repeated rows are scored
+    as `classify` scores them; an empty table stays empty."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     model = train(docs, labels, ~out, id_col, text_col)
-    carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
-    return with_statistics(carried, "_text", [F.col("_row")]).where(model.score() >= CUT).select("_row.*")
+    carried = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return with_statistics(carried, "text", [F.col("row")]).where(model.score() >= CUT).select("row.*")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import vocab
-from quillon.llm.common import WORD, ship_package
+from quillon.llm.common import WORD, ship_package, unused
 
 #: Symbols that the base counts (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -49,8 +49,6 @@ LATIN_SHARE = 0.5
 #: A short text needs no more than this share of the entropy that its tokens would have if all were different.
 ENTROPY_SHARE = 0.7
 
-#: Name of the column that is added for a while; no column of a table should have it.
-RULES = "quillon_quality_rules"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, tokens_per_word double, chars_per_piece double, fallback_share double, bare_share double, token_entropy double, band string"
 
@@ -115,8 +113,8 @@ def judged(text: str | None, lang: str | None, paths: dict[str, str], bands: dic
     return *base, failed, not failed and fits and m[5] >= least_entropy(b, round(len(text) / m[0])), *m, name
 
 
-def with_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", paths: dict[str, str] | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
-    """`docs` with a struct column RULES of the base counts, the verdict and the measures; no shuffle.
+def with_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", paths: dict[str, str] | None = None, bands: dict[str, Band] | None = None, name: str = "rules") -> DataFrame:
+    """`docs` with a struct column `name` of the base counts, the verdict and the measures; no shuffle.
 
     Null or empty text: no words, every count 0, base_failed true. A language without a band, or null, is judged by
     script. paths: where the files of the vocabularies named in the bands lie. Repeated rows and ties are judged alike, as each row is judged by itself; an empty table stays empty.
@@ -136,18 +134,21 @@ def with_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.withColumns({RULES: rules(F.col(text_col), lang)})
+    return docs.withColumns({name: rules(F.col(text_col), lang)})
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the
     measures."""
-    return with_rules(docs, **options).select(id_col, f"{RULES}.*")
+    name = unused(docs, "rules")
+    return with_rules(docs, name=name, **options).select(id_col, f"{name}.*")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the rules keep, with their columns."""
-    return with_rules(docs, **options).where(f"{RULES}.kept").drop(RULES)
+    """The rows of `docs` that the rules keep, with their columns, whatever their names; rows that repeat go or stay together,
+    null and empty texts go."""
+    name = unused(docs, "rules")
+    return with_rules(docs, name=name, **options).where(F.col(f"{name}.kept")).drop(name)
 
 
 def measured_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", slack: float = 0.08) -> DataFrame:

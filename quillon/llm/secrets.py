@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_or_empty
+from quillon.llm.common import text_or_empty, unused
 from quillon.llm.mixing import row_hash
 
 #: The base patterns (fixed values), in the order in which their kinds are listed.
@@ -185,7 +185,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """
     ratios = train(docs, id_col, text_col, sample)
     text = text_or_empty(text_col)
-    names = {c: f"quillon_{c}" for c in ("base", "found")}
+    names = {c: unused(docs, f"spans_{c}") for c in ("base", "found")}
     rows = docs.withColumns({names["base"]: F.concat(*base_spans(text, values_only=True))})
     rows = rows.withColumns({names["found"]: spans(text, CANDIDATE, 3, lambda m: looks_random(m, ratios))})
     every = F.array_sort(F.concat(names["base"], outside(F.col(names["found"]), F.col(names["base"]), text, ratios)))

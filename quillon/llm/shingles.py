@@ -190,7 +190,8 @@ def character_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tup
     """Like `word_shingles`, over `width` consecutive code points; a shorter text is one shingle. All texts of a slice are
     sorted at once, by text and hash, and hashes have all their 64 bits."""
     text, hashes = character_windows(data, offsets, width)
-    filled, owner = np.unique(text, return_inverse=True) if len(text) else (text, text)
+    held = np.bincount(text, minlength=len(offsets) - 1) > 0
+    filled, owner = np.flatnonzero(held), (np.cumsum(held) - 1)[text]
     packed = (owner.astype(np.uint64) << U64(SORT_BITS)) | (hashes >> U64(64 - SORT_BITS))
     order = np.argsort(packed)
     packed, owner, hashes = packed[order], owner[order], hashes[order]

@@ -68,3 +68,38 @@ def test_awkward(spark):
     out = lines.drop_fuzzy_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert lines.line_report(docs).count() == docs.count()
+
+
+def test_repeated_rows(spark):
+    """Of lines of rows that repeat id and text, all or none stay."""
+    rows = [(1, "a first line of words\nother things here"), (1, "a first line of words\nother things here"), (0, "a first line of wordz"), (2, "other things here")]
+    got = found(spark, rows)
+    assert got == sorted([(False, 0, 0, 0, 0, True), *[(False, 1, 0, 0, 0, False)] * 2, *[(False, 1, 1, 1, 1, True)] * 2, (False, 2, 0, 1, 1, False)])
+
+
+def test_recall_of_banding_by_length(spark):
+    """Pairs of lines with similarity from 0.8 to 0.9, short and long: what share has a band in common."""
+    import numpy as np
+
+    from quillon.llm import shingles
+
+    rng = random.Random(9)
+    settings = lines.line_settings(lines.WIDTH, 80, 100)
+    for length, edits in ((12, 1), (20, 1), (40, 1), (80, 1), (300, 4), (1500, 18)):
+        tried = missed = 0
+        for _ in range(3_000):
+            a = awkward.words(rng, length)[:length]
+            b = a
+            for _ in range(edits):
+                p = rng.choice([0, len(b) - 1, rng.randrange(len(b))])
+                b = b[:p] + rng.choice(["", "q", "qq"]) + b[p + (rng.random() < 0.7) :]
+            raw = [a.encode(), b.encode()]
+            h, first = settings.shingle(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            x, y = set(h[: first[1]].tolist()), set(h[first[1] :].tolist())
+            if 0.8 <= len(x & y) / len(x | y) < 0.93:
+                tried += 1
+                keys = settings.keys(settings.sketch(h, first))
+                missed += not (keys[0] == keys[1]).any()
+            if tried == 300:
+                break
+        assert tried >= 100 and missed <= 2, (length, tried, missed)

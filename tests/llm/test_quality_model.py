@@ -1,6 +1,9 @@
 """op2: held-out accuracy, and the compiled rules against plain Python."""
 
+import math
 import random
+import re
+import unicodedata
 import zlib
 
 import pytest
@@ -53,3 +56,31 @@ def test_paths_and_expression(spark):
     want = [2.5, 1.5, -0.5, 0.5]
     for (got,), w in zip(rows.select(model.score()).collect(), want, strict=True):
         assert got == pytest.approx(1 / (1 + 2.718281828459045**-w))
+
+
+def statistics(t):
+    """The twelve statistics of a text in plain Python."""
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+    per = lambda a, b: a / b if b else 0.0
+    many = lambda chars: sum(c in chars for c in t)
+    return (
+        math.log1p(len(w)), per(sum(map(len, w)), len(w)), per(sum(unicodedata.category(c) == "Lu" for c in t), len(t)), per(many("0123456789"), len(t)),
+        per(many("#*$%&|<>~^=_{}[]@"), len(w)), per(many("!?"), len(w)), per(many("."), len(w)), per(len(set(w)), len(w)),
+        math.log1p(len(lines)), per(len(set(lines)), len(lines)), per(many(" \t\n\r"), len(t)), per(sum(len(x) > 15 for x in w), len(w)),
+    )
+
+
+def test_statistics_against_plain_python(spark):
+    texts = [r[1] for r in awkward.rows()] + ["word " * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in qm.with_statistics(rows, "text", [qm.F.col("i")]).collect():
+        assert [r[k] for k in qm.STATISTICS] == pytest.approx(list(statistics(texts[r.i] or ""))), r.i
+
+
+def test_held_out_labels_of_the_given_documents(spark):
+    """Trained on the other rows' labels, the model tells the held-out ones apart."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = qm.classify(docs, labels).where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
+    assert wins >= 0.9 * len(good) * len(bad)
