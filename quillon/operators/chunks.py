@@ -85,6 +85,138 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, chunk long, content string, n_lines long")
 
 
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, block (from 1, in order), kind, text: Markdown as headings, tables, math between `$$` lines, and runs of other
+    lines of one kind; empty lines end a block. A null or empty text has none."""
+    order = W.partitionBy(id_col).orderBy("pos")
+    rows = fence_state(lines(docs, id_col, text_col), [id_col], "pos", "line")
+    rows = rows.withColumn("kind", F.when(F.col("in_fence"), "math").otherwise(tx.block_kind(F.col("line"))))
+    opens = (F.trim("line") == "$$") & (F.sum((F.trim("line") == "$$").cast("int")).over(order) % 2 == 1)
+    before = F.lag("kind").over(order)
+    starts = before.isNull() | (before != F.col("kind")) | (F.col("kind") == "heading") | opens
+    numbered = rows.withColumn("block", F.sum(starts.cast("int")).over(order)).where("kind <> 'empty'")
+    found = numbered.groupBy(id_col, "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    place = F.row_number().over(W.partitionBy(id_col).orderBy("block")).cast("long")
+    return found.select(id_col, place.alias("block"), "kind", F.array_join("x.line", "\n").alias("text"))
+
+
+#: A piece cut off with fewer characters than this stays with the one before (fixed value).
+TAIL = 50
+
+
+def _joined(rows: list[str], most: int) -> list[str]:
+    """Rows joined by line feeds, as many as fit into `most` characters."""
+    out: list[list[str]] = []
+    size = 0
+    for row in rows:
+        if out and size + 1 + len(row) <= most:
+            out[-1].append(row)
+            size += 1 + len(row)
+        else:
+            out.append([row])
+            size = len(row)
+    return ["\n".join(x) for x in out]
+
+
+def _cut(row: str, most: int) -> list[str]:
+    """A row in pieces of `most` characters, a short last one left with the piece before."""
+    pieces = [row[i : i + most] for i in range(0, len(row), most)]
+    if len(pieces) > 1 and len(pieces[-1]) < TAIL:
+        last = pieces.pop()
+        pieces[-1] += last
+    return pieces
+
+
+def _table_header(text: str) -> list[str]:
+    """The two first rows of a table whose second row is a rule."""
+    rows = text.split("\n")[:2]
+    return rows if len(rows) == 2 and rows[1].strip(" |:-") == "" and "-" in rows[1] else []
+
+
+def _parts(kind: str, text: str, most: int, whole: int) -> list[str]:
+    """A block of more than `whole` characters in parts: tables by rows under their header, math by lines in fences of
+    their own, other text by lines."""
+    if kind == "table":
+        header = _table_header(text)
+        room = most - sum(len(x) + 1 for x in header)
+        rows = [y for x in text.split("\n")[len(header) :] for y in _cut(x, max(room, 1))]
+        return ["\n".join([*header, x]) for x in _joined(rows, max(room, 1))]
+    rows = text.split("\n")
+    if kind == "math":
+        rows = [x for x in rows if x.strip() != "$$"]
+        return [f"$$\n{x}\n$$" for x in _joined([y for x in rows for y in _cut(x, most - 6)], most - 6)]
+    return _joined([y for x in rows for y in _cut(x, whole - TAIL)], whole)
+
+
+def chunked(found: list[tuple[str, str]], most: int, whole: int) -> list[tuple[str, str]]:
+    """(section, content) of a document's chunks, from its blocks (kind, text) in order."""
+    out: list[tuple[str, str]] = []
+    held: list[tuple[str, str]] = []
+    header: list[str] = []
+
+    def close() -> None:
+        content = "\n\n".join(t for _, t in held)
+        if held and (len(content) > 20 or any(c.isalpha() for c in content)):
+            out.append((next((t.split("\n")[0][:80] for k, t in held if k == "heading"), ""), content))
+        held.clear()
+
+    for kind, raw in found:
+        text = raw.strip()
+        if not text:
+            continue
+        if kind == "heading" and any(k != "heading" for k, _ in held):
+            close()
+        if kind == "table":
+            if header and not _table_header(text):
+                text = "\n".join([*header, text])
+            header = _table_header(text)
+        if len(text) > whole:
+            close()
+            for part in _parts(kind, text, most, whole):
+                held.append((kind, part))
+                close()
+            continue
+        if held and sum(len(t) + 2 for _, t in held) + len(text) + 2 > most:
+            close()
+        held.append((kind, text))
+    close()
+    return out
+
+
+def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1200, whole: int = 4000) -> DataFrame:
+    """id, chunk (from 0), section, content: blocks of each document packed in order into chunks of about `most`
+    characters. A heading after other text begins a chunk, whose section it names; a block up to `whole` characters is
+    never split; a table that goes on without its header gets it again; chunks of at most 20 characters without a
+    letter are dropped. Blocks are found by windows over lines; only the packing of one document is sequential."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    grouped = blocks(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("block", "kind", "text"))).alias("x"))
+    rows = grouped.select(id_col, F.col("x.kind").alias("kinds"), F.col("x.text").alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [chunked(list(zip(k.as_py(), t.as_py(), strict=True)), most, whole) for k, t in zip(batch.column(1), batch.column(2), strict=True)]
+            ids = batch.column(0).take(pa.array([i for i, x in enumerate(made) for _ in x], pa.int64()))
+            columns = [ids, pa.array([n for x in made for n in range(len(x))], pa.int64()), *(pa.array([c[k] for x in made for c in x], pa.string()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "chunk", "section", "content"])
+
+    return rows.mapInArrow(run, f"{id_col} {kind}, chunk long, section string, content string")
+
+
+def batches_within(rows: DataFrame, by: str, order: str, size: Column, most: int = 12_000) -> DataFrame:
+    """`rows` with `batch` (from 0): items of a group in order, as many as fit into `most`; a larger item is alone."""
+    items = rows.withColumn("batch_size", size)
+    sizes = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("batch_size").cast("long").alias("s")))).alias("x"))
+    start = F.struct(F.array().cast("array<int>").alias("all"), F.lit(-1).alias("n"), F.lit(0).cast("long").alias("held"))
+
+    def step(acc: Column, item: Column) -> Column:
+        fits = (acc["n"] >= 0) & (acc["held"] + item["s"] <= most)
+        n = F.when(fits, acc["n"]).otherwise(acc["n"] + 1)
+        return F.struct(F.array_append(acc["all"], n).alias("all"), n.alias("n"), F.when(fits, acc["held"] + item["s"]).otherwise(item["s"]).alias("held"))
+
+    numbers = sizes.select(by, F.inline(F.arrays_zip(F.col("x.o").alias(order), F.aggregate("x", start, step, lambda acc: acc["all"]).alias("batch"))))
+    return items.drop("batch_size").join(numbers, [by, order])
+
+
 def neighbours(chunks: DataFrame, key: str, pos: str, value: Column) -> DataFrame:
     order = W.partitionBy(key).orderBy(pos)
     return chunks.withColumn("previous", F.lag(value).over(order)).withColumn("next", F.lead(value).over(order))

@@ -113,11 +113,25 @@ def neighbours(spark, sf):
     return chunks.neighbours(lines(spark, sf), "doc_id", "pos", F.concat_ws(":", F.col("doc_id"), F.col("pos"))).select("doc_id", "pos", "previous", "next")
 
 
-@query("w12_w13_packed_chunks")
+#: Documents as Markdown: a heading, a table and math of a document's own around its text.
+MARKDOWN = "concat('# Title ', doc_id, '\\n', coalesce(text, ''), '\\n\\n| a | b |\\n|---|---|\\n', repeat(concat('| ', doc_id, ' | x |\\n'), CAST(doc_id % 7 * 90 AS INT)), '\\n## Part\\n$$\\nx = ', doc_id, '\\n$$\\n| c | d |\\n')"
+
+
+@query("w13_f17_f20_packed_chunks")
 def packed(spark, sf):
+    return chunks.packed_blocks(table(spark, sf, "documents").select("doc_id", F.expr(MARKDOWN).alias("text")))
+
+
+@query("w12_packed_lines")
+def packed_lines(spark, sf):
     return chunks.packed(table(spark, sf, "documents"))
 
 
+@query("w12_batches")
+def batches(spark, sf):
+    return chunks.batches_within(table(spark, sf, "conversations"), "conv_id", "turn", F.length("text"), 700).select("conv_id", "turn", "batch")
+
+
 @query(
     "w12_packed_totals",
     f"WITH {LINES}, k AS (SELECT doc_id, sum(length(line)) AS chars, count(*) AS n_lines FROM l WHERE regexp_matches(line, '[^\\s]') GROUP BY doc_id) SELECT doc_id, chars::BIGINT AS chars, n_lines FROM k",
