@@ -26,6 +26,14 @@ def repeated_margins(pages: DataFrame, doc: str, page: str, first: str, last: st
     return seen.join(n, doc).where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).select(doc, "side", "key", "pages")
 
 
+def frequent_margins(pages: DataFrame, doc: str, page: str, first: str, last: str, least: int = 3) -> DataFrame:
+    """(doc, key, times): lines that stand at least `least` times first or last on a page, digits masked, in documents of
+    at least three pages."""
+    sides = pages.select(doc, page, F.explode(F.array(tx.margin_key(F.col(first)), tx.margin_key(F.col(last)))).alias("key")).where("key IS NOT NULL")
+    long = pages.groupBy(doc).agg(F.count_distinct(page).alias("n")).where("n >= 3").select(doc)
+    return sides.join(long, doc, "left_semi").groupBy(doc, "key").agg(F.count("*").alias("times")).where(F.col("times") >= least)
+
+
 def body(rows: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     """Lines before the references; and from the introduction on, if an abstract comes before one."""
     w = W.partitionBy(doc)

@@ -128,7 +128,7 @@ def call_stats(spark, sf):
 
 
 @query(
-    "a21_j12_u06_attempts",
+    "a21_j12_attempts",
     "WITH a AS (SELECT DISTINCT o_custkey AS s, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey), w AS (SELECT DISTINCT o_custkey AS s, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 25) SELECT count(*) AS attempts, round(avg((w.s IS NOT NULL)::INT), 9) AS success FROM a LEFT JOIN w ON a.s = w.s AND a.p = w.p",
 )
 def attempts(spark, sf):

@@ -47,32 +47,33 @@ def readable(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.readable(F.col("text")).alias("readable"))
 
 
+#: Documents as pages of books, with their first and last line and both lines' keys.
+PAGED = f"""{LINES}, p AS (SELECT {{book}} AS book, doc_id AS page, min_by(line, pos) AS f, max_by(line, pos) AS t FROM l GROUP BY doc_id),
+s AS (SELECT book, page, 'header' AS side, regexp_replace(regexp_replace(f, '[0-9]+', '#', 'g'), '\\s+', '', 'g') AS key FROM p UNION ALL SELECT book, page, 'footer', regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '\\s+', '', 'g') FROM p),
+n AS (SELECT book, count(*) AS n FROM p GROUP BY book)"""
+
+
+def paged(spark, sf, book):
+    ends = lines(spark, sf).groupBy("doc_id").agg(F.min_by("line", "pos").alias("f"), F.max_by("line", "pos").alias("t"))
+    return ends.select(F.expr(book).alias("book"), F.col("doc_id").alias("page"), "f", "t")
+
+
 @query(
     "a36_f16_repeated_margins",
-    f"""WITH {LINES}, p AS (SELECT doc_id % 40 AS book, doc_id AS page, min_by(line, pos) AS f, max_by(line, pos) AS t FROM l GROUP BY doc_id),
-s AS (SELECT book, page, 'header' AS side, regexp_replace(regexp_replace(f, '[0-9]+', '#', 'g'), '\\s+', '', 'g') AS key FROM p UNION ALL SELECT book, page, 'footer', regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '\\s+', '', 'g') FROM p),
-n AS (SELECT book, count(*) AS n FROM p GROUP BY book)
-SELECT s.book, side, key, count(DISTINCT page) AS pages FROM s JOIN n USING (book) WHERE length(key) BETWEEN 3 AND 160 GROUP BY s.book, side, key, n.n HAVING count(DISTINCT page) >= 2""",
+    f"""WITH {PAGED.format(book='doc_id // 4')}
+SELECT s.book, side, key, count(DISTINCT page) AS pages FROM s JOIN n USING (book) WHERE length(key) BETWEEN 3 AND 160 GROUP BY s.book, side, key, n.n HAVING count(DISTINCT page) >= greatest(2, ceil(n.n / 2))""",
 )
 def margins(spark, sf):
-    ends = lines(spark, sf).groupBy("doc_id").agg(F.min_by("line", "pos").alias("f"), F.max_by("line", "pos").alias("t"))
-    pages = ends.select((F.col("doc_id") % 40).alias("book"), F.col("doc_id").alias("page"), "f", "t")
-    # Documents as pages of forty books.
-    keyed = pages.select("book", "page", F.explode(F.array(F.struct(F.lit("header").alias("side"), text.margin_key(F.col("f")).alias("key")), F.struct(F.lit("footer").alias("side"), text.margin_key(F.col("t")).alias("key")))).alias("m")).select("book", "page", "m.*")
-    return keyed.where("key IS NOT NULL").groupBy("book", "side", "key").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
+    return chunks.repeated_margins(paged(spark, sf, "doc_id div 4"), "book", "page", "f", "t")
 
 
 @query(
-    "a37_repeated_margins_half",
-    f"""WITH {LINES}, p AS (SELECT doc_id // 4 AS book, doc_id AS page, min_by(line, pos) AS f, max_by(line, pos) AS t FROM l GROUP BY doc_id),
-s AS (SELECT book, page, 'header' AS side, regexp_replace(regexp_replace(f, '[0-9]+', '#', 'g'), '\\s+', '', 'g') AS key FROM p UNION ALL SELECT book, page, 'footer', regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '\\s+', '', 'g') FROM p),
-n AS (SELECT book, count(*) AS n FROM p GROUP BY book)
-SELECT s.book, side, key, count(DISTINCT page) AS pages FROM s JOIN n USING (book) WHERE length(key) BETWEEN 3 AND 160 GROUP BY s.book, side, key, n.n HAVING count(DISTINCT page) >= greatest(2, ceil(n.n / 2))""",
+    "a37_frequent_margins",
+    f"""WITH {PAGED.format(book='doc_id % 40')}
+SELECT s.book, key, count(*) AS times FROM s JOIN n USING (book) WHERE length(key) BETWEEN 3 AND 160 AND n.n >= 3 GROUP BY s.book, key HAVING count(*) >= 3""",
 )
-def margins_half(spark, sf):
-    ends = lines(spark, sf).groupBy("doc_id").agg(F.min_by("line", "pos").alias("f"), F.max_by("line", "pos").alias("t"))
-    pages = ends.select(F.expr("doc_id div 4").alias("book"), F.col("doc_id").alias("page"), "f", "t")
-    return chunks.repeated_margins(pages, "book", "page", "f", "t")
+def frequent_margins(spark, sf):
+    return chunks.frequent_margins(paged(spark, sf, "doc_id % 40"), "book", "page", "f", "t")
 
 
 _BODY = "CASE WHEN pos = 1 AND doc_id % 3 = 0 THEN 'Abstract' WHEN pos = 3 THEN '1. Introduction' WHEN pos = 9 AND doc_id % 2 = 0 THEN 'References' ELSE line END"
@@ -145,7 +146,7 @@ KEYWORDS = ["the", "tion", "und", "les", "que"]
 
 
 @query(
-    "t06_p20_top_chunks",
+    "t06_top_chunks",
     f"""WITH {LINES}, s AS (SELECT *, {' + '.join(f"contains(lower(line), '{k}')::INT" for k in KEYWORDS)} AS score FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS place FROM s WHERE score > 0)
 SELECT doc_id, pos, score, place::INT AS place, substr(line, 1, 100) AS line FROM r WHERE place <= 6""",
 )
@@ -322,11 +323,11 @@ def overlap(spark, sf):
     return chunks.overlapping(derived(spark, sf, _BOX, "lineitem"), ["page"], "box", 12)
 
 
-@query("u03_u04_u05_sets", "SELECT doc_id, len(list_intersect(a, b)) > 0 AS meets, list_sort(list_distinct(list_concat(a, b)))::VARCHAR AS joined FROM (SELECT doc_id, [doc_id % 3, doc_id % 5] AS a, [doc_id % 4, doc_id % 7] AS b FROM documents)")
+@query("u03_u04_u05_sets", "SELECT doc_id, len(list_intersect(a, b)) > 0 AS meets, list_sort(list_distinct(list_concat(a, b)))::VARCHAR AS joined, list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x)))::VARCHAR AS only_a FROM (SELECT doc_id, [doc_id % 3, doc_id % 5] AS a, [doc_id % 4, doc_id % 7] AS b FROM documents)")
 def sets(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.array(F.col("doc_id") % 3, F.col("doc_id") % 5).alias("a"), F.array(F.col("doc_id") % 4, F.col("doc_id") % 7).alias("b"))
     joined = F.array_sort(F.array_distinct(F.concat("a", "b"))).cast("string")
-    return d.select("doc_id", F.arrays_overlap("a", "b").alias("meets"), joined.alias("joined"))
+    return d.select("doc_id", F.arrays_overlap("a", "b").alias("meets"), joined.alias("joined"), F.array_sort(F.array_except("a", "b")).cast("string").alias("only_a"))
 
 
 @query("f32_math_share", "SELECT doc_id, round((length(v) - length(regexp_replace(v, '[=+<>≤≥±×÷∑∏∫√∞∂∇∈∀∃α-ωΑ-Ω^_{}|*/\\\\-]', '', 'g'))) / length(v), 9) AS share FROM (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS v FROM documents) WHERE length(v) > 0")
