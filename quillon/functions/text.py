@@ -232,3 +232,8 @@ def plain_latex(x: Column, depth: int = 4) -> Column:
     both = F.arrays_zip(F.split(t, math, -1).alias("text"), F.regexp_extract_all(t, F.lit(math), F.lit(0)).alias("math"))
     parts = F.transform(both, lambda z: F.concat(clean(z["text"]), F.coalesce(z["math"], F.lit(""))))
     return F.when(F.contains(t, F.lit("\\")), F.array_join(parts, "")).otherwise(t)
+
+
+def first_url(*choices: Column) -> Column:
+    """The first choice that is a web address, or null; what isn't http or https is passed over."""
+    return F.coalesce(*[F.when(F.trim(c).rlike(r"(?i)^https?://[^\s/]+"), F.trim(c)) for c in choices])

@@ -249,3 +249,54 @@ def chars_per_token(rounds: DataFrame, by: str) -> DataFrame:
     """(by, ratio): characters sent over tokens billed, to three places, where it lies from 1 to 100; else null."""
     ratio = F.round(F.try_divide(F.sum("chars"), F.sum("prompt_tokens")), 3)
     return rounds.groupBy(by).agg(ratio.alias("ratio")).withColumn("ratio", F.when(F.col("ratio").between(1, 100), F.col("ratio")))
+
+
+def renumbered(docs: DataFrame, numbers: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, text) with each bracketed reference that has a number replaced by `[number]`, and the others taken out with
+    the space before them; links `[x](y)` stay. numbers: doc, ref, number. Pieces between brackets are put together in
+    order, so no text is replaced inside another."""
+    mark = r"\[[^\[\]]+\](?!\()"
+    parts = docs.select(doc, F.split(F.coalesce(text, F.lit("")), mark, -1).alias("plain"), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(mark), F.lit(0)).alias("refs"))
+    names = numbers.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("ref", F.col("number").cast("string")))).alias("names"))
+    both = parts.join(names, doc, "left")
+    inner = lambda r: F.substring(r, F.lit(2), F.length(r) - 2)
+    number = lambda r: F.try_element_at("names", inner(r))
+    piece = lambda p, i: F.when(i == F.size("refs"), p).when(number(F.get("refs", i)).isNotNull(), F.concat(p, F.lit("["), number(F.get("refs", i)), F.lit("]"))).otherwise(F.regexp_replace(p, " $", ""))
+    return both.select(doc, F.array_join(F.transform("plain", piece), "").alias(text))
+
+
+def outline_tasks(outlines: DataFrame, key: str, outline: str) -> DataFrame:
+    """A row for each part of an outline, in order: key, chapter, section, place (from 1). outline: an array of structs
+    (title, parts), parts an array of titles; chapters without parts are a task themselves."""
+    chapters = outlines.select(key, F.posexplode(outline).alias("c", "x"))
+    each = chapters.select(key, "c", F.col("x.title").alias("chapter"), F.posexplode_outer("x.parts").alias("s", "section"))
+    place = F.row_number().over(W.partitionBy(key).orderBy("c", F.coalesce("s", F.lit(0))))
+    return each.select(key, "chapter", "section", place.alias("place"))
+
+
+def final_markdown(sections: DataFrame, key: str, order: str, title: str, content: str, head: Column) -> DataFrame:
+    """(key, markdown): a head, and each non-empty section under its title, in order."""
+    some = sections.withColumn("head", head).withColumn("told", F.trim(F.coalesce(content, F.lit(""))))
+    part = F.when(F.col("told") != "", F.struct(F.col(order).alias("o"), F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col("told")).alias("t")))
+    found = some.groupBy(key).agg(F.min("head").alias("head"), F.array_sort(F.collect_list(part)).alias("x"))
+    return found.select(key, F.array_join(F.concat(F.array("head"), F.col("x.t")), "\n\n").alias("markdown"))
+
+
+def call_pairs(messages: DataFrame, by: str, order: str) -> DataFrame:
+    """A conversation's rows as a provider accepts them: (by, order, role, call_ids, call_id, content). role, call_ids (of an
+    assistant's row), call_id (of a tool's row).
+
+    Of an assistant's calls those stay that a later row answers; without any left, it stays as plain text if it has
+    some, else goes. A tool's row goes unless an earlier assistant's row asked for it; of repeated answers the first stays.
+    """
+    asked = messages.where("role = 'assistant'").select(by, F.col(order).alias("asked"), F.explode("call_ids").alias("call_id")).groupBy(by, "call_id").agg(F.min("asked").alias("asked"))
+    answers = messages.where("role = 'tool'").join(asked, [by, "call_id"]).where(F.col(order) > F.col("asked")).groupBy(by, "call_id").agg(F.min(order).alias("answered"))
+    kept = answers.join(asked, [by, "call_id"])
+    calls = kept.groupBy(by, F.col("asked").alias(order)).agg(F.collect_set("call_id").alias("have"))
+    tools = kept.select(by, F.col("answered").alias(order), F.col("call_id").alias("for_call"))
+    rows = messages.join(calls, [by, order], "left").join(tools, [by, order], "left")
+    rows = rows.withColumn("call_ids", F.when(F.col("role") == "assistant", F.filter("call_ids", lambda c: F.coalesce(F.array_contains("have", c), F.lit(False)))))
+    told = F.trim(F.coalesce("content", F.lit(""))) != ""
+    empty = (F.col("role") == "assistant") & (F.size("call_ids") <= 0) & ~told
+    orphan = (F.col("role") == "tool") & (F.col("for_call").isNull() | (F.col("for_call") != F.col("call_id")))
+    return rows.where(~F.coalesce(empty, F.lit(False)) & ~orphan).select(by, order, "role", "call_ids", "call_id", "content")

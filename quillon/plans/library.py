@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import identity, text
 from quillon.operators import library
 from quillon.plans.retrieval import KEYED, papers
+from quillon.sources import payloads
 from quillon.sources.tables import PAPERS, derived, table
 
 Q, O = {}, {}
@@ -431,3 +432,88 @@ def flags(spark, sf):
     d = table(spark, sf, "documents")
     caption = text.caption_number(F.concat(F.lit("Table iv. "), F.coalesce("text", F.lit(""))))
     return d.select("doc_id", caption.alias("first_number"), F.coalesce("text", F.lit("")).rlike(r"(?m)^\|").alias("has_table"))
+
+
+@query(
+    "s18_chunk_files",
+    "SELECT doc_id, (doc_id % 12)::BIGINT AS version, 'c' || doc_id::VARCHAR AS chunk_id, md5(text) AS content, doc_id % 2 = 0 AS has_table, false AS has_math FROM documents WHERE doc_id % 5 > 0 AND coalesce(text, '') <> ''",
+)
+def chunk_files(spark, sf):
+    """Files with a whole chunk, one without an id, one without content, and every fifth broken off."""
+    d = table(spark, sf, "documents")
+    whole = F.struct(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, True).alias("has_table"))
+    bad = F.struct(F.lit(None).cast("string").alias("chunk_id"), F.lit("x").alias("content"), F.lit(True).alias("has_table"))
+    bare = F.struct(F.lit("y").alias("chunk_id"), F.lit("").alias("content"), F.lit(True).alias("has_table"))
+    body = F.to_json(F.struct((F.col("doc_id") % 12).alias("version"), F.array(whole, bad, bare).alias("chunks")))
+    files = d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.substring(body, 1, 30)).otherwise(body).alias("payload"))
+    return payloads.chunk_rows(files).select("doc_id", "version", "chunk_id", F.md5("content").alias("content"), "has_table", "has_math")
+
+
+@query(
+    "s16_workspace_files",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'own' ELSE 'k' || c_custkey::VARCHAR END AS paper_id, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 2001 END AS year FROM customer WHERE c_custkey % 7 > 0",
+)
+def workspace_files(spark, sf):
+    c = table(spark, sf, "customer")
+    record = F.struct(F.when(F.col("c_custkey") % 3 == 0, "own").otherwise("").alias("paperId"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 2 == 0, "2001").otherwise("n.d.").alias("year"))
+    body = F.to_json(F.struct(F.map_from_arrays(F.array(F.concat(F.lit("k"), F.col("c_custkey").cast("string"))), F.array(record)).alias("papers")))
+    files = c.select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.lit("{")).otherwise(body).alias("payload"))
+    return payloads.workspace_papers(files)
+
+
+@query("s20_cases", "SELECT p_partkey, 'q' || p_partkey::VARCHAR AS case_id, p_name AS query, false AS holdout FROM part WHERE p_partkey % 4 > 0")
+def case_files(spark, sf):
+    p = table(spark, sf, "part")
+    one = F.struct(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("query"), F.when(F.col("p_partkey") % 4 == 0, True).alias("holdout"))
+    none = F.struct(F.lit("").alias("id"), F.lit("no id").alias("query"), F.lit(False).alias("holdout"))
+    return payloads.cases(p.select("p_partkey", F.to_json(F.array(one, none)).alias("payload")))
+
+
+@query("s05_s06_related_edges", "SELECT o_orderkey AS seed, 1 AS place, 'p' || o_custkey::VARCHAR AS paper_id, coalesce(o_orderstatus, '') AS title FROM orders")
+def related(spark, sf):
+    entry = lambda i, t: F.struct(F.struct(i.alias("paperId"), t.alias("title")).alias("citedPaper"))
+    body = F.to_json(F.struct(F.array(entry(F.lit(""), F.lit("none")), entry(F.concat(F.lit("p"), F.col("o_custkey").cast("string")), F.col("o_orderstatus"))).alias("data")))
+    return payloads.related_edges(table(spark, sf, "orders").select(F.col("o_orderkey").alias("seed"), body.alias("payload")), "references")
+
+
+@query("f09_f08_renumbered", "SELECT doc_id, replace(coalesce(text, ''), '[', '(') || ' as in [1] and [x](u) or [2], so.' AS text FROM documents")
+def renumbered(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("["), F.lit("(")), F.lit(" as in [p1] and [x](u) or [10.1/B], so [gone].")).alias("text"))
+    numbers = d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(r).alias("ref"), F.lit(n).alias("number")) for r, n in (("p1", 1), ("10.1/B", 2), ("other", 3))])))
+    return library.renumbered(d, numbers)
+
+
+@query(
+    "f39_outline_tasks",
+    "SELECT p_partkey, chapter, section, row_number() OVER (PARTITION BY p_partkey ORDER BY c, s)::INT AS place FROM (SELECT p_partkey, 'one' AS chapter, unnest([p_brand, p_type]) AS section, 0 AS c, unnest([0, 1]) AS s FROM part UNION ALL SELECT p_partkey, 'two', NULL, 1, 0 FROM part)",
+)
+def outline(spark, sf):
+    chapter = lambda t, parts: F.struct(F.lit(t).alias("title"), parts.alias("parts"))
+    both = F.array(chapter("one", F.array("p_brand", "p_type")), chapter("two", F.array().cast("array<string>")))
+    return library.outline_tasks(table(spark, sf, "part").select("p_partkey", both.alias("outline")), "p_partkey", "outline")
+
+
+@query(
+    "f15_final_markdown",
+    "SELECT conv_id, '# Topic ' || conv_id::VARCHAR || coalesce(chr(10) || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (WHERE trim(text) <> ''), '') AS markdown FROM conversations GROUP BY conv_id",
+)
+def final(spark, sf):
+    return library.final_markdown(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", F.concat(F.lit("# Topic "), F.col("conv_id").cast("string")))
+
+
+@query("f28_pdf_urls", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE 'http://b/' || page_id::VARCHAR END AS pdf FROM pages")
+def pdf_urls(spark, sf):
+    best = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), F.col("url"))).when(F.col("page_id") % 3 == 1, "ftp://a/b")
+    return table(spark, sf, "pages").select("page_id", text.first_url(best, F.concat(F.lit("http://b/"), F.col("page_id").cast("string"))).alias("pdf"))
+
+
+@query("j21_repaired_calls")
+def call_pairs(spark, sf):
+    """Conversations as calls and answers: an assistant asks for its turn's two calls, a user's row answers one before."""
+    c = table(spark, sf, "conversations")
+    role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))
+    ids = F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("c"), F.col("turn").cast("string")), F.concat(F.lit("d"), F.col("turn").cast("string"))))
+    answer = F.when(F.col("role") == "user", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")))
+    rows = c.select("conv_id", "turn", role.alias("role"), ids.alias("call_ids"), answer.alias("call_id"), F.when(F.col("turn") % 4 == 1, "").otherwise(F.col("text")).alias("content"))
+    found = library.call_pairs(rows, "conv_id", "turn")
+    return found.select("conv_id", "turn", "role", F.array_join("call_ids", ",").alias("call_ids"), "call_id", F.md5("content").alias("content"))

@@ -126,3 +126,44 @@ def front_matter(docs: DataFrame, schema: str, column: str = "text") -> DataFram
     """The JSON between `---` lines at the start of a document, as columns."""
     head = F.regexp_extract(column, r"(?s)^---\s*\n(.*?)\n---", 1)
     return docs.withColumn("_m", F.from_json(F.when(head != "", head), schema)).select(*[c for c in docs.columns if c != column], "_m.*")
+
+
+#: Flags of a stored chunk that may be missing (fixed values).
+FLAGS = ("has_table", "has_math", "has_figure")
+
+
+def chunk_rows(files: DataFrame, payload: str = "payload") -> DataFrame:
+    """Rows of stored chunk files (a JSON object with version and chunks) with their other columns: version, chunk_id,
+    content and FLAGS, missing ones false. Chunks without an id or content, and files that don't parse, have no row."""
+    fields = ", ".join(f"{c}:boolean" for c in FLAGS)
+    parsed = F.from_json(payload, f"version bigint, chunks array<struct<chunk_id:string,content:string,{fields}>>")
+    each = files.withColumn("file", parsed).select(*[c for c in files.columns if c != payload], "file.version", F.explode("file.chunks").alias("c"))
+    rows = each.where("coalesce(c.chunk_id, '') <> '' AND coalesce(c.content, '') <> ''")
+    return rows.select(*[c for c in each.columns if c != "c"], "c.chunk_id", "c.content", *[F.coalesce(f"c.{f}", F.lit(False)).alias(f) for f in FLAGS])
+
+
+def workspace_papers(files: DataFrame, payload: str = "payload") -> DataFrame:
+    """Rows of workspace files (a JSON object whose `papers` maps ids to records) with their other columns: paper_id,
+    title, year. A record's own paperId wins over its key; a file that doesn't parse has no row, a bad year is null."""
+    parsed = F.from_json(payload, "papers map<string,struct<paperId:string,title:string,year:string>>")
+    each = files.withColumn("file", parsed).select(*[c for c in files.columns if c != payload], F.explode("file.papers").alias("key", "p"))
+    own = F.when(F.coalesce("p.paperId", F.lit("")) != "", F.col("p.paperId")).otherwise(F.col("key"))
+    return each.select(*[c for c in each.columns if c not in ("key", "p")], own.alias("paper_id"), F.coalesce("p.title", F.lit("")).alias("title"), F.col("p.year").try_cast("int").alias("year"))
+
+
+def cases(rows: DataFrame, payload: str = "payload", holdout: bool = False) -> DataFrame:
+    """Evaluation cases of JSON arrays with their other columns: case_id, query, holdout (missing is false); those held
+    out only if asked for; cases without an id have no row."""
+    parsed = F.from_json(payload, "array<struct<id:string,query:string,holdout:boolean>>")
+    each = rows.select(*[c for c in rows.columns if c != payload], F.explode(parsed).alias("c")).where("coalesce(c.id, '') <> ''")
+    out = each.select(*[c for c in each.columns if c != "c"], F.col("c.id").alias("case_id"), F.coalesce("c.query", F.lit("")).alias("query"), F.coalesce("c.holdout", F.lit(False)).alias("holdout"))
+    return out if holdout else out.where("NOT holdout")
+
+
+def related_edges(payloads: DataFrame, direction: str, payload: str = "payload") -> DataFrame:
+    """(seed, place, paper_id, title) of a citation provider's pages: direction "references" unwraps citedPaper,
+    "citations" citingPaper; entries without an id have no row."""
+    field = {"references": "citedPaper", "citations": "citingPaper"}[direction]
+    parsed = F.from_json(payload, f"data array<struct<{field}:struct<paperId:string,title:string>>>")
+    each = payloads.select("seed", F.posexplode(parsed["data"]).alias("place", "e")).select("seed", "place", F.col(f"e.{field}").alias("p"))
+    return each.where("coalesce(p.paperId, '') <> ''").select("seed", "place", F.col("p.paperId").alias("paper_id"), F.coalesce("p.title", F.lit("")).alias("title"))

@@ -88,3 +88,13 @@ def test_sections_and_budgets(spark):
     assert got == [(1, 3, 41), (1, 4, 41), (1, 2, 11)][2:] + [(1, 3, 41), (1, 4, 41), (2, 0, 41), (3, 0, 0)]
     kept = {(r.g, r.n, r.omitted) for r in library.within_budget(df.where("g < 3"), ["g"], "n", F.length("text"), 120).collect()}
     assert kept == {(1, 0, 3), (1, 1, 3)}
+
+
+def test_repaired_calls(spark):
+    kinds = "g int, n int, role string, call_ids array<string>, call_id string, content string"
+    rows = [
+        (1, 0, "user", None, None, "q"), (1, 1, "assistant", ["a", "b"], None, ""), (1, 2, "tool", None, "a", "r"), (1, 3, "tool", None, "a", "again"), (1, 4, "tool", None, "z", "orphan"),
+        (1, 5, "assistant", ["c"], None, "text"), (1, 6, "assistant", ["d"], None, " "), (2, 0, "tool", None, "e", "too early"), (2, 1, "assistant", ["e"], None, None), (2, 2, "assistant", None, None, "plain"),
+    ]
+    got = sorted((r.g, r.n, r.role, r.call_ids, r.call_id) for r in library.call_pairs(spark.createDataFrame(rows, kinds), "g", "n").collect())
+    assert got == [(1, 0, "user", None, None), (1, 1, "assistant", ["a"], None), (1, 2, "tool", None, "a"), (1, 5, "assistant", [], None), (2, 2, "assistant", None, None)]
