@@ -117,3 +117,15 @@ def agreement(pairs: DataFrame) -> DataFrame:
         F.avg((F.col("human") == F.col("judge")).cast("int")).alias("exact"),
         F.when(F.count("*") >= 3, F.corr("r_human", "r_judge")).alias("spearman"),
     )
+
+
+def golden_recall(results: DataFrame, golden: DataFrame, top: int = 20) -> DataFrame:
+    """(case_id, recall, golden): the share of a case's golden records among its first `top` results: the same preprint
+    number, the same DOI, or one title within the other. results: case_id, place (from 1), doi, arxiv, title; golden:
+    case_id, gid, doi, arxiv, title; all normalised, empty where unknown. Cases without golden records have no row (their
+    recall counts as 1). Rows meet by case only, at most `top` for each golden record."""
+    r = results.where(F.col("place") <= top).select("case_id", *[F.col(c).alias(f"r_{c}") for c in ("doi", "arxiv", "title")])
+    same = lambda c: (F.col(c) != "") & (F.col(c) == F.col(f"r_{c}"))
+    within = (F.col("title") != "") & (F.col("r_title") != "") & (F.contains("title", "r_title") | F.contains("r_title", "title"))
+    hits = golden.join(r, "case_id", "left").groupBy("case_id", "gid").agg(F.bool_or(F.coalesce(same("arxiv") | same("doi") | within, F.lit(False))).alias("hit"))
+    return hits.groupBy("case_id").agg(F.avg(F.col("hit").cast("int")).alias("recall"), F.count("*").alias("golden"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import identity, text
@@ -277,16 +278,25 @@ def completeness(spark, sf):
 
 @query(
     "j10_a11_golden_recall",
-    f"""WITH {KEYED}, g AS (SELECT item_id, '10.1000/x' || (item_id % 130)::VARCHAR AS doi, '2401.' || lpad((item_id % 120)::VARCHAR, 5, '0') AS arxiv FROM benchmark)
-SELECT item_id % 10 AS case_id, round(avg((doi IN (SELECT d FROM papers) OR arxiv IN (SELECT a FROM papers))::INT), 9) AS recall FROM g GROUP BY 1""",
+    f"""WITH {KEYED}, r AS (SELECT ord % 50 AS case_id, row_number() OVER (PARTITION BY ord % 50 ORDER BY ord) AS place, d, a, t FROM papers),
+g AS (SELECT b.item_id, b.item_id % 50 AS case_id, CASE WHEN b.item_id % 3 = 0 THEN p.d ELSE '' END AS d, CASE WHEN b.item_id % 3 = 1 THEN '2401.' || lpad((b.item_id % 120)::VARCHAR, 5, '0') ELSE '' END AS a,
+      CASE WHEN b.item_id % 3 = 2 THEN substr(p.t, 1, 9 + b.item_id::INT % 40) ELSE '' END AS t FROM benchmark b LEFT JOIN papers p ON p.ord = b.item_id),
+h AS (SELECT g.case_id, g.item_id, coalesce(bool_or((g.d <> '' AND g.d = r.d) OR (g.a <> '' AND g.a = r.a) OR (g.t <> '' AND r.t <> '' AND (contains(g.t, r.t) OR contains(r.t, g.t)))), false) AS hit FROM g LEFT JOIN r ON r.case_id = g.case_id AND r.place <= 20 GROUP BY 1, 2)
+SELECT case_id, round(avg(hit::INT), 9) AS recall, count(*) AS golden FROM h GROUP BY 1""",
 )
 def golden(spark, sf):
-    g = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("10.1000/X"), (F.col("item_id") % 130).cast("string")).alias("doi"), F.concat(F.lit("2401."), F.lpad((F.col("item_id") % 120).cast("string"), 5, "0"), F.lit("v2")).alias("arxiv"))
-    p = papers(spark, sf)
-    names = p.select(identity.doi(F.col("doi")).alias("name")).union(p.select(identity.without_version(F.col("arxiv_id")))).where("name <> ''").distinct()
-    asked = g.select("item_id", F.explode(F.array(identity.doi(F.col("doi")), identity.without_version(F.col("arxiv")))).alias("name"))
-    hit = asked.join(names, "name", "left_semi").select("item_id").distinct().withColumn("hit", F.lit(1))
-    return g.join(hit, "item_id", "left").groupBy((F.col("item_id") % 10).alias("case_id")).agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("recall"))
+    bare = F.regexp_replace("title_key", "^title:", "")
+    p = papers(spark, sf).select("ord", F.col("doi_norm").alias("doi"), identity.without_version(F.col("arxiv_id")).alias("arxiv"), bare.alias("title"))
+    results = p.withColumn("case_id", F.col("ord") % 50).withColumn("place", F.row_number().over(W.partitionBy("case_id").orderBy("ord")))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("gid")).join(p.withColumnRenamed("ord", "gid"), "gid", "left")
+    i = F.col("gid")
+    g = b.select(
+        "gid", (i % 50).alias("case_id"),
+        F.when(i % 3 == 0, F.coalesce("doi", F.lit(""))).otherwise("").alias("doi"),
+        F.when(i % 3 == 1, F.concat(F.lit("2401."), F.lpad((i % 120).cast("string"), 5, "0"))).otherwise("").alias("arxiv"),
+        F.when(i % 3 == 2, F.coalesce(F.substring(F.col("title"), F.lit(1), (9 + i % 40).cast("int")), F.lit(""))).otherwise("").alias("title"),
+    )
+    return metrics.golden_recall(results, g).select("case_id", F.round("recall", 9).alias("recall"), "golden")
 
 
 @query("a10_multi_source_rate", f"WITH {KEYED}, g AS (SELECT key, count(DISTINCT source) AS n FROM papers GROUP BY key) SELECT round(avg((n >= 2)::INT), 9) AS rate FROM g")
