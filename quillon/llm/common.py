@@ -49,7 +49,7 @@ def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     executors, and gives the optimizer a measured size."""
     spark = spark or df.sparkSession
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP)
+    before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
