@@ -303,6 +303,7 @@ def components(boxes: DataFrame, key: list[str], gap: float) -> DataFrame:
 
         def find(i: int) -> int:
             while root[i] != i:
+                root[i] = root[root[i]]
                 i = root[i]
             return i
 

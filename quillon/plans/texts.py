@@ -190,7 +190,13 @@ def nearest(spark, sf):
 _BOX = "SELECT l_orderkey AS page, l_linenumber AS box, l_quantity AS x0, l_quantity + 4 AS x1, l_extendedprice % 40 AS y0, l_extendedprice % 40 + 6 AS y1 FROM lineitem"
 
 
-@query("a44_a40_components")
+@query(
+    "a44_a40_components",
+    f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM ({_BOX})),
+e AS MATERIALIZED (SELECT p.i AS a, q.i AS c FROM b p JOIN b q ON p.page = q.page AND p.x0 <= q.x1 + 2 AND q.x0 <= p.x1 + 2 AND p.y0 <= q.y1 + 2 AND q.y0 <= p.y1 + 2 AND p.i <> q.i),
+r AS (SELECT i AS node, i AS root FROM b UNION SELECT e.c, r.root FROM r JOIN e ON e.a = r.node), m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT b.page, min(box)::BIGINT AS grp, count(*) AS n, round(min(x0)::DOUBLE, 6) AS x0, round(max(y1)::DOUBLE, 6) AS y1 FROM b JOIN m ON m.node = b.i GROUP BY b.page, m.root""",
+)
 def components(spark, sf):
     boxes = derived(spark, sf, _BOX, "lineitem").selectExpr("page", "CAST(box AS BIGINT) AS box", *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("x0", "x1", "y0", "y1")])
     return chunks.components(boxes, ["page"], 2.0).select("page", F.col("group").alias("grp"), "n", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
