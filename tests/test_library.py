@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text
 from quillon.operators import chunks, library, ranks
+from quillon.sources import payloads
 
 
 def values(spark, column, *rows):
@@ -98,3 +99,13 @@ def test_repaired_calls(spark):
     ]
     got = sorted((r.g, r.n, r.role, r.call_ids, r.call_id) for r in library.call_pairs(spark.createDataFrame(rows, kinds), "g", "n").collect())
     assert got == [(1, 0, "user", None, None), (1, 1, "assistant", ["a"], None), (1, 2, "tool", None, "a"), (1, 5, "assistant", [], None), (2, 2, "assistant", None, None)]
+
+
+def test_html_blocks(spark):
+    html = "<title>T &amp; U</title><script>no()</script><h2> A  b<br>c</h2>loose<p>x <b>y</b><p>z</p><ul><li>i<li>j</ul><table><tr><th>h<td>1</tr></table><style>p{}</style><blockquote>q</blockquote>tail"
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<p>never closed"), (5, "plain < text")], "page_id long, html string")
+    got = {}
+    for r in payloads.html_blocks(df).orderBy("page_id", "position").collect():
+        got.setdefault(r.page_id, []).append((r.kind, r.text))
+    assert got[1] == [("title", "T & U"), ("heading", "A b c"), ("text", "loose"), ("paragraph", "x y"), ("paragraph", "z"), ("item", "i"), ("item", "j"), ("row", "| h | 1"), ("quote", "q"), ("text", "tail")]
+    assert got[4] == [("paragraph", "never closed")] and got[5] == [("text", "plain < text")] and 2 not in got and 3 not in got
