@@ -55,8 +55,15 @@ def pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+@functools.lru_cache(maxsize=2)
+def byte_pieces(path: str) -> frozenset[int]:
+    """Ids of the pieces that are single bytes."""
+    model = pieces(path)
+    return frozenset(i for i in range(model.get_piece_size()) if model.is_byte(i))
+
+
 #: Words whose pieces a worker remembers, and the longest such word in code points.
-MOST_WORDS, LONGEST_WORD = 200_000, 40
+MOST_WORDS, LONGEST_WORD = 600_000, 40
 _known: dict[str, dict[str, int]] = {}
 _FEW = 1 << 32
 
@@ -71,9 +78,9 @@ def piece_counts(path: str, words: list[str]) -> tuple[int, int]:
         if len(known) + len(new) > MOST_WORDS:
             known.clear()
             new = list(set(words))
-        model = pieces(path)
+        model, single = pieces(path), byte_pieces(path)
         for at in range(0, len(new), 5_000):
             for w, ids in zip(new[at : at + 5_000], model.encode(new[at : at + 5_000], num_threads=1), strict=True):
-                (known if len(w) <= LONGEST_WORD and len(known) < MOST_WORDS else rare)[w] = len(ids) + _FEW * sum(map(model.is_byte, ids))
+                (known if len(w) <= LONGEST_WORD and len(known) < MOST_WORDS else rare)[w] = len(ids) + (_FEW * sum(i in single for i in ids) if not single.isdisjoint(ids) else 0)
     total = sum(known[w] if w in known else rare[w] for w in words) if rare else sum(map(known.__getitem__, words))
     return total % _FEW, total // _FEW

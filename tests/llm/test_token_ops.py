@@ -74,7 +74,7 @@ def test_byte_fallback_is_measured(spark):
         assert got[row[0]].fallback_share == pytest.approx(sum(map(model.is_byte, ids)) / max(len(ids), 1))
         assert got[row[0]].chars_per_piece == pytest.approx(sum(map(len, w)) / max(len(ids), 1))
     runes = " ".join(chr(0x16A0 + i % 70) * (2 + i % 3) for i in range(80))
-    mixed = "The " + " ".join(f"word{i} of the text" if i % 3 else chr(0x16A0 + i % 70) * 4 for i in range(60))
+    mixed = "The " + " ".join(f"word{i} stone{i} river{i}" if i % 3 else chr(0x16A0 + i % 70) * 4 for i in range(60))
     rows = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([(1, runes, None), (2, mixed, "en")], "doc_id long, text string, lang string")).collect()}
     assert rows[1].fallback_share > 0.85 and rows[1].band == "other"
     assert 0.05 < rows[2].fallback_share < 0.9 and not rows[2].base_failed and not rows[2].kept
