@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact, lines, mixing, near, quality_model, quality_rules, secrets, sharding, substrings
+from quillon.llm import bpe, exact, importance, lines, mixing, near, neighbours, quality_model, quality_rules, secrets, sharding, substrings, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 SQL_OP1 = """
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
@@ -131,6 +143,37 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
+# DuckDB has no CRC-32: `tab` is its table by bytes, and each feature's bytes are folded over it.
+SQL_OP11 = """
+WITH tab AS (
+  SELECT list(list_reduce(range(8)::BIGINT[], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM range(256) r(n)),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w, 0 AS side
+  FROM documents
+  UNION ALL
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), 1
+  FROM benchmark),
+f AS (
+  SELECT doc_id, side, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS x FROM d),
+u AS (SELECT DISTINCT x FROM f),
+h AS (
+  SELECT x, xor(list_reduce(list_transform(range(octet_length(encode(x))), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM u, tab),
+c AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN h USING (x) GROUP BY bucket),
+a AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM c),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM c, a),
+z AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN h USING (x) JOIN g USING (bucket) WHERE side = 0 GROUP BY doc_id),
+o AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN z USING (doc_id) WHERE side = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n >= 20)
+SELECT o.doc_id, o.n_features, o.weight, o.score, CASE WHEN r.rank <= (SELECT count(*) FROM r) * 5 // 100 THEN r.rank END AS rank
+FROM o LEFT JOIN r USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -144,8 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_whitening": op12_whitening,
+        "op13_nearest": op13_nearest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": SQL_OP1, "op4_suffix_dedup": SQL_OP4, "op6_exact_dedup": SQL_OP6, "op9_mixing": SQL_OP9}
+    return {"op1_minhash_dedup": SQL_OP1, "op4_suffix_dedup": SQL_OP4, "op6_exact_dedup": SQL_OP6, "op9_mixing": SQL_OP9, "op11_importance_resampling": SQL_OP11}
