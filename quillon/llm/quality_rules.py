@@ -58,8 +58,8 @@ def repeat_words(words: list[str]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    seen: dict[str, int] = {}
-    a = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
+    seen = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    a = np.fromiter(map(seen.__getitem__, words), np.int64, n)
     size = np.int64(len(seen))
     _, pair = np.unique(a[:-1] * size + a[1:], return_inverse=True)
     _, which, count = np.unique(pair[:-1] * size + a[2:], return_inverse=True, return_counts=True)

@@ -62,25 +62,44 @@ def byte_pieces(path: str) -> frozenset[int]:
     return frozenset(i for i in range(model.get_piece_size()) if model.is_byte(i))
 
 
-#: Words whose pieces a worker remembers, and the longest such word in code points.
-MOST_WORDS, LONGEST_WORD = 600_000, 40
-_known: dict[str, dict[str, int]] = {}
-_FEW = 1 << 32
+#: The mark of a space in pieces, and the longest word in code points whose pieces are counted by ranks.
+SPACE, LONGEST_WORD = "\u2581", 1_000
+
+
+@functools.lru_cache(maxsize=2)
+def piece_ranks(path: str):
+    """(the merges of a piece model as a byte-level encoding of words that follow a space, pieces by token, single bytes by token).
+
+    Such a model merges neighbouring symbols, the likeliest piece first, as byte-level vocabularies merge by rank. Its symbols are
+    characters, so the bytes of each character it knows are merged before all else; a token that is none of its pieces stands for the
+    bytes of an unknown character, which the model gives singly."""
+    import tiktoken
+
+    model = pieces(path)
+    known = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    known.sort(key=lambda i: -model.get_score(i))
+    texts = [model.id_to_piece(i).replace(SPACE, " ") for i in known]
+    order = {bytes([i]): i for i in range(256)}
+    for raw in [t.encode() for t in texts if len(t) == 1]:
+        for n in range(2, len(raw) + 1):
+            order.setdefault(raw[:n], len(order))
+    for t in texts:
+        order.setdefault(t.encode(), len(order))
+    own = {t.encode() for t in texts}
+    single = np.array([0 if raw in own else len(raw) for raw in order], np.int64)
+    return tiktoken.Encoding(path, pat_str=r" [^ ]+", mergeable_ranks=order, special_tokens={}), np.maximum(single, 1), single
 
 
 def piece_counts(path: str, words: list[str]) -> tuple[int, int]:
-    """(pieces, pieces that are single bytes) of a text's words under a model with byte fallback, whose pieces never
-    cross white space. Counts of short words are remembered, as pieces + 2**32 * bytes."""
-    known = _known.setdefault(path, {})
-    new = [w for w in set(words) if w not in known]
-    rare: dict[str, int] = {}
-    if new:
-        if len(known) + len(new) > MOST_WORDS:
-            known.clear()
-            new = list(set(words))
-        model, single = pieces(path), byte_pieces(path)
-        for at in range(0, len(new), 5_000):
-            for w, ids in zip(new[at : at + 5_000], model.encode(new[at : at + 5_000], num_threads=1), strict=True):
-                (known if len(w) <= LONGEST_WORD and len(known) < MOST_WORDS else rare)[w] = len(ids) + (_FEW * sum(i in single for i in ids) if not single.isdisjoint(ids) else 0)
-    total = sum(known[w] if w in known else rare[w] for w in words) if rare else sum(map(known.__getitem__, words))
-    return total % _FEW, total // _FEW
+    """(pieces, pieces that are single bytes) of a text's words under a model with byte fallback, whose pieces never cross white
+    space. The model itself breaks up words that are very long or hold its mark of a space."""
+    encoding_, pieces_of, single = piece_ranks(path)
+    odd = [w for w in words if len(w) > LONGEST_WORD or SPACE in w]
+    if odd:
+        words = [w for w in words if len(w) <= LONGEST_WORD and SPACE not in w]
+    ids = encoding_.encode_to_numpy(" " + " ".join(words), disallowed_special=()) if words else np.zeros(0, np.int64)
+    n, fallen = int(pieces_of[ids].sum()), int(single[ids].sum())
+    for w in odd:
+        own = pieces(path).encode(w)
+        n, fallen = n + len(own), fallen + sum(i in byte_pieces(path) for i in own)
+    return n, fallen

@@ -78,13 +78,25 @@ def test_byte_fallback_is_measured(spark):
     rows = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([(1, runes, None), (2, mixed, "en")], "doc_id long, text string, lang string")).collect()}
     assert rows[1].fallback_share > 0.85 and rows[1].band == "other"
     assert 0.05 < rows[2].fallback_share < 0.9 and not rows[2].base_failed and not rows[2].kept
-    many = [f"w{i}" for i in range(300)]
-    vocab._known.clear()
-    want = vocab.piece_counts(vocab.tokenizer_path(quality_rules.PIECES), many + many)
-    vocab.MOST_WORDS, before = 100, vocab.MOST_WORDS
-    vocab._known.clear()
-    assert vocab.piece_counts(vocab.tokenizer_path(quality_rules.PIECES), many + many) == want
-    vocab.MOST_WORDS = before
+
+
+def test_pieces_by_ranks():
+    """Counts by ranks are the model's own: every piece of the vocabulary, words of many scripts, long words, marks of spaces."""
+    path = vocab.tokenizer_path(quality_rules.PIECES)
+    model = vocab.pieces(path)
+    rng = np.random.default_rng(2)
+    ranges = [range(33, 0x250), range(0x370, 0x530), range(0x4E00, 0x4F00), range(0xAC00, 0xAC40), range(0x1F600, 0x1F640), [0xA0, 0x1C, 0x85, 0x2581]]
+    codes = np.concatenate([np.array(r) for r in ranges])
+    words = [w for w in ("".join(map(chr, rng.choice(codes, k))) for k in rng.integers(1, 30, 800)) if w]
+    words += [w for w in (model.id_to_piece(i).replace(vocab.SPACE, "") for i in range(259, model.get_piece_size())) if w]
+    words += ["x" * 3000, "\u6f22" * 1500, "ab\u2581cd", "\u2581", "a\u2581\u2581b"]
+    words = [x for w in words for x in WORD.findall(w)]
+    for w in words:
+        ids = model.encode(w)
+        assert vocab.piece_counts(path, [w]) == (len(ids), sum(map(model.is_byte, ids))), w
+    each = [model.encode(w) for w in words]
+    assert vocab.piece_counts(path, words) == (sum(map(len, each)), sum(sum(map(model.is_byte, ids)) for ids in each))
+    assert vocab.piece_counts(path, []) == (0, 0)
 
 
 def test_bands_against_labels_that_they_were_not_set_from(spark):
