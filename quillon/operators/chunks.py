@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.shared import ship_package
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,6 +91,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
                     ids, chunks, contents, counts = [], [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(chunks, pa.int64()), pa.array(contents, pa.string()), pa.array(counts, pa.int64())], [id_col, "chunk", "content", "n_lines"])
 
+    ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, chunk long, content string, n_lines long")
 
 
@@ -207,6 +209,7 @@ def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             columns = [ids, pa.array([n for x in made for n in range(len(x))], pa.int64()), *(pa.array([c[k] for x in made for c in x], pa.string()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "chunk", "section", "content"])
 
+    ship_package(rows.sparkSession)
     return rows.mapInArrow(run, f"{id_col} {kind}, chunk long, section string, content string")
 
 
@@ -323,4 +326,5 @@ def components(boxes: DataFrame, key: list[str], gap: float) -> DataFrame:
         return pa.Table.from_pylist(out, schema=pa.schema([*[table.schema.field(k) for k in names], ("group", pa.int64()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")]]))
 
     kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in names)
+    ship_package(boxes.sparkSession)
     return boxes.groupBy(*names).applyInArrow(run, f"{kinds}, group long, n long, x0 double, y0 double, x1 double, y1 double")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text
 from quillon.operators import context, eventlog, retrieval
+from quillon.shared import shared_folder
 from quillon.sources.tables import LOG, derived, table
-from quillon.streaming import runs
+from quillon.streaming import runs, sinks, timeline
 
 Q, O = {}, {}
 
@@ -239,7 +240,7 @@ def recent(spark, sf):
     "x06_timeline_upsert",
     f"WITH log AS ({LOG}) SELECT session_id, event_id % 7 AS node, max_by(event_type, seq_no) AS event_type, max_by(value, seq_no) AS value, min(seq_no) AS first_seq FROM log GROUP BY 1, 2",
 )
-def timeline(spark, sf):
+def timeline_upsert(spark, sf):
     rows = derived(spark, sf, LOG, "events")
     return rows.groupBy("session_id", (F.col("event_id") % 7).alias("node")).agg(F.max_by("event_type", "seq_no").alias("event_type"), F.max_by("value", "seq_no").alias("value"), F.min("seq_no").alias("first_seq"))
 
@@ -361,3 +362,88 @@ def replayed(spark, sf):
 def stored_events(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("event"), F.col("event_id").alias("seq"), F.lit("").alias("content"), F.col("ts").alias("at"))
     return runs.windowed_counts(runs.to_store(runs.enveloped(e))).select("event", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+#: Run events from `events`: a run per user. Deltas come again with old numbers, nodes of a tree before their parents, assistant texts whole, call
+#: fragments with and without names, and ends with a status.
+RUN_EVENTS = f"""
+SELECT CAST(session_id AS STRING) AS run_id, seq_no AS arrival, ts AS at, CAST(seq_no - event_id % 3 AS BIGINT) AS seq, 't' || CAST(turn AS STRING) AS turn_id,
+       CASE event_type WHEN 'view' THEN 'delta' WHEN 'click' THEN 'runtime_event' WHEN 'signup' THEN 'message' WHEN 'purchase' THEN 'turn_end' ELSE 'call_fragment' END AS event,
+       CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 5 = 0 THEN 'user' ELSE 'assistant' END END AS role,
+       CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'text' END AS content_kind,
+       CASE WHEN event_type IN ('view', 'signup') THEN substr(event_type, 1, 1) || CAST(event_id % 10 AS STRING) || ' ' END AS content,
+       CASE WHEN event_type = 'click' THEN 'n' || CAST(event_id % 7 AS STRING) END AS node_id,
+       CASE WHEN event_type = 'click' AND event_id % 7 > 0 THEN 'n' || CAST(floor(event_id % 7 / 2) AS INT) END AS parent_id,
+       CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'running' END
+            WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'cancelled' WHEN 2 THEN NULL ELSE 'completed' END END AS status,
+       CASE WHEN event_type = 'click' AND event_id % 4 > 0 THEN CAST(event_id % 100 AS BIGINT) END AS input_tokens,
+       CAST(event_id % 3 AS INT) AS call_index, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'tool' || CAST(event_id % 4 AS STRING) END AS call_name, CAST(turn AS INT) AS round
+FROM log
+"""
+
+
+def run_events(spark, sf):
+    return spark.sql(RUN_EVENTS.replace("FROM log", "FROM {log}"), log=derived(spark, sf, LOG, "events"))
+
+
+@query(
+    "x05_x06_x07_x10_x13_run_timeline",
+    f"""WITH RECURSIVE log AS ({LOG}), e AS ({RUN_EVENTS}),
+m AS (SELECT *, coalesce(max(seq) OVER (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mark FROM e),
+k AS (SELECT *, event = 'delta' OR (event = 'message' AND role = 'assistant') AS part, event = 'turn_end' OR (event = 'message' AND role = 'assistant' AND content_kind = 'text') AS closes
+      FROM m WHERE NOT (event = 'delta' AND seq > 0 AND seq <= mark)),
+g AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM k),
+h AS (SELECT *, coalesce(max(arrival) FILTER (WHERE event = 'message') OVER (PARTITION BY run_id, grp), 0) AS whole, first_value(turn_id) OVER w AS t, first_value(seq) OVER w AS s FROM g WHERE part WINDOW w AS (PARTITION BY run_id, grp ORDER BY arrival)),
+texts AS (SELECT run_id, grp, 'msg:' || t || ':assistant:' || CASE WHEN s > 0 THEN s::VARCHAR ELSE 'pending' END AS id, string_agg(content, '' ORDER BY arrival) FILTER (WHERE arrival >= whole) AS content FROM h WHERE part GROUP BY run_id, grp, t, s),
+bubbles AS (SELECT run_id, 'message' AS item, id, NULL AS parent_id, max_by(content, grp) AS content, NULL AS status, NULL::BIGINT AS tokens FROM texts GROUP BY run_id, id),
+users AS (SELECT run_id, 'message', 'user:' || turn_id, NULL, min_by(content, arrival), NULL, NULL FROM e WHERE event = 'message' AND role = 'user' GROUP BY run_id, turn_id),
+cards AS (SELECT run_id, 'card', min_by(call_name, arrival) || '_r' || round || '_' || call_index, NULL, NULL, 'running', NULL FROM e WHERE event = 'call_fragment' AND call_name IS NOT NULL GROUP BY run_id, round, call_index),
+came AS (SELECT run_id, node_id, max(arrival) AS last, max_by(status, arrival) AS status, max_by(parent_id, arrival) AS parent_id, coalesce(max_by(input_tokens, arrival) FILTER (WHERE input_tokens IS NOT NULL), 0) AS own FROM e WHERE node_id IS NOT NULL GROUP BY run_id, node_id),
+n AS (SELECT run_id, node_id, last, status, parent_id, own FROM came UNION ALL
+      SELECT run_id, parent_id, min(arrival), 'running', NULL, 0 FROM e WHERE parent_id IS NOT NULL AND (run_id, parent_id) NOT IN (SELECT run_id, node_id FROM came) GROUP BY run_id, parent_id),
+ends AS (SELECT run_id, arrival, status FROM e WHERE event = 'turn_end'),
+st AS (SELECT run_id, arrival, event, coalesce(CASE WHEN event = 'turn_end' THEN status END, NULL) AS given,
+       CASE WHEN event = 'turn_end' THEN status WHEN event = 'delta' OR event = 'message' AND role = 'assistant' OR event = 'runtime_event' AND status = 'running' THEN 'running' END AS sets FROM k),
+se AS (SELECT run_id, arrival, event, last_value(sets IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now FROM st),
+te AS (SELECT run_id, arrival, now FROM se WHERE event = 'turn_end' AND now IN ('completed', 'failed', 'cancelled')),
+settled AS (SELECT n.run_id, n.node_id, min_by(te.now, te.arrival) AS final FROM n JOIN te ON te.run_id = n.run_id AND te.arrival > n.last AND n.status = 'running' GROUP BY 1, 2),
+leaf AS (SELECT run_id, node_id, own FROM n WHERE (run_id, node_id) NOT IN (SELECT run_id, parent_id FROM n WHERE parent_id IS NOT NULL)),
+up AS (SELECT run_id, node_id AS leaf, own, node_id AS node FROM leaf UNION SELECT up.run_id, up.leaf, up.own, n.parent_id FROM up JOIN n ON n.run_id = up.run_id AND n.node_id = up.node WHERE n.parent_id IS NOT NULL),
+total AS (SELECT run_id, node, sum(own)::BIGINT AS tokens FROM up GROUP BY 1, 2),
+nodes AS (SELECT n.run_id, 'node', n.node_id, n.parent_id, NULL, coalesce(settled.final, n.status), total.tokens FROM n LEFT JOIN settled ON settled.run_id = n.run_id AND settled.node_id = n.node_id JOIN total ON total.run_id = n.run_id AND total.node = n.node_id)
+SELECT * FROM bubbles UNION ALL SELECT * FROM users UNION ALL SELECT * FROM cards UNION ALL SELECT * FROM nodes""",
+)
+def run_timeline(spark, sf):
+    rows = timeline.current(timeline.changes(run_events(spark, sf))).where("item <> 'run'")
+    shown = F.when(F.col("item") == "message", F.col("content"))
+    return rows.select("run_id", "item", "id", "parent_id", shown.alias("content"), F.when(F.col("item") != "message", F.col("status")).alias("status"), F.when(F.col("item") == "node", F.col("input_tokens")).alias("tokens"))
+
+
+_MESSAGES = "SELECT conv_id AS session_id, conv_id * 1000 + turn AS id, turn AS created_at, text AS content, CASE turn % 5 WHEN 0 THEN 'out/' || role || '.md' WHEN 1 THEN '../' || role WHEN 2 THEN 'a/./b/../' || CAST(turn AS STRING) WHEN 3 THEN 'a/../../b' ELSE '/x//y' END AS path FROM conversations"
+
+
+def stored_messages(spark, sf):
+    """Three batches of messages in a new store, each run twice as after a crash."""
+    import uuid
+
+    store = sinks.Store(spark, f"{shared_folder(spark)}/quillon-store-{uuid.uuid4().hex}")
+    rows = derived(spark, sf, _MESSAGES, "conversations")
+    good, _ = sinks.artifacts(rows)
+    for number, part in enumerate(("created_at < 2", "created_at BETWEEN 2 AND 3", "created_at > 3")):
+        for _ in range(2):
+            store.append(good.where(part), number)
+    return store
+
+
+_GOOD = f"""m AS ({_MESSAGES}), g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS seq_no,
+CASE created_at % 5 WHEN 0 THEN path WHEN 2 THEN 'a/' || created_at ELSE 'x/y' END AS safe FROM m WHERE created_at % 5 NOT IN (1, 3))"""
+
+
+@query("k01_k03_stored_once", f"WITH {_GOOD} SELECT session_id, id, seq_no, safe AS path, octet_length(encode(coalesce(content, '')))::BIGINT AS size FROM g")
+def stored_once(spark, sf):
+    return stored_messages(spark, sf).rows().select("session_id", "id", "seq_no", "path", "size")
+
+
+@query("k02_stored_heads", f"WITH {_GOOD} SELECT session_id, max(seq_no) AS n, max_by(created_at, seq_no) AS last_at, max_by(substr(coalesce(content, ''), 1, 120), seq_no) AS summary FROM g GROUP BY session_id")
+def stored_heads(spark, sf):
+    return stored_messages(spark, sf).heads().select("session_id", "n", "last_at", "summary")

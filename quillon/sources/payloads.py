@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import identity
 from quillon.functions import text as tx
+from quillon.shared import ship_package
 
 WORK = "id string, doi string, title string, publication_year int, cited_by_count int, abstract_inverted_index map<string,array<int>>, authorships array<struct<author:struct<display_name:string>>>"
 PAPER = "struct<paperId:string,title:string,year:int,citationCount:int,externalIds:struct<DOI:string,ArXiv:string>>"
@@ -119,6 +120,7 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                     texts.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(places, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], [id_col, "position", "kind", "text"])
 
+    ship_package(pages.sparkSession)
     return pages.select(id_col, html_col).mapInArrow(run, f"{id_col} {kind}, position long, kind string, text string")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.shared import ship_package
+
 #: Event kinds that carry single tokens; they are never stored (fixed values).
 DELTAS = ("delta", "reasoning_delta")
 
@@ -38,9 +40,10 @@ def _passed(rows: pd.DataFrame, mark: int) -> tuple[list[bool], int]:
 def without_replays(events: DataFrame) -> DataFrame:
     """Each run's events without token deltas at or below its high-water mark; every other event raises the mark.
 
-    `events` may be a stream, in the order of arrival within a batch; the mark of a run is its state, one
-    number per run.
+    `events` may be a stream, in the order of arrival within a batch; the mark of a run is its state, one number per run, which stays.
+    `timeline.changes` keeps whole timelines, and forgets runs that have ended.
     """
+    ship_package(events.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.get[0] if state.exists else 0
