@@ -45,9 +45,11 @@ def margin_key(x: Column) -> Column:
 
 
 def is_heading(x: Column, kind: str) -> Column:
-    """Whether a line is the heading of an abstract, an introduction or the references, numbered or not."""
-    names = {"abstract": "abstract|摘要", "introduction": "introduction|引言|绪论", "references": "references|bibliography|参考文献"}[kind]
-    return F.coalesce(x, F.lit("")).rlike(rf"(?iU)^\s*(#+\s*)?((\d+|[ivx]+)[.\s]\s*)?({names})\s*[:：]?\s*$")
+    """Whether a line is the heading of an abstract, an introduction or the references: marked with # or not, the last two numbered or not. Text may
+    follow an abstract's or an introduction's heading, but not that of the references."""
+    number = r"(?:(?:\d+|[ivxlcdm]+)[.)、]?\s*)?"
+    rule = {"abstract": r"(?:abstract|摘要)\b.*", "introduction": rf"{number}(?:introduction|引言)\b.*", "references": rf"{number}(?:references?|bibliography|参考文献)\s*"}[kind]
+    return F.coalesce(x, F.lit("")).rlike(rf"(?iU)^\s*(?:#{{1,6}}\s*)?{rule}$")
 
 
 def caption_number(x: Column) -> Column:
@@ -74,8 +76,9 @@ def content_flags(x: Column) -> list[Column]:
 
 
 def safe_name(x: Column, most: int = 160) -> Column:
-    """Characters other than letters, digits, `-`, `_` and `.` made `_`."""
-    return F.substring(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^A-Za-z0-9._-]", "_"), 1, most)
+    """Characters other than letters and digits of any script, `-`, `_` and `.` made `_`; `paper` if nothing is left."""
+    name = F.substring(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^\p{L}\p{N}._-]", "_"), 1, most)
+    return F.when(name == "", "paper").otherwise(name)
 
 
 def from_inverted_index(index: Column) -> Column:
@@ -92,11 +95,28 @@ def lenient_json(x: Column, schema: str) -> Column:
     return F.when(bare.startswith("{"), F.coalesce(F.from_json(bare, schema), F.from_json(inner, schema))).when(inner != "", F.from_json(inner, schema))
 
 
-def gbt_reference(authors: Column, title: Column, venue: Column, year: Column, doi: Column) -> Column:
-    """A numbered-list reference: three authors at most, then et al."""
-    names = F.when(F.size(authors) > 3, F.concat(F.array_join(F.slice(authors, 1, 3), ", "), F.lit(", et al"))).otherwise(F.array_join(authors, ", "))
-    parts = [F.when(names != "", F.concat(names, F.lit(". "))), F.concat(title, F.lit("[J]. ")), F.when(venue != "", F.concat(venue, F.lit(", "))), F.when(year.isNotNull(), F.concat(year.cast("string"), F.lit("."))), F.when(doi != "", F.concat(F.lit(" DOI:"), doi, F.lit(".")))]
-    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+def resource_type(kind: Column) -> Column:
+    """The letter of a reference's kind, by what words its type holds (fixed values): journal article if none."""
+    t = F.lower(F.coalesce(kind, F.lit("")))
+    return (
+        F.when(t.contains("conference") | t.contains("proceedings"), "C").when(t.contains("thesis") | t.contains("dissertation"), "D")
+        .when(t.contains("book"), "M").when(t.contains("arxiv") | t.contains("preprint"), "EB/OL").otherwise("J")
+    )
+
+
+def gbt_reference(
+    authors: Column, title: Column, venue: Column, year: Column, doi: Column, volume: Column | None = None, issue: Column | None = None, pages: Column | None = None, kind: Column | None = None, url: Column | None = None
+) -> Column:
+    """A reference of a numbered list by GB/T 7714: of more than three authors three, then `et al`, or 等 after Chinese names; what is null or
+    empty is left out; an address only without a DOI."""
+    told = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit(""))) if c is not None else F.lit("")
+    named = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda a: F.trim(F.coalesce(a, F.lit("")))), lambda a: a != "")
+    more = F.when(F.get(named, F.lit(0)).rlike("[\u4e00-\u9fff]"), "，等").otherwise(", et al")
+    names = F.concat(F.array_join(F.slice(named, 1, 3), ", "), F.when(F.size(named) > 3, more).otherwise(""))
+    some = lambda before, c, after="": F.when(told(c) != "", F.concat(F.lit(before), told(c), F.lit(after))).otherwise("")
+    place = F.when(told(volume) != "", F.concat(F.lit(", "), told(volume), some("(", issue, ")"))).otherwise(some(", (", issue, ")"))
+    link = F.when(told(doi) != "", F.concat(F.lit(" DOI: "), told(doi), F.lit("."))).otherwise(some(" ", url, "."))
+    return F.concat(F.when(names != "", F.concat(names, F.lit(". "))).otherwise(""), told(title), F.lit("["), resource_type(told(kind)), F.lit("]"), some(". ", venue), some(", ", F.substring(told(year), 1, 4)), place, some(": ", pages), F.lit("."), link)
 
 
 def bibtex(key: Column, title: Column, authors: Column, year: Column, venue: Column, doi: Column) -> Column:
@@ -106,20 +126,31 @@ def bibtex(key: Column, title: Column, authors: Column, year: Column, venue: Col
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), line("title", title), line("author", F.array_join(authors, " and ")), line("year", F.coalesce(year.cast("string"), F.lit(""))), line("journal", venue), line("doi", doi), F.lit("}"))
 
 
+#: Characters that are mathematical: Greek, super- and subscripts, letter-like signs, arrays of arrows, operators and their supplements,
+#: alphanumeric symbols; and single signs (fixed values).
+MATH_RANGES = r"\x{0370}-\x{03FF}\x{2070}-\x{209F}\x{2100}-\x{214F}\x{2190}-\x{21FF}\x{2200}-\x{22FF}\x{27C0}-\x{27EF}\x{2980}-\x{29FF}\x{2A00}-\x{2AFF}\x{1D400}-\x{1D7FF}"
+MATH_SIGNS = "±·×÷∓∗∘√∞∂∇‖−′″"
+
+
 def math_share(x: Column) -> Column:
     """Share of a line's visible characters that are mathematical."""
-    visible = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s", "")
-    signs = F.length(visible) - F.length(F.regexp_replace(visible, r"[=+<>≤≥±×÷∑∏∫√∞∂∇∈∀∃α-ωΑ-Ω^_{}|*/\\-]", ""))
+    visible = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s", "")
+    signs = F.length(visible) - F.length(F.regexp_replace(visible, f"[{MATH_RANGES}{MATH_SIGNS}]", ""))
     return F.when(F.length(visible) > 0, signs / F.length(visible)).otherwise(0.0)
 
 
+def is_math_line(x: Column, least: int = 2, share: float = 0.5) -> Column:
+    """At least two visible characters, half of them mathematical."""
+    return (F.length(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s", "")) >= least) & (math_share(x) >= share)
+
+
 def plain_title(x: Column) -> Column:
     """A title to ask for exactly: single spaces, no double quotes."""
     return collapsed(F.replace(F.coalesce(x, F.lit("")), F.lit('"'), F.lit("")))
 
 
 #: What marks a part of an outline that isn't its body (fixed values).
-NON_BODY = ("摘要", "参考文献", "致谢", "附录", "abstract", "references", "bibliography", "acknowledg", "appendix")
+NON_BODY = ("摘要", "abstract", "引言", "绪论", "introduction", "参考文献", "references", "bibliography")
 
 
 def is_body_part(title: Column, description: Column) -> Column:
@@ -134,22 +165,17 @@ def allowed_fields(x: Column, allowed: list[str]) -> Column:
 
 
 def block_kind(x: Column) -> Column:
-    """What a block of Markdown is: heading, table, math, code, list, figure or paragraph; empty without text."""
-    t = F.trim(F.coalesce(x, F.lit("")))
+    """What a block of Markdown is: display_formula, table, figure, heading (one line, with a Roman or Arabic number), inline_formula or
+    paragraph; empty without text."""
+    t = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
     return (
-        F.when(t == "", "empty")
-        .when(t.rlike(r"^#{1,6}\s"), "heading")
-        .when(t.startswith("|"), "table")
-        .when(t.startswith("$$") | t.startswith("\\["), "math")
-        .when(t.startswith("```"), "code")
-        .when(t.startswith("!["), "figure")
-        .when(t.rlike(r"^([-*+]|\d+[.)])\s"), "list")
-        .otherwise("paragraph")
-    )
+        F.when(t == "", "empty").when(t.startswith("$$"), "display_formula").when(t.startswith("|"), "table").when(t.startswith("!["), "figure")
+        .when(t.rlike(r"^(?:[IVXLC]{1,8}\.\s+\S|\d+\.\s+[A-Z])") & ~t.rlike(r"[\r\n]"), "heading").when(t.rlike(r"^\$[^$\n]+\$$"), "inline_formula").otherwise("paragraph")
+    )
 
 
-#: A sentence's end: after a full stop, exclamation or question mark, of Latin or Chinese script (fixed values).
-SENTENCE_END = r"(?<=[。！？.!?])\s*"
+#: A sentence's end: after a Chinese full stop, exclamation or question mark; after a Latin one before white space or the end (fixed values).
+SENTENCE_END = r"(?<=[。！？])|(?<=[.!?])(?=\s|$)"
 
 
 def neighbour_snippet(x: Column, from_end: bool, sentences: int = 2, most: int = 240) -> Column:
@@ -160,10 +186,15 @@ def neighbour_snippet(x: Column, from_end: bool, sentences: int = 2, most: int =
     return F.trim(F.when(F.length(joined) > most, F.right(joined, F.lit(most)) if from_end else F.left(joined, F.lit(most))).otherwise(joined))
 
 
+#: The place of a chunk, in brackets or bare: an id, then :p0001 or :c0001, and perhaps :s0001 (fixed form).
+PLACE = r":[pc]\d{4}(?::s\d{4})?"
+
+
 def without_markers(x: Column) -> Column:
-    """Without marks of chunks, [c12] or [chunk:3], and with the spaces before punctuation that they leave behind."""
-    bare = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)\s*\[(?:c|chunk)[:\s]?\d+\]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]{2,}", " "), r" +([,.;:!?])", "$1"))
+    """Without the places of chunks, as [1706.03762:p0001:s0003] or bare, and without the spaces before punctuation that they leave behind."""
+    bare = F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?i)\[\s*[^\[\]]*{PLACE}\s*\]", "")
+    bare = F.regexp_replace(bare, rf"(?iU)(?<![\w.])[\w.\-]+{PLACE}(?!\w)", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[ \t]{2,}", " "), r" +([，。；、,.!！？])", "$1"), r"(?U)^\s+|\s+$", "")
 
 
 def year_in(x: Column) -> Column:
@@ -173,13 +204,12 @@ def year_in(x: Column) -> Column:
 
 
 def collapsed_path(url: Column) -> Column:
-    """A web address in which no part of the path directly repeats the one before it."""
-    origin = F.regexp_extract(url, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
-    rest = F.substring(url, F.length(origin) + 1, F.length(url))
-    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
-    parts = F.split(path, "/", -1)
-    kept = F.filter(parts, lambda p, i: (i == 0) | (p == "") | (p != F.get(parts, i - 1)))
-    return F.concat(origin, F.array_join(kept, "/"), F.substring(rest, F.length(path) + 1, F.length(rest)))
+    """A web address in which no preprint's id stands twice in a row between slashes; other repeated parts stay."""
+    head = F.regexp_extract(url, r"^(.*?://)", 1)
+    parts = F.split(F.substring(url, F.length(head) + 1, F.length(url)), "/", -1)
+    id_ = lambda p: p.rlike(r"^\d{4}\.\d{4,5}(v\d+)?$")
+    kept = F.filter(parts, lambda p, i: (i == 0) | ~id_(p) | (p != F.get(parts, i - 1)))
+    return F.concat(head, F.array_join(kept, "/"))
 
 
 def resolved_url(base: Column, link: Column) -> Column:
@@ -211,25 +241,27 @@ def noted_cut(x: Column, most: int) -> Column:
 
 
 #: Text commands whose argument is their text, and escaped signs (fixed values).
-LATEX_TEXT = ("textbf", "textit", "emph", "texttt", "textsc", "textrm", "textsf", "underline", "mbox")
+LATEX_TEXT = ("textnormal", "textit", "textbf", "texttt", "textrm", "textsf", "textsc", "mbox", "text", "emph")
+#: Mathematics between delimiters (fixed form).
+LATEX_MATH = r"\$\$[\s\S]+?\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|\$(?![\s$])(?:\\.|[^$\\])+?(?<![\s\\])\$"
 
 
 def plain_latex(x: Column, depth: int = 4) -> Column:
-    """Text without bare LaTeX: known text commands give their argument, `depth` deep and up to 200 characters, \\href its
-    label, \\url its address, escaped signs themselves; math between dollar signs stays as it is. A text without a
-    backslash is not touched."""
+    """Text without bare LaTeX: known text commands give their argument of one line, `depth` deep and up to 200 characters, \\href its label, or
+    its address if that is empty, \\url its address, escaped signs themselves, a backslash and space after a full stop the space; mathematics between
+    delimiters stays as it is, and so does all else. A text without a backslash is not touched."""
     words = "|".join(LATEX_TEXT)
 
     def clean(t: Column) -> Column:
         for _ in range(depth):
-            t = F.regexp_replace(t, rf"\\(?:{words})\s*\{{([^{{}}]{{0,200}})\}}", "$1")
-        t = F.regexp_replace(t, r"\\href\s*\{[^{}]*\}\s*\{([^{}]*)\}", "$1")
-        t = F.regexp_replace(t, r"\\url\s*\{([^{}]*)\}", "$1")
-        return F.regexp_replace(t, r"\\([%&_#])", "$1")
+            t = F.regexp_replace(t, rf"\\(?:{words})(?![A-Za-z]) *\{{([^{{}}\n]{{0,200}})\}}", "$1")
+        t = F.regexp_replace(t, r"\\href *\{([^{}]*)\} *\{\}", "$1")
+        t = F.regexp_replace(t, r"\\href *\{[^{}]*\} *\{([^{}]*)\}", "$1")
+        t = F.regexp_replace(t, r"\\url *\{([^{}]*)\}", "$1")
+        return F.regexp_replace(F.regexp_replace(t, r"\\([%&_#])", "$1"), r"(?<=\.)\\ ", " ")
 
-    math = r"\$\$[^$]*\$\$|\$[^$]*\$"
     t = F.coalesce(x, F.lit(""))
-    both = F.arrays_zip(F.split(t, math, -1).alias("text"), F.regexp_extract_all(t, F.lit(math), F.lit(0)).alias("math"))
+    both = F.arrays_zip(F.split(t, LATEX_MATH, -1).alias("text"), F.regexp_extract_all(t, F.lit(LATEX_MATH), F.lit(0)).alias("math"))
     parts = F.transform(both, lambda z: F.concat(clean(z["text"]), F.coalesce(z["math"], F.lit(""))))
     return F.when(F.contains(t, F.lit("\\")), F.array_join(parts, "")).otherwise(t)
 

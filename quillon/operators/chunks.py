@@ -95,19 +95,21 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, chunk long, content string, n_lines long")
 
 
+def block_array(text: Column) -> Column:
+    """The blocks of Markdown in order, as structs (page, kind, text): what stands between empty lines, and between marks `<!-- page: 3 -->`, whose
+    number is that of the blocks after them; 0 before the first. No rows move: each text's blocks are found where it lies."""
+    mark = r"<!--\s*page:\s*\d+\s*-->"
+    t = F.coalesce(text, F.lit(""))
+    numbers = F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all(t, F.lit(r"<!--\s*page:\s*(\d+)\s*-->"), F.lit(1)), lambda n: n.try_cast("int")))
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    page = lambda part, i: F.transform(F.split(part, "\n\n", -1), lambda b: F.struct(F.get(numbers, i).alias("page"), tx.block_kind(b).alias("kind"), bare(b).alias("text")))
+    return F.filter(F.flatten(F.transform(F.split(t, mark, -1), page)), lambda b: b["kind"] != "empty")
+
+
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, block (from 1, in order), kind, text: Markdown as headings, tables, math between `$$` lines, and runs of other
-    lines of one kind; empty lines end a block. A null or empty text has none."""
-    order = W.partitionBy(id_col).orderBy("pos")
-    rows = fence_state(lines(docs, id_col, text_col), [id_col], "pos", "line")
-    rows = rows.withColumn("kind", F.when(F.col("in_fence"), "math").otherwise(tx.block_kind(F.col("line"))))
-    opens = (F.trim("line") == "$$") & (F.sum((F.trim("line") == "$$").cast("int")).over(order) % 2 == 1)
-    before = F.lag("kind").over(order)
-    starts = before.isNull() | (before != F.col("kind")) | (F.col("kind") == "heading") | opens
-    numbered = rows.withColumn("block", F.sum(starts.cast("int")).over(order)).where("kind <> 'empty'")
-    found = numbered.groupBy(id_col, "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    place = F.row_number().over(W.partitionBy(id_col).orderBy("block")).cast("long")
-    return found.select(id_col, place.alias("block"), "kind", F.array_join("x.line", "\n").alias("text"))
+    """id, block (from 1, in order), page, kind, text of Markdown. A null or empty text has none."""
+    each = docs.select(id_col, F.posexplode(block_array(F.col(text_col))).alias("block", "b"))
+    return each.select(id_col, (F.col("block") + 1).cast("long").alias("block"), "b.page", "b.kind", "b.text")
 
 
 #: A piece cut off with fewer characters than this stays with the one before (fixed value).
@@ -152,29 +154,29 @@ def _parts(kind: str, text: str, most: int, whole: int) -> list[str]:
         rows = [y for x in text.split("\n")[len(header) :] for y in _cut(x, max(room, 1))]
         return ["\n".join([*header, x]) for x in _joined(rows, max(room, 1))]
     rows = text.split("\n")
-    if kind == "math":
+    if kind == "display_formula":
         rows = [x for x in rows if x.strip() != "$$"]
         return [f"$$\n{x}\n$$" for x in _joined([y for x in rows for y in _cut(x, most - 6)], most - 6)]
     return _joined([y for x in rows for y in _cut(x, whole - TAIL)], whole)
 
 
-def chunked(found: list[tuple[str, str]], most: int, whole: int) -> list[tuple[str, str]]:
-    """(section, content) of a document's chunks, from its blocks (kind, text) in order."""
-    out: list[tuple[str, str]] = []
-    held: list[tuple[str, str]] = []
+def chunked(found: list[tuple[int, str, str]], most: int, whole: int) -> list[tuple[int | None, int | None, str, str]]:
+    """(first page, last page, section, content) of a document's chunks, from its blocks (page, kind, text) in order."""
+    out: list[tuple[int | None, int | None, str, str]] = []
+    held: list[tuple[int, str, str]] = []
     header: list[str] = []
 
     def close() -> None:
-        content = "\n\n".join(t for _, t in held)
+        content = "\n\n".join(t for _, _, t in held)
         if held and (len(content) > 20 or any(c.isalpha() for c in content)):
-            out.append((next((t.split("\n")[0][:80] for k, t in held if k == "heading"), ""), content))
+            pages = [p for p, _, _ in held if p]
+            first, last = (pages[0], pages[-1]) if pages else (None, None)
+            section = next((t.split("\n")[0][:80] for _, k, t in held if k == "heading"), f"page_{first}" if first else "正文")
+            out.append((first, last, section, content))
         held.clear()
 
-    for kind, raw in found:
-        text = raw.strip()
-        if not text:
-            continue
-        if kind == "heading" and any(k != "heading" for k, _ in held):
+    for page, kind, text in found:
+        if kind == "heading" and any(k != "heading" for _, k, _ in held):
             close()
         if kind == "table":
             if header and not _table_header(text):
@@ -183,34 +185,40 @@ def chunked(found: list[tuple[str, str]], most: int, whole: int) -> list[tuple[s
         if len(text) > whole:
             close()
             for part in _parts(kind, text, most, whole):
-                held.append((kind, part))
+                held.append((page, kind, part))
                 close()
             continue
-        if held and sum(len(t) + 2 for _, t in held) + len(text) + 2 > most:
+        if held and sum(len(t) + 2 for _, _, t in held) + len(text) + 2 > most:
             close()
-        held.append((kind, text))
+        held.append((page, kind, text))
     close()
     return out
 
 
 def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1200, whole: int = 4000) -> DataFrame:
-    """id, chunk (from 0), section, content: blocks of each document packed in order into chunks of about `most`
-    characters. A heading after other text begins a chunk, whose section it names; a block up to `whole` characters is
-    never split; a table that goes on without its header gets it again; chunks of at most 20 characters without a
-    letter are dropped. Blocks are found by windows over lines; only the packing of one document is sequential."""
+    """id, chunk (from 0), chunk_id, page_start, page_end, section, content: blocks of each document packed in order into chunks of about `most`
+    characters. A heading after other text begins a chunk, whose section it names; without one the section is the page, or 正文. A block up to
+    `whole` characters is never split; a table that goes on without its header gets it again; chunks of at most 20 characters without a letter are
+    dropped. chunk_id is id:p0003:s0002, the second chunk that begins on page 3, or id:c0004 without pages. Each text is packed where it lies."""
     kind = docs.schema[id_col].dataType.simpleString()
-    grouped = blocks(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("block", "kind", "text"))).alias("x"))
-    rows = grouped.select(id_col, F.col("x.kind").alias("kinds"), F.col("x.text").alias("texts"))
+    rows = docs.select(id_col, block_array(F.col(text_col)).alias("x")).select(id_col, "x.page", "x.kind", "x.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [chunked(list(zip(k.as_py(), t.as_py(), strict=True)), most, whole) for k, t in zip(batch.column(1), batch.column(2), strict=True)]
+            made = [chunked(list(zip(*(c.as_py() for c in one), strict=True)), most, whole) for one in zip(*batch.columns[1:], strict=True)]
             ids = batch.column(0).take(pa.array([i for i, x in enumerate(made) for _ in x], pa.int64()))
-            columns = [ids, pa.array([n for x in made for n in range(len(x))], pa.int64()), *(pa.array([c[k] for x in made for c in x], pa.string()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "chunk", "section", "content"])
+            names = []
+            for i, x in zip(batch.column(0).to_pylist(), made, strict=True):
+                on: dict[int, int] = {}
+                for n, (first, _, _, _) in enumerate(x):
+                    on[first or 0] = on.get(first or 0, 0) + 1
+                    names.append(f"{i}:p{first:04d}:s{on[first]:04d}" if first else f"{i}:c{n:04d}")
+            columns = [ids, pa.array([n for x in made for n in range(len(x))], pa.int64()), pa.array(names, pa.string())]
+            columns += [pa.array([c[k] for x in made for c in x], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "chunk", "chunk_id", "page_start", "page_end", "section", "content"])
 
     ship_package(rows.sparkSession)
-    return rows.mapInArrow(run, f"{id_col} {kind}, chunk long, section string, content string")
+    return rows.mapInArrow(run, f"{id_col} {kind}, chunk long, chunk_id string, page_start int, page_end int, section string, content string")
 
 
 def batches_within(rows: DataFrame, by: str, order: str, size: Column, most: int = 12_000) -> DataFrame:

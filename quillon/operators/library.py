@@ -282,21 +282,25 @@ def final_markdown(sections: DataFrame, key: str, order: str, title: str, conten
     return found.select(key, F.array_join(F.concat(F.array("head"), F.col("x.t")), "\n\n").alias("markdown"))
 
 
+#: What stands for a call's row that no answer came to and that says nothing itself (fixed value).
+INTERRUPTED = "（这轮的工具调用被中断，未取得结果；如有需要请重新调用对应工具。）"
+
+
 def call_pairs(messages: DataFrame, by: str, order: str) -> DataFrame:
-    """A conversation's rows as a provider accepts them: (by, order, role, call_ids, call_id, content). role, call_ids (of an
-    assistant's row), call_id (of a tool's row).
+    """A conversation's rows as a provider accepts them: (by, order, role, call_ids, call_id, content). role, call_ids (of an assistant's row),
+    call_id (of a tool's row).
 
-    Of an assistant's calls those stay that a later row answers; without any left, it stays as plain text if it has
-    some, else goes. A tool's row goes unless an earlier assistant's row asked for it; of repeated answers the first stays.
+    Of an assistant's calls those stay that any row answers; without any left it is a plain row with its text, or with a note if it has none. A
+    tool's row stays, as do repeated answers, if an earlier assistant's row keeps a call of its id.
     """
-    asked = messages.where("role = 'assistant'").select(by, F.col(order).alias("asked"), F.explode("call_ids").alias("call_id")).groupBy(by, "call_id").agg(F.min("asked").alias("asked"))
-    answers = messages.where("role = 'tool'").join(asked, [by, "call_id"]).where(F.col(order) > F.col("asked")).groupBy(by, "call_id").agg(F.min(order).alias("answered"))
-    kept = answers.join(asked, [by, "call_id"])
-    calls = kept.groupBy(by, F.col("asked").alias(order)).agg(F.collect_set("call_id").alias("have"))
-    tools = kept.select(by, F.col("answered").alias(order), F.col("call_id").alias("for_call"))
-    rows = messages.join(calls, [by, order], "left").join(tools, [by, order], "left")
-    rows = rows.withColumn("call_ids", F.when(F.col("role") == "assistant", F.filter("call_ids", lambda c: F.coalesce(F.array_contains("have", c), F.lit(False)))))
-    told = F.trim(F.coalesce("content", F.lit(""))) != ""
-    empty = (F.col("role") == "assistant") & (F.size("call_ids") <= 0) & ~told
-    orphan = (F.col("role") == "tool") & (F.col("for_call").isNull() | (F.col("for_call") != F.col("call_id")))
-    return rows.where(~F.coalesce(empty, F.lit(False)) & ~orphan).select(by, order, "role", "call_ids", "call_id", "content")
+    answered = messages.where("role = 'tool'").select(by, F.coalesce("call_id", F.lit("")).alias("c")).distinct()
+    calls = messages.where("role = 'assistant'").select(by, order, F.explode("call_ids").alias("c")).join(answered, [by, "c"], "left_semi")
+    first = calls.groupBy(by, F.col("c").alias("_c")).agg(F.min(order).alias("_asked"))
+    have = calls.groupBy(by, order).agg(F.collect_set("c").alias("_have"))
+    rows = messages.join(have, [by, order], "left").withColumn("_c", F.when(F.col("role") == "tool", F.coalesce("call_id", F.lit("")))).join(first, [by, "_c"], "left")
+    is_call = (F.col("role") == "assistant") & (F.size("call_ids") > 0)
+    kept = F.when(is_call, F.filter("call_ids", lambda c: F.coalesce(F.array_contains("_have", c), F.lit(False)))).otherwise(F.col("call_ids"))
+    plain = F.trim(F.coalesce("content", F.lit("")))
+    told = F.when(is_call & (F.size(kept) == 0), F.when(plain != "", plain).otherwise(INTERRUPTED)).otherwise(F.col("content"))
+    fits = (F.col("role") != "tool") | (F.col("_asked") < F.col(order))
+    return rows.where(F.coalesce(fits, F.lit(False))).select(by, order, "role", kept.alias("call_ids"), "call_id", told.alias("content"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillon.functions import identity, text
 from quillon.operators import metrics, retrieval
 from quillon.operators.ranks import percentiles
+from quillon.shared import shared_folder
+from quillon.sources import plugins
 from quillon.sources.tables import CASES, JUDGED, PAPERS, derived, table
 
 GROUPS = [["the", "der", "les"], ["on", "und", "de"], ["thing", "chts", "ment"]]
@@ -311,3 +313,25 @@ def multi_source(spark, sf):
 def cards(spark, sf):
     p = derived(spark, sf, PAPERS, "documents")
     return p.select("id", text.clipped(F.col("title"), 20, "…").alias("title"), text.clipped(F.col("abstract"), 100, "…").alias("abstract"), F.coalesce("doi", "id").alias("paper_id"))
+
+
+def recorded(spark, sf):
+    """Every paper as its provider's recorded responses, read again through the data source."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/quillon-pages-{uuid.uuid4().hex}"
+    plugins.record_pages(papers(spark, sf), root)
+    plugins.register(spark)
+    return spark.read.format("recorded_search").option("root", root).load()
+
+
+@query(
+    "d02_s01_s02_s03_s21_recorded_search",
+    f"""WITH p AS ({PAPERS}) SELECT source AS provider, (ord // 300)::INT AS page, id, regexp_replace(trim(regexp_replace(title, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '^$', '') AS title, year,
+CASE WHEN source <> 'arxiv' THEN doi END AS doi, CASE source WHEN 'arxiv' THEN id WHEN 'semantic_scholar' THEN arxiv_id END AS arxiv_id, CASE WHEN source <> 'arxiv' THEN cited_by END AS cited_by
+FROM p WHERE year BETWEEN 2000 AND 2010 AND coalesce(trim(title), '') <> ''""",
+)
+def recorded_search(spark, sf):
+    found = recorded(spark, sf).where("year >= 2000 AND year <= 2010")
+    title = text.collapsed(F.col("title"))
+    return found.select("provider", "page", "id", title.alias("title"), "year", "doi", "arxiv_id", "cited_by")
