@@ -178,12 +178,17 @@ def block_kind(x: Column) -> Column:
 SENTENCE_END = r"(?<=[。！？])|(?<=[.!?])(?=\s|$)"
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def neighbour_snippet(x: Column, from_end: bool, sentences: int = 2, most: int = 240) -> Column:
     """The first or last sentences of a text, at most so many characters from that side."""
-    parts = F.filter(F.transform(F.split(F.trim(F.coalesce(x, F.lit(""))), SENTENCE_END, -1), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(stripped(x), SENTENCE_END, -1), stripped), lambda s: s != "")
     chosen = F.slice(parts, F.greatest(F.size(parts) - sentences + 1, F.lit(1)), F.lit(sentences)) if from_end else F.slice(parts, 1, sentences)
     joined = F.array_join(chosen, " ")
-    return F.trim(F.when(F.length(joined) > most, F.right(joined, F.lit(most)) if from_end else F.left(joined, F.lit(most))).otherwise(joined))
+    return stripped(F.when(F.length(joined) > most, F.right(joined, F.lit(most)) if from_end else F.left(joined, F.lit(most))).otherwise(joined))
 
 
 #: The place of a chunk, in brackets or bare: an id, then :p0001 or :c0001, and perhaps :s0001 (fixed form).

@@ -36,13 +36,13 @@ def frequent_margins(pages: DataFrame, doc: str, page: str, first: str, last: st
 
 
 def body(rows: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
-    """Lines before the references; and from the introduction on, if an abstract comes before one."""
+    """Lines before the references; of them those from an abstract's heading up to the first introduction's after it are left out, if there are both."""
     w = W.partitionBy(doc)
-    first = lambda kind: F.min(F.when(tx.is_heading(F.col(line), kind), F.col(pos))).over(w)
-    marked = rows.withColumns({"_ref": first("references"), "_abs": first("abstract"), "_intro": first("introduction")})
-    before = F.col("_ref").isNull() | (F.col(pos) < F.col("_ref"))
-    front = F.coalesce((F.col("_abs") < F.col("_intro")) & F.col(pos).between(F.col("_abs"), F.col("_intro") - 1), F.lit(False))
-    return marked.where(before & ~front).drop("_ref", "_abs", "_intro")
+    first = lambda kind, when=F.lit(True): F.min(F.when(tx.is_heading(F.col(line), kind) & when, F.col(pos))).over(w)
+    before = rows.withColumns({"_ref": first("references"), "_abs": first("abstract")}).where(F.col("_ref").isNull() | (F.col(pos) < F.col("_ref")))
+    marked = before.withColumn("_intro", first("introduction", F.col(pos) > F.col("_abs")))
+    front = F.coalesce(F.col(pos).between(F.col("_abs"), F.col("_intro") - 1), F.lit(False))
+    return marked.where(~front).drop("_ref", "_abs", "_intro")
 
 
 def fence_state(rows: DataFrame, key: list[str], pos: str, line: str) -> DataFrame:

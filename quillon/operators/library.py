@@ -293,11 +293,11 @@ def call_pairs(messages: DataFrame, by: str, order: str) -> DataFrame:
     Of an assistant's calls those stay that any row answers; without any left it is a plain row with its text, or with a note if it has none. A
     tool's row stays, as do repeated answers, if an earlier assistant's row keeps a call of its id.
     """
-    answered = messages.where("role = 'tool'").select(by, F.coalesce("call_id", F.lit("")).alias("c")).distinct()
-    calls = messages.where("role = 'assistant'").select(by, order, F.explode("call_ids").alias("c")).join(answered, [by, "c"], "left_semi")
-    first = calls.groupBy(by, F.col("c").alias("_c")).agg(F.min(order).alias("_asked"))
-    have = calls.groupBy(by, order).agg(F.collect_set("c").alias("_have"))
-    rows = messages.join(have, [by, order], "left").withColumn("_c", F.when(F.col("role") == "tool", F.coalesce("call_id", F.lit("")))).join(first, [by, "_c"], "left")
+    answered = messages.where("role = 'tool'").select(by, F.coalesce("call_id", F.lit("")).alias("_call")).distinct()
+    calls = messages.where("role = 'assistant'").select(by, order, F.explode("call_ids").alias("_call")).join(answered, [by, "_call"], "left_semi")
+    first = calls.groupBy(by, "_call").agg(F.min(order).alias("_asked"))
+    have = calls.groupBy(by, order).agg(F.collect_set("_call").alias("_have"))
+    rows = messages.join(have, [by, order], "left").withColumn("_call", F.when(F.col("role") == "tool", F.coalesce("call_id", F.lit("")))).join(first, [by, "_call"], "left")
     is_call = (F.col("role") == "assistant") & (F.size("call_ids") > 0)
     kept = F.when(is_call, F.filter("call_ids", lambda c: F.coalesce(F.array_contains("_have", c), F.lit(False)))).otherwise(F.col("call_ids"))
     plain = F.trim(F.coalesce("content", F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import identity, text
-from quillon.operators import library
+from quillon.operators import chunks, library
 from quillon.plans.retrieval import KEYED, papers
 from quillon.sources import payloads
 from quillon.sources.tables import PAPERS, derived, table
@@ -258,27 +258,29 @@ _PANEL = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, CASE WHEN
 
 @query(
     "p24_t13_panel",
-    f"""SELECT id, row_number() OVER (ORDER BY coalesce(score, -1) DESC, id)::INT AS place FROM ({_PANEL}) WHERE status = 'evaluated' AND starred AND contains(lower(title || ' ' || lang || ' ' || coalesce(source, '')), 'en')""",
+    f"""SELECT id, score, rank() OVER (PARTITION BY lang ORDER BY coalesce(score, -1) DESC)::BIGINT AS place FROM ({_PANEL}) WHERE status = 'evaluated' AND starred AND contains(lower(title || ' ' || lang || ' ' || coalesce(source, '')), 'en')""",
 )
 def panel(spark, sf):
-    from pyspark.sql import Window as W
-
+    """Every row of the panel, with its place among those of its language: ranks come from counts of scores, not from sorted rows."""
     rows = derived(spark, sf, _PANEL, "documents").withColumns({"authors": F.array("lang", F.coalesce("source", F.lit(""))), "sources": F.array("source")})
-    found = library.panel(rows, "evaluated", None, True, " EN ", "score").limit(200)
-    return found.select("id", F.row_number().over(W.orderBy(F.desc(F.coalesce("score", F.lit(-1))), "id")).alias("place"))
-
+    found = library.panel(rows, "evaluated", None, True, " EN ", "score")
+    level = F.coalesce("score", F.lit(-1))
+    counts = found.groupBy("lang", level.alias("level")).agg(F.count("*").alias("n"))
+    from pyspark.sql import Window as W
 
-O["p24_t13_panel"] = O["p24_t13_panel"] + " QUALIFY place <= 200"
+    above = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(F.col("lang").alias("l"), "level", (above + 1).alias("place"))
+    return found.join(places, F.col("lang").eqNullSafe(F.col("l")) & (level == F.col("level"))).select("id", "score", "place")
 
 
-@query("p12_usable_chunks", "SELECT conv_id, bool_and(length(text) <= 600) AND min(turn % 97 + 10) = 10 AND max(least(turn, 0) + 10) = 10 AS usable FROM conversations GROUP BY conv_id")
+@query("p12_usable_chunks", "SELECT conv_id, count(*) FILTER (WHERE length(text) > 600 OR text IS NULL) = 0 AND count(*) FILTER (WHERE conv_id % 4 = 1 OR (conv_id % 4 = 2 AND turn = 1)) = 0 AS usable FROM conversations GROUP BY conv_id")
 def usable(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("version", F.lit(10))
+    """A quarter of the conversations are of an older version, another has one row that is."""
+    old = (F.col("conv_id") % 4 == 1) | ((F.col("conv_id") % 4 == 2) & (F.col("turn") == 1))
+    c = table(spark, sf, "conversations").withColumn("version", F.when(old, 9).otherwise(10))
     return library.usable_chunks(c, "conv_id", "text", "version", 10, 600)
 
 
-O["p12_usable_chunks"] = "SELECT conv_id, bool_and(length(text) <= 600) AS usable FROM conversations GROUP BY conv_id"
-
 _CHECKS = {"has_text": "length(text) > 0", "short": "CASE WHEN role = 'user' THEN length(text) <= 200 END", "asks": "CASE WHEN role = 'user' THEN text LIKE '%?%' END"}
 
 
@@ -348,13 +350,12 @@ def titles(spark, sf):
     return derived(spark, sf, PAPERS, "documents").select("id", text.plain_title(F.col("title")).alias("title"))
 
 
-@query(
-    "p20_body_parts",
-    "SELECT doc_id FROM documents WHERE NOT (" + " OR ".join(f"contains(lower(coalesce(text, '') || ' ' || CASE doc_id % 4 WHEN 0 THEN 'Appendix A' WHEN 1 THEN '参考文献' ELSE 'Methods' END), '{m}')" for m in text.NON_BODY) + ")",
-)
+_OUTLINE = "CASE doc_id % 6 WHEN 0 THEN 'Appendix A' WHEN 1 THEN '参考文献' WHEN 2 THEN '引言与背景' WHEN 3 THEN 'An INTRODUCTION' WHEN 4 THEN '致谢' ELSE 'Methods' END"
+
+
+@query("p20_body_parts", f"SELECT doc_id FROM documents WHERE NOT regexp_matches(lower({_OUTLINE} || ' ' || coalesce(text, '')), '摘要|abstract|引言|绪论|introduction|参考文献|references|bibliography')")
 def body_parts(spark, sf):
-    title = F.when(F.col("doc_id") % 4 == 0, "Appendix A").when(F.col("doc_id") % 4 == 1, "参考文献").otherwise("Methods")
-    return table(spark, sf, "documents").where(text.is_body_part(F.coalesce("text", F.lit("")), title)).select("doc_id")
+    return table(spark, sf, "documents").where(text.is_body_part(F.expr(_OUTLINE), F.coalesce("text", F.lit("")))).select("doc_id")
 
 
 @query("p21_evidence_fields", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a,b' ELSE 'b' END AS fields FROM documents")
@@ -363,26 +364,43 @@ def fields(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.allowed_fields(x, ["a", "b"]), ",").alias("fields"))
 
 
-_KIND = """CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '^#{1,6}\\s') THEN 'heading' WHEN t LIKE '|%' THEN 'table' WHEN t LIKE '$$%' OR starts_with(t, '\\[') THEN 'math' WHEN t LIKE '```%' THEN 'code' WHEN t LIKE '![%' THEN 'figure'
-WHEN regexp_matches(t, '^([-*+]|\\d+[.)])\\s') THEN 'list' ELSE 'paragraph' END"""
+#: Documents with page marks, headings, tables, formulas and figures about their text.
+_PAGED = "concat('<!-- page: 1 -->', chr(10), 'IV. Part', chr(10), chr(10), coalesce(text, ''), chr(10), chr(10), '<!--page:2-->', '2. Methods', chr(10), chr(10), ' $$x$$', chr(10), chr(10), '$a_1$', chr(10), chr(10), '![f](u)', chr(10), chr(10), '| a |', chr(10), '| b |', chr(10), chr(10), '3. lower', chr(10), chr(10), '5. Two', chr(10), 'lines')"
 
 
-@query("f17_block_kinds", f"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), k AS (SELECT doc_id, trim(line, ' ') AS t FROM l) SELECT doc_id, {_KIND} AS kind, count(*) AS n FROM k GROUP BY 1, 2")
+@query(
+    "f17_block_kinds",
+    rf"""WITH d AS (SELECT doc_id, {_PAGED} AS x FROM documents),
+p AS (SELECT doc_id, unnest(string_split_regex(x, '<!--\s*page:\s*\d+\s*-->')) AS part, unnest(list_concat([0], list_transform(regexp_extract_all(x, '<!--\s*page:\s*(\d+)\s*-->', 1), lambda n: n::INT))) AS page FROM d),
+b AS (SELECT doc_id, page, unnest(string_split(part, chr(10) || chr(10))) AS raw FROM p), t AS (SELECT doc_id, page, regexp_replace(raw, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM b)
+SELECT doc_id, page, CASE WHEN t LIKE '$$%' THEN 'display_formula' WHEN t LIKE '|%' THEN 'table' WHEN t LIKE '![%' THEN 'figure' WHEN regexp_matches(t, '^([IVXLC]{{1,8}}\.\s+\S|\d+\.\s+[A-Z])') AND NOT contains(t, chr(10)) THEN 'heading'
+WHEN regexp_full_match(t, '\$[^$\n]+\$') THEN 'inline_formula' ELSE 'paragraph' END AS kind, count(*) AS n, sum(length(t))::BIGINT AS chars FROM t WHERE t <> '' GROUP BY 1, 2, 3""",
+)
 def kinds(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    return lines.groupBy("doc_id", text.block_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+    rows = chunks.blocks(table(spark, sf, "documents").select("doc_id", F.expr(_PAGED).alias("text")))
+    return rows.groupBy("doc_id", "page", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
 
+_SAID = "concat(coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN ' It is 3.14 of 0.5. Next?! End.' WHEN 1 THEN '结果是0.5。很好！是吗？对' ELSE ' No end here' END)"
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
-@query("f22_snippets")
+
+@query(
+    "f22_snippets",
+    rf"""WITH d AS (SELECT doc_id, {_STRIP.format(_SAID)} AS t FROM documents),
+x AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([。！？])', '\1' || chr(1), 'g'), '([.!?])([\s\p{{Z}}]|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: {_STRIP.format("s")}), lambda s: s <> '') AS s FROM d),
+y AS (SELECT doc_id, array_to_string(s[1:2], ' ') AS head, array_to_string(s[greatest(len(s) - 1, 1):], ' ') AS tail FROM x)
+SELECT doc_id, {_STRIP.format("substr(head, 1, 240)")} AS head, {_STRIP.format("right(tail, 240)")} AS tail FROM y""",
+)
 def snippets(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.neighbour_snippet(F.col("text"), False).alias("head"), text.neighbour_snippet(F.col("text"), True).alias("tail"))
+    said = table(spark, sf, "documents").select("doc_id", F.expr(_SAID).alias("t"))
+    return said.select("doc_id", text.neighbour_snippet(F.col("t"), False).alias("head"), text.neighbour_snippet(F.col("t"), True).alias("tail"))
 
 
-@query("f24_markers", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]{2,}', ' ', 'g'), ' +([,.;:!?])', '\\1', 'g'), '^', '')) AS text FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?i)\\[(?:c|chunk)[:\\s]?\\d+\\]')")
+@query("f24_markers", r"SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, '') || ' and  done 。', '[ \t]{2,}', ' ', 'g'), ' +([，。；、,.!！？])', '\1', 'g'), ' ' || chr(9) || chr(10)) AS text FROM documents")
 def markers(spark, sf):
-    some = F.col("text").isNull() | ~F.col("text").rlike(r"(?i)\[(?:c|chunk)[:\s]?\d+\]")
-    glued = F.concat(F.coalesce("text", F.lit("")), F.lit(" [c12]"), F.lit("  [chunk:3]"))
-    return table(spark, sf, "documents").where(some).select("doc_id", text.without_markers(glued).alias("text"))
+    glued = F.concat(F.coalesce("text", F.lit("")), F.lit("[1706.03762:p0001:s0003] and [ a b:C0001 ]1706.03762:p0002:s0001 done [abc:c0001]。"))
+    return table(spark, sf, "documents").select("doc_id", text.without_markers(glued).alias("text"))
 
 
 @query("f26_years", "SELECT doc_id, (1900 + doc_id % 150)::INT AS year FROM documents WHERE 1900 + doc_id % 150 < 2100")
@@ -391,10 +409,15 @@ def years(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.year_in(F.concat(F.lit("id 12019876, v3, "), y, F.lit("-05-01 / 2001"))).alias("year"))
 
 
-@query("f29_collapsed_paths")
+@query(
+    "f29_collapsed_paths",
+    r"""WITH u AS (SELECT page_id, url, url || '/2502.20217v1/2502.20217v1/2502.20217v1/a/a/1.2/1.2/2401.00001/2401.00001?x=/b/b' AS long FROM pages), p AS (SELECT page_id, url, string_split(long, '/') AS p FROM u)
+SELECT page_id, array_to_string(list_filter(p, lambda x, i: i = 1 OR x <> p[i - 1] OR NOT regexp_full_match(x, '\d{4}\.\d{4,5}(v\d+)?')), '/') AS collapsed,
+regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), '[^/]+/$', '') || 'img/x.png?a=../b#c' AS relative, regexp_extract(url, '^(https?:)', 1) || '//h/y' AS other_host FROM p""",
+)
 def paths(spark, sf):
     u = F.col("url")
-    repeated = F.concat(u, F.lit("/a/a/b/a//b?x=/c/c"))
+    repeated = F.concat(u, F.lit("/2502.20217v1/2502.20217v1/2502.20217v1/a/a/1.2/1.2/2401.00001/2401.00001?x=/b/b"))
     return table(spark, sf, "pages").select("page_id", text.collapsed_path(repeated).alias("collapsed"), text.resolved_url(u, F.lit("../img/./x.png?a=../b#c")).alias("relative"), text.resolved_url(u, F.lit("//h/y")).alias("other_host"))
 
 
@@ -405,7 +428,7 @@ def arguments(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object(inner, "$.k").alias("k"))
 
 
-@query("f41_page_text")
+@query("f41_page_text", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, '') || chr(10) || chr(10) || 'end', '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'), ' ')) AS digest FROM documents")
 def page_text(spark, sf):
     raw = F.concat(F.lit("\n\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" \t\r\n")), F.lit("\r\n\n\n\x00end  \n"))
     return table(spark, sf, "documents").select("doc_id", F.md5(text.page_text(raw)).alias("digest"))
@@ -416,10 +439,18 @@ def tool_results(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.noted_cut(F.col("text"), 500).alias("shown"))
 
 
-@query("f10_plain_latex")
+#: A head whose commands are to go, and what is left of it; a text without a backslash stays.
+_TEX = [
+    (r"\textbf{A \emph{b}} ", "A b "), (r"5\% of $\textbf{x}_i$, ", r"5% of $\textbf{x}_i$, "), (r"\href{http://a}{here} \href{http://c} {} \url{http://b} ", "here http://c http://b "),
+    (r"\alpha \underline{u} \textnormal{n} \text {t} \textitx{k} ", r"\alpha \underline{u} n t \textitx{k} "), (r"\[\emph{m} \_\] \(\text{q}\) $$\mbox{z}$$ ", r"\[\emph{m} \_\] \(\text{q}\) $$\mbox{z}$$ "),
+    (r"vs.\ new C:\Users\Admin \d{2,4} ", r"vs. new C:\Users\Admin \d{2,4} "),
+]
+
+
+@query("f10_plain_latex", "SELECT doc_id, md5('" + "".join(b for _, b in _TEX).replace("'", "''") + "' || replace(coalesce(text, ''), '$', '€')) AS digest FROM documents WHERE NOT contains(coalesce(text, ''), '\\')")
 def latex(spark, sf):
-    head = F.lit(r"\textbf{A \emph{b}} 5\% of $\textbf{x}_i$, \href{http://a}{here} \url{http://b} \alpha ")
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.plain_latex(F.concat(head, F.coalesce("text", F.lit(""))))).alias("digest"), F.substring(text.plain_latex(head), 1, 200).alias("head"))
+    d = table(spark, sf, "documents").where(~F.coalesce("text", F.lit("")).contains("\\"))
+    return d.select("doc_id", F.md5(text.plain_latex(F.concat(F.lit("".join(a for a, _ in _TEX)), F.replace(F.coalesce("text", F.lit("")), F.lit("$"), F.lit("€"))))).alias("digest"))
 
 
 @query("f31_external_refs", f"WITH {KEYED} SELECT id, CASE WHEN d <> '' THEN d WHEN a <> '' THEN a WHEN regexp_matches(coalesce(cited_by::VARCHAR, ''), '^(\\d+|[Ww]\\d+)$') THEN cited_by::VARCHAR ELSE '' END AS ref FROM papers")
@@ -507,13 +538,20 @@ def pdf_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.first_url(best, F.concat(F.lit("http://b/"), F.col("page_id").cast("string"))).alias("pdf"))
 
 
-@query("j21_repaired_calls")
+_CALLS = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'tool' ELSE role END AS role, CASE WHEN role = 'assistant' THEN array('c' || CAST(turn AS STRING), 'd' || CAST(turn AS STRING)) END AS call_ids,
+CASE WHEN role = 'user' THEN 'c' || CAST(turn - CASE WHEN turn % 4 = 0 THEN 3 ELSE 1 END AS STRING) END AS call_id, CASE WHEN turn % 4 = 3 THEN ' ' ELSE text END AS content FROM conversations"""
+
+
+@query(
+    "j21_repaired_calls",
+    rf"""WITH m AS ({_CALLS.replace("array('c' || CAST(turn AS STRING), 'd' || CAST(turn AS STRING))", "['c' || turn, 'd' || turn]").replace("STRING", "VARCHAR")}), t AS (SELECT DISTINCT conv_id, call_id FROM m WHERE role = 'tool'),
+h AS (SELECT a.conv_id, a.turn, a.c FROM (SELECT conv_id, turn, unnest(call_ids) AS c FROM m WHERE role = 'assistant') a JOIN t ON t.conv_id = a.conv_id AND t.call_id = a.c),
+g AS (SELECT conv_id, turn, string_agg(c, ',' ORDER BY c) AS kept FROM h GROUP BY 1, 2)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN m.role = 'assistant' THEN coalesce(g.kept, '') END AS call_ids, m.call_id,
+md5(CASE WHEN m.role = 'assistant' AND g.kept IS NULL THEN coalesce(nullif(trim(m.content, ' '), ''), '（这轮的工具调用被中断，未取得结果；如有需要请重新调用对应工具。）') ELSE m.content END) AS content
+FROM m LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = m.turn WHERE m.role <> 'tool' OR EXISTS (SELECT 1 FROM h WHERE h.conv_id = m.conv_id AND h.c = m.call_id AND h.turn < m.turn)""",
+)
 def call_pairs(spark, sf):
-    """Conversations as calls and answers: an assistant asks for its turn's two calls, a user's row answers one before."""
-    c = table(spark, sf, "conversations")
-    role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))
-    ids = F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("c"), F.col("turn").cast("string")), F.concat(F.lit("d"), F.col("turn").cast("string"))))
-    answer = F.when(F.col("role") == "user", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")))
-    rows = c.select("conv_id", "turn", role.alias("role"), ids.alias("call_ids"), answer.alias("call_id"), F.when(F.col("turn") % 4 == 1, "").otherwise(F.col("text")).alias("content"))
-    found = library.call_pairs(rows, "conv_id", "turn")
+    """An assistant asks for its turn's two calls, users' rows answer the first of one of the calls before, some again."""
+    found = library.call_pairs(derived(spark, sf, _CALLS, "conversations"), "conv_id", "turn")
     return found.select("conv_id", "turn", "role", F.array_join("call_ids", ",").alias("call_ids"), "call_id", F.md5("content").alias("content"))

@@ -76,14 +76,18 @@ def frequent_margins(spark, sf):
     return chunks.frequent_margins(paged(spark, sf, "doc_id % 40"), "book", "page", "f", "t")
 
 
-_BODY = "CASE WHEN pos = 1 AND doc_id % 3 = 0 THEN 'Abstract' WHEN pos = 3 THEN '1. Introduction' WHEN pos = 9 AND doc_id % 2 = 0 THEN 'References' ELSE line END"
+_BODY = """CASE WHEN pos = 1 AND doc_id % 3 = 0 THEN '## Abstract: we show' WHEN pos = 2 AND doc_id % 5 = 0 THEN 'abstracts are no heading' WHEN pos = 3 THEN CASE doc_id % 4 WHEN 0 THEN '1. Introduction' WHEN 1 THEN 'XL) INTRODUCTION and aims' WHEN 2 THEN '引言' ELSE 'introductions' END
+WHEN pos = 9 AND doc_id % 2 = 0 THEN 'iv、 Reference ' WHEN pos = 7 THEN 'References follow' WHEN pos = 8 AND doc_id % 7 = 0 THEN '# 参考文献' ELSE line END"""
 
 
 @query(
     "w15_f18_body",
-    f"""WITH {LINES}, b AS (SELECT doc_id, pos, {_BODY} AS line FROM l),
-m AS (SELECT *, min(pos) FILTER (WHERE line = 'References') OVER w AS r, min(pos) FILTER (WHERE line = 'Abstract') OVER w AS a, min(pos) FILTER (WHERE line = '1. Introduction') OVER w AS i FROM b WINDOW w AS (PARTITION BY doc_id))
-SELECT doc_id, pos FROM m WHERE (r IS NULL OR pos < r) AND NOT coalesce(a < i AND pos BETWEEN a AND i - 1, false)""",
+    rf"""WITH {LINES}, b AS (SELECT doc_id, pos, {_BODY} AS line FROM l),
+k AS (SELECT *, regexp_matches(line, '(?i)^\s*(#{{1,6}}\s*)?((\d+|[ivxlcdm]+)[.)、]?\s*)?(references?|bibliography|参考文献)\s*$') AS is_r, regexp_matches(line, '(?i)^\s*(#{{1,6}}\s*)?(abstract|摘要)([^\p{{L}}\p{{N}}_]|$)') AS is_a,
+      regexp_matches(line, '(?i)^\s*(#{{1,6}}\s*)?((\d+|[ivxlcdm]+)[.)、]?\s*)?(introduction|引言)([^\p{{L}}\p{{N}}_]|$)') AS is_i FROM b),
+m AS (SELECT *, min(pos) FILTER (WHERE is_r) OVER w AS r, min(pos) FILTER (WHERE is_a) OVER w AS a FROM k WINDOW w AS (PARTITION BY doc_id)),
+n AS (SELECT *, min(pos) FILTER (WHERE is_i AND pos > a) OVER (PARTITION BY doc_id) AS i FROM m WHERE r IS NULL OR pos < r)
+SELECT doc_id, pos FROM n WHERE NOT coalesce(a < i AND pos BETWEEN a AND i - 1, false)""",
 )
 def body(spark, sf):
     rows = lines(spark, sf).withColumn("line", F.expr(_BODY))
@@ -202,7 +206,7 @@ def components(spark, sf):
     return chunks.components(boxes, ["page"], 2.0).select("page", F.col("group").alias("grp"), "n", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
 
 
-@query("f12_safe_names", f"WITH p AS ({PAPERS}) SELECT id, substr(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9._-]', '_', 'g'), 1, 160) AS name FROM p")
+@query("f12_safe_names", rf"WITH p AS ({PAPERS}) SELECT id, coalesce(nullif(substr(regexp_replace(coalesce(title, ''), '[^\p{{L}}\p{{N}}._-]', '_', 'g'), 1, 160), ''), 'paper') AS name FROM p")
 def names(spark, sf):
     return derived(spark, sf, PAPERS, "documents").select("id", text.safe_name(F.col("title")).alias("name"))
 
@@ -227,13 +231,22 @@ def bib(spark, sf):
     return p.select("id", text.bibtex(F.col("id"), F.col("title"), F.array(F.lit("A. One"), F.lit("B. Two")), F.col("year"), F.col("source"), F.lit("")).alias("bib"))
 
 
+_CITING = """SELECT id, title, source, year, doi, CASE ord % 4 WHEN 0 THEN 'Li, A|Wu|C|D' WHEN 1 THEN '张三|李四|王五|赵六' WHEN 2 THEN 'One| ' ELSE '' END AS names, CASE WHEN ord % 3 > 0 THEN ord % 30 END AS volume, CASE WHEN ord % 5 > 1 THEN ord % 6 END AS issue,
+CASE WHEN ord % 2 = 0 THEN '1-' || CAST(ord AS STRING) END AS pages, CASE ord % 7 WHEN 0 THEN 'conference paper' WHEN 1 THEN 'PhD Thesis' WHEN 2 THEN 'Book' WHEN 3 THEN source ELSE NULL END AS kind, CASE WHEN ord % 3 = 1 THEN 'http://x/' || id END AS url FROM p"""
+
+
 @query(
     "f13_references",
-    f"WITH p AS ({PAPERS}) SELECT id, 'A, B, C, et al. ' || title || '[J]. ' || source || ', ' || coalesce(year || '.', '') || CASE WHEN coalesce(doi, '') <> '' THEN ' DOI:' || doi || '.' ELSE '' END AS ref FROM p",
+    f"""WITH p AS ({PAPERS}), c AS ({_CITING.replace("STRING", "VARCHAR")}), n AS (SELECT *, list_filter(list_transform(string_split(names, '|'), lambda a: trim(a)), lambda a: a <> '') AS a FROM c)
+SELECT id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || CASE WHEN a[1] = '张三' THEN '，等' ELSE ', et al' END || '. ' WHEN len(a) > 0 THEN array_to_string(a, ', ') || '. ' ELSE '' END || trim(title) || '['
+|| CASE WHEN kind LIKE 'conf%' THEN 'C' WHEN kind LIKE '%Thesis' THEN 'D' WHEN kind = 'Book' THEN 'M' WHEN kind = 'arxiv' THEN 'EB/OL' ELSE 'J' END || ']. ' || source || coalesce(', ' || year, '')
+|| CASE WHEN volume IS NOT NULL THEN ', ' || volume || coalesce('(' || issue || ')', '') ELSE coalesce(', (' || issue || ')', '') END || coalesce(': ' || pages, '') || '.'
+|| CASE WHEN coalesce(doi, '') <> '' THEN ' DOI: ' || doi || '.' ELSE coalesce(' ' || url || '.', '') END AS ref FROM n""",
 )
 def references(spark, sf):
-    p = derived(spark, sf, PAPERS, "documents")
-    return p.select("id", text.gbt_reference(F.array(*[F.lit(x) for x in "ABCD"]), F.col("title"), F.col("source"), F.col("year"), F.coalesce("doi", F.lit(""))).alias("ref"))
+    p = spark.sql(_CITING.replace("FROM p", "FROM {p}"), p=derived(spark, sf, PAPERS, "documents"))
+    ref = text.gbt_reference(F.split("names", "[|]", -1), F.col("title"), F.col("source"), F.col("year"), F.col("doi"), F.col("volume"), F.col("issue"), F.col("pages"), F.col("kind"), F.col("url"))
+    return p.select("id", ref.alias("ref"))
 
 
 _CITED = "coalesce(text, '') || ' [p' || CAST(doc_id % 50 AS STRING) || '] and [10.1000/x' || CAST(doc_id % 9 AS STRING) || '] [12] [todo] [link](http) [p' || CAST(doc_id % 50 AS STRING) || ']'"
@@ -336,7 +349,16 @@ def sets(spark, sf):
     return d.select("doc_id", F.arrays_overlap("a", "b").alias("meets"), joined.alias("joined"), F.array_sort(F.array_except("a", "b")).cast("string").alias("only_a"))
 
 
-@query("f32_math_share", "SELECT doc_id, round((length(v) - length(regexp_replace(v, '[=+<>≤≥±×÷∑∏∫√∞∂∇∈∀∃α-ωΑ-Ω^_{}|*/\\\\-]', '', 'g'))) / length(v), 9) AS share FROM (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS v FROM documents) WHERE length(v) > 0")
+_SIGNS = "concat(text, CASE doc_id % 3 WHEN 0 THEN ' 𝑆𝛼 = Σ + * / |_ ∑∈ x₂ → ℓ' ELSE ' ± − a' END)"
+
+
+@query(
+    "f32_math_share",
+    rf"""WITH v AS (SELECT doc_id, regexp_replace({_SIGNS}, '[\s\p{{Z}}]', '', 'g') AS v, regexp_replace({_SIGNS.replace("text", "''")}, '[\s\p{{Z}}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, '[\x{{370}}-\x{{3FF}}\x{{2070}}-\x{{209F}}\x{{2100}}-\x{{214F}}\x{{2190}}-\x{{22FF}}\x{{27C0}}-\x{{27EF}}\x{{2980}}-\x{{2AFF}}\x{{1D400}}-\x{{1D7FF}}±·×÷∓∗∘√∞∂∇‖−′″]' AS signs FROM v)
+SELECT doc_id, round((length(v) - length(regexp_replace(v, signs, '', 'g'))) / length(v), 9) AS share, length(t) >= 2 AND (length(t) - length(regexp_replace(t, signs, '', 'g'))) / length(t) >= 0.5 AS is_math FROM m""",
+)
 def math(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("text").rlike(r"\S"))
-    return d.select("doc_id", F.round(text.math_share(F.col("text")), 9).alias("share"))
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    tail = F.expr(_SIGNS.replace("text", "''"))
+    return d.select("doc_id", F.round(text.math_share(F.expr(_SIGNS)), 9).alias("share"), text.is_math_line(tail).alias("is_math"))
