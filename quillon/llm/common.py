@@ -43,12 +43,17 @@ def forgotten(*tables: DataFrame) -> None:
 BROADCAST_BYTES = 8_000_000
 
 
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """`df` marked for broadcast if counting shows that its rows take at most BROADCAST_BYTES, otherwise `df` as it is
-    (the join then shuffles, and adaptive execution splits skewed partitions)."""
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether counting shows that the rows of `df` take at most BROADCAST_BYTES."""
     width = sum(16 if f.dataType.typeName() in ("string", "struct") else 8 for f in df.schema.fields) + 16
     most = BROADCAST_BYTES // width
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return df.limit(most + 1).count() <= most
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if it fits, otherwise `df` as it is (the join then shuffles, and adaptive execution splits skewed
+    partitions)."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def unused(df: DataFrame, name: str) -> str:
