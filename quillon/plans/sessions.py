@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text
-from quillon.operators import context, eventlog, retrieval
+from quillon.operators import context, eventlog, nested, retrieval
 from quillon.shared import shared_folder
 from quillon.sources.tables import LOG, derived, table
 from quillon.streaming import runs, sinks, timeline
@@ -447,3 +447,64 @@ def stored_once(spark, sf):
 @query("k02_stored_heads", f"WITH {_GOOD} SELECT session_id, max(seq_no) AS n, max_by(created_at, seq_no) AS last_at, max_by(substr(coalesce(content, ''), 1, 120), seq_no) AS summary FROM g GROUP BY session_id")
 def stored_heads(spark, sf):
     return stored_messages(spark, sf).heads().select("session_id", "n", "last_at", "summary")
+
+
+@query(
+    "a22_reliability_report",
+    f"""WITH {TURNS}, {_STEPS.replace(f"log AS ({LOG}), ", "")}, u AS (SELECT *, coalesce(status, 'unknown') AS st, CAST(ended AS DATE)::VARCHAR AS day, CASE WHEN session_id % 10 = 0 THEN 'eval' ELSE 'real' END AS traffic FROM turns),
+g AS (SELECT stage, count(*) AS calls, count(*) FILTER (WHERE failed) AS failed, round(coalesce(quantile_cont(date_diff('microsecond', created, completed) / 1e6, 0.95), 0), 4) AS p95 FROM s GROUP BY stage),
+k AS (SELECT stage, substr(error, 1, 200) AS error, count(*) AS times, min((session_id, turn, first_seq)) AS f FROM s WHERE failed AND error IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY times DESC, f) AS place FROM k),
+x AS (SELECT stage, string_agg(error || ':' || times, ',' ORDER BY place) AS errors FROM r WHERE place <= 3 GROUP BY stage)
+SELECT (SELECT count(*) FROM u) AS turns, (SELECT string_agg(st || ':' || n, ',' ORDER BY st) FROM (SELECT st, count(*) AS n FROM u GROUP BY 1)) AS statuses,
+(SELECT string_agg(traffic || ':' || st || ':' || n, ',' ORDER BY traffic, st) FROM (SELECT traffic, st, count(*) AS n FROM u GROUP BY 1, 2)) AS traffic,
+(SELECT string_agg(day || ':' || st || ':' || n, ',' ORDER BY day, st) FROM (SELECT day, st, count(*) AS n FROM u GROUP BY 1, 2)) AS days,
+(SELECT round(count(*) FILTER (WHERE st = 'completed') / count(*), 9) FROM u) AS completed_rate, (SELECT round(quantile_cont(duration, 0.95), 4) FROM u) AS duration_p95,
+(SELECT string_agg(g.stage || ':' || calls || ':' || failed || ':' || coalesce(errors, ''), ';' ORDER BY g.stage) FROM g LEFT JOIN x ON x.stage = g.stage) AS stages,
+(SELECT round(sum(p95), 2) FROM g) AS p95_sum, (SELECT round(1 - sum(failed) / sum(calls), 9) FROM g) AS success""",
+)
+def report(spark, sf):
+    step = "event_type <> 'purchase'"
+    rows = derived(spark, sf, LOG, "events").selectExpr(
+        "session_id", "CASE session_id % 10 WHEN 0 THEN concat('eval_', session_id) WHEN 1 THEN NULL ELSE 'talk' END AS title", "turn", "seq_no", "ts", "event_type", f"{STATUS} AS status",
+        f"CASE WHEN {step} THEN event_type END AS stage", f"CASE WHEN {step} THEN 'k' || CAST(event_id % 4 AS STRING) END AS step_key", "CASE WHEN event_id % 2 = 0 THEN 'error ' || CAST(event_id % 7 AS STRING) ELSE '' END AS content",
+        "ts AS created", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END AS completed",
+    )
+    r = nested.reliability(rows, "purchase")
+    joined = lambda c, f, by=",": F.array_join(F.transform(c, f), by)
+    text_ = lambda *c: F.concat_ws(":", *c)
+    return r.select(
+        "turns", joined(F.array_sort(F.map_entries("statuses")), lambda e: text_(e["key"], e["value"])).alias("statuses"), joined("traffic", lambda e: text_(e["name"], e["status"], e["turns"])).alias("traffic"),
+        joined("days", lambda e: text_(e["name"], e["status"], e["turns"])).alias("days"), F.round("completed_rate", 9).alias("completed_rate"), F.round("duration_p95", 4).alias("duration_p95"),
+        joined("stages", lambda e: text_(e["stage"], e["calls"], e["failed"], joined(e["errors"], lambda x: text_(x["error"], x["times"]))), ";").alias("stages"),
+        F.round(F.aggregate("stages", F.lit(0.0), lambda a, e: a + F.round(e["p95"], 4)), 2).alias("p95_sum"), F.round("success", 9).alias("success"),
+    )
+
+
+_NESTED = """SELECT event_id, '{{"a": {{"paper_id": " p' || (event_id % 7) || ' "}}, "b": ["see [p' || (event_id % 5) || '] and [x y]", {{"paperIds": ["P' || (event_id % 3) || '", "q", null, 5]}}], "c": {{"d": {{"e": [[[{{"paperId": "deep' || (event_id % 4) || '"}}]]]}}}}, "n": 1, "z": ' || coalesce(props, 'null') || '}}' AS body FROM events"""
+
+
+@query(
+    "f46_nested_ids",
+    """WITH l AS (SELECT event_id, ['p' || event_id % 7, 'p' || event_id % 5, 'x y', 'P' || event_id % 3, 'q', '5', 'deep' || event_id % 4] AS a FROM events),
+e AS (SELECT event_id, unnest(a) AS id, unnest(range(len(a))) AS pos FROM l), f AS (SELECT event_id, min(pos) AS pos, min_by(id, pos) AS id FROM e GROUP BY event_id, lower(id))
+SELECT event_id, string_agg(id, '|' ORDER BY pos) AS ids FROM f GROUP BY event_id""",
+)
+def nested_ids(spark, sf):
+    rows = derived(spark, sf, _NESTED, "events").select("event_id", F.try_parse_json("body").alias("v"))
+    return nested.ids_in(rows, "event_id", "v").select("event_id", F.array_join("ids", "|").alias("ids"))
+
+
+_CAPTIONS = "SELECT user_id AS doc, event_id AS pos, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Fig. ' || CAST(event_id % 9 + 1 AS STRING) || ': x' WHEN 2 THEN 'Figure ' || CAST(event_id % 5 + 1 AS STRING) ELSE 'Figure IV. y' END AS caption FROM events WHERE event_id % 3 = 0"
+
+
+@query(
+    "w20_figure_numbers",
+    f"""WITH RECURSIVE c AS (SELECT doc, pos, try_cast(regexp_extract(caption, '(?i)^fig(?:ure)?\\.?\\s*(\\d+)', 1) AS INT) AS n, row_number() OVER (PARTITION BY doc ORDER BY pos)::INT AS p FROM ({_CAPTIONS.replace("STRING", "VARCHAR")})),
+r AS (SELECT doc, pos, p, coalesce(n, 1) AS figure, [coalesce(n, 1)] AS used FROM c WHERE p = 1
+UNION ALL SELECT doc, pos, p, figure, list_append(used, figure) FROM (SELECT c.doc, c.pos, c.p, r.used, CASE WHEN c.n IS NOT NULL AND NOT list_contains(r.used, c.n) THEN c.n ELSE list_min(list_filter(range(c.p, 2 * c.p), lambda x: NOT list_contains(r.used, x::INT)))::INT END AS figure FROM r JOIN c ON c.doc = r.doc AND c.p = r.p + 1))
+SELECT doc, pos, figure FROM r""",
+)
+def figure_numbers(spark, sf):
+    rows = derived(spark, sf, _CAPTIONS, "events").withColumn("n", text.caption_number(F.col("caption")).try_cast("int"))
+    return nested.figure_numbers(rows, "doc", "pos", "n")
