@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators.ranks import percentiles, with_rank
+from quillon.operators.ranks import average_ranks, percentiles
 
 #: Points of the three dimensions of an evaluation (fixed values); a partial match earns half.
 WEIGHTS = {"topic": 50, "method": 30, "setting": 20}
@@ -106,11 +106,9 @@ def completeness_score(covered: Column, partial: Column, total: Column) -> Colum
 
 def agreement(pairs: DataFrame) -> DataFrame:
     """n, share within one point, share equal, and rank correlation of human and judge scores (null under 3 cases)."""
-    # Average ranks, from the first and last place of each value.
     ranked = pairs
     for c in ("human", "judge"):
-        places = with_rank(pairs.select(c), [], c, "place").groupBy(c).agg(((F.min("place") + F.max("place")) / 2).alias(f"r_{c}"))
-        ranked = ranked.join(places, c)
+        ranked = ranked.join(average_ranks(pairs.select(c), c, f"r_{c}"), c)
     return ranked.agg(
         F.count("*").alias("n"),
         F.avg((F.abs(F.col("human") - F.col("judge")) <= 1).cast("int")).alias("within_one"),

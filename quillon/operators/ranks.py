@@ -31,6 +31,19 @@ def with_rank(rows: DataFrame, by: list[str], order: str, name: str = "rank") ->
     return placed.join(counts, [*keys, "rank_bucket"]).withColumn(name, F.col("rank_before") + inside).select(*rows.columns, name)
 
 
+def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): each value's average place among all rows by a number column: the rows before it and half of its own and one. Values are counted
+    first, so equal ones never meet in a task; counts are summed over ranges of the value, then inside each range."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rank_n"))
+    ends = counts.agg(F.min(column).alias("rank_low"), F.max(column).alias("rank_high"))  # one row
+    placed = counts.join(F.broadcast(ends)).withColumn("rank_bucket", _bucket(F.col(column), F.col("rank_low"), F.col("rank_high")))
+    whole = placed.groupBy("rank_bucket").agg(F.sum("rank_n").alias("rank_all"))
+    before = F.coalesce(F.sum("rank_all").over(W.orderBy("rank_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # BUCKETS rows at most
+    inside = F.coalesce(F.sum("rank_n").over(W.partitionBy("rank_bucket").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = placed.join(whole.select("rank_bucket", before.alias("rank_before")), "rank_bucket")
+    return both.select(column, (F.col("rank_before") + inside + (F.col("rank_n") + 1) / 2).alias(name))
+
+
 def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, float, str]], steps: int = 2) -> DataFrame:
     """By group, exact percentiles of number columns: name -> (column, p from 0 to 1, "linear" or "nearest").
 
