@@ -132,11 +132,17 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the lines that `fuzzy_lines` doesn't keep; ids must be unique. Lines without a word stay."""
-    gone = unused(docs, "lines_gone")
-    report = line_report(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col(id_col).alias("i"), F.col("removed").alias(gone)).dropDuplicates(["i"])
-    lines = F.split(docs[text_col], "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(report[gone], i.cast("long"))), "\n")
-    joined = docs.join(report, docs[id_col].eqNullSafe(report["i"]), "left")
-    text = F.when(report[gone].isNull(), docs[text_col]).otherwise(rest)
+    """`docs` without the lines that `fuzzy_lines` doesn't keep, with all columns, whatever their names.
+
+    Rows are told apart by id and text: rows that share an id lose their own lines only, and of a component the line of the smallest id stays (null ids
+    last), then that of the text with the smallest SHA-256, then the first; rows that repeat both lose the same lines. Lines without a word
+    stay; null and empty texts stay as they are; an empty table stays empty."""
+    key, gone = unused(docs, "line_key"), unused(docs, "lines_gone")
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.sha2(text_or_empty(text_col), 256).alias("digest"))
+    keyed = docs.withColumn(key, own)
+    found = fuzzy_lines(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), "key", "text", **options)
+    lost = found.where(~F.col("kept")).groupBy("key").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("key", "_key")
+    joined = keyed.join(lost, F.col(key).eqNullSafe(F.col("_key")), "left")
+    rest = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long"))), "\n")
+    text = F.when(F.col(gone).isNull(), docs[text_col]).otherwise(rest)
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -1,5 +1,6 @@
 """op7 against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -77,6 +78,16 @@ def test_repeated_rows(spark):
     assert got == sorted([(False, 0, 0, 0, 0, True), *[(False, 1, 0, 0, 0, False)] * 2, *[(False, 1, 1, 1, 1, True)] * 2, (False, 2, 0, 1, 1, False)])
 
 
+def test_rows_that_share_an_id_lose_their_own_lines(spark):
+    data = [(1, "common line of words\nkeep this one please"), (1, "and keep me as well\ncommon line of words"), (None, "common line of words\nlast of all"), (2, None), (3, "")]
+    got = lines.drop_fuzzy_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got)
+    first, second = sorted(data[:2], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
+    lost = "\n".join(x for x in second[1].split("\n") if x != "common line of words")
+    assert texts == sorted([(False, 1, first[1]), (False, 1, lost), (False, 2, ""), (False, 3, ""), (True, 0, "last of all")])
+    assert lines.drop_fuzzy_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_recall_of_banding_by_length(spark):
     """Pairs of lines with similarity from 0.8 to 0.9, short and long: what share has a band in common."""
     import numpy as np
