@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import library, retrieval, sessions, texts
+from quillon.plans import layout, library, retrieval, sessions, texts
 
-MODULES = [retrieval, sessions, texts, library]
+MODULES = [retrieval, sessions, texts, library, layout]
 
 
 def flagship(spark, sf_dir: str):
