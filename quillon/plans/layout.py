@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import grids
-from quillon.sources.tables import table
+from quillon.operators import boxes, grids
+from quillon.sources.tables import derived, table
 
 Q, O = {}, {}
 
@@ -63,3 +63,53 @@ def plain_tables(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_linenumber").cast("string"), flags, mode).alias("r"))
     each = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "r"))).alias("x"))
     return each.select("l_orderkey", grids.plain_markdown(F.transform("x", lambda s: s["r"])).alias("markdown"))
+
+
+#: Boxes of a page from the lines of an order, and other boxes over them.
+_BOX = "SELECT l_orderkey AS page, l_linenumber AS box, l_quantity AS x0, l_quantity + l_suppkey % 9 AS x1, l_extendedprice % 40 AS y0, l_extendedprice % 40 + l_partkey % 7 AS y1 FROM lineitem"
+_OVER = "SELECT l_orderkey AS page, l_linenumber AS box, l_partkey % 40 AS x0, l_partkey % 40 + 2 + l_suppkey % 30 AS x1, l_suppkey % 30 AS y0, l_suppkey % 30 + 3 + l_partkey % 25 AS y1 FROM lineitem"
+_SHAPED = "SELECT page, box, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM ({})"
+
+
+@query(
+    "j19_box_cover",
+    f"""WITH a AS (SELECT DISTINCT * FROM ({_SHAPED.format(_BOX)})), b AS ({_SHAPED.format(_OVER)}),
+p AS (SELECT a.*, b.box AS id, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS c, (a.x1 - a.x0) * (a.y1 - a.y0) AS area,
+  (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1 AS i FROM a LEFT JOIN b USING (page))
+SELECT page, box, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, min(id) FILTER (WHERE area > 0 AND c / area >= 0.5) AS covered_by, coalesce(bool_or(i), false) AS inside,
+  round(CASE WHEN area > 0 THEN max(c) / area ELSE 0 END, 9) AS most, round(CASE WHEN area > 0 THEN least(1, sum(c) / area) ELSE 0 END, 9) AS ratio FROM p GROUP BY page, box, p.x0, p.y0, p.x1, p.y1, area""",
+)
+def box_cover(spark, sf):
+    found = boxes.cover(derived(spark, sf, _BOX, "lineitem"), derived(spark, sf, _OVER, "lineitem"), ["page"])
+    return found.select("page", "box", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1")], "covered_by", "inside", F.round("most", 9).alias("most"), F.round("ratio", 9).alias("ratio"))
+
+
+_NEAR = "greatest(g[i].x0, g[j].x0) - least(g[i].x1, g[j].x1) <= 8 AND greatest(g[i].y0, g[j].y0) - least(g[i].y1, g[j].y1) <= 6"
+
+
+@query(
+    "a44_merged_groups",
+    f"""WITH RECURSIVE s AS (SELECT page, 0 AS step, list({{'box': box, 'n': 1::BIGINT, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) AS g FROM ({_SHAPED.format(_BOX)}) GROUP BY page
+UNION ALL SELECT page, step + 1, list_concat(list_filter(g, lambda x, k: k <> f.i AND k <> f.j), [{{'box': least(g[f.i].box, g[f.j].box), 'n': g[f.i].n + g[f.j].n, 'x0': least(g[f.i].x0, g[f.j].x0), 'y0': least(g[f.i].y0, g[f.j].y0), 'x1': greatest(g[f.i].x1, g[f.j].x1), 'y1': greatest(g[f.i].y1, g[f.j].y1)}}])
+  FROM (SELECT *, list_filter(flatten(list_transform(range(1, len(g) + 1), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j: CASE WHEN {_NEAR} THEN {{'i': i, 'j': j}} END))), lambda x: x IS NOT NULL)[1] AS f FROM s) WHERE f IS NOT NULL),
+m AS (SELECT page, unnest(arg_max(g, step)) AS g FROM s GROUP BY page)
+SELECT page, g.box AS box, g.n AS n, round(g.x0, 6) AS x0, round(g.y0, 6) AS y0, round(g.x1, 6) AS x1, round(g.y1, 6) AS y1 FROM m""",
+)
+def merged_groups(spark, sf):
+    found = boxes.groups(derived(spark, sf, _BOX, "lineitem"), ["page"], 8.0, 6.0)
+    return found.select("page", "box", "n", *[F.round(c, 6).alias(c) for c in boxes.EDGES])
+
+
+_CAPTIONS = "SELECT l_orderkey AS page, l_linenumber AS caption, 0 AS x0, 50 AS x1, l_partkey % 45 AS y0, l_partkey % 45 + 2 AS y1 FROM lineitem WHERE l_suppkey % 3 = 0"
+
+
+@query(
+    "a50_panels",
+    f"""WITH a AS (SELECT *, row_number() OVER () AS node FROM ({_SHAPED.format(_BOX)})), c AS (SELECT page, caption, y0::DOUBLE AS c0, y1::DOUBLE AS c1 FROM ({_CAPTIONS})),
+d AS (SELECT a.*, caption, row_number() OVER (PARTITION BY node ORDER BY CASE WHEN c0 >= y1 THEN c0 - y1 WHEN c1 <= y0 THEN y0 - c1 ELSE 0 END, caption) AS k FROM a LEFT JOIN c USING (page))
+SELECT page, caption, min(box) AS box, count(*) AS n, round(min(x0), 6) AS x0, round(min(y0), 6) AS y0, round(max(x1), 6) AS x1, round(max(y1), 6) AS y1 FROM d WHERE k = 1 GROUP BY page, caption, CASE WHEN caption IS NULL THEN node END""",
+)
+def panels(spark, sf):
+    found = boxes.panels(derived(spark, sf, _BOX, "lineitem"), derived(spark, sf, _CAPTIONS, "lineitem"), ["page"])
+    return found.select("page", "caption", "box", "n", *[F.round(c, 6).alias(c) for c in boxes.EDGES])
+

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -33,3 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("quillon.shared", at)
     return at
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read again: a lost executor costs no more than what comes after it."""
+    at = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
