@@ -1,10 +1,11 @@
-"""Registered queries of page layout: tables with spans, boxes that meet, figures by caption."""
+"""Registered queries of page layout (tables with spans, boxes that meet, figures by caption) and of folders of papers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillon.operators import boxes, grids
+from quillon.sources import catalog
 from quillon.sources.tables import derived, table
 
 Q, O = {}, {}
@@ -113,3 +114,42 @@ def panels(spark, sf):
     found = boxes.panels(derived(spark, sf, _BOX, "lineitem"), derived(spark, sf, _CAPTIONS, "lineitem"), ["page"])
     return found.select("page", "caption", "box", "n", *[F.round(c, 6).alias(c) for c in boxes.EDGES])
 
+
+
+#: Files of a folder for every document: reports, chunks and metadata that are good, broken, of another kind or missing.
+_FOLDER = """SELECT doc_id, 'root/' || CASE doc_id % 4 WHEN 0 THEN 'deep/er/' ELSE '' END || 'f' || CAST(doc_id AS {text}) AS place,
+CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '{{"source": ' WHEN 2 THEN '{{"source": "abstract"}}' ELSE '{{"source": "fulltext"}}' END AS report,
+CASE doc_id % 11 WHEN 0 THEN '[1' WHEN 1 THEN '{{"paperId": "x' || CAST(doc_id AS {text}) || '"}}' WHEN 2 THEN '{{"paper": {{}}}}'
+  ELSE '{{"paper": {{"doi": "10.1000/X' || CAST(doc_id % 400 AS {text}) || '", "year": "' || CAST(1990 + doc_id % 9 AS {text}) || '"}}}}' END AS metadata,
+CAST(CASE doc_id % 5 WHEN 0 THEN 9 ELSE 10 END AS INT) AS version, doc_id % 5 = 1 AND doc_id % 2 = 0 AS bare, text FROM documents"""
+_PLACES = f"""f AS ({_FOLDER.format(text="VARCHAR")}), p AS (SELECT doc_id, place, 'f' || doc_id::VARCHAR AS folder, NOT (bare AND doc_id % 3 = 0) AS has_file,
+CASE WHEN doc_id % 7 < 3 THEN ['no_report', 'broken_report', 'not_full_text'][(doc_id % 7 + 1)::INT] WHEN version < 10 OR bare OR length(coalesce(text, '')) NOT BETWEEN 1 AND 4000 THEN 'no_usable_chunks' WHEN doc_id % 11 IN (0, 2) THEN 'no_metadata' ELSE 'ok' END AS status,
+CASE WHEN doc_id % 11 > 2 THEN 'doi:10.1000/x' || (doc_id % 400)::VARCHAR WHEN doc_id % 11 = 1 THEN 'title:x' || doc_id::VARCHAR ELSE 'f' || doc_id::VARCHAR END AS key, CASE WHEN doc_id % 11 > 2 THEN (1990 + doc_id % 9)::INT END AS year FROM f)"""
+
+
+def folder_files(spark, sf):
+    kind = lambda name, value: F.struct(F.lit(catalog.FILES[name]).alias("file"), value.alias("payload"))
+    chunks = F.when(F.col("bare"), F.when(F.col("doc_id") % 3 > 0, '{"version": 10, "chunks": []}')).otherwise(F.to_json(F.struct("version", F.array(F.struct(F.col("text").alias("content"))).alias("chunks"))))
+    each = derived(spark, sf, _FOLDER.replace("{text}", "STRING"), "documents").select("place", F.explode(F.array(kind("report", F.col("report")), kind("metadata", F.col("metadata")), kind("chunks", chunks))).alias("x"))
+    return each.select("place", "x.file", "x.payload").where("payload IS NOT NULL")
+
+
+@query("s24_catalogue", f"WITH {_PLACES} SELECT place, folder, CASE WHEN status = 'ok' AND place > min(place) FILTER (WHERE status = 'ok') OVER (PARTITION BY key) THEN 'duplicate' ELSE status END AS status, key, year, has_file FROM p")
+def catalogued(spark, sf):
+    return catalog.catalogue(folder_files(spark, sf)).select("place", "folder", "status", "key", "year", "has_file")
+
+
+_WANTED = "SELECT doc_id AS wid, 'f' || CAST(doc_id * 2 AS {text}) AS name, '10.1000/x' || CAST(doc_id % 450 AS {text}) AS doi, 'f' || CAST(doc_id * 2 + 1 AS {text}) AS other FROM documents"
+
+
+@query(
+    "s28_located_folders",
+    f"""WITH {_PLACES}, w AS ({_WANTED.format(text="VARCHAR")}),
+c AS (SELECT wid, CASE WHEN has_file THEN 1 ELSE 4 END AS n, place FROM w JOIN p ON name = folder AND wid % 3 > 0 UNION ALL SELECT wid, 2, place FROM w JOIN p ON other = folder AND wid % 5 = 0 UNION ALL SELECT wid, 3, min(place) FROM w JOIN p ON key = 'doi:' || doi GROUP BY wid)
+SELECT wid, min_by(place, (n, place)) AS place, ['name', 'alias', 'identity', 'empty'][min(n)] AS by FROM c GROUP BY wid""",
+)
+def located(spark, sf):
+    w = derived(spark, sf, _WANTED.format(text="STRING"), "documents")
+    names = F.concat(F.array(F.concat(F.lit("doi:"), "doi")), F.when(F.col("wid") % 5 == 0, F.array("other")).otherwise(F.array().cast("array<string>")))
+    wanted = w.select("wid", F.when(F.col("wid") % 3 > 0, F.col("name")).alias("name"), names.alias("aliases"), F.lit(None).cast("int").alias("year"))
+    return catalog.located(wanted, catalog.catalogue(folder_files(spark, sf)))
