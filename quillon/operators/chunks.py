@@ -301,38 +301,3 @@ def overlapping(boxes: DataFrame, key: list[str], box: str, least: float, cell:
     first = lambda c, lo: F.col(f"p.{c}") == F.floor(F.greatest(F.col(f"p.{lo}"), F.col(f"q.{lo}")) / cell)
     pairs = a.join(b, [*same, F.col(f"p.{box}") < F.col(f"q.{box}")]).where(first("cx", "x0") & first("cy", "y0"))
     return pairs.where(side("x0", "x1") * side("y0", "y1") >= least).select(*[F.col(f"p.{c}").alias(c) for c in key], F.col(f"p.{box}").alias("a"), F.col(f"q.{box}").alias("b"))
-
-
-def components(boxes: DataFrame, key: list[str], gap: float) -> DataFrame:
-    """Boxes of a page that lie within `gap` of each other, directly or through others: key, group (the least box), and
-    the bounds of each group. A page's boxes are few."""
-    names = list(key)
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        root = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        order = sorted(range(len(rows)), key=lambda i: rows[i]["x0"])
-        for n, i in enumerate(order):
-            for j in order[n + 1 :]:
-                if rows[j]["x0"] > rows[i]["x1"] + gap:
-                    break
-                if rows[j]["y0"] <= rows[i]["y1"] + gap and rows[i]["y0"] <= rows[j]["y1"] + gap:
-                    root[find(i)] = find(j)
-        groups: dict[int, list[dict]] = {}
-        for i in range(len(rows)):
-            groups.setdefault(find(i), []).append(rows[i])
-        out = []
-        for g in groups.values():
-            out.append({**{k: g[0][k] for k in names}, "group": min(r["box"] for r in g), "n": len(g), "x0": min(r["x0"] for r in g), "y0": min(r["y0"] for r in g), "x1": max(r["x1"] for r in g), "y1": max(r["y1"] for r in g)})
-        return pa.Table.from_pylist(out, schema=pa.schema([*[table.schema.field(k) for k in names], ("group", pa.int64()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")]]))
-
-    kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in names)
-    ship_package(boxes.sparkSession)
-    return boxes.groupBy(*names).applyInArrow(run, f"{kinds}, group long, n long, x0 double, y0 double, x1 double, y1 double")

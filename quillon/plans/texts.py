@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import identity, text
-from quillon.operators import chunks
+from quillon.operators import boxes, chunks
 from quillon.sources import payloads
 from quillon.sources.tables import PAPERS, derived, table
 
@@ -202,8 +202,8 @@ r AS (SELECT i AS node, i AS root FROM b UNION SELECT e.c, r.root FROM r JOIN e
 SELECT b.page, min(box)::BIGINT AS grp, count(*) AS n, round(min(x0)::DOUBLE, 6) AS x0, round(max(y1)::DOUBLE, 6) AS y1 FROM b JOIN m ON m.node = b.i GROUP BY b.page, m.root""",
 )
 def components(spark, sf):
-    boxes = derived(spark, sf, _BOX, "lineitem").selectExpr("page", "CAST(box AS BIGINT) AS box", *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("x0", "x1", "y0", "y1")])
-    return chunks.components(boxes, ["page"], 2.0).select("page", F.col("group").alias("grp"), "n", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
+    each = derived(spark, sf, _BOX, "lineitem").selectExpr("page", "CAST(box AS BIGINT) AS box", *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("x0", "x1", "y0", "y1")])
+    return boxes.components(each, ["page"], 2.0).select("page", F.col("group").alias("grp"), "n", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
 
 
 @query("f12_safe_names", rf"WITH p AS ({PAPERS}) SELECT id, coalesce(nullif(substr(regexp_replace(coalesce(title, ''), '[^\p{{L}}\p{{N}}._-]', '_', 'g'), 1, 160), ''), 'paper') AS name FROM p")
