@@ -20,21 +20,33 @@ def alias_hits(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
     return asked.join(known, "name").groupBy("wid", "wyear", "ord", "id", "year").agg(F.bool_or(~F.startswith("name", F.lit("title:"))).alias("strong"))
 
 
-def first_match(hits: DataFrame) -> DataFrame:
+def _named(records: DataFrame, *rest: Column) -> DataFrame:
+    """A row for each name of a record: its digest, since a title may be a whole text, whether it is a strong one, and the columns given."""
+    names = F.explode(identity.aliases([F.col("id"), F.col("arxiv_id")], F.col("doi"), F.col("title"))).alias("name")
+    return records.select(names, *rest).select(F.unhex(F.sha2("name", 256)).alias("name"), (~F.startswith("name", F.lit("title:"))).alias("strong"), *records.select(*rest).columns)
+
+
+def first_match(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
     """(wid, id): the first record in order that is the same paper: a strong name, or a title where not both years are
-    known and different."""
-    fit = F.col("strong") | F.col("wyear").isNull() | F.col("year").isNull() | (F.col("wyear") == F.col("year"))
-    return hits.where(fit).groupBy("wid").agg(F.min_by("id", "ord").alias("id"))
+    known and different. Tables as for `alias_hits`, but no pairs of records that share a name: the first record of each name, and of each year of a
+    title, is known before names meet."""
+    year = lambda y: F.coalesce(F.col(y).cast("string"), F.lit("unknown"))
+    known = _named(catalog, F.struct("ord", "id").alias("first"), F.col("year")).where("first.ord IS NOT NULL")
+    known = known.select("name", F.explode(F.when(F.col("strong"), F.array(F.lit("any"))).otherwise(F.array(F.lit("any"), year("year")))).alias("at"), "first").groupBy("name", "at").agg(F.min("first").alias("first"))
+    asked = _named(wanted, F.col("id").alias("wid"), F.col("year").alias("wyear"))
+    asked = asked.select("wid", "name", F.explode(F.when(F.col("strong") | F.col("wyear").isNull(), F.array(F.lit("any"))).otherwise(F.array(year("wyear"), F.lit("unknown")))).alias("at"))
+    return asked.join(known, ["name", "at"]).groupBy("wid").agg(F.min("first").alias("first")).select("wid", "first.id")
 
 
-def best_hit(hits: DataFrame) -> DataFrame:
+def best_hit(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
     """(wid, id): the first strong record, else the first that shares the title, unless both its year and the wanted one
-    are known and differ."""
-    pick = lambda c, on: F.min_by(F.when(on, F.col(c)), F.when(on, F.col("ord")))
-    title = ~F.col("strong")
-    found = hits.groupBy("wid", "wyear").agg(pick("id", F.col("strong")).alias("s"), pick("id", title).alias("t"), pick("year", title).alias("ty"))
-    other = F.when(F.col("wyear").isNull() | F.col("ty").isNull() | (F.col("wyear") == F.col("ty")), F.col("t"))
-    return found.select("wid", F.coalesce("s", other).alias("id")).where("id IS NOT NULL")
+    are known and differ. As in `first_match`, no pairs: each name meets its first record."""
+    known = _named(catalog, F.struct("ord", "id", "year").alias("first")).where("first.ord IS NOT NULL").groupBy("name").agg(F.min("first").alias("first"))
+    asked = _named(wanted, F.col("id").alias("wid"), F.col("year").alias("wyear"))
+    pick = lambda on: F.min(F.when(on, F.col("first")))
+    found = asked.join(known, "name").groupBy("wid", "wyear").agg(pick(F.col("strong")).alias("s"), pick(~F.col("strong")).alias("t"))
+    other = F.when(F.col("wyear").isNull() | F.col("t.year").isNull() | (F.col("wyear") == F.col("t.year")), F.col("t.id"))
+    return found.select("wid", F.coalesce("s.id", other).alias("id")).where("id IS NOT NULL")
 
 
 def requested_split(requested: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -33,14 +33,14 @@ s AS (SELECT w.wid, w.wyear, k.ord, k.id, k.year FROM w JOIN (SELECT *, unnest(n
 h AS (SELECT wid, wyear, ord, id, year, bool_or(strong) AS strong FROM (SELECT *, true AS strong FROM s UNION ALL SELECT w.wid, w.wyear, k.ord, k.id, k.year, false FROM w JOIN k ON w.t = k.t AND w.t <> '') GROUP BY ALL)"""
 
 
-def _hits(spark, sf):
+def _matched(spark, sf):
     records = derived(spark, sf, PAPERS, "documents")
-    return library.alias_hits(spark.sql(_WANTED.replace("FROM records", "FROM {records}"), records=records), records)
+    return spark.sql(_WANTED.replace("FROM records", "FROM {records}"), records=records), records
 
 
 @query("j04_f05_first_match", f"WITH {_NAMED} SELECT wid, min_by(id, ord) AS id FROM h WHERE strong OR wyear IS NULL OR year IS NULL OR wyear = year GROUP BY wid")
 def first_match(spark, sf):
-    return library.first_match(_hits(spark, sf))
+    return library.first_match(*_matched(spark, sf))
 
 
 @query(
@@ -50,7 +50,7 @@ b AS (SELECT g.wid, CASE WHEN g.s IS NOT NULL THEN g.s WHEN wyear IS NULL OR k.y
 SELECT b.wid, k.id FROM b JOIN k ON k.ord = b.o""",
 )
 def best_hit(spark, sf):
-    return library.best_hit(_hits(spark, sf))
+    return library.best_hit(*_matched(spark, sf))
 
 
 @query("j08_u04_requested_split", "SELECT item_id AS doc_id, item_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AS found FROM benchmark")

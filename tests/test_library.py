@@ -112,3 +112,27 @@ def test_html_blocks(spark):
         got.setdefault(r.page_id, []).append((r.kind, r.text))
     assert got[1] == [("title", "T & U"), ("heading", "A b c"), ("text", "loose"), ("paragraph", "x y"), ("paragraph", "z"), ("item", "i"), ("item", "j"), ("row", "| h | 1"), ("quote", "q"), ("text", "tail")]
     assert got[4] == [("paragraph", "never closed")] and got[5] == [("text", "plain < text")] and 2 not in got and 3 not in got
+
+
+def test_matches_without_pairs(spark):
+    """By brute force over the pairs; copies of one title are never paired."""
+    schema = "ord long, id string, title string, doi string, arxiv_id string, year int"
+    rows = [(i, f"p{i}", "Same title" if i % 4 else f"Other {i}", f"10.1/{i % 13}" if i % 5 == 0 else "", "2401.00001v2" if i % 17 == 0 else None, None if i % 6 == 0 else 1990 + i % 7) for i in range(60)]
+    asks = [(0, f"q{i}", "same  TITLE!" if i % 3 else f"other {i}", f"10.1/{i % 15}" if i % 4 == 0 else None, None, None if i % 9 == 0 else 1990 + i % 9) for i in range(40)]
+    catalog, wanted = spark.createDataFrame(rows, schema), spark.createDataFrame(asks, schema).drop("ord")
+    hits = library.alias_hits(wanted, catalog).collect()
+    fit = lambda h: None in (h.wyear, h.year) or h.wyear == h.year
+    first, best = {}, {}
+    for h in sorted(hits, key=lambda h: h.ord):
+        if h.strong or fit(h):
+            first.setdefault(h.wid, h.id)
+    for wid in {h.wid for h in hits}:
+        own = sorted((h for h in hits if h.wid == wid), key=lambda h: (not h.strong, h.ord))
+        if own[0].strong or fit(own[0]):
+            best[wid] = own[0].id
+    assert dict(library.first_match(wanted, catalog).collect()) == first and dict(library.best_hit(wanted, catalog).collect()) == best
+    assert first != best and len(first) == 30
+
+    copies = spark.range(20_000).selectExpr("id AS ord", "concat('p', id) AS id", "'one title' AS title", "'' AS doi", "'' AS arxiv_id", "cast(1990 + id % 30 AS int) AS year")
+    assert library.first_match(copies, copies).where("id = concat('p', (cast(substr(wid, 2) AS int)) % 30)").count() == 20_000  # 400 million pairs
+    assert library.best_hit(copies, copies).count() == 20_000
