@@ -53,3 +53,13 @@ def test_located(spark):
     wanted = [(1, "two", ["doi:10.1/a"], None), (2, "x", ["three", "doi:10.1/a"], None), (3, "x", ["doi:10.1/a"], None), (4, "bare", ["title:t"], 1999), (5, "bare", ["title:t"], 2001), (6, "x", ["title:t"], None), (7, None, [], None), (8, "x", None, 1), (9, "one", ["two", "two"], 1)]
     got = {r.wid: (r.place, r.by) for r in catalog.located(spark.createDataFrame(wanted, "wid int, name string, aliases array<string>, year int"), places).collect()}
     assert got == {1: ("r/two", "name"), 2: ("r/three", "alias"), 3: ("r/one", "identity"), 4: ("r/bare", "empty"), 5: ("r/three", "identity"), 6: ("r/three", "identity"), 9: ("r/one", "name")}
+
+
+def test_names_of_many_places_are_never_paired(spark):
+    """Every wanted paper and every place share a name, and a title by year: 400 million pairs, if they were paired."""
+    n = 20_000
+    places = spark.range(n).selectExpr("concat('r/', lpad(id, 6, '0')) AS place", "concat('f', id) AS folder", "cast(2000 + id % 10 AS int) AS year", "array('title:t', 'doi:10.1/a', concat('f', id)) AS aliases", "true AS has_file")
+    wanted = spark.range(n).selectExpr("id AS wid", "'none' AS name", "array(if(id % 2 = 0, 'doi:10.1/a', 'title:t')) AS aliases", "cast(if(id % 3 = 0, null, 2000 + id % 12) AS int) AS year")
+    got = {r.wid: (r.place, r.by) for r in catalog.located(wanted, places).collect()}
+    want = {i: 0 if i % 2 == 0 or i % 3 == 0 else i % 12 for i in range(n)}
+    assert got == {i: (f"r/{at:06d}", "identity") for i, at in want.items() if at < 10}
