@@ -81,10 +81,26 @@ def safe_name(x: Column, most: int = 160) -> Column:
     return F.when(name == "", "paper").otherwise(name)
 
 
+def inverted_index(words: Column) -> Column:
+    """A map from each word of an array to its positions, from 0. Equal words stand together once the pairs are sorted, so each text is indexed where
+    it lies; no word moves."""
+
+    def entries(pairs: Column) -> Column:
+        begins = F.filter(F.transform(pairs, lambda x, i: F.when((i == 0) | (x["w"] != F.get(pairs, i - 1)["w"]), i)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(begins), spans(pairs)), F.lit(0))
+
+    def spans(pairs: Column):
+        of = lambda b, e: F.struct(F.get(pairs, b)["w"].alias("w"), F.transform(F.slice(pairs, b + 1, e - b), lambda x: x["p"]).alias("ps"))
+        return lambda begins: F.transform(begins, lambda b, k: of(b, F.coalesce(F.get(begins, k + 1), F.size(pairs))))
+
+    pairs = F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    return F.map_from_entries(F.get(F.transform(F.array(pairs), entries), F.lit(0)))
+
+
 def from_inverted_index(index: Column) -> Column:
     """The text of a map from word to positions: words by position; of several at one, the last word."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
+    ordered = F.sort_array(pairs)  # by its own order: array_sort would evaluate a comparator
     return F.array_join(F.transform(ordered, lambda s: s["w"]), " ")
 
 

@@ -265,8 +265,7 @@ def citations(spark, sf):
 
 @query("f27_inverted_index", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS abstract FROM documents")
 def inverted(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(text.collapsed(F.col("text")), " ")).alias("p", "w"))
-    index = rows.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    index = table(spark, sf, "documents").select("doc_id", text.inverted_index(F.split(F.when(F.col("text").isNotNull(), text.collapsed(F.col("text"))), " ")).alias("m"))
     return index.select("doc_id", text.from_inverted_index(F.col("m")).alias("abstract"))
 
 

@@ -136,3 +136,21 @@ def test_matches_without_pairs(spark):
     copies = spark.range(20_000).selectExpr("id AS ord", "concat('p', id) AS id", "'one title' AS title", "'' AS doi", "'' AS arxiv_id", "cast(1990 + id % 30 AS int) AS year")
     assert library.first_match(copies, copies).where("id = concat('p', (cast(substr(wid, 2) AS int)) % 30)").count() == 20_000  # 400 million pairs
     assert library.best_hit(copies, copies).count() == 20_000
+
+
+def test_inverted_index_moves_no_words(spark):
+    """Also of a text without any, which has a row."""
+    rows = [(1, ["b", "a", "b", "", "a", "b"]), (2, []), (3, None), (4, [""]), (5, [str(i % 977) for i in range(20_000)])]
+    found = spark.createDataFrame(rows, "i int, words array<string>").select("i", text.inverted_index(F.col("words")).alias("m"))
+    got = {r.i: r.m for r in found.collect()}
+    assert got[1] == {"b": [0, 2, 5], "a": [1, 4], "": [3]} and got[2] == {} and got[3] is None and got[4] == {"": [0]}
+    assert got[5] == {str(k): list(range(k, 20_000, 977)) for k in range(977)}
+
+
+def test_inverted_index_query(spark, tmp_path):
+    from quillon.plans import texts
+
+    spark.createDataFrame([(1, " a b  a "), (2, None), (3, "")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = texts.inverted(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.abstract for r in found.collect()} == {1: "a b a", 2: None, 3: ""}
