@@ -42,11 +42,12 @@ def ids_in(rows: DataFrame, key: str, value: str) -> DataFrame:
     whole = F.schema_of_variant("value") == "STRING"
     candidates = F.when(scalar & one, F.array(text)).when(whole, F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"+|"+$', ""), "^'+|'+$", ""))
-    each = found.select(key, "path", F.posexplode(F.transform(candidates, clean)).alias("at", "id")).where("id <> ''")
-    first = each.groupBy(key, F.lower("id").alias("_fold")).agg(F.min(F.struct("path", "at", "id")).alias("x"))
-    lists = first.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.col(key).alias("_key"), F.col("x.id").alias("ids"))
-    every = rows.select(key).distinct()
-    return every.join(lists, every[key].eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    here = F.transform(candidates, lambda c, at: F.struct(F.lower(clean(c)).alias("fold"), F.col("path"), at.alias("at"), clean(c).alias("id")))
+    lists = found.select(key, F.filter(here, lambda x: x["id"] != "").alias("here")).groupBy(key).agg(F.collect_list(F.when(F.size("here") > 0, F.col("here"))).alias("all"))
+    # the value itself is one of those found, so every key has a row; its ids come together once, and equal ones stand together once sorted
+    firsts = F.get(F.transform(F.array(F.sort_array(F.flatten("all"))), lambda x: F.filter(x, lambda y, k: (k == 0) | (y["fold"] != F.get(x, k - 1)["fold"]))), F.lit(0))
+    ordered = F.sort_array(F.transform(firsts, lambda x: F.struct(x["path"].alias("path"), x["at"].alias("at"), x["id"].alias("id"))))
+    return lists.select(key, F.transform(ordered, lambda x: x["id"]).alias("ids"))
 
 
 def figure_numbers(figures: DataFrame, key: str, order: str, number: str) -> DataFrame:

@@ -121,3 +121,13 @@ def test_late_subscriber(spark, tmp_path):
     assert drain() == sorted([*first, ("r", "message", "e3", 0), ("r", "delta", "", 10)])
     rows = spark.createDataFrame([("r", "live", 1), ("r", "stored", 9), ("r", "stored", 2), ("r", "live", 0)], "run_id string, source string, seq long").coalesce(1)
     assert [(r.source, r.seq) for r in broker.in_order(rows).collect()] == [("stored", 2), ("stored", 9), ("live", 0), ("live", 1)]
+
+
+def test_ids_come_together_once(spark):
+    """One exchange by key, and no join with the keys; keys without ids, values and null keys keep their row."""
+    rows = [(1, '{"paperIds": ["b", "B", "a"], "x": {"paperId": "A"}}'), (2, None), (3, "{"), (None, '{"paper_id": "n"}'), (4, '["[z] and [y]", "[Z]"]'), (5, "{}")]
+    values = spark.createDataFrame(rows, "i long, body string").select("i", F.try_parse_json("body").alias("v"))
+    found = nested.ids_in(values, "i", "v")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join LeftOuter" not in plan
+    assert {r.i: r.ids for r in found.collect()} == {1: ["b", "a"], 2: [], 3: [], None: ["n"], 4: ["z", "y"], 5: []}
