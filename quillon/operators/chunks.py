@@ -195,6 +195,17 @@ def chunked(found: list[tuple[int, str, str]], most: int, whole: int) -> list[tu
     return out
 
 
+#: Texts whose blocks a Python worker holds as Python values at a time.
+AT_ONCE = 64
+
+
+def few_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, AT_ONCE at a time, so that what is made of them doesn't grow with the batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(start, AT_ONCE)
+
+
 def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1200, whole: int = 4000) -> DataFrame:
     """id, chunk (from 0), chunk_id, page_start, page_end, section, content: blocks of each document packed in order into chunks of about `most`
     characters. A heading after other text begins a chunk, whose section it names; without one the section is the page, or 正文. A block up to
@@ -204,7 +215,7 @@ def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(id_col, block_array(F.col(text_col)).alias("x")).select(id_col, "x.page", "x.kind", "x.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_once(batches):
             made = [chunked(list(zip(*(c.as_py() for c in one), strict=True)), most, whole) for one in zip(*batch.columns[1:], strict=True)]
             ids = batch.column(0).take(pa.array([i for i, x in enumerate(made) for _ in x], pa.int64()))
             names = []

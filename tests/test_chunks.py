@@ -76,3 +76,17 @@ def test_batches(spark):
         batch, held = (batch, held + n) if batch >= 0 and held + n <= 700 else (batch + 1, n)
         state[g], want[(g, i)] = (batch, held), batch
     assert got == want
+
+
+def test_packed_blocks_hold_few_texts_at_once(spark, monkeypatch):
+    """Of a batch of any size a worker has the blocks of few texts as Python values; the chunks are the same."""
+    import pyarrow as pa
+
+    from quillon.operators import chunks as module
+
+    parts = list(module.few_at_once(iter([pa.RecordBatch.from_pydict({"i": list(range(150))}), pa.RecordBatch.from_pydict({"i": [150]})])))
+    assert [p.num_rows for p in parts] == [64, 64, 22, 1] and [i for p in parts for i in p.column(0).to_pylist()] == list(range(151))
+    docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "concat('# Head ', id, '\\n\\n', repeat(concat('word', id, ' '), 300), '\\n\\nlast line of text ', id) AS text")
+    rows = module.packed_blocks(docs).collect()
+    assert {r.doc_id for r in rows} == set(range(200)) and all(any(f"{w}{r.doc_id}" in r.content for w in ("Head ", "word", "text ")) for r in rows)
+    assert len({(r.doc_id, r.chunk) for r in rows}) == len(rows)
