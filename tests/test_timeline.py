@@ -6,6 +6,8 @@ import subprocess
 import sys
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
+
 from quillon.plans import sessions
 from quillon.streaming import timeline
 
@@ -123,6 +125,43 @@ def test_state_of_ended_runs_goes(spark, tmp_path):
     assert heads[0].value.mark == 5
 
 
+def test_a_table_needs_no_state_store(spark):
+    """A table's runs are replayed from sorted events: nothing is asked of a state store, and a run goes on in the next batch of Arrow."""
+    table = sessions.run_events(spark, SF).cache()
+    want = items(timeline.changes(table))
+    assert "TransformWithState" not in timeline.changes(table)._jdf.queryExecution().toString()
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert items(timeline.changes(table)) == want and len(want) > 50
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+
+
+def test_a_new_run_is_not_looked_up(monkeypatch):
+    """Of a run that has no head nothing else is asked; an echo isn't either, and an open bubble is put together once a batch."""
+    asked, shown = [], []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *_: asked.append((self.name, call))
+
+    show = timeline.Run.show
+    monkeypatch.setattr(timeline.Run, "show", lambda self, live: (shown.append(live), show(self, live))[1])
+    event = lambda i, **x: Row(**{k: None for k in timeline.EVENT} | {"run_id": "r", "arrival": i} | x)
+    run = timeline.Run({n: State(n) for n in ("head", "pieces", "nodes", "users", "cards")}, "r")
+    for i in range(100):
+        run.apply(event(i, event="delta", content="x", seq=i + 1, turn_id="t"))
+        run.apply(event(i, event="message", role="user", content="ask", turn_id="t"))
+        run.apply(event(i, event="runtime_event", node_id="n", status="running", input_tokens=i))
+        run.apply(event(i, event="call_fragment", call_index=0, call_name="tool", round=1))
+    assert len(list(run.saved())) == 5 and shown == [True]
+    assert sorted(asked) == [("cards", "updateValue"), ("head", "exists"), ("head", "update"), ("nodes", "updateValue"), ("pieces", "appendList"), ("pieces", "clear"), ("users", "updateValue")]
+
+
 def test_workers_need_no_installed_package(tmp_path):
     """From another folder, in a session of its own, with the package on the driver's path only."""
     code = """
