@@ -1,7 +1,8 @@
-"""Search providers as a Spark data source: recorded responses, a page a partition, each provider's records brought to one form."""
+"""Search providers as a Spark data source: pages of recorded responses, dealt out by size, each provider's records brought to one form."""
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -67,14 +68,34 @@ def feed(body: str) -> Iterator[tuple[Any, ...]]:
             yield at, get("title"), number(get("published")[:4]), e.findtext("{http://arxiv.org/schemas/atom}doi"), at, None, get("summary")
 
 
-class Page(InputPartition):
-    def __init__(self, provider: str, page: int, path: str) -> None:
+class Share(InputPartition):
+    """Files that one task reads, as (provider, page or none, path)."""
+
+    def __init__(self, files: list[tuple[str, int | None, str]]) -> None:
         super().__init__(None)
-        self.provider, self.page, self.path = provider, page, path
+        self.files = files
+
+
+#: So many files are a task each; more are put together by size, up to so many bytes, where opening a file counts as some.
+SINGLE, SHARE, OPENING = 256, 32 << 20, 64 << 10
+
+
+def shares(files: list[tuple[str, int | None, str, int]]) -> list[Share]:
+    """`files` (provider, page or none, path, bytes) in their order, dealt to tasks, whose number grows with the bytes and not with the files."""
+    most = min(SHARE, sum(size + OPENING for *_, size in files) / SINGLE) if len(files) > SINGLE else 0
+    found, left = [], 0
+    for *file, size in files:
+        if left <= 0:
+            found.append(Share([]))
+            left = most
+        found[-1].files.append(tuple(file))
+        left -= size + OPENING
+    return found
 
 
 class Pages(DataSourceReader):
-    """Pages under `root`, in folders provider=/page=/first=/last= (the first and last year of the page's records)."""
+    """Pages under `root`, in folders provider=/first=/last= (the first and last year of a page's records) a page a line after its number and a
+    tab, or in folders provider=/page=/first=/last= a page a file."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.root = options["root"].rstrip("/")
@@ -107,33 +128,42 @@ class Pages(DataSourceReader):
             return not self.dated
         return (self.low is None or year >= self.low) and (self.high is None or year <= self.high)
 
-    def partitions(self) -> list[Page]:
-        """A partition for each page file whose years can meet the filters."""
+    def partitions(self) -> list[Share]:
+        """The files whose years can meet the filters."""
         from pyarrow import fs
 
         system, at = fs.FileSystem.from_uri(self.root)
         found = []
         for f in system.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)):
-            m = re.search(r"/provider=([^/]+)/page=(\d+)/first=([^/]+)/last=([^/]+)/part-[^/]*$", f.path)
+            m = re.search(r"/provider=([^/]+)/(?:page=(\d+)/)?first=([^/]+)/last=([^/]+)/part-[^/]*$", f.path)
             if not m or (self.wanted and m[1] not in self.wanted):
                 continue
             first, last = number(m[3]), number(m[4])
             if first is None and self.dated or first is not None and (self.low is not None and last < self.low or self.high is not None and first > self.high) and self.dated:
                 continue
-            found.append(Page(m[1], int(m[2]), f.path))
-        return sorted(found, key=lambda p: (p.provider, p.page))
+            found.append((m[1], number(m[2]), f.path, f.size))
+        return shares(sorted(found, key=lambda f: (f[0], f[1] is not None, f[1] or 0, f[2])))
 
-    def read(self, partition: Page | None) -> Iterator[tuple[Any, ...]]:
+    def read(self, partition: Share | None) -> Iterator[tuple[Any, ...]]:
         from pyarrow import fs
 
         if partition is None:  # Spark's one partition of a source without any
             return
         system, _ = fs.FileSystem.from_uri(self.root)
-        with system.open_input_stream(partition.path) as f:
-            body = f.read().decode()
-        for place, r in enumerate(CONNECTORS[partition.provider](body)):
-            if self.holds(r[2]):
-                yield partition.provider, partition.page, place, *r
+        for provider, only, path in partition.files:
+            with system.open_input_stream(path) as f:
+                for page, body in [(only, f.read())] if only is not None else numbered(f):
+                    for place, r in enumerate(CONNECTORS[provider](body.decode())):
+                        if self.holds(r[2]):
+                            yield provider, page, place, *r
+
+
+def numbered(f: Any) -> Iterator[tuple[int, bytes]]:
+    """The pages of a file that has one a line, a line at a time."""
+    for line in io.BufferedReader(f, 1 << 20):
+        page, tab, body = line.partition(b"\t")
+        if tab:
+            yield int(page), body
 
 
 class RecordedSearch(DataSource):
@@ -175,7 +205,8 @@ def escaped(x: Column) -> Column:
 
 def record_pages(papers: DataFrame, root: str, size: int = 100) -> None:
     """Writes `papers` (source, ord, id, title, abstract, year, doi, arxiv_id, cited_by) as their providers' responses, `size` records a page by
-    the order of ord; a page's records meet in one task, and nothing else does."""
+    the order of ord; a page's records meet in one task, and nothing else does. A task writes one file for all its pages of a provider and its years,
+    so there are not as many files as pages; rows without ord are on no page."""
     index = F.map_from_entries(F.transform(F.array_distinct(F.split("abstract", " ")), lambda w: F.struct(w, F.array(F.array_position(F.split("abstract", " "), w)))))
     work = F.to_json(F.struct("id", "title", F.col("year").alias("publication_year"), "doi", F.col("cited_by").alias("cited_by_count"), F.when(F.length("abstract") < 200, index).alias("abstract_inverted_index")))
     found = F.to_json(F.struct(F.col("id").alias("paperId"), "title", "year", F.col("cited_by").alias("citationCount"), F.struct(F.col("doi").alias("DOI"), F.col("arxiv_id").alias("ArXiv")).alias("externalIds")))
@@ -193,4 +224,5 @@ def record_pages(papers: DataFrame, root: str, size: int = 100) -> None:
         .when(F.col("provider") == "openalex", F.concat(F.lit('{"results":['), all_, F.lit("]}")))
         .otherwise(F.concat(F.lit('{"data":['), all_, F.lit("]}")))
     )
-    pages.select("provider", "page", "first", "last", F.regexp_replace(whole, r"[\r\n]", " ").alias("value")).write.partitionBy("provider", "page", "first", "last").text(root)
+    line = F.concat(F.col("page").cast("string"), F.lit("\t"), F.regexp_replace(whole, r"[\r\n]", " "))
+    pages.where("page IS NOT NULL").select("provider", "first", "last", line.alias("value")).write.partitionBy("provider", "first", "last").text(root)

@@ -74,5 +74,35 @@ def test_other_providers_can_be_added(spark, tmp_path):
         del plugins.CONNECTORS["own"]
 
 
+def test_files_and_tasks_grow_with_bytes(spark, tmp_path):
+    """500 pages are recorded in a few files, and read by a few tasks also when each is a file of its own."""
+    papers = spark.range(1500).selectExpr(
+        "id AS ord", "CASE id % 3 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'openalex' ELSE 'semantic_scholar' END AS source", "'p' || id AS id", "'a\tb < ' || id AS title", "'one two one' AS abstract",
+        "CASE WHEN id % 7 > 0 THEN CAST(2000 + id % 3 AS INT) END AS year", "'10.1/' || id AS doi", "'2401.' || id AS arxiv_id", "CAST(id AS INT) AS cited_by",
+    )
+    plugins.record_pages(papers, f"file://{tmp_path}/lines", size=3)
+    assert len([f for _, _, files in os.walk(tmp_path) for f in files if f.startswith("part-")]) <= 8 * 9
+    df = read(spark, f"{tmp_path}/lines")
+    got = {r.id: r for r in df.collect()}
+    assert set(got) == {f"p{i}" for i in range(1500)} and {r.page for r in got.values()} == set(range(167))
+    for i in (0, 1, 2, 1499):
+        assert (got[f"p{i}"].page, got[f"p{i}"].title.replace("\t", " "), got[f"p{i}"].year) == (i // 9, f"a b < {i}", 2000 + i % 3 if i % 7 else None)
+    assert [got[f"p{i}"].place for i in (0, 3, 6, 9)] == [0, 1, 2, 0]
+    assert df.where("year = 2001").count() == sum(i % 3 == 1 and i % 7 > 0 for i in range(1500))
+    for i in range(300):
+        put(tmp_path / "files", "openalex", i, 2000, 2000, json.dumps({"results": [{"id": f"W{i}", "title": "t", "publication_year": 2000}]}))
+    df = read(spark, f"{tmp_path}/files")
+    assert df.rdd.getNumPartitions() < 300 and {(r.id, r.page, r.place) for r in df.collect()} == {(f"W{i}", i, 0) for i in range(300)}
+
+
+def test_shares():
+    """Nothing is left out or twice; a task takes no more files once it has its bytes."""
+    of = lambda *sizes: plugins.shares([("arxiv", None, str(i), s) for i, s in enumerate(sizes)])
+    for sizes in ((), (5,), (1,) * 256, (1,) * 257, (0,) * 5000, (100 << 20, 1) * 300, (1 << 20,) * 20_000):
+        assert [f[2] for s in of(*sizes) for f in s.files] == [str(i) for i in range(len(sizes))]
+    assert len(of(*(1,) * 256)) == 256 and len(of(*(1,) * 30_000)) < 300 and len(of(*(100 << 20, 1) * 300)) <= 600
+    assert max(len(s.files) for s in of(*(1 << 20,) * 20_000)) <= 32
+
+
 def test_no_pages(spark, tmp_path):
     assert read(spark, f"{tmp_path}/nothing").count() == 0
