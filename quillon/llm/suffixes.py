@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Of a reduced text with more names than this, each is written as several digits, so that the buckets stay few.
-BASE = 2048
+#: A reduced text with more names than this is sorted by doubling: inducing takes its buckets one after the other.
+BASE = 256
 
 
 def classified(text: np.ndarray) -> np.ndarray:
@@ -101,11 +101,31 @@ def substring_names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> t
     return name[lms], int((~same).sum()) + 1
 
 
+def doubled(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a text of names, by their first 1, 2, 4 ... names; only suffixes that are still tied are
+    sorted again, so the work shrinks with every round."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    rank = np.zeros(n + 1, np.int64)  # of a suffix: the first place its ties have in the order, counted from 1
+    slots, key, k = np.arange(n), names[order], 1
+    while True:
+        new = np.append(True, key[1:] != key[:-1])
+        rank[order[slots]] = slots[new][np.cumsum(new) - 1] + 1
+        slots = slots[~(new & np.append(new[1:], True))]
+        if not len(slots):
+            return order
+        tied = order[slots]
+        key = rank[tied] * (n + 1) + rank[np.minimum(tied + k, n)]
+        by_key = np.argsort(key)
+        order[slots], key, k = tied[by_key], key[by_key], 2 * k
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes of `text` (small whole numbers) in order.
 
     Leftmost-smaller substrings are sorted by inducing from unsorted seeds and get names; where names repeat, the text
-    of names, shorter by half at least, is sorted by the same function, and its order of suffixes seeds the final pass.
+    of names, shorter by half at least, is sorted by the same function, or by doubling if its names are many, and its
+    order of suffixes seeds the final pass.
     """
     n = len(text)
     if n < 2:
@@ -118,20 +138,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         names, count = substring_names(text, lms, rough[is_lms[rough]])
-        if count < len(lms):
-            digits = 1
-            while BASE**digits < count:
-                digits += 1
-            if 4 * digits * len(lms) > 3 * n:  # the text of digits must be shorter, too
-                digits = 1
-            base = 1
-            while base**digits < count:  # digits of the least base, so that they are alike
-                base = max(base + 1, int(count ** (1 / digits)) - 1)
-            places = (names[:, None] // base ** np.arange(digits)[::-1] % base).reshape(-1)
-            order = suffix_array(places)
-            lms = lms[order[order % digits == 0] // digits]
-        else:
-            lms = lms[np.argsort(names)]
+        lms = lms[np.argsort(names) if count == len(lms) else suffix_array(names) if count <= BASE else doubled(names)]
     return induced(text, small, lms)
 
 
