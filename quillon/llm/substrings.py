@@ -4,8 +4,9 @@ Every window of LENGTH bytes has an anchor, its GRAM-byte string of least hash;
 consecutive windows with one anchor make a segment of at most 2 * LENGTH bytes, so documents share a window only if they
 share an anchor. Segments are dealt by anchor. Equal segments are combined first, in each task and then by anchor: in all
 but the first document that holds one, every byte of it goes. What is left are different segments with one anchor, at
-the edges of passages. Their texts are dealt to shards by anchor, and each shard's suffix array, built by induced
-sorting, gives with its permuted common prefixes the windows that an earlier document holds too.
+the edges of passages or by chance; those that also agree far enough to both sides of it for a common window have their
+texts dealt to shards by anchor, and each shard's suffix array, built by induced sorting, gives with its permuted common
+prefixes the windows that an earlier document holds too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LENGTH, GRAM = 50, 24
 FLUSH, SHARD_SEGMENTS, SHARD_BYTES = 300_000, 400_000, 600_000
 #: Documents, about, in the sample that finds frequent anchors, and in how many of them such an anchor occurs.
 HEAVY_SAMPLE, HEAVY = 4_000, 40
+#: Parts of the places that an anchor can have in a window, and bits of the hash of what the windows of a part have in common.
+PARTS, PART_BITS = 3, 10
 #: In place of a null id: such a document comes after all others.
 LAST = 2**63 - 1
 
@@ -46,16 +49,20 @@ def offset_ranges(width: int) -> list[tuple[int, int]]:
     return out + ([(low, width - 1 - low)] if 2 * low < width else []) + mirrored
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None, cores: bool = False) -> tuple[np.ndarray, ...]:
     """(document, first byte in it, bytes, anchor hash, hash of its bytes) of every segment of the documents.
 
+    With `cores`, also PARTS short hashes in one number: for each part of the places that the anchor can have in a window,
+    of the bytes that all its windows have in common, or 0 if the segment has no such window. Segments with a window in
+    common have the same anchor and the same hash for its part.
+
     The segments of a frequent anchor (sorted hashes) are split by where in the window the anchor stands, and get a
     longer key: all that the windows of a part have in common, on both sides of the anchor. So strings that share an
     anchor by the million, but differ around it, are dealt by what is around it."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), *[none.astype(np.uint32)] * cores
     up, down = shingles.powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(RAW[data] * up[:n], out=sums[1:])
@@ -76,34 +83,52 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         begins[at : at + 1] = True
     begin = np.flatnonzero(begins & inside)
     # A segment ends at the next one, or where its document's windows end.
-    doc = np.searchsorted(offsets, begin, "right") - 1
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(begin, offsets)))
     last = np.minimum(np.append(begin[1:], n), offsets[doc + 1] - length + 1) - 1  # first byte of the last window
     key = least[begin]
+    # The anchor's place, the first one with its hash: where the last window begins, or else after it; where the first
+    # window ends, if that brought it in.
+    at = np.where(h[last] == key, last, begin + width - 1)
+    open_ = np.flatnonzero((at != last) & ((begin == 0) | (key >= least[np.maximum(begin - 1, 0)])))
+    at[open_] = last[open_] + 1
+    while len(open_):
+        open_ = open_[h[at[open_]] != key[open_]]
+        at[open_] += 1
     if frequent is not None and len(frequent) and len(key):
         often = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
-        at = begin[often].copy()  # the anchor's place: the first one with its hash
-        for _ in range(width):
-            at += h[np.minimum(at, len(h) - 1)] != key[often]
-        parts = [(doc[~often], begin[~often], last[~often], key[~often])]
+        parts = [(doc[~often], begin[~often], last[~often], key[~often], at[~often])]
         for x, y in offset_ranges(width):
-            a, b = np.maximum(begin[often], at - y), np.minimum(last[often], at - x)
+            a, b = np.maximum(begin[often], at[often] - y), np.minimum(last[often], at[often] - x)
             some = a <= b
-            a, b, c = a[some], b[some], at[some]
+            a, b, c = a[some], b[some], at[often][some]
             common = (sums[c + length - y] - sums[c - x]) * down[c - x]
-            parts.append((doc[often][some], a, b, mixed(common ^ mixed(np.array([SALT]) + U64(x)))))
-        doc, begin, last, key = (np.concatenate(p) for p in zip(*parts, strict=True))
+            parts.append((doc[often][some], a, b, mixed(common ^ mixed(np.array([SALT]) + U64(x))), c))
+        doc, begin, last, key, at = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.argsort(begin, kind="stable")
-        doc, begin, last, key = doc[order], begin[order], last[order], key[order]
+        doc, begin, last, key, at = (x[order] for x in (doc, begin, last, key, at))
     end = last + length
-    # A hash of the bytes, eight at a time.
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(n + 1, np.dtype("<u8"), padded.data, 0, (1,))
+    # A hash of the bytes, eight at a time from the front, which every segment has, and then those up to the end.
+    eight = np.ndarray(n + 1, np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]).data, 0, (1,))
+    word = min(length, 8)
+    mask = ~U64(0) >> U64(64 - 8 * word)
     whole = mixed((end - begin).astype(np.uint64) + SALT)
-    for k in range(0, int((end - begin).max(initial=0)), 8):
-        rest = np.clip(end - begin - k, 0, 8).astype(np.uint64)
-        word = eight[np.minimum(begin + k, n)] & np.where(rest == 8, ~U64(0), (U64(1) << (rest * U64(8))) - U64(1))
-        whole = np.where(rest > 0, mixed(whole + word * ODD), whole)
-    return doc, begin - offsets[doc], end - begin, key, whole
+    rest = -(-int((end - begin).max(initial=0) - length // word * word) // word)
+    for k in [*range(length // word), *range(-rest, 0)]:
+        whole ^= eight[np.maximum(end + k * word, begin) if k < 0 else begin + k * word] & mask
+        whole *= ODD
+        whole ^= whole >> U64(32)
+    whole = mixed(whole)
+    if not cores:
+        return doc, begin - offsets[doc], end - begin, key, whole
+    core = np.zeros(len(key), np.uint32)
+    for k in range(PARTS):
+        x, y = k * width // PARTS, (k + 1) * width // PARTS - 1
+        some = np.flatnonzero((at - begin >= x) & (at - last <= y)) if x <= y else none
+        c = at[some]
+        common = (sums[c + length - y] - sums[c - x]) * down[c - x]
+        short = np.maximum(((common ^ (common >> U64(32))) * ODD) >> U64(64 - PART_BITS), U64(1))
+        core[some] |= (short << U64(k * PART_BITS)).astype(np.uint32)
+    return doc, begin - offsets[doc], end - begin, key, whole, core
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -156,18 +181,36 @@ def by_document(covered: bool, ord_: np.ndarray, tkey: np.ndarray, lo: np.ndarra
     return pa.table([pa.array(np.full(len(first), covered)), pa.array(ord_[first]), pa.array(tkey[first]), *lists], ["covered", "ord", "tkey", "lo", "size", "key"])
 
 
-BLOB = {"ord": np.int64, "tkey": np.int64, "lo": np.int32, "size": np.int32, "key": np.uint32, "whole": np.uint64}
+BLOB = {"ord": np.int64, "tkey": np.int64, "lo": np.int32, "size": np.int32, "key": np.uint32, "whole": np.uint64, "core": np.uint32}
+
+
+def agreeing(anchor: np.ndarray, first: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Whether a segment, in the document `first`, agrees with one of its anchor in another document in what the windows of
+    some part have in common: without that, they have no window in common."""
+    out = np.zeros(len(anchor), bool)
+    for k in range(PARTS):
+        short = (core >> np.uint32(k * PART_BITS)) & np.uint32((1 << PART_BITS) - 1)
+        some = np.flatnonzero(short)
+        if len(some):
+            both = (anchor[some].astype(np.int64) << PART_BITS) | short[some]
+            order = np.argsort(both)
+            some, both = some[order], both[order]
+            new = np.append(True, both[1:] != both[:-1])
+            least, most = (f.reduceat(first[some], np.flatnonzero(new)) for f in (np.minimum, np.maximum))
+            out[some] |= (least < most)[np.cumsum(new) - 1]
+    return out
 
 
 def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """FOUND: covered, places whose bytes an earlier document holds as a whole segment; otherwise, the segments to be
-    compared in suffix arrays, those of each anchor that has different ones, in the first document that holds them."""
+    compared in suffix arrays, those of each anchor that has different ones that agree far enough around it, in the first
+    document that holds them."""
     frequent = _frequent(rows, length, gram)
     shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (SHARD_SEGMENTS * (length - gram + 2) // 2)))
     names = ["shard", "covered", *BLOB]
 
     def dealt(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ord_, tkey, lo, size, key, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+        ord_, tkey, lo, size, key, whole, core = (np.concatenate(x) for x in zip(*held, strict=True))
         both = mixed(key + mixed(whole))
         order = np.argsort(both)
         new = np.append(True, both[order][1:] != both[order][:-1])
@@ -176,10 +219,10 @@ def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
         later[order] = ord_[order] > least[np.cumsum(new) - 1]
         shard = ((key >> U64(32)) % U64(shards)).astype(np.int64)
         own = np.flatnonzero(~later)
-        own = own[np.argsort(shard[own], kind="stable")]
+        own = own[np.argsort(shard[own].astype(np.uint16) if shards < 1 << 16 else shard[own], kind="stable")]
         cut = np.searchsorted(shard[own], np.arange(shards + 1))
         some = np.flatnonzero(np.diff(cut))
-        columns = dict(zip(BLOB, (ord_, tkey, lo, size, key & U64(0xFFFFFFFF), whole), strict=True))
+        columns = dict(zip(BLOB, (ord_, tkey, lo, size, key & U64(0xFFFFFFFF), whole, core), strict=True))
         blobs = {c: [columns[c][own[cut[s] : cut[s + 1]]].astype(k).tobytes() for s in some] for c, k in BLOB.items()}
         if later.any():
             for c, k in BLOB.items():
@@ -194,9 +237,9 @@ def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             ords, tkeys = (batch.column(i).to_numpy() for i in (0, 1))
             for first, data, offsets in shingles.text_slices(batch.column(2)):
-                doc, lo, size, key, whole = segments(data, offsets, length, gram, frequent)
+                doc, lo, size, key, whole, core = segments(data, offsets, length, gram, frequent, cores=True)
                 if len(doc):
-                    held.append((ords[first + doc], tkeys[first + doc], lo, size, key, whole))
+                    held.append((ords[first + doc], tkeys[first + doc], lo, size, key, whole, core))
                     n += len(doc)
                 if n >= FLUSH:
                     yield from dealt(held)
@@ -212,15 +255,15 @@ def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
         gone = [[read(early, c) for c in ("ord", "tkey", "lo", "size")]]
         table = table.filter(pa.array(~done))
         key = read(table, "key")
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         order = order[np.append(same, False) | np.append(False, same)] if len(key) else order
         wanted = []
         if len(order):
-            ord_, tkey, lo, size, whole = (read(table, c)[order] for c in ("ord", "tkey", "lo", "size", "whole"))
+            ord_, tkey, lo, size, whole, core = (read(table, c)[order] for c in ("ord", "tkey", "lo", "size", "whole", "core"))
             key = key[order]
             order = np.lexsort((ord_, whole, key))
-            ord_, tkey, lo, size, whole, key = (x[order] for x in (ord_, tkey, lo, size, whole, key))
+            ord_, tkey, lo, size, whole, core, key = (x[order] for x in (ord_, tkey, lo, size, whole, core, key))
             anchor = np.append(True, key[1:] != key[:-1])
             string = anchor | np.append(True, whole[1:] != whole[:-1])
             first = ord_[np.flatnonzero(string)][np.cumsum(string) - 1]
@@ -228,7 +271,8 @@ def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
             gone.append([x[later] for x in (ord_, tkey, lo, size)])
             kinds = np.add.reduceat(string.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
             least, most = (f.reduceat(first, np.flatnonzero(anchor))[np.cumsum(anchor) - 1] for f in (np.minimum, np.maximum))
-            on = ~later & (kinds > 1) & (least < most)
+            on = np.flatnonzero(~later & (kinds > 1) & (least < most))
+            on = on[agreeing((np.cumsum(anchor) - 1)[on], first[on], core[on])]
             wanted = [by_document(False, ord_[on], tkey[on], lo[on], size[on], (np.int64(shard) << 32) | key[on].astype(np.int64))]
         return pa.concat_tables([by_document(True, *(np.concatenate(x) for x in zip(*gone, strict=True))), *wanted])
 

@@ -15,9 +15,7 @@ def classified(text: np.ndarray) -> np.ndarray:
     if n > 1:
         step = np.sign(np.diff(text))
         change = np.flatnonzero(step)
-        at = np.searchsorted(change, np.arange(n - 1))
-        inside = at < len(change)
-        s[:-1][inside] = step[change[at[inside]]] > 0
+        s[: change.max(initial=-1) + 1] = np.repeat(step[change] > 0, np.diff(change, prepend=-1))
     return s
 
 
@@ -42,6 +40,7 @@ def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarra
     counts = np.bincount(text, minlength=size)
     tops = np.cumsum(counts)
     sa = np.full(n, -1, np.int64)
+    text = text.astype(np.uint16) if size <= 1 << 16 else text  # numbers of 16 bits are sorted by radix
     chars = text[seeds]
     seeded = np.bincount(chars, minlength=size)
     by_char = seeds[np.argsort(chars, kind="stable")]
@@ -105,7 +104,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
     """The order of the suffixes of a text of names, by their first 1, 2, 4 ... names; only suffixes that are still tied are
     sorted again, so the work shrinks with every round."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     rank = np.zeros(n + 1, np.int64)  # of a suffix: the first place its ties have in the order, counted from 1
     slots, key, k = np.arange(n), names[order], 1
     while True:

@@ -90,3 +90,41 @@ def test_text_ids_are_refused(spark):
 @pytest.mark.parametrize("width", [1, 2, 3, 9, 27, 43])
 def test_offset_ranges(width):
     assert [x for a, b in substrings.offset_ranges(width) for x in range(a, b + 1)] == list(range(width))
+
+
+def bounds(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+@pytest.mark.parametrize(("length", "gram"), [(50, 24), (12, 12), (13, 12), (20, 3), (7, 2)])
+def test_common_windows_have_a_common_part(length, gram):
+    rng = random.Random(length)
+    for trial in range(30):
+        alphabet = rng.choice(["a", "ab", "abcdefgh "])
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 10, 60, 200]))).encode() for _ in range(5)]
+        texts += [texts[0][3:] + texts[1], texts[2] * 2]
+        frequent = np.unique(substrings.segments(*bounds(texts), length, gram)[3])[::2]
+        for often in (None, frequent):
+            held, strings = {}, {}
+            for doc, lo, size, key, whole, core in zip(*substrings.segments(*bounds(texts), length, gram, often, cores=True), strict=True):
+                string = texts[doc][lo : lo + size]
+                assert strings.setdefault((key, whole), string) == string
+                for p in range(size - length + 1):
+                    held.setdefault(string[p : p + length], []).append((key, [(int(core) >> 10 * k) & 1023 for k in range(3)]))
+            for of in held.values():
+                key, parts = of[0]
+                assert all(k == key and any(x and x == y for x, y in zip(parts, q, strict=True)) for k, q in of), trial
+
+
+def test_segments_without_a_common_window_stay_out_of_the_arrays(spark):
+    """Documents share 300 strings of 40 bytes and no window of 50: before, all segments with a common anchor went there."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = [word(40) for _ in range(300)]
+    rows = [(i, "".join(word(60) + s for s in shared)) for i in range(2)]
+    keys = [set(k.tolist()) for k in (substrings.segments(*bounds([t.encode()]))[3] for _, t in rows)]
+    assert len(keys[0] & keys[1]) > 150
+    docs, unique = substrings.numbered(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    left = substrings._compared(docs, 50, 24).where("NOT covered").collect()
+    assert sum(len(r["lo"]) for r in left) <= 10
+    assert found(spark, rows) == brute(rows, 50)
